@@ -241,14 +241,12 @@ def _tile_pairs(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
             lag += 1
 
 
-def _sets(batches, n: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, size, bits, grams) of classes that may be wanted; ``wanted`` is a fixed-size filter."""
+def _wanted(batches, n: int, wanted: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+    """(key, size, data) of classes that may be wanted; data is the set itself or its bitmap. ``wanted`` is a filter."""
 
     def flush():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in held], pa.int64()), pa.array([len(x) for _, x in held], pa.int32()), pa.array([bitmap(x) for _, x in held], pa.binary()), pa.array([x.tobytes() for _, x in held], pa.binary())],
-            ["key", "size", "bits", "grams"],
-        )
+        data = [x.tobytes() if whole else bitmap(x) for _, x in held]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([len(x) for _, x in held], pa.int32()), pa.array(data, pa.binary())], ["key", "size", "data"])
 
     held, size = [], 0
     for key, grams in classes(batches, n):
@@ -262,6 +260,13 @@ def _sets(batches, n: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def wanted_classes(texts: DataFrame, n: int, keys: DataFrame, whole: bool) -> DataFrame:
+    """(key, size, data) once for each class in ``keys`` (and a few more that its filter lets through), hashed by key."""
+    wanted = texts.sparkSession.sparkContext.broadcast(filter_of(keys))
+    found = texts.mapInArrow(lambda it: _wanted(it, n, wanted.value, whole), "key long, size int, data binary")
+    return found.repartition("key").dropDuplicates(["key"])
+
+
 #: log2 of the bits of the filter of wanted classes: 4 MB whatever the corpus.
 FILTER_BITS = 25
 
@@ -333,21 +338,25 @@ def spanning_links(keys: np.ndarray, sizes: np.ndarray, bits: np.ndarray, sets:
 def _verify(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
     for run in c.sorted_runs(batches, "tile"):
         tile = run.column("tile").to_numpy()
-        size_all = run.column("size").to_numpy()
         cuts = [0, *np.flatnonzero(tile[1:] != tile[:-1]) + 1, len(tile)]
         links = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             part = run.slice(a, b - a)
-            order = np.argsort(size_all[a:b], kind="stable")
-            grams = part.column("grams").to_pylist()
-            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(-1, LANES)
-            links += spanning_links(part.column("key").to_numpy()[order], size_all[a:b][order].astype(np.int64), bits[order], [np.frombuffer(grams[k], np.uint64) for k in order], part.column("block").to_numpy()[order], rule)
+            sizes = part.column("size").to_numpy().astype(np.int64)
+            order = np.argsort(sizes, kind="stable")
+            data = part.column("data").to_pylist()
+            sets = [np.frombuffer(data[k], np.uint64) for k in order]
+            bits = np.frombuffer(b"".join(map(bitmap, sets)), np.uint64).reshape(-1, LANES)
+            links += spanning_links(part.column("key").to_numpy()[order], sizes[order], bits, sets, part.column("block").to_numpy()[order], rule)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
-def exact_links(sets: DataFrame, coarse: DataFrame, rule: Similarity) -> DataFrame:
-    """Spanning links (a, b) of each coarse component, checked in tiles of one or two blocks."""
-    sizes = coarse.join(sets.select("key", "size"), "key")
+def exact_links(texts: DataFrame, coarse: DataFrame, rule: Similarity) -> DataFrame:
+    """Spanning links (a, b) of each coarse component, checked in tiles of one or two blocks.
+
+    ``coarse`` has (key, component, size). A set is shuffled once by its key and once to each of its tiles.
+    """
+    sizes = coarse
     # Blocks by set size: bands of 2**(1/8) in size first, so that a window never has to hold a whole component.
     band = F.floor(F.log2(F.col("size").cast("double")) * 8)
     salt = F.when(F.col("many"), F.pmod(F.xxhash64("key"), F.ceil(F.col("weight") / BLOCK))).otherwise(F.lit(0))
@@ -368,7 +377,8 @@ def exact_links(sets: DataFrame, coarse: DataFrame, rule: Similarity) -> DataFra
     near = (F.col("low") * rule.percent <= F.col("high2") * 100) & (F.col("low2") * rule.percent <= F.col("high") * 100)
     tiles = blocks.join(other, "component").where((F.col("block") <= F.col("block2")) & near).select("block", "block2", F.xxhash64("component", "block", "block2").alias("tile"))
     members = tiles.select("tile", "block").union(tiles.where("block <> block2").select("tile", "block2"))
-    rows = members.join(placed.select("key", "block"), "block").join(sets, "key").select("tile", "block", "key", "size", "bits", "grams")
+    members = members.join(placed.select("key", "block"), "block")
+    rows = wanted_classes(texts, rule.n, placed, True).join(members, "key").select("tile", "block", "key", "size", "data")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _verify(it, rule), "a long, b long")
 
 
@@ -386,20 +396,16 @@ def ngram_components(docs: DataFrame, rule: Similarity, id_col: str = "doc_id",
     centre = stars.groupBy("shingle").agg(F.min("key").alias("a"))
     stars = c.checkpointed(stars.select("shingle", F.col("key").alias("b")).join(F.broadcast(centre), "shingle").where("a <> b").select("a", "b").distinct())
 
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(stars.select("a")).union(stars.select("b"))
-    wanted = spark.sparkContext.broadcast(filter_of(wanted))
-    sets = texts.mapInArrow(lambda it: _sets(it, rule.n, wanted.value), "key long, size int, bits binary, grams binary").dropDuplicates(["key"])
-    sets = c.checkpointed(sets)
-
-    marks = sets.select("key", "size", "bits")
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(stars.select("a")).union(stars.select("b"))
+    marks = c.checkpointed(wanted_classes(texts, rule.n, keys, False))
     bounded = (
         pairs.join(marks.toDF("a", "na", "xa"), "a")
         .join(marks.toDF("b", "nb", "xb"), "b")
         .select("a", "b", "na", "nb", "xa", "xb")
         .mapInArrow(lambda it: _bounded(it, rule), "a long, b long")
     )
-    coarse = c.components(bounded.union(stars)).withColumnRenamed("node", "key")
-    final = c.components(exact_links(sets, coarse, rule)).withColumnRenamed("node", "key")
+    coarse = c.components(bounded.union(stars)).withColumnRenamed("node", "key").join(marks.select("key", "size"), "key")
+    final = c.components(exact_links(texts, coarse, rule)).withColumnRenamed("node", "key")
     return _labelled(rows, rule, final)
 
 
