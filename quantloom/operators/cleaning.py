@@ -54,11 +54,12 @@ def forward_fill(panel: DataFrame, calendar: DataFrame, most: int) -> DataFrame:
     days up to its successor, so the dense calendar x id grid is never built. Adds ``filled``.
     """
     seen = panel.join(calendar, ["market", "date"])
-    nxt = F.lead("t").over(Window.partitionBy("market", "id").orderBy("t"))
-    to = F.least(F.col("nxt") - 1, F.col("t") + F.lit(most))
-    spread = seen.withColumn("nxt", nxt).withColumn("at", F.explode(F.sequence("t", F.greatest(F.col("t"), F.coalesce(to, F.col("t"))))))
+    ahead = F.lead("t").over(Window.partitionBy("market", "id").orderBy("t"))
+    spread = seen.withColumn("gap", F.coalesce(ahead - F.col("t") - 1, F.lit(0)))
+    spread = spread.withColumn("k", F.explode(F.sequence(F.lit(0), F.least("gap", F.lit(most)))))
     days = calendar.select("market", F.col("date").alias("day"), F.col("t").alias("at"))
-    return spread.join(days, ["market", "at"]).select("market", "id", F.col("day").alias("date"), "ret", (F.col("at") > F.col("t")).alias("filled"))
+    spread = spread.select("market", "id", "ret", (F.col("t") + F.col("k")).alias("at"), (F.col("k") > 0).alias("filled"))
+    return spread.join(days, ["market", "at"]).select("market", "id", F.col("day").alias("date"), "ret", "filled")
 
 
 def winsorize(panel: DataFrame, low: float, high: float) -> DataFrame:

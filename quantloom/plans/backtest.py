@@ -64,7 +64,8 @@ def run_backtest(panel: DataFrame, series: DataFrame, cfg: Config, strategies: l
     if contexts is not None:
         current = contexts.select("market", "rebal", F.col("pi").alias("p")).dropDuplicates(["market", "rebal"])
         obs = regime.observation_weights(window, contexts, current, p.regime_weight_floor)
-    weights = solve_windows(window, strategies, p, obs)
+    # Solved once: returns and turnover both read the weights. Lost blocks are solved again from their windows.
+    weights = solve_windows(window, strategies, p, obs).persist()
     moved = rebalance.turnover(weights, KEYS)
     gross = rebalance.holding_returns(weights, panel, held, KEYS)
     net = rebalance.charge(gross, moved, KEYS, cfg.backtest.transaction_cost_bps)

@@ -169,7 +169,7 @@ def _(spark, d):
     return dependence.rolling_correlation(ev(spark, d), ROLL).withColumn("corr", F.round("corr", 6))
 
 
-@query("w2_avg_rolling", f"{_ROLLING} SELECT date, round(avg(corr), 6) AS avg_corr FROM ro WHERE corr IS NOT NULL GROUP BY date")
+@query("w2_avg_rolling", f"{_ROLLING} SELECT date, round(round(avg(corr), 8), 6) AS avg_corr FROM ro WHERE corr IS NOT NULL GROUP BY date")
 def _(spark, d):
     return dependence.average_rolling(ev(spark, d), ROLL).withColumn("avg_corr", F.round("avg_corr", 6))
 
@@ -205,9 +205,9 @@ def _(spark, d):
     return cleaning.membership(od(spark, d))
 
 
-@query("f4_sparse_days", f"WITH {ORDERS_SQL} SELECT market, id, date, round(ret, 8) AS ret FROM (SELECT *, count(*) OVER (PARTITION BY market, date) AS n FROM od) WHERE n >= 2")
+@query("f4_sparse_days", f"WITH {ORDERS_SQL} SELECT market, id, date, round(ret, 12) AS ret FROM (SELECT *, count(*) OVER (PARTITION BY market, date) AS n FROM od) WHERE n >= 2")
 def _(spark, d):
-    return cleaning.blank_sparse_days(od(spark, d), 2).select("market", "id", "date", F.round("ret", 8).alias("ret"))
+    return cleaning.blank_sparse_days(od(spark, d), 2).select("market", "id", "date", F.round("ret", 12).alias("ret"))
 
 
 _FILL = f"""WITH {ORDERS_SQL}, {_ORD}, ids AS (SELECT market, id, min(date) AS a, max(date) AS b FROM od GROUP BY 1, 2),
@@ -216,33 +216,33 @@ _FILL = f"""WITH {ORDERS_SQL}, {_ORD}, ids AS (SELECT market, id, min(date) AS a
     ff AS (SELECT market, id, date, lv AS ret, ret IS NULL AS filled FROM f WHERE t - lt <= 2)"""
 
 
-@query("f5_capped_ffill", f"{_FILL} SELECT market, id, date, round(ret, 8) AS ret, filled FROM ff")
+@query("f5_capped_ffill", f"{_FILL} SELECT market, id, date, round(ret, 12) AS ret, filled FROM ff")
 def _(spark, d):
     p = od(spark, d)
-    return cleaning.forward_fill(p, cleaning.ordinals(p), 2).withColumn("ret", F.round("ret", 8))
+    return cleaning.forward_fill(p, cleaning.ordinals(p), 2).withColumn("ret", F.round("ret", 12))
 
 
 _WINS = """q AS (SELECT market, id, quantile_cont(ret, 0.05) AS lo, quantile_cont(ret, 0.95) AS hi FROM od GROUP BY 1, 2),
     wz AS (SELECT market, id, date, greatest(lo, least(hi, ret)) AS ret, greatest(lo, least(hi, ret)) <> ret AS clipped FROM od JOIN q USING (market, id))"""
 
 
-@query("f6_winsorize", f"WITH {ORDERS_SQL}, {_WINS} SELECT market, id, date, round(ret, 8) AS ret, clipped FROM wz")
+@query("f6_winsorize", f"WITH {ORDERS_SQL}, {_WINS} SELECT market, id, date, round(ret, 12) AS ret, clipped FROM wz")
 def _(spark, d):
-    return cleaning.winsorize(od(spark, d), 0.05, 0.95).withColumn("ret", F.round("ret", 8))
+    return cleaning.winsorize(od(spark, d), 0.05, 0.95).withColumn("ret", F.round("ret", 12))
 
 
 @query("f7_clean_index", f"""WITH {ORDERS_SQL}, ix AS (SELECT market, date, avg(ret) AS ret FROM od WHERE market <> 'ASIA' GROUP BY 1, 2), dd AS (SELECT DISTINCT date FROM od),
     nt AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM dd), sp AS (SELECT market, min(date) AS a, max(date) AS b FROM ix GROUP BY 1),
     g AS (SELECT sp.market, nt.date, nt.t, ix.ret FROM sp JOIN nt ON nt.date BETWEEN a AND b LEFT JOIN ix ON ix.market = sp.market AND ix.date = nt.date),
     f AS (SELECT *, last_value(ret IGNORE NULLS) OVER w AS lv, max(CASE WHEN ret IS NOT NULL THEN t END) OVER w AS lt FROM g WINDOW w AS (PARTITION BY market ORDER BY t))
-    SELECT market, date, round(lv, 8) AS ret, ret IS NULL AS filled FROM f WHERE t - lt <= 1""")
+    SELECT market, date, round(lv, 12) AS ret, ret IS NULL AS filled FROM f WHERE t - lt <= 1""")
 def _(spark, d):
     p = od(spark, d)
     days = cleaning.shared_calendar(p, "union").withColumn("market", F.lit("all"))
     numbered = cleaning.ordinals(days).drop("market")
     index = panels.index_of(p.where("market <> 'ASIA'"))
     calendar = numbered.crossJoin(F.broadcast(index.select("market").distinct()))  # one row a market
-    return cleaning.clean_index(index, calendar, 1).withColumn("ret", F.round("ret", 8))
+    return cleaning.clean_index(index, calendar, 1).withColumn("ret", F.round("ret", 12))
 
 
 @query("f9_history", f"WITH {ORDERS_SQL} SELECT market, id, count(*) AS n_obs FROM od GROUP BY 1, 2 HAVING count(*) >= 60")
@@ -300,13 +300,13 @@ def _(spark, d):
 
 
 @query("w5_avg_pairwise_corr", f"""WITH {ORDERS_SQL}, {_ORD}, o AS (SELECT od.*, t FROM od JOIN dt USING (market, date)),
-    n AS (SELECT market, date, count(*) OVER w AS k, var_samp(ret) OVER w AS v FROM o WINDOW w AS (PARTITION BY market, id ORDER BY t RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)),
-    a AS (SELECT market, date, count(*) AS n, avg(v) AS v FROM n WHERE k = 5 GROUP BY 1, 2), e AS (SELECT market, t, date, avg(ret) AS ew FROM o GROUP BY 1, 2, 3),
-    x AS (SELECT market, date, var_samp(ew) OVER (PARTITION BY market ORDER BY t RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) AS ve FROM e)
+    n AS (SELECT market, date, count(*) OVER w AS k, var_samp(ret) OVER w AS v FROM o WINDOW w AS (PARTITION BY market, id ORDER BY t RANGE BETWEEN 1 PRECEDING AND CURRENT ROW)),
+    a AS (SELECT market, date, count(*) AS n, avg(v) AS v FROM n WHERE k = 2 GROUP BY 1, 2), e AS (SELECT market, t, date, avg(ret) AS ew FROM o GROUP BY 1, 2, 3),
+    x AS (SELECT market, date, var_samp(ew) OVER (PARTITION BY market ORDER BY t RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS ve FROM e)
     SELECT market, date, n, round(greatest(-1, least(1, (n * ve - v) / ((n - 1) * v))), 6) AS avg_pairwise_corr FROM a JOIN x USING (market, date) WHERE n > 1""")
 def _(spark, d):
     p = od(spark, d)
-    return features.average_pairwise_correlation(p, cleaning.ordinals(p), 5).withColumn("avg_pairwise_corr", F.round("avg_pairwise_corr", 6))
+    return features.average_pairwise_correlation(p, cleaning.ordinals(p), 2).withColumn("avg_pairwise_corr", F.round("avg_pairwise_corr", 6))
 
 
 _MOM = f"""WITH {ORDERS_SQL}, m AS (SELECT market, id, count(*) AS n_obs, round(avg(ret) * 252, 8) AS mean_ann, round(stddev_samp(ret) * sqrt(252), 8) AS vol_ann, round(skewness(ret), 6) AS skew, round(kurtosis(ret), 6) AS kurt FROM od GROUP BY 1, 2)"""
@@ -367,7 +367,7 @@ def _relational(spark, d):
     """The fully relational backtest: equal and inverse-volatility weights."""
     panel, calendar, intervals, window = _lines(spark, d)
     named = lambda w, s: w.select("market", F.lit(s).alias("strategy"), "rebal", "id", "w")
-    weights = named(rebalance.equal_weights(window), "equal_weight").unionByName(named(rebalance.inverse_volatility(window), "inv_vol"))
+    weights = named(rebalance.equal_weights(window), "equal_weight").unionByName(named(rebalance.inverse_volatility(window), "inv_vol")).persist()
     moved = rebalance.turnover(weights, backtest.KEYS)
     gross = rebalance.holding_returns(weights, panel, rebalance.days_of_intervals(calendar, intervals), backtest.KEYS)
     return weights, moved, gross, rebalance.charge(gross, moved, backtest.KEYS, 10.0)
