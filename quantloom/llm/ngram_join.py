@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-#: 64-bit words of a bitmap signature.
+#: Least 64-bit words of a bitmap signature; it grows with the set so that it never fills up.
 LANES = 32
 #: Bits of an n-gram's identity while documents are counted; more n-grams sharing one only changes an order.
 COUNT_BITS = 40
@@ -91,12 +91,24 @@ def class_key(grams: np.ndarray) -> int:
     return int(c.mix(np.array([total + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
 
 
-def bitmap(grams: np.ndarray) -> bytes:
-    bits = np.zeros(LANES * 64, bool)
-    bits[(grams >> np.uint64(20)) % np.uint64(LANES * 64)] = True
+def lanes_of(size: int) -> int:
+    """64-bit words of a set's signature: a power of two with at least two bits an element."""
+    return max(LANES, 1 << (2 * size - 1).bit_length() - 6 if size > 32 else 0)
+
+
+def bitmap(grams: np.ndarray, lanes: int) -> bytes:
+    bits = np.zeros(lanes * 64, bool)
+    bits[(grams >> np.uint64(20)) & np.uint64(lanes * 64 - 1)] = True
     return np.packbits(bits).tobytes()
 
 
+def fold(bits: np.ndarray, lanes: int) -> np.ndarray:
+    """Signatures (rows) at a smaller power-of-two width: the bit of an element is its hash modulo the width."""
+    while bits.shape[1] > lanes:
+        bits = bits[:, : bits.shape[1] // 2] | bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
 def classes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(key, set) of each class once a task; empty sets are left out."""
     seen: set[int] = set()
@@ -245,7 +257,7 @@ def _wanted(batches, n: int, wanted: np.ndarray, whole: bool) -> Iterator[pa.Rec
     """(key, size, data) of classes that may be wanted; data is the set itself or its bitmap. ``wanted`` is a filter."""
 
     def flush():
-        data = [x.tobytes() if whole else bitmap(x) for _, x in held]
+        data = [x.tobytes() if whole else bitmap(x, lanes_of(len(x))) for _, x in held]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([len(x) for _, x in held], pa.int32()), pa.array(data, pa.binary())], ["key", "size", "data"])
 
     held, size = [], 0
@@ -298,12 +310,16 @@ def filter_of(keys: DataFrame) -> np.ndarray:
 
 def _bounded(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps leave room for enough overlap: |x & y| <= (|x| + |y| - differing bits) / 2."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(c.column_of(batch, k).to_pylist()), np.uint64).reshape(-1, LANES) for k in ("xa", "xb"))
+    for batch in (part.slice(k, 8192) for part in batches for k in range(0, part.num_rows, 8192)):
+        xa, xb = (c.column_of(batch, k).to_pylist() for k in ("xa", "xb"))
         total = c.column_of(batch, "na").to_numpy().astype(np.int64) + c.column_of(batch, "nb").to_numpy()
-        most = (total - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2
+        widths = np.array([(len(x), len(y)) for x, y in zip(xa, xb, strict=True)])
+        most = np.empty(len(total), np.int64)
+        for wa, wb in np.unique(widths, axis=0).tolist():
+            at = np.flatnonzero((widths[:, 0] == wa) & (widths[:, 1] == wb))
+            x, y = (np.frombuffer(b"".join([v[k] for k in at]), np.uint64).reshape(len(at), -1) for v in (xa, xb))
+            lanes = min(wa, wb) // 8
+            most[at] = (total[at] - np.bitwise_count(fold(x, lanes) ^ fold(y, lanes)).sum(1, dtype=np.int64)) // 2
         ok = pa.array(rule.enough(most, total))
         yield pa.RecordBatch.from_arrays([c.column_of(batch, "a").filter(ok), c.column_of(batch, "b").filter(ok)], ["a", "b"])
 
@@ -346,7 +362,11 @@ def _verify(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
             order = np.argsort(sizes, kind="stable")
             data = part.column("data").to_pylist()
             sets = [np.frombuffer(data[k], np.uint64) for k in order]
-            bits = np.frombuffer(b"".join(map(bitmap, sets)), np.uint64).reshape(-1, LANES)
+            # One width for the tile, that of its largest set unless the signatures would exceed 64 MB.
+            lanes = lanes_of(len(sets[-1]))
+            while lanes > LANES and lanes * 8 * len(sets) > 64 << 20:
+                lanes //= 2
+            bits = np.frombuffer(b"".join([bitmap(x, lanes) for x in sets]), np.uint64).reshape(-1, lanes)
             links += spanning_links(part.column("key").to_numpy()[order], sizes[order], bits, sets, part.column("block").to_numpy()[order], rule)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
