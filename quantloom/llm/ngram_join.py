@@ -2,7 +2,8 @@
 
 Exact set-similarity join in size-banded tiles:
 
-1. every text becomes the sorted array of its distinct n-gram hashes; equal sets are one *class* from here on;
+1. every text becomes the sorted array of its distinct n-gram hashes; equal sets are one *class* from here on. One
+   reading gives each row's class, the signature of each class, and the number of documents of each n-gram;
 2. n-grams in more than ``hot`` documents (counted over the whole corpus) are ordered last, all others by hash. A pair
    at the threshold must share one of the first ``n - ceil(t n) + 1`` n-grams of that order, so a class enters the
    tiles of those n-grams only. A tile of an ordinary n-gram has at most ``hot`` classes: pairs inside the size band
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 #: Least 64-bit words of a bitmap signature; it grows with the set so that it never fills up.
-LANES = 32
+LANES = 8
 #: Bits of an n-gram's identity while documents are counted; more n-grams sharing one only changes an order.
 COUNT_BITS = 40
 #: N-grams held in a task before it hands over counts.
@@ -47,6 +48,11 @@ HOT_CAPACITY = 1_000_000
 BLOCK = 1_000_000
 
 
+ROW_NAMES = ["doc_id", "n_shingles", "class_key", "bits"]
+#: Kinds of what a tile gives: candidate pairs, links of a star, and (n-gram, centre) of a star.
+PAIR, STAR, CENTRE = 0, 1, 2
+
+
 @dataclass(frozen=True)
 class Similarity:
     """Links need ``100 * intersection >= percent * union`` over distinct ``n``-word shingles."""
@@ -119,28 +125,42 @@ def classes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np
                 yield key, grams
 
 
-# ------------------------------------------------------------------------------------- counting documents
+# --------------------------------------------------------------------- counting documents, rows and signatures
 def _runs(batches, n: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of a task as sorted runs, one for each range of identities: (range, gaps, counts)."""
+    """What one reading of the texts gives: (part, gaps, more).
+
+    Parts from 0 hold the distinct n-grams of a task as sorted runs, one for each range of identities, with counts.
+    Parts below 0 hold, in ``gaps``, Arrow streams of (doc_id, n_shingles, class_key, bits): every row of the input,
+    with the signature where the task meets a class first.
+    """
     shift, span = np.uint64(64 - COUNT_BITS), (1 << COUNT_BITS) // ranges
 
+    def sent(rows):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "gaps", "more"])
+
     def run(held):
         ids, times = np.unique(np.concatenate(held) >> shift, return_counts=True)
         cuts = np.searchsorted(ids, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(span))
         rows = [(r, ids[a:b] - np.uint64(r * span), times[a:b]) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r for r, _, _ in rows], pa.int32()),
-                pa.array([_pack(np.diff(x, prepend=np.uint64(0))) for _, x, _ in rows], pa.binary()),
-                pa.array([_pack(t - 1) for _, _, t in rows], pa.binary()),
-            ],
-            ["part", "gaps", "more"],
-        )
+        return sent([(r, _pack(np.diff(x, prepend=np.uint64(0))), _pack(t - 1)) for r, x, t in rows])
 
+    seen: set[int] = set()
     held, size = [], 0
-    for _, grams in classes(batches, n):
-        held.append(grams)
-        size += len(grams)
+    for batch in c.pieces(batches, "text"):
+        found = shingles(c.column_of(batch, "text"), n)
+        keys = [class_key(x) if len(x) else None for x in found]
+        bits = [None] * len(found)
+        for k, (key, grams) in enumerate(zip(keys, found, strict=True)):
+            if key is not None and key not in seen:
+                seen.add(key)
+                bits[k] = bitmap(grams, lanes_of(len(grams)))
+                held.append(grams)
+                size += len(grams)
+        rows = pa.RecordBatch.from_arrays([c.column_of(batch, "doc_id").cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], ROW_NAMES)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_batch(rows)
+        yield sent([(-1 - next((x for x in keys if x is not None), 0) % ranges, sink.getvalue().to_pybytes(), b"")])
         if size >= FLUSH:
             yield run(held)
             held, size = [], 0
@@ -163,34 +183,42 @@ def _unpack(blob: bytes, count: int | None = None) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _hot_of_range(table: pa.Table, hot: int) -> pa.Table:
+def _merged(table: pa.Table, hot: int) -> pa.Table:
+    """Rows as they were sent (parts below 0), or the n-grams of a range in more than ``hot`` documents."""
     found = []
     part = table.column("part")[0].as_py()
+    if part < 0:
+        rows = pa.concat_tables(pa.ipc.open_stream(x.as_py()).read_all() for x in table.column("gaps"))
+        return rows.add_column(0, "part", pa.array(np.full(len(rows), part), pa.int32()))
     for gaps, more in zip(table.column("gaps"), table.column("more"), strict=True):
         ids = np.cumsum(_unpack(gaps.as_py(), 1))
         found.append((ids, _unpack(more.as_py(), len(ids)) + np.uint64(1)))
     ids, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
     df = np.bincount(at, np.concatenate([x for _, x in found])).astype(np.int64)
     keep = df > hot
-    return pa.table({"part": pa.array(np.full(keep.sum(), part), pa.int32()), "id": ids[keep].astype(np.int64), "df": df[keep]})
+    none = pa.nulls(int(keep.sum()))
+    return pa.table([pa.array(np.full(keep.sum(), part), pa.int32()), ids[keep].astype(np.int64), df[keep], none.cast(pa.int64()), none.cast(pa.binary())], ["part", *ROW_NAMES])
 
 
-def hot_shingles(texts: DataFrame, rule: Similarity) -> np.ndarray:
-    """Sorted identities (the top ``COUNT_BITS`` bits) of n-grams in more than ``rule.hot`` documents.
+def counted_rows(rows: DataFrame, rule: Similarity) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n_shingles, class_key, bits) of every row, and the sorted identities of hot n-grams.
 
-    Every n-gram of every text is counted, exact copies once a task. If more than ``HOT_CAPACITY`` qualify, the bar
-    doubles until they fit; any bar gives the same links, a higher one larger tiles.
+    Hot are n-grams in more than ``rule.hot`` documents, named by their top ``COUNT_BITS`` bits. Every n-gram of every
+    text is counted, exact copies once a task. If more than ``HOT_CAPACITY`` qualify, the bar doubles until they fit;
+    any bar gives the same links, a higher one larger tiles. ``bits`` is there at least once for each class.
     """
-    spark = texts.sparkSession
+    spark = rows.sparkSession
     ranges = 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     n, hot = rule.n, rule.hot
-    runs = texts.mapInArrow(lambda it: _runs(it, n, ranges), "part int, gaps binary, more binary")
-    counted = c.checkpointed(runs.groupBy("part").applyInArrow(lambda t: _hot_of_range(t, hot), "part int, id long, df long"))
-    tally = {r["level"]: r["n"] for r in counted.groupBy(F.floor(F.log2(F.col("df") / hot)).alias("level")).agg(F.count("*").alias("n")).collect()}
+    runs = rows.mapInArrow(lambda it: _runs(it, n, ranges), "part int, gaps binary, more binary")
+    merged = c.checkpointed(runs.groupBy("part").applyInArrow(lambda t: _merged(t, hot), "part int, doc_id long, n_shingles long, class_key long, bits binary"))
+    counts = merged.where("part >= 0").select("part", F.col("doc_id").alias("id"), F.floor(F.log2(F.col("n_shingles") / hot)).alias("level"))
+    tally = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()}
     level = next(k for k in range(64) if sum(n for at, n in tally.items() if at >= k) <= HOT_CAPACITY)
-    rows = counted.where(F.floor(F.log2(F.col("df") / hot)) >= level).select("part", "id").toArrow()
+    found = counts.where(F.col("level") >= level).select("part", "id").toArrow()
     span = (1 << COUNT_BITS) // ranges
-    return np.sort(rows.column("part").to_numpy().astype(np.uint64) * np.uint64(span) + rows.column("id").to_numpy().astype(np.uint64))
+    names = np.sort(found.column("part").to_numpy().astype(np.uint64) * np.uint64(span) + found.column("id").to_numpy().astype(np.uint64))
+    return merged.where("part < 0").select(*ROW_NAMES), names
 
 
 # ------------------------------------------------------------------------------------------- candidates
@@ -234,10 +262,20 @@ def _prefixes(batches, rule: Similarity, hot: np.ndarray) -> Iterator[pa.RecordB
         yield flush()
 
 
-def _tile_pairs(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes in one tile and inside the size band, from rows sorted by shingle and size."""
+def _tiles(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
+    """(kind, a, b) from rows sorted by shingle and size.
+
+    Classes of an ordinary n-gram pair up inside the size band. Those of a hot one, of which a task has a share, form
+    a star around the smallest; its centre is named so that the shares can be joined.
+    """
+
+    def given(kind, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
     for tile in c.sorted_runs(batches, "shingle"):
-        shingle, key, size = (tile.column(x).to_numpy() for x in ("shingle", "key", "size"))
+        columns = [tile.column(x).to_numpy() for x in ("shingle", "key", "size")]
+        is_hot = tile.column("is_hot").to_numpy()
+        shingle, key, size = (x[~is_hot] for x in columns)
         size = size.astype(np.int64)
         lag = 1
         while lag < len(key):
@@ -248,16 +286,22 @@ def _tile_pairs(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
             ok = (key[a] != key[b]) & (100 * size[a] >= rule.percent * size[b])
             a, b = a[ok], b[ok]
             if len(a):
-                x, y = key[a], key[b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                yield given(PAIR, np.minimum(key[a], key[b]), np.maximum(key[a], key[b]))
             lag += 1
+        shingle, key, _ = (x[is_hot] for x in columns)
+        if len(key):
+            starts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+            centre = np.minimum.reduceat(key, starts)
+            around = np.repeat(centre, np.diff(starts, append=len(key)))
+            yield given(STAR, around[around != key], key[around != key])
+            yield given(CENTRE, shingle[starts], centre)
 
 
-def _wanted(batches, n: int, wanted: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
-    """(key, size, data) of classes that may be wanted; data is the set itself or its bitmap. ``wanted`` is a filter."""
+def _wanted(batches, n: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, size, data) of classes that may be wanted; data is the set itself. ``wanted`` is a filter."""
 
     def flush():
-        data = [x.tobytes() if whole else bitmap(x, lanes_of(len(x))) for _, x in held]
+        data = [x.tobytes() for _, x in held]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([len(x) for _, x in held], pa.int32()), pa.array(data, pa.binary())], ["key", "size", "data"])
 
     held, size = [], 0
@@ -272,10 +316,10 @@ def _wanted(batches, n: int, wanted: np.ndarray, whole: bool) -> Iterator[pa.Rec
         yield flush()
 
 
-def wanted_classes(texts: DataFrame, n: int, keys: DataFrame, whole: bool) -> DataFrame:
+def wanted_classes(texts: DataFrame, n: int, keys: DataFrame) -> DataFrame:
     """(key, size, data) once for each class in ``keys`` (and a few more that its filter lets through), hashed by key."""
     wanted = texts.sparkSession.sparkContext.broadcast(filter_of(keys))
-    found = texts.mapInArrow(lambda it: _wanted(it, n, wanted.value, whole), "key long, size int, data binary")
+    found = texts.mapInArrow(lambda it: _wanted(it, n, wanted.value), "key long, size int, data binary")
     return found.repartition("key").dropDuplicates(["key"])
 
 
@@ -398,7 +442,7 @@ def exact_links(texts: DataFrame, coarse: DataFrame, rule: Similarity) -> DataFr
     tiles = blocks.join(other, "component").where((F.col("block") <= F.col("block2")) & near).select("block", "block2", F.xxhash64("component", "block", "block2").alias("tile"))
     members = tiles.select("tile", "block").union(tiles.where("block <> block2").select("tile", "block2"))
     members = members.join(placed.select("key", "block"), "block")
-    rows = wanted_classes(texts, rule.n, placed, True).join(members, "key").select("tile", "block", "key", "size", "data")
+    rows = wanted_classes(texts, rule.n, placed).join(members, "key").select("tile", "block", "key", "size", "data")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _verify(it, rule), "a long, b long")
 
 
@@ -406,18 +450,23 @@ def ngram_components(docs: DataFrame, rule: Similarity, id_col: str = "doc_id",
     """(doc_id, n_shingles, component_id, class_key) for every row of ``docs``; see the module's text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts, spark = rows.select("text"), docs.sparkSession
-    hot = spark.sparkContext.broadcast(hot_shingles(texts, rule))
+    named, names = counted_rows(rows, rule)
+    hot = spark.sparkContext.broadcast(names)
     entries = texts.mapInArrow(lambda it: _prefixes(it, rule, hot.value), "shingle long, is_hot boolean, key long, size int")
 
-    pairs = entries.where("not is_hot").repartition("shingle").sortWithinPartitions("shingle", "size").mapInArrow(lambda it: _tile_pairs(it, rule), "a long, b long")
-    pairs = c.checkpointed(pairs.distinct())
-    stars = entries.where("is_hot")
+    # Hot n-grams are salted by class, since one of them may hold a large part of all classes.
+    salt = F.when(F.col("is_hot"), F.pmod("key", F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))).otherwise(F.lit(0))
+    dealt = entries.withColumn("salt", salt).repartition("shingle", "salt").sortWithinPartitions("shingle", "size")
+    tiles = c.checkpointed(dealt.mapInArrow(lambda it: _tiles(it, rule), "kind int, a long, b long").distinct())
+    pairs = tiles.where(F.col("kind") == PAIR).select("a", "b")
+    shares = tiles.where(F.col("kind") == CENTRE).select(F.col("a").alias("shingle"), "b")
     # One row a hot n-gram, at most HOT_CAPACITY of them, of 16 bytes each.
-    centre = stars.groupBy("shingle").agg(F.min("key").alias("a"))
-    stars = c.checkpointed(stars.select("shingle", F.col("key").alias("b")).join(F.broadcast(centre), "shingle").where("a <> b").select("a", "b").distinct())
+    centres = F.broadcast(shares.groupBy("shingle").agg(F.min("b").alias("a")))
+    stars = tiles.where(F.col("kind") == STAR).select("a", "b").union(shares.join(centres, "shingle").where("a <> b").select("a", "b").distinct())
 
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(stars.select("a")).union(stars.select("b"))
-    marks = c.checkpointed(wanted_classes(texts, rule.n, keys, False))
+    keys = tiles.where(F.col("kind") != CENTRE).select(F.explode(F.array("a", "b")).alias("key")).union(shares.select("b")).distinct()
+    marks = named.where("bits is not null").select(F.col("class_key").alias("key"), F.col("n_shingles").cast("int").alias("size"), F.col("bits").alias("data"))
+    marks = c.checkpointed(marks.join(keys, "key", "left_semi").dropDuplicates(["key"]))
     bounded = (
         pairs.join(marks.toDF("a", "na", "xa"), "a")
         .join(marks.toDF("b", "nb", "xb"), "b")
@@ -426,20 +475,10 @@ def ngram_components(docs: DataFrame, rule: Similarity, id_col: str = "doc_id",
     )
     coarse = c.components(bounded.union(stars)).withColumnRenamed("node", "key").join(marks.select("key", "size"), "key")
     final = c.components(exact_links(texts, coarse, rule)).withColumnRenamed("node", "key")
-    return _labelled(rows, rule, final)
-
-
-def _rows(batches, n: int) -> Iterator[pa.RecordBatch]:
-    for batch in c.pieces(batches, "text"):
-        found = shingles(c.column_of(batch, "text"), n)
-        yield pa.RecordBatch.from_arrays(
-            [c.column_of(batch, "doc_id").cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([class_key(x) if len(x) else None for x in found], pa.int64())],
-            ["doc_id", "n_shingles", "class_key"],
-        )
+    return _labelled(named.drop("bits"), final)
 
 
-def _labelled(rows: DataFrame, rule: Similarity, final: DataFrame) -> DataFrame:
-    named = c.checkpointed(rows.mapInArrow(lambda it: _rows(it, rule.n), "doc_id long, n_shingles long, class_key long"))
+def _labelled(named: DataFrame, final: DataFrame) -> DataFrame:
     least = named.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("least"))
     least = least.join(final.toDF("class_key", "component"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
     ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
