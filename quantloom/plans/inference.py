@@ -62,7 +62,7 @@ def dcc(series: DataFrame) -> DataFrame:
                 out.append(pd.DataFrame({"a": a, "b": names[j], "date": wide.index, "corr": found["path"][:, i, j], "dcc_a": found["a"], "dcc_b": found["b"]}))
         return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "date", "corr", "dcc_a", "dcc_b"])
 
-    return complete_rows(series).groupBy(F.lit(1)).applyInPandas(run, f"a string, b string, date {kind}, corr double, dcc_a double, dcc_b double")
+    return complete_rows(series).groupBy().applyInPandas(run, f"a string, b string, date {kind}, corr double, dcc_a double, dcc_b double")
 
 
 def garch(series: DataFrame) -> DataFrame:

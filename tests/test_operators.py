@@ -60,3 +60,11 @@ def test_formats(spark, tmp_path):
     assert (sinks.percent(0.1234), sinks.integer(3564), sinks.number(float("nan"))) == ("12.3", "3,564", "--")
     files = sinks.write_table(spark.range(2), str(tmp_path), "t", "A caption")
     assert all(f.exists() for f in files)
+
+
+def test_correlation_recursion_runs_as_a_plan(spark):
+    from quantloom.plans import inference
+
+    rows = [(m, dt.date(2020, 1, 1) + dt.timedelta(t), ((t * (7 + k)) % 11 - 5) / 500) for k, m in enumerate("ab") for t in range(80)]
+    got = inference.dcc(spark.createDataFrame(rows, "market string, date date, ret double")).collect()
+    assert len(got) == 80 and all(abs(r["corr"]) <= 1 and (r["a"], r["b"]) == ("a", "b") for r in got)
