@@ -88,6 +88,15 @@ def weighted_covariance(window: DataFrame, weights: DataFrame) -> DataFrame:
     return both.groupBy("market", "rebal", "a", "b").agg((F.sum(F.col("obs_w") * F.col("xa") * F.col("xb")) / F.greatest(F.sum("obs_w") - 1, F.lit(1.0))).alias("cov"))
 
 
+def states_of_window(window_days: DataFrame, path: DataFrame) -> DataFrame:
+    """(market, rebal, date, state) of each window day; a day without a state takes the last one before, else the next."""
+    days = window_days.select("market", "rebal", "date").distinct().join(path.select("market", "date", "state"), ["market", "date"], "left")
+    by = Window.partitionBy("market", "rebal").orderBy("date")
+    before = F.last("state", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("state", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    return days.select("market", "rebal", "date", F.coalesce(before, after).alias("state"))
+
+
 def regime_means(window: DataFrame, path: DataFrame, least: int) -> DataFrame:
     """(market, rebal, id, state, mu): mean by state, or the overall mean where a state has too few days."""
     over = window.groupBy("market", "rebal", "id").agg(F.avg("ret").alias("mean"))

@@ -35,7 +35,8 @@ def significance(tests: DataFrame, bar: float = 0.95) -> DataFrame:
 
 
 def lowest_p(tests: DataFrame, n: int = 15) -> DataFrame:
-    return tests.orderBy("p_value", "market", "strategy").limit(n)
+    """The ``n`` smallest p-values; tests without one come last."""
+    return tests.orderBy(F.asc_nulls_last("p_value"), "market", "strategy").limit(n)
 
 
 def wealth_figure(returns: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from .kernels import optim
 from .operators import cleaning, dependence, features, metrics, rebalance, regime
 from .plans import backtest, checks, inference, panels, regimes, reports, sensitivity
 from .plans.panels import EVENTS_SQL, LINES_SQL, ORDERS_SQL
+from .sources import index_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -608,6 +609,136 @@ def _(spark, d):
     return rows.select("market", F.col("start").cast("timestamp_ntz").alias("start"), "n", *(F.round(x, 8).alias(x) for x in ("mean", "dispersion", "frac_negative")))
 
 
+# ------------------------------------------------------------------------------------------- raw texts
+def _raw_texts(spark, d):
+    """The order panel in the format of raw index files, one object a market and day."""
+    stamp = F.concat(F.col("date").cast("string"), F.lit("T00:00:00+00:00"))
+    days = od(spark, d).groupBy("market", "date").agg(F.avg("ret").alias("return"), F.map_from_entries(F.collect_list(F.struct("id", "ret"))).alias("ts"))
+    return days.select("market", F.to_json(F.create_map(stamp, F.struct("return", "ts"))).alias("value"))
+
+
+@query("s5_raw_panel", f"WITH {ORDERS_SQL} SELECT market, id, date, round(ret, 12) AS ret FROM od")
+def _(spark, d):
+    return index_json.panel_of_days(index_json.days_of(_raw_texts(spark, d))).withColumn("ret", F.round("ret", 12))
+
+
+@query("s7_raw_index", f"WITH {ORDERS_SQL} SELECT market, date, round(avg(ret), 12) AS ret FROM od GROUP BY 1, 2")
+def _(spark, d):
+    return index_json.index_of_days(index_json.days_of(_raw_texts(spark, d), index_json.INDEX_ONLY)).withColumn("ret", F.round("ret", 12))
+
+
+# ------------------------------------------------------------------------------------------- alignments and reports
+@query("u7_regime_features", f"""WITH {EVENTS_SQL}, v AS (SELECT *, stddev_samp(ret) OVER w AS s, count(*) OVER w AS n FROM ev WINDOW w AS (PARTITION BY market ORDER BY date ROWS 5 PRECEDING))
+    SELECT market, date, round(ret, 8) AS ret, round(ret, 8) AS r, round(s, 8) AS realised_vol FROM v WHERE n = 6""")
+def _(spark, d):
+    rows, _ = _index_rows(spark, d)
+    return rows.select("market", "date", *(F.round(x, 8).alias(x) for x in ("ret", "r", "realised_vol")))
+
+
+@query("j8_states_of_window", f"""{_BT}, wd AS (SELECT DISTINCT rebal, date FROM un JOIN wr USING (rebal, id)), s AS (SELECT rebal, date, CASE WHEN month(date) <> 6 THEN (month(date) > 9)::INT END AS state FROM wd)
+    SELECT rebal, date, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY rebal ORDER BY date),
+           first_value(state IGNORE NULLS) OVER (PARTITION BY rebal ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS state FROM s""")
+def _(spark, d):
+    panel, _, _, window = _lines(spark, d)
+    path = panel.select("market", "date").distinct().where("month(date) <> 6").withColumn("state", (F.month("date") > 9).cast("int"))
+    return regime.states_of_window(window, path).select("rebal", "date", "state")
+
+
+@query("a18_regime_summary", f"""{_STATE}, s AS (SELECT market, state, count(*) AS n_days, avg(ret) * 252 AS m, stddev_samp(ret) * sqrt(252) AS v FROM st GROUP BY 1, 2)
+    SELECT market, state, n_days, round(n_days / sum(n_days) OVER (PARTITION BY market), 8) AS frequency, round(m, 8) AS mean_ann, round(v, 8) AS vol_ann FROM s""")
+def _(spark, d):
+    return regime.regime_statistics(_threshold_path(spark, d)).drop("avg_duration")
+
+
+@query("r11_regime_bands", f"{_STATE}{_RUNS} SELECT *, lead(first) OVER (PARTITION BY market ORDER BY first) AS next_first FROM ru")
+def _(spark, d):
+    return reports.regime_figure(_threshold_path(spark, d))
+
+
+@query("r6_effect_pivot", f"""{_BT}{_BT_METRICS} SELECT 'lines' AS market, round(r.sharpe - b.sharpe, 8) AS naive FROM mt b, mt r WHERE b.strategy = 'equal_weight' AND r.strategy = 'inv_vol'""")
+def _(spark, d):
+    return reports.effect_pivot(metrics.regime_effect(_twin_metrics(spark, d), ["sharpe"]), "sharpe")
+
+
+_SHOWN = [*reports.ORDER, "unheard_of"]
+
+
+@query("t6_display_order", "SELECT s AS strategy, CAST(k AS BIGINT) AS place FROM (VALUES " + ", ".join(f"('{x}', {k + 1 if x in reports.ORDER else 99})" for k, x in enumerate(_SHOWN)) + ") v(s, k)")
+def _(spark, d):
+    rows = spark.createDataFrame([(x,) for x in _SHOWN], "strategy string")
+    return rows.select("strategy", reports.display_order().cast("long").alias("place"))
+
+
+@query("x4_labels", "SELECT s AS strategy, CASE s WHEN 'hrp' THEN 'Hierarchical risk parity' ELSE s END AS shown FROM (VALUES " + ", ".join(f"('{s}')" for s in optim.strategies()) + ") v(s)")
+def _(spark, d):
+    from .functions import label
+
+    rows = spark.createDataFrame([(x,) for x in optim.strategies()], "strategy string")
+    return rows.select("strategy", label(F.col("strategy"), {"hrp": "Hierarchical risk parity"}).alias("shown"))
+
+
+_TESTS = "t AS (SELECT CAST(p_partkey AS VARCHAR) AS strategy, CASE WHEN p_size % 13 <> 0 THEN (p_size * p_size) / 2600.0::DOUBLE END AS p_value FROM part)"
+
+
+def _tests(spark, d):
+    """A test of each part; the share that beats luck is set above 1 for the largest."""
+    size = F.col("p_size")
+    tests = spark.read.parquet(f"{d}/part.parquet").select(F.lit("all").alias("market"), F.col("p_partkey").cast("string").alias("strategy"), F.when(size % 13 != 0, size * size / 2600.0).alias("p_value"))
+    return metrics.benjamini_hochberg(tests, [], 0.3).withColumn("dsr", F.col("p_value") * 1.5)
+
+
+@query("t7_lowest_p", f"WITH {_TESTS} SELECT strategy, round(p_value, 8) AS p_value FROM t ORDER BY t.p_value NULLS LAST, strategy LIMIT 15")
+def _(spark, d):
+    return reports.lowest_p(_tests(spark, d)).select("strategy", F.round("p_value", 8).alias("p_value"))
+
+
+@query("a29_significance", f"""WITH {_TESTS}, r AS (SELECT p_value, count(*) OVER () AS m, count(*) OVER (ORDER BY p_value) AS k FROM t WHERE p_value IS NOT NULL), b AS (SELECT max(p_value) AS bar FROM r WHERE p_value * m / k <= 0.3)
+    SELECT count(*) AS n, count(*) FILTER (p_value <= bar) AS n_rejected, count(*) FILTER (p_value * 1.5 > 0.95) AS n_skilled FROM t, b""")
+def _(spark, d):
+    return reports.significance(_tests(spark, d))
+
+
+# ------------------------------------------------------------------------------------------- invariants
+def _checks_sql(*rows: tuple) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS \"check\", '{s}' AS severity, CAST({bad} AS BIGINT) AS n_bad, CAST({total} AS BIGINT) AS n_rows" for n, s, bad, total in rows)
+
+
+_N = "(SELECT count(*) FROM st)"
+
+
+@query("v4_regime_checks", f"{_STATE} " + _checks_sql(
+    ("probabilities sum to 1", "invariant", 0, _N), ("probabilities not negative", "invariant", 0, _N), ("states in range", "invariant", "(SELECT count(*) FROM st WHERE hour(date) = 5)", _N),
+    ("decoded and filtered agree", "plausible", 0, "(SELECT count(DISTINCT market) FROM st)")))
+def _(spark, d):
+    path = _threshold_path(spark, d)
+    p = F.when(F.col("state") == 0, F.array(F.lit(0.9), F.lit(0.1))).otherwise(F.array(F.lit(0.1), F.lit(0.9)))
+    broken = path.withColumn("p", p).withColumn("state", F.when(F.hour("date") == 5, 7).otherwise(F.col("state")))
+    return checks.report(checks.regimes(broken))
+
+
+_S, _M = "(SELECT count(DISTINCT strategy) FROM nt)", "(SELECT count(*) FROM tn)"
+
+
+@query("v5_backtest_checks", f"{_BT}{_BT_METRICS} " + _checks_sql(
+    *((f"{x} recomputes", "invariant", 0, _S) for x in ("ann_return", "ann_vol", "sharpe", "max_drawdown")), ("metrics have returns", "invariant", 0, 0), ("drawdown in [-1, 0]", "invariant", 0, _S),
+    ("turnover in [0, 1]", "invariant", "(SELECT count(*) FROM tn WHERE turnover NOT BETWEEN -1e-9 AND 1 + 1e-9)", _M), ("volatility plausible", "plausible", "(SELECT count(*) FROM mt WHERE ann_vol NOT BETWEEN 0 AND 5)", _S)))
+def _(spark, d):
+    _, moved, _, net = _relational(spark, d)
+    returns = net.select(*backtest.KEYS, "date", "ret")
+    return checks.report(checks.backtest(metrics.summarise(returns, backtest.KEYS), returns, moved))
+
+
+@query("v6_inference_checks", f"WITH {_TESTS} " + _checks_sql(
+    *((f"{x} in [0, 1]", "invariant", bad, "(SELECT count(*) FROM t)") for x, bad in (("p_value", 0), ("q_value", 0), ("dsr", "(SELECT count(*) FROM t WHERE p_value * 1.5 > 1)"))), ("q not below p", "invariant", 0, "(SELECT count(*) FROM t)")))
+def _(spark, d):
+    return checks.report(checks.inference(_tests(spark, d)))
+
+
+@query("v7_effect_checks", _checks_sql(("effect is the difference", "invariant", 0, 1)))
+def _(spark, d):
+    return checks.report(checks.effect(metrics.regime_effect(_twin_metrics(spark, d), ["sharpe"])))
+
+
 # ------------------------------------------------------------------------------------------- kernels (rows only)
 QUERIES["u1_stylised_facts"] = lambda spark, d: inference.stylised_facts(ev(spark, d), ["market"])
 QUERIES["a6_test_failures"] = lambda spark, d: inference.test_failures(inference.stylised_facts(ln(spark, d), ["market", "id"]))

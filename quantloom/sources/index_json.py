@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 #: Names under which a market's file may exist, in order of preference.
 SUFFIXES = (".json.bz2", "_json.bz2", ".json", "_json")
+#: What the parser keeps: everything, or index returns without members.
 _FULL = "map<string, struct<return: double, ts: map<string, double>>>"
-_INDEX_ONLY = "map<string, struct<return: double>>"
+INDEX_ONLY = "map<string, struct<return: double>>"
 
 
 def resolve(spark: SparkSession, folder: str, market: str) -> str | None:
@@ -24,18 +25,30 @@ def resolve(spark: SparkSession, folder: str, market: str) -> str | None:
     return None
 
 
-def _days(spark: SparkSession, path: str, market: str, schema: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("ts", "day"))
+def days_of(texts: DataFrame, schema: str = _FULL) -> DataFrame:
+    """(market, date, day) of every timestamp of (market, value), where value is the text of a raw file or a part of one."""
+    days = texts.select("market", F.explode(F.from_json("value", schema)).alias("ts", "day"))
     date = F.to_date(F.to_utc_timestamp(F.to_timestamp("ts"), F.current_timezone()))
-    return whole.select(F.lit(market).alias("market"), date.alias("date"), "day")
+    return days.select("market", date.alias("date"), "day")
+
+
+def _days(spark: SparkSession, path: str, market: str, schema: str) -> DataFrame:
+    return days_of(spark.read.text(path, wholetext=True).select(F.lit(market).alias("market"), "value"), schema)
+
+
+def index_of_days(days: DataFrame) -> DataFrame:
+    return days.select("market", "date", F.col("day.return").alias("ret")).where("ret is not null")
+
+
+def panel_of_days(days: DataFrame) -> DataFrame:
+    """A null member is no row."""
+    return days.select("market", "date", F.explode("day.ts").alias("id", "ret")).where("ret is not null").select("market", "id", "date", "ret")
 
 
 def parse_index_file(spark: SparkSession, path: str, market: str) -> tuple[DataFrame, DataFrame]:
-    """(index series (market, date, ret), panel (market, id, date, ret)); a null member is no row."""
+    """(index series (market, date, ret), panel (market, id, date, ret))."""
     days = _days(spark, path, market, _FULL)
-    index = days.select("market", "date", F.col("day.return").alias("ret")).where("ret is not null")
-    panel = days.select("market", "date", F.explode("day.ts").alias("id", "ret")).where("ret is not null").select("market", "id", "date", "ret")
-    return index, panel
+    return index_of_days(days), panel_of_days(days)
 
 
 def _found(spark: SparkSession, folder: str, markets: list[str]) -> list[tuple[str, str]]:
@@ -53,5 +66,5 @@ def load_all(spark: SparkSession, folder: str, markets: list[str]) -> tuple[Data
 
 def load_index_returns(spark: SparkSession, folder: str, markets: list[str]) -> DataFrame:
     """Index series only; the parser's schema leaves members out."""
-    parts = [_days(spark, path, market, _INDEX_ONLY).select("market", "date", F.col("day.return").alias("ret")) for market, path in _found(spark, folder, markets)]
-    return reduce(DataFrame.unionByName, parts).where("ret is not null")
+    parts = [index_of_days(_days(spark, path, market, INDEX_ONLY)) for market, path in _found(spark, folder, markets)]
+    return reduce(DataFrame.unionByName, parts)

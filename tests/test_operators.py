@@ -68,3 +68,24 @@ def test_correlation_recursion_runs_as_a_plan(spark):
     rows = [(m, dt.date(2020, 1, 1) + dt.timedelta(t), ((t * (7 + k)) % 11 - 5) / 500) for k, m in enumerate("ab") for t in range(80)]
     got = inference.dcc(spark.createDataFrame(rows, "market string, date date, ret double")).collect()
     assert len(got) == 80 and all(abs(r["corr"]) <= 1 and (r["a"], r["b"]) == ("a", "b") for r in got)
+
+
+def test_states_fill_forward_then_backward(spark):
+    from quantloom.operators import regime
+
+    days = spark.createDataFrame([("m", D[9], D[t]) for t in range(4)], "market string, rebal date, date date")
+    path = spark.createDataFrame([("m", D[1], 1), ("m", D[3], 0)], "market string, date date, state int")
+    got = regime.states_of_window(days, path).orderBy("date").collect()
+    assert [r["state"] for r in got] == [1, 1, 1, 0]
+
+
+def test_broken_invariants_are_counted_and_raised(spark):
+    from quantloom.plans import checks, reports
+
+    path = spark.createDataFrame([("m", 0, [0.9, 0.1]), ("m", 0, [0.6, 0.1]), ("m", 5, [0.2, 0.8])], "market string, state int, p array<double>")
+    found = checks.report(checks.regimes(path))
+    assert {r["check"]: (r["n_bad"], r["n_rows"]) for r in found.collect()} == {"probabilities sum to 1": (1, 3), "probabilities not negative": (0, 3), "states in range": (1, 3), "decoded and filtered agree": (0, 1)}
+    with pytest.raises(AssertionError, match="states in range: 1 of 3"):
+        checks.assert_valid(found)
+    tests = spark.createDataFrame([("m", "a", None), ("m", "b", 0.2), ("m", "c", 0.1)], "market string, strategy string, p_value double")
+    assert [r["strategy"] for r in reports.lowest_p(tests).collect()] == ["c", "b", "a"]
