@@ -7,7 +7,8 @@ spread by (key, document) first. Dropped positions come back to their document i
 shuffled once.
 
 Edge cases: null or empty text is one empty line and comes back as an empty text; short lines always stay; a null id
-counts as no document and protects nothing; rows that repeat id and text lose the same lines. Extra columns are kept.
+counts as no document and protects nothing; rows that repeat id and text lose the same lines. Extra columns are kept, but
+for those named n_lines or n_dropped, which the appended ones replace.
 """
 
 from __future__ import annotations

@@ -52,11 +52,13 @@ def copies(rate: Column, doc_id: Column) -> Column:
     return whole + F.when(uniform < rate - whole, 1).otherwise(0)
 
 
-def plan_mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, source_size, target and n_copies appended."""
-    own = [x for x in docs.columns if x not in ("size", "source_size", "target", "n_copies", "rate")]
-    size = F.col("size") if "size" in docs.columns else c.word_count(F.col("text"))
-    sized = docs.select(*own, size.alias("size"))
+def plan_mix(docs: DataFrame, size: Column | None = None) -> DataFrame:
+    """``docs`` with size, source_size, target and n_copies appended; columns of these names, or rate, are replaced.
+
+    ``size`` is the number of words, by default counted in ``text``.
+    """
+    own = [x for x in docs.columns if x not in ("size", "source_size", "target", "n_copies", "rate", "rate_source")]
+    sized = docs.select(*own, (c.word_count(F.col("text")) if size is None else size).alias("size"))
     rates = c.checkpointed(source_rates(sized.select("source", "size")))
     small = F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates
     right = small.withColumnRenamed("source", "rate_source")
@@ -65,5 +67,7 @@ def plan_mix(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, columns of ``docs`` only."""
-    return plan_mix(docs).where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*docs.columns)
+    """The mix itself: every document as often as it is taken, columns of ``docs`` only, whatever their names."""
+    rows = docs.select("doc_id", "source", c.word_count(F.col("text")).alias("words"), F.struct(*docs.columns).alias("row"))
+    taken = plan_mix(rows, F.col("words")).where("n_copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select("row.*")

@@ -75,7 +75,7 @@ def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sized = docs.select("doc_id", "source", mixing.c.word_count(F.col("text")).alias("size"))
-    return mixing.plan_mix(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+    return mixing.plan_mix(sized, F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
