@@ -5,22 +5,25 @@ P(word | previous) = P(class | previous class) * P(word | class). Everything is
 
 1. unigram counts of all words, by hash, aggregated map side and then by key;
 2. bigram counts among the ``CORE`` most frequent words; exchange clustering on the driver moves one word at a time to
-   the class that raises the mutual information of adjacent classes most (the counts have at most CORE**2 cells);
-3. the core classes are merged greedily into ``GROUPS`` groups; every other word of the lexicon joins the group whose
-   core classes precede it most (relative to the group's share), so open-class words still carry their context;
-4. class transitions over the whole training corpus, looking through rare words; transitions are smoothed towards the class unigram, emissions
-   by adding one, with one more slot for unseen words in the rare class.
-
-The lexicon that executors hold is bounded: words at or above the smallest count that leaves at most ``LEXICON`` of
-them (13 bytes each). Rarer and unseen words belong to the rare class; their counts are joined exactly by a shuffle.
-A document starts and ends in the end token's class.
-
-Edge cases: null or empty text is one end token; repeated rows and ids are scored each; without training documents
-all counts are 0 and the score equals the base score; a null id is a training document. Extra columns are ignored.
+   the class that raises the mutual information of adjacent classes most (the counts have at most CORE**2 cells). These
+   are only the classes to start from;
+3. at most ``PASSES`` rounds of exchange over every training word: the classes beside each word are gathered by word,
+   and each word goes where the objective gains most against the class bigram table of the round. All words of a round
+   move at once; a round that does not raise the objective is undone and ends the search;
+4. class transitions over the whole training corpus, smoothed towards the class unigram; emissions by adding one, with
+   one more slot in each class for unseen words. An unseen word is summed over the classes it could have.
+
+Executors hold counts and classes of the frequent words (at or above the smallest count that leaves at most
+``LEXICON`` of them, 17 bytes each), which saves shuffling them; those of all other words are joined by a shuffle, so
+what a word gets does not depend on where it is held. A document starts and ends in the end token's class.
+
+Edge cases: null or empty text is one end token; repeated rows and ids are scored each; without training words
+the score equals the base score; a null id is a training document. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +33,18 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-CORE, CLASSES, GROUPS, ROUNDS = 1200, 48, 8, 6
+CORE, CLASSES, ROUNDS, PASSES = 1200, 48, 6, 3
 LEXICON = 1 << 19
 #: Strength of the class unigram in a transition.
 ALPHA = 5.0
 #: The end token's name among word hashes.
 END = np.uint64(0xE0D)
+#: Classes with the end token's, which is the last and fixed; as a class of scoring, SIDES is that of unseen words.
+SIDES = CLASSES + 1
+#: Of a word, its slots: class before, SIDES + class after, the word itself on both sides, OWN + its class or -1.
+SELF, OWN = 2 * SIDES, 2 * SIDES + 2
+#: Tokens that a task aggregates at a time.
+HELD = 1_000_000
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +64,30 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
         yield tokens(c.column_of(batch, "text"))
 
 
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, before, at) of many texts: tokens and the tokens before them as indices of the sorted words."""
+    held, size = [], 0
+
+    def flush():
+        words, at = np.unique(np.concatenate([x for x, _ in held] + [[END]]).astype(np.uint64), return_inverse=True)
+        at, end = at[:-1], at[-1]
+        before = np.roll(at, 1)
+        start = 0
+        for x, first in held:
+            before[start + first[:-1]] = end
+            start += len(x)
+        return words, before, at
+
+    for words, first in _training(batches):
+        held.append((words, first))
+        size += len(words)
+        if size >= HELD:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
@@ -178,105 +211,278 @@ def _row_part(joint: np.ndarray, add: np.ndarray) -> np.ndarray:
     return _xlogx(diagonal + add) - _xlogx(diagonal)
 
 
-def merge_classes(joint: np.ndarray, groups: int) -> np.ndarray:
-    """Group of each class: greedy merges that lose least mutual information."""
-    label, joint = np.arange(len(joint)), joint.copy()
-    value = lambda j: _xlogx(j).sum() - _xlogx(j.sum(1)).sum() - _xlogx(j.sum(0)).sum()
-    while len(joint) > groups:
-        best = None
-        for a in range(len(joint)):
-            for b in range(a):
-                m = np.delete(joint, a, 0)
-                m[b] += joint[a]
-                m[:, b] += m[:, a]
-                m = np.delete(m, a, 1)
-                if best is None or value(m) > best[0]:
-                    best = value(m), a, b, m
-        _, a, b, joint = best
-        label = np.where(label == a, b, label)
-        label = label - (label > a)
-    return label
+def _packed(words: np.ndarray, cells: np.ndarray, times: np.ndarray | None = None) -> pa.RecordBatch:
+    """(word, seen) from cells index of word * 256 + slot: seen holds times * 256 + slot in 4 bytes, repeated where they overflow."""
+    if times is None:
+        cells, times = np.unique(cells, return_counts=True)
+    else:
+        cells, at = np.unique(cells, return_inverse=True)
+        times = np.bincount(at, times, len(cells)).astype(np.int64)
+    most = (1 << 24) - 1
+    if len(times) and times.max() > most:
+        parts = -(-times // most)
+        cells, last = np.repeat(cells, parts), np.cumsum(parts) - 1
+        times, rest = np.full(len(cells), most), times - (parts - 1) * most
+        times[last] = rest
+    who = cells >> 8
+    starts = np.flatnonzero(np.diff(who, prepend=-1))
+    offsets = np.append(starts, len(cells)) * 4
+    seen = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer((times * 256 + (cells & 255)).astype(np.uint32))])
+    return pa.RecordBatch.from_arrays([pa.array(words[who[starts]].view(np.int64)), seen], ["word", "seen"])
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, cells, times) of rows (word, seen), which may repeat a word."""
+    words, index = np.unique(table.column("word").to_numpy().view(np.uint64), return_inverse=True)
+    seen = table.column("seen")
+    data, sizes = [], []
+    for part in seen.chunks if isinstance(seen, pa.ChunkedArray) else [seen]:
+        part = part.cast(pa.large_binary())
+        offsets = np.frombuffer(part.buffers()[1], np.int64, len(part) + 1, part.offset * 8)
+        data.append(np.frombuffer(part.buffers()[2], np.uint32, (offsets[-1] - offsets[0]) // 4, offsets[0]).astype(np.int64))
+        sizes.append(np.diff(offsets) // 4)
+    data = np.concatenate(data)
+    return words, np.repeat(index, np.concatenate(sizes)) * 256 + (data & 255), data >> 8
+
+
+def _asks(train: DataFrame, shared) -> DataFrame:
+    """(key, word, mark): how often, * 2 + side, a word that executors do not hold is beside another word. Learnt once."""
+
+    def run(batches):
+        for words, before, at in _streams(batches):
+            away = ~shared.value.find(words)[0]
+            pair, n = np.unique(before * len(words) + at, return_counts=True)
+            left, right = pair // len(words), pair % len(words)
+            for key, word, side in ((left, right, 0), (right, left, 1)):
+                use = away[key] & (key != word)
+                yield pa.RecordBatch.from_arrays([pa.array(words[key[use]].view(np.int64)), pa.array(words[word[use]].view(np.int64)), pa.array(n[use] * 2 + side)], ["key", "word", "mark"])
+
+    return c.checkpointed(train.mapInArrow(run, "key long, word long, mark long"))
+
+
+def _gathered(train: DataFrame, classes: DataFrame, asks: DataFrame, shared, held) -> DataFrame:
+    """(word, seen) of every training word: its class and count, and the classes beside it over the whole corpus."""
+
+    def beside(batches):
+        for words, before, at in _streams(batches):
+            k = shared.value.find(words)[1].astype(np.int64)
+            same, left, right = before == at, k[before], k[at]
+            into, out = ~same & (left >= 0), ~same & (right >= 0)
+            cells = (at[into] * 256 + left[into], before[out] * 256 + SIDES + right[out], at[same] * 256 + SELF)
+            yield _packed(words, np.concatenate(cells))
+
+    def told(batches):
+        parts, size = [], 0
+
+        def flush():
+            table = pa.Table.from_batches(parts)
+            words, index = np.unique(table.column("word").to_numpy().view(np.uint64), return_inverse=True)
+            mark = table.column("mark").to_numpy()
+            return _packed(words, index * 256 + (mark & 1) * SIDES + table.column("k").to_numpy(), mark >> 1)
+
+        for batch in batches:
+            parts.append(batch)
+            size += batch.num_rows
+            if size >= HELD:
+                yield flush()
+                parts, size = [], 0
+        if size:
+            yield flush()
+
+    def own(batches):
+        for batch in batches:
+            words = c.column_of(batch, "word").to_numpy().view(np.uint64)
+            yield _packed(words, np.arange(len(words)) * 256 + OWN + c.column_of(batch, "k").to_numpy(), c.column_of(batch, "n").to_numpy())
+
+    def whole(batches):
+        for table in c.sorted_runs(batches, "word"):
+            yield _packed(*_unpacked(table))
+
+    kind = "word long, seen binary"
+    away = classes.where(~held & (F.col("k") >= 0)).select(F.col("word").alias("key"), "k")
+    rows = train.mapInArrow(beside, kind).union(asks.join(away, "key").select("word", "mark", "k").mapInArrow(told, kind)).union(classes.mapInArrow(own, kind))
+    return c.checkpointed(rows.repartition("word").sortWithinPartitions("word").mapInArrow(whole, kind))
+
+
+def _sides(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(words, own class, count, (word, class, times) before, the same after, times beside itself)."""
+    words, cells, times = _unpacked(table)
+    if (np.diff(cells) == 0).any():
+        cells, at = np.unique(cells, return_inverse=True)
+        times = np.bincount(at, times).astype(np.int64)
+    who, slot = cells >> 8, cells & 255
+    own, n, twice = np.full(len(words), -1), np.zeros(len(words), np.int64), np.zeros(len(words))
+    at = slot >= OWN - 1
+    own[who[at]], n[who[at]] = slot[at] - OWN, times[at]
+    at = slot == SELF
+    twice[who[at]] = times[at]
+    left, right = slot < SIDES, (slot >= SIDES) & (slot < SELF)
+    return words, own, n, (who[left], slot[left], times[left]), (who[right], slot[right] - SIDES, times[right]), twice
+
+
+def joint_of(gathered: DataFrame) -> np.ndarray:
+    """Counts of (previous class, class) over the words that have a class."""
+
+    def run(batches):
+        total = np.zeros(SIDES * SIDES)
+        for batch in batches:
+            if batch.num_rows:
+                _, own, _, (who, k, times), _, twice = _sides(batch)
+                use = own[who] >= 0
+                total += np.bincount(k[use] * SIDES + own[who[use]], times[use], SIDES * SIDES)
+                use = own >= 0
+                total += np.bincount(own[use] * (SIDES + 1), twice[use], SIDES * SIDES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["pair", "n"])
+
+    rows = gathered.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SIDES * SIDES)
+    out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(SIDES, SIDES)
+
+
+def information(joint: np.ndarray) -> float:
+    """The part of the bigram likelihood that depends on the classes."""
+    return _xlogx(joint).sum() - _xlogx(joint.sum(1)).sum() - _xlogx(joint.sum(0)).sum()
+
+
+def gains(joint: np.ndarray, own: np.ndarray, left, right, twice: np.ndarray) -> np.ndarray:
+    """What the objective gains, but for a constant of the word, when each word alone is put into each class.
+
+    ``left`` and ``right`` are (word, class, times) by word; a word whose class is -1 is not in ``joint`` yet. Its own
+    share is taken out of the class it is in. Only classes beside a word count, so rare words cost little.
+    """
+    n, size = len(own), len(joint)
+    l, r = np.zeros((n, size)), np.zeros((n, size))  # noqa: E741
+    l[left[0], left[1]], r[right[0], right[1]] = left[2], right[2]
+    is_own = np.arange(size) == own[:, None]
+    out = np.zeros((n, size))
+    for (who, k, times), table, mine, other in ((right, joint.T, r, l), (left, joint, l, r)):
+        for a in range(0, len(who), 1 << 13):
+            w, j, t = who[a : a + (1 << 13)], k[a : a + (1 << 13)], times[a : a + (1 << 13), None].astype(float)
+            x = table[j] - is_own[w] * t
+            corner = np.flatnonzero(j == own[w])
+            x[corner] -= other[w[corner]] + is_own[w[corner]] * twice[w[corner], None]
+            d = _xlogx(x + t) - _xlogx(x)
+            d[np.arange(len(w)), j] = 0
+            starts = np.flatnonzero(np.diff(w, prepend=-1))
+            np.add.at(out, w[starts], np.add.reduceat(d, starts))
+    cross = l + r + twice[:, None]
+    x = np.diagonal(joint) - is_own * cross
+    out += _xlogx(x + cross) - _xlogx(x)
+    for sums, add in ((joint.sum(1), r.sum(1) + twice), (joint.sum(0), l.sum(1) + twice)):
+        x = sums - is_own * add[:, None]
+        out -= _xlogx(x + add[:, None]) - _xlogx(x)
+    return out
+
+
+def _moved(gathered: DataFrame, joint: np.ndarray) -> DataFrame:
+    """(word, n, k): each word in the class where the objective gains most against ``joint``."""
+    # An empty class suits each word best alone, so all would crowd into it at once.
+    empty = joint[:CLASSES].sum(1) + joint[:, :CLASSES].sum(0) == 0
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                words, own, n, left, right, twice = _sides(batch.slice(a, 4096))
+                gain = np.where(empty, -np.inf, gains(joint, own, left, right, twice)[:, :CLASSES])
+                best = gain.argmax(1)
+                rows = np.arange(len(words))
+                stays = (own >= 0) & (gain[rows, best] <= gain[rows, np.clip(own, 0, CLASSES - 1)] + 1e-9)
+                bare = (own < 0) & (empty.all() | (np.bincount(left[0], minlength=len(words)) + np.bincount(right[0], minlength=len(words)) == 0))
+                k = np.where(stays | (own == CLASSES), own, np.where(bare, (words % np.uint64(CLASSES)).astype(np.int64), best))
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(k.astype(np.int32))], ["word", "n", "k"])
+
+    return c.checkpointed(gathered.mapInArrow(run, "word long, n long, k int"))
+
+
+def _lexicon(classes: DataFrame, held) -> Lexicon:
+    rows = classes.where(held).toArrow()
+    return Lexicon(rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy(), rows.column("k").to_numpy(), -2)
+
+
+def _drop_unused(spark) -> None:
+    """Spark deletes the files of a table when the driver no longer holds it; else each round's would pile up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fit(train: DataFrame) -> dict:
-    """Counts (a checkpointed table) and the bounded model; ``train`` has a column text."""
+    """Counts and classes of all words (a checkpointed table) and the bounded model; ``train`` has a column text."""
     spark = train.sparkSession
     counts = c.checkpointed(train.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    model = {"counts": counts, "N": int(total["n"]), "V": int(total["v"])}
     # The smallest count that leaves a bounded lexicon, from a histogram of at most 16 rows an octave.
     level = F.floor(F.log2(F.col("n").cast("double")) * 16)
     tally = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("level")).collect()
-    least, have = 1 << 62, 0  # words seen once stand for unseen ones, so they are never in the lexicon
+    least, have = 1 << 62, 0  # words seen once are as well joined as held
     for row in tally:
         have += row["words"]
         if have > LEXICON or row["n"] < 2:
             break
         least = row["n"]
-    model["least"] = least
-    head = counts.where(F.col("n") >= least).toArrow()
-    words, n = head.column("word").to_numpy().view(np.uint64), head.column("n").to_numpy()
-    order = np.lexsort((words, -n))
-    words, n = words[order], n[order]
-    core = np.flatnonzero(words != END)[:CORE]
-    end_id, rare = CLASSES + GROUPS, CLASSES + GROUPS + 1
-    if not len(core):
-        return model | {"lexicon": Lexicon(words, n, np.where(words == END, end_id, rare), rare), "trans": None}
+    held = (F.col("n") >= least) | (F.col("word") == int(END))
+    model = {"N": int(total["n"]), "V": int(total["v"]), "held": held}
+    head = _lexicon(counts.withColumn("k", F.when(F.col("word") == int(END), CLASSES).otherwise(-1).cast("int")), held)
+    order = np.lexsort((head.words, -head.counts))
+    core = head.words[order][head.words[order] != END][:CORE]
+    if model["V"] < 2:  # no word but the end token
+        return model | {"lexicon": head, "classes": counts.withColumn("k", F.lit(-1)), "trans": None}
     # Core words by rank, then the end token and, last, all other words.
-    names = Lexicon(np.append(words[core], END), np.append(n[core], 0), np.append(np.arange(len(core)), CORE), CORE + 1)
+    names = Lexicon(np.append(core, END), np.zeros(len(core) + 1), np.append(np.arange(len(core)), CORE), CORE + 1)
     pairs = _pair_counts(train, spark.sparkContext.broadcast(names), CORE + 2, CORE)[: len(core), : len(core)]
-    own = exchange(pairs, CLASSES, ROUNDS)
-    onehot = np.eye(CLASSES)[own]
-    groups = merge_classes(onehot.T @ pairs @ onehot, GROUPS)
-    classes = np.full(len(words), -1)
-    classes[core] = own
-    classes[words == END] = end_id
-    known = Lexicon(words, n, classes, -2)
-    classes = _place_rest(train, spark.sparkContext.broadcast(known), words, classes, groups)
-    lexicon = Lexicon(words, n, classes, rare)
-    size = rare + 1
-    trans = _pair_counts(train, spark.sparkContext.broadcast(lexicon), size, end_id, rare)
-    rare_counts = counts.where(F.col("n") < least).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    mass, kinds = np.bincount(lexicon.ids, lexicon.counts, size), np.bincount(lexicon.ids, minlength=size).astype(float)
-    mass[rare] += rare_counts[0]
-    kinds[rare] += rare_counts[1]
-    unigram = (trans.sum(0) + 1) / (trans.sum() + size)
-    log_trans = np.log10((trans + ALPHA * unigram) / (trans.sum(1, keepdims=True) + ALPHA))
+    first = Lexicon(names.words, names.counts, np.append(exchange(pairs, CLASSES, ROUNDS), CLASSES)[np.argsort(np.append(core, END))], -1)
+
+    def start(batches):
+        for batch in batches:
+            words = c.column_of(batch, "word").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first.find(words)[1].astype(np.int32))], ["word", "n", "k"])
+
+    classes = c.checkpointed(counts.mapInArrow(start, "word long, n long, k int"))
+    lexicon = _lexicon(classes, held)
+    asks = _asks(train, spark.sparkContext.broadcast(lexicon))
+    kept = None
+    for k in range(PASSES + 1):
+        gathered = _gathered(train, classes, asks, spark.sparkContext.broadcast(lexicon), held)
+        joint = joint_of(gathered)
+        if kept and information(joint) <= information(kept[2]):
+            break
+        if k:  # before, not all words had a class
+            kept = classes, lexicon, joint
+        if k < PASSES:
+            classes = _moved(gathered, joint)
+            lexicon = _lexicon(classes, held)
+        del gathered
+        _drop_unused(spark)
+    gathered = asks = None
+    classes, lexicon, trans = kept
+    _drop_unused(spark)
+    mass, kinds = np.zeros(SIDES), np.zeros(SIDES)
+    for row in classes.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        mass[row["k"]], kinds[row["k"]] = row["n"], row["v"]
+    unigram = (trans.sum(0) + 1) / (trans.sum() + SIDES)
+    chance = np.vstack(((trans + ALPHA * unigram) / (trans.sum(1, keepdims=True) + ALPHA), unigram))
     slots = mass + kinds
-    slots[rare] += 1  # unseen words
-    slots = np.maximum(slots, 1)
-    return model | {"lexicon": lexicon, "trans": log_trans, "slots": np.log10(slots), "end": end_id, "rare": rare}
-
+    slots[:CLASSES] += 1  # unseen words
+    unseen = chance[:, :CLASSES] @ (1 / slots[:CLASSES])
+    return model | {"lexicon": lexicon, "classes": classes, "trans": np.log10(np.column_stack((chance, unseen))), "slots": np.log10(slots)}
 
-def _place_rest(train: DataFrame, known, words: np.ndarray, classes: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Classes of the lexicon's other words: CLASSES + the group over-represented among the core classes before them."""
-    groups = np.asarray(groups)
 
-    def run(batches):
-        for tokens_, first in _training(batches):
-            here, ids, _ = known.value.find(tokens_)
-            before = _previous(ids, first, -2, -2)
-            at = np.flatnonzero(here & (ids == -1) & (before >= 0) & (before < CLASSES))
-            slot = np.searchsorted(known.value.words, tokens_[at])
-            cell, n = np.unique(slot * GROUPS + groups[before[at]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
-
-    rows = train.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(len(known.value.words) * GROUPS)
-    table[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    table = table.reshape(-1, GROUPS)
-    share = (table.sum(0) + 1) / (table.sum() + GROUPS)
-    best = np.where(table.sum(1) > 0, ((table + share) / share).argmax(1), int(share.argmax()))
-    out = classes.copy()
-    rest = np.flatnonzero(classes == -1)
-    out[rest] = CLASSES + best[np.searchsorted(known.value.words, words[rest])]
-    return out
+def _cells(doc: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (doc, key) in order: keys, how often, where each doc's begin (one more), and the cell of each input."""
+    order = np.lexsort((key, doc))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1])
+    starts = np.flatnonzero(new)
+    cell = np.empty(len(doc), np.int64)
+    cell[order] = np.cumsum(new) - 1
+    return key[order][starts], np.diff(np.append(starts, len(doc))), np.searchsorted(doc[order][starts], np.arange(rows + 1)), cell
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     n_all, v = model["N"], model["V"]
-    shared = docs.sparkSession.sparkContext.broadcast({k: model.get(k) for k in ("lexicon", "trans", "slots", "end", "rare")})
+    shared = docs.sparkSession.sparkContext.broadcast({k: model.get(k) for k in ("lexicon", "trans", "slots")})
 
     def run(batches):
         held = shared.value
@@ -284,41 +490,63 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             words, first = tokens(c.column_of(batch, "text"))
             here, ids, n = held["lexicon"].find(words)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            total = lambda x: np.bincount(doc, x, batch.num_rows)
-            base = np.where(here, np.log10((n + 1) / (n_all + v + 1)), 0)
-            if held["trans"] is None:
-                own = base
-            else:
-                wide = ids.astype(np.int64)
-                own = held["trans"][_previous(wide, first, held["end"], held["rare"]), wide] + np.where(here, np.log10(n + 1) - held["slots"][wide], 0)
-            tail = np.flatnonzero(~here)
-            cells, times = np.unique(np.stack((doc[tail].astype(np.uint64), words[tail])), axis=1, return_counts=True) if len(tail) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-            cuts = np.searchsorted(cells[0], np.arange(batch.num_rows + 1, dtype=np.uint64)).astype(np.int32)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(cuts), pa.array(x))
+            total = lambda x, at: np.bincount(doc[at], x, batch.num_rows)
+            base = total(np.log10((n[here] + 1) / (n_all + v + 1)), here)
+            tail, times, cuts, cell = _cells(doc[~here], words[~here], batch.num_rows)
+            # Of each token, its class as -1 - class, or its place among the words of its row that are joined.
+            code = -1 - ids.astype(np.int64)
+            code[~here] = cell - cuts[doc[~here]]
+            before = np.roll(code, 1)
+            before[first[:-1]] = -1 - CLASSES
+            own = base
+            open_ = (code >= 0) | (before >= 0)
+            if held["trans"] is not None:
+                sure = ~open_
+                own = total(np.log10(n[here] + 1) - held["slots"][ids[here]], here) + total(held["trans"][-1 - before[sure], -1 - code[sure]], sure)
+            pair, often, at, _ = _cells(doc[open_], (before[open_] << 32) + code[open_] + SIDES, batch.num_rows)
+            lists = lambda cuts, x: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x))
+            yield pa.RecordBatch.from_arrays(
+                [c.column_of(batch, "doc_id"), *(pa.array(x) for x in (np.diff(first), np.bincount(doc[here], minlength=batch.num_rows), base, own)), lists(cuts, tail.view(np.int64)), lists(cuts, times.astype(np.int32)), lists(at, pair), lists(at, often.astype(np.int32))],
+                ["doc_id", *names],
+            )
+
+    def finish(batches):
+        held = shared.value
+        for batch in batches:
+            get = lambda x: c.column_of(batch, x)
+            times, often, found = get("times"), get("often"), get("found")
+            sizes, marks = (x.value_lengths().to_numpy(zero_copy_only=False) for x in (times, often))
+            starts = np.cumsum(sizes) - sizes
+            rows = lambda n: np.repeat(np.arange(batch.num_rows), n)
+            flat = lambda x: x.flatten().to_numpy(zero_copy_only=False)
+            k, n = np.full(sizes.sum(), SIDES), np.zeros(sizes.sum(), np.int64)
+            many = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            hits = found.flatten()
+            at = starts[rows(many)] + hits.field("pos").to_numpy(zero_copy_only=False)
+            k[at], n[at] = hits.field("k").to_numpy(zero_copy_only=False), hits.field("n").to_numpy(zero_copy_only=False)
+            doc, m = rows(sizes), flat(times)
+            base = np.bincount(doc, m * np.log10((n + 1) / (n_all + v + 1)), batch.num_rows)
+            own = base
+            if held["trans"] is not None:
+                own = np.bincount(doc, m * np.where(n > 0, np.log10(n + 1) - np.append(held["slots"], 0)[k], 0), batch.num_rows)
+                doc, pair = rows(marks), flat(get("pair"))
+                before, code = pair >> 32, (pair & 0xFFFFFFFF) - SIDES
+                put = lambda x: np.where(x < 0, -1 - x, np.append(k, 0)[np.where(x < 0, 0, starts[doc] + x)])
+                own = own + np.bincount(doc, flat(often) * held["trans"][put(before), put(code)], batch.num_rows)
+            known = get("n_known").to_numpy() + np.bincount(np.repeat(np.arange(batch.num_rows), sizes), m * (n > 0), batch.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [c.column_of(batch, "doc_id"), pa.array(np.diff(first)), pa.array(total(here).astype(np.int64)), pa.array(total(base)), pa.array(total(own)), lists(cells[1].view(np.int64)), lists(times.astype(np.int32))],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score", "words", "times"],
+                [get("doc_id"), get("n_tokens"), pa.array(known), pa.array(get("base_score").to_numpy() + base), pa.array(get("score").to_numpy() + own)], ["doc_id", "n_tokens", "n_known", "base_score", "score"]
             )
 
+    kinds = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double", "words": "array<long>", "times": "array<int>", "pair": "array<long>", "often": "array<int>"}
+    names = list(kinds)
     rows = docs.select("doc_id", "text")
-    schema = rows.select("doc_id", *(F.lit(None).cast(k).alias(x) for x, k in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"), ("words", "array<long>"), ("times", "array<int>")))).schema
+    schema = rows.select("doc_id", *(F.lit(None).cast(k).alias(x) for x, k in kinds.items())).schema
     rows = c.checkpointed(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    tail = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("m"))
-    rare = model["counts"].where(F.col("n") < model["least"])
-    found = tail.join(rare, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    add_base = F.col("m") * F.log10((F.col("n") + 1) / F.lit(float(n_all + v + 1)))
-    add_own = add_base if model["trans"] is None else F.col("m") * (F.log10(F.col("n") + 1) - F.lit(float(model["slots"][model["rare"]])))
-    extra = found.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("k"), F.sum(add_base).alias("b"), F.sum(add_own).alias("s"))
-    zero = F.lit(0)
-    return rows.drop("words", "times").join(extra, "row", "left").select(
-        "doc_id",
-        c.is_remainder(F.col("doc_id"), 7, 2).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("k", zero)).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("s", zero)).alias("score"),
-    )
+    away = model["classes"].where(~model["held"])
+    found = rows.select("row", F.posexplode("words").alias("pos", "word")).join(away, "word").groupBy("row").agg(F.collect_list(F.struct("pos", "k", "n")).alias("found"))
+    whole = rows.drop("words").join(found, "row", "left").mapInArrow(finish, rows.select("doc_id", *names[:4]).schema)
+    return whole.select("doc_id", c.is_remainder(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def class_lm(docs: DataFrame) -> DataFrame:

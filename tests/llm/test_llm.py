@@ -160,6 +160,39 @@ def test_class_lm_counts_by_brute_force(docs):
         assert r["score"] < 0
 
 
+def test_class_lm_gains_by_brute_force():
+    rng = np.random.default_rng(3)
+    pairs, own = rng.integers(0, 4, (30, 30)), rng.integers(0, 5, 30)
+    pairs[rng.random((30, 30)) < 0.6] = 0
+    joint = lambda own: np.array([[pairs[np.ix_(own == a, own == b)].sum() for b in range(5)] for a in range(5)], float)
+    cells = lambda m: (np.nonzero(m)[0], np.nonzero(m)[1], m[np.nonzero(m)])
+    others = pairs - np.diag(np.diagonal(pairs))
+    beside = lambda m: cells(np.stack([m[:, own == k].sum(1) for k in range(5)], 1))
+    got = class_lm.gains(joint(own), own, beside(others.T), beside(others), np.diagonal(pairs).astype(float))
+    for w in range(30):
+        want = [class_lm.information(joint(np.where(np.arange(30) == w, k, own))) for k in range(5)]
+        assert np.allclose(got[w] - got[w, 0], np.array(want) - want[0])
+
+
+def test_class_lm_places_every_word_by_exchange(spark, monkeypatch):
+    # Two kinds of words follow each other; only the 10 most frequent are in the core, and the held lexicon is small.
+    rng = random.Random(5)
+    odd, even = [f"o{k}" for k in range(60)], [f"e{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(even if j % 2 else odd) for j in range(120))) for k in range(80)] + [(1000, "o1 once e2")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    monkeypatch.setattr(class_lm, "CORE", 10)
+    for lexicon in (30, 1 << 19):
+        monkeypatch.setattr(class_lm, "LEXICON", lexicon)
+        model = class_lm.fit(d.select("text"))
+        k = {r["word"]: r["k"] for r in model["classes"].collect()}
+        assert len(k) == model["V"] == 122 and all(0 <= x <= class_lm.CLASSES for x in k.values())
+        name = lambda w: int(common.hashed_words(pa.array([w]))[0].view(np.int64)[0])
+        assert not {k[name(w)] for w in odd} & {k[name(w)] for w in even}
+        found.append((k, {r["doc_id"]: r["score"] for r in class_lm.score(d, model).collect()}))
+    assert found[0][0] == found[1][0] and found[0][1] == pytest.approx(found[1][1])
+
+
 def test_classifier_separates_shouting(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
