@@ -241,7 +241,7 @@ def _(spark, d):
     p = od(spark, d)
     days = cleaning.shared_calendar(p, "union").withColumn("market", F.lit("all"))
     numbered = cleaning.ordinals(days).drop("market")
-    index = panels.index_of(p.where("market <> 'ASIA'"))
+    index = panels.index_of(p)
     calendar = numbered.crossJoin(F.broadcast(index.select("market").distinct()))  # one row a market
     return cleaning.clean_index(index, calendar, 1).withColumn("ret", F.round("ret", 12))
 

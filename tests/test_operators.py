@@ -23,6 +23,22 @@ def test_forward_fill_is_capped_and_stays_inside(spark):
     assert [(r["id"], r["date"], r["ret"]) for r in out] == [("B", D[1], 0.2)]
 
 
+def test_clean_index_query_has_every_market(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    # A customer in each of two regions; ASIA has no order on the second day.
+    tables = {
+        "region": ([(0, "ASIA"), (1, "EUROPE")], "r_regionkey int, r_name string"),
+        "nation": ([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int"),
+        "customer": ([(0, 0), (1, 1)], "c_custkey int, c_nationkey int"),
+        "orders": ([(0, D[0], 300000.0), (0, D[2], 350000.0), (1, D[0], 250000.0), (1, D[1], 250000.0), (1, D[2], 250000.0)], "o_custkey int, o_orderdate date, o_totalprice double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = sorted((r["market"], r["date"], r["ret"], r["filled"]) for r in entry.queries()["f7_clean_index"](spark, str(tmp_path)).collect())
+    assert out == [("ASIA", D[0], 0.01, False), ("ASIA", D[1], 0.01, True), ("ASIA", D[2], 0.02, False), *(("EUROPE", D[k], 0.0, False) for k in range(3))]
+
+
 def test_sparse_days_and_survivorship(spark):
     p = panel(spark, {"A": {0: 0, 1: 0}, "B": {1: 0}})
     assert {r["date"] for r in cleaning.blank_sparse_days(p, 2).collect()} == {D[1]}
