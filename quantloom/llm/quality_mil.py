@@ -6,7 +6,7 @@ follows, gated attention a = softmax(w . (tanh(V e) * sigmoid(U e))) weighs the
 weighted representation z = sum a e is scored by sigmoid(c . z + d). Only document labels train all of it.
 
 Every passage of every text is encoded and scored. Training uses a bounded sample: at most ``SAMPLE`` documents of each
-label (the smallest hashes of the ids), of each at most ``BAG`` passages spread over the text. It runs on the driver
+label (the smallest hashes of the ids), each with all of its passages. It runs on the driver
 and is deterministic. A document with several labels has their mean, 0.5 or more being 1.
 
 Edge cases: null or empty text is one passage of zeros; labels that are null, or of unknown ids, are ignored; without
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 PASSAGE = 64
-SAMPLE, BAG = 3000, 32
+SAMPLE = 3000
 ENCODED, GATE, EPOCHS, RATE = 24, 12, 40, 0.01
 
 #: Bytes of each class whose share of a passage is a feature.
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.pieces(batches, "text"):
             x, at = passage_features(c.column_of(batch, "text"))
-            parts = [x[a:b] if b - a <= BAG else x[a + np.arange(BAG) * (b - a) // BAG] for a, b in zip(at[:-1], at[1:], strict=True)]
+            parts = [x[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([c.column_of(batch, "doc_id"), c.column_of(batch, "y"), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["doc_id", "y", "x"])
 
     rows = bags.mapInArrow(encode, bags.select("doc_id", "y").withColumn("x", F.lit(b"")).schema).toArrow().sort_by("doc_id")

@@ -193,6 +193,16 @@ def test_class_lm_places_every_word_by_exchange(spark, monkeypatch):
     assert found[0][0] == found[1][0] and found[0][1] == pytest.approx(found[1][1])
 
 
+def test_classifier_learns_from_every_passage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_mil, "train", lambda x, bags, y: seen.append(np.diff(bags).tolist()))
+    rows = [(k, "word " * 10000 if k % 2 == 0 else "few words", k // 2 % 2) for k in range(16)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    quality_mil.fit(d.select("doc_id", "text"), d.select("doc_id", "quality"))
+    whole = len(quality_mil.passage_features(pa.array([rows[0][1]]))[0])
+    assert whole > 32 and set(seen[0]) == {1, whole}
+
+
 def test_classifier_separates_shouting(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
