@@ -2,8 +2,8 @@
 
 Every text's word count goes into one histogram (lengths are exact below 4096 and rounded up by at most 1/2048 above,
 so it has a bounded number of rows at any scale). Dynamic programming over it chooses the bucket boundaries with the
-least total padding; the cost is a difference of lines, so a convex hull makes each layer linear. Inside a bucket of
-length b a batch takes ``budget // b`` documents, at least one.
+least total padding of these lengths, and a bucket is as long as its longest text; the cost is a difference of lines,
+so a convex hull makes each layer linear. Inside a bucket of length b a batch takes ``budget // b`` documents, at least one.
 
 A document's rank in its bucket is its rank in one of ``SHARDS`` hashed shards plus the sizes of the shards before, so
 no task holds a bucket. The shard table has at most buckets * SHARDS rows and is broadcast. Results do not depend on
@@ -72,14 +72,15 @@ def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_length, batch, slot) for every row."""
     rows = c.checkpointed(docs.select(F.col(id_col).alias("doc_id"), c.word_count(F.col(text_col)).alias("n_tokens")))
-    histogram = [(r["bin"], r["n"]) for r in rows.groupBy(rounded(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n")).collect()]
-    ends = boundaries(histogram, buckets)
+    histogram = rows.groupBy(rounded(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).collect()
+    ends = boundaries([(r["bin"], r["n"]) for r in histogram], buckets)
+    longest = {r["bin"]: r["longest"] for r in histogram}
     if not ends:
         return rows.select("doc_id", "n_tokens", *(F.lit(0).cast("long").alias(x) for x in ("bucket", "bucket_length", "batch", "slot")))
     edges = F.array(*(F.lit(int(e)) for e in ends))
     bucket = F.size(F.filter(edges, lambda e: e < F.col("bin")))
     placed = rows.withColumn("bin", rounded(F.col("n_tokens"))).withColumn("bucket", bucket.cast("long"))
-    placed = placed.withColumn("bucket_length", F.get(edges, F.col("bucket").cast("int")).cast("long")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SHARDS)).cast("int"))
+    placed = placed.withColumn("bucket_length", F.get(F.array(*(F.lit(longest[e]) for e in ends)), F.col("bucket").cast("int")).cast("long")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SHARDS)).cast("int"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n")).select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1

@@ -160,6 +160,13 @@ def test_class_lm_counts_by_brute_force(docs):
         assert r["score"] < 0
 
 
+def test_packing_bucket_is_as_long_as_its_longest_text(spark):
+    rows = [(0, "w " * 4097), (1, "w " * 5001), (2, "w " * 3), (3, None)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3).collect()
+    longest = {b: max(r["n_tokens"] for r in out if r["bucket"] == b) for b in {r["bucket"] for r in out}}
+    assert len(out) == 4 and all(r["bucket_length"] == longest[r["bucket"]] for r in out)
+
+
 def test_class_lm_gains_by_brute_force():
     rng = np.random.default_rng(3)
     pairs, own = rng.integers(0, 4, (30, 30)), rng.integers(0, 5, 30)
