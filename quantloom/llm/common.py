@@ -2,13 +2,14 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z only. UTF-8 continuation and lead bytes are never in that
 whitespace class, so the tokeniser works on the raw Arrow string buffer without decoding. A word's identity is a
-64-bit hash; two different words share one with probability 2**-64 (about 3e-4 that any two of 1e8 do).
+64-bit hash: the sum of one mixed number for each (place, byte), so no algebra of bytes or repeats cancels out. Two
+given words share one with probability about 2**-64 (about 3e-4 that any two of 1e8 do).
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,60 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    A temporary folder is set only where that setting is missing, which is the case of single-machine tests.
+    Only a session whose master is local may do without that setting; it gets one temporary folder. Any other raises,
+    since executors do not see the driver's own disk.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if spark.sparkContext not in _temporary:
+        _temporary[spark.sparkContext] = tempfile.mkdtemp(prefix="quantloom-")
+    return _temporary[spark.sparkContext]
+
+
+_temporary: dict = {}
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quantloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark writes to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: A key is heavy at this share of all rows or more, so there are at most so many heavy keys (below a MB to broadcast).
+HEAVY_KEYS = 10_000
+
+
+def heavy_join(rows: DataFrame, facts: DataFrame, key: str, times: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (unique ``key``, not null) that no frequent key can hold up.
+
+    Up to HEAVY_KEYS facts are broadcast whole. Of more, those that ``facts.times`` gives ``1 / HEAVY_KEYS`` of all times
+    or more, at most HEAVY_KEYS by arithmetic, are broadcast and joined where the rows are; all others hold a smaller
+    share and are joined by an ordinary shuffle that the heavy ones do not enter. ``facts`` must be a written table, as
+    it is read several times; ``rows`` are then read twice.
+    """
+    told = facts.agg(F.count("*").alias("n"), F.sum(times).alias("total")).first()
+    if told["n"] <= HEAVY_KEYS:
+        return rows.join(F.broadcast(facts.drop(times)), key)
+    is_heavy = F.col(times) * HEAVY_KEYS >= F.lit(told["total"])
+    heavy, light = facts.where(is_heavy).drop(times), facts.where(~is_heavy).drop(times)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -58,38 +102,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    values = mix((lower.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    return lower, values, space
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-LOWER, _VALUES, SPACE = _byte_tables()
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _value(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The number that a (folded) byte adds at its place in a word."""
+    return mix((place.astype(np.uint64) * np.uint64(256) + byte.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    have = _powers.get(0)
-    if have is None or len(have[0]) < n:
-        n = max(n, SEGMENT + 1024)
-        up = np.full(n, _BASE, np.uint64)
-        down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if n <= 4 * SEGMENT:
-            _powers[0] = have
-    return have
+#: Numbers of the first places, which nearly all bytes of a text fall into.
+_PLACES = 64
+_NUMBERS = _value(np.repeat(np.arange(_PLACES), 256), np.tile(LOWER, _PLACES))
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """uint64 hash of each non-empty byte span, A-Z folded; spans are ordered and do not overlap.
 
-    Prefix sums of value * base**position make every span's hash one subtraction; segments bound the memory.
+    A span's hash is the sum of the numbers of its (place, byte) pairs, mixed with its length. Prefix sums make it one
+    subtraction; segments bound the memory.
     """
     out = np.empty(len(starts), np.uint64)
     at = 0
@@ -97,20 +130,34 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         first = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, first + SEGMENT, "right")))
         last = ends[to - 1]
-        up, down = _power_tables(int(last - first) + 1)
-        prefix = np.zeros(last - first + 1, np.uint64)
-        np.cumsum(_VALUES[data[first:last]] * up[: last - first], out=prefix[1:])
         s, e = starts[at:to] - first, ends[at:to] - first
-        out[at:to] = mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64) * _M1)
+        total = np.zeros(to - at, np.uint64)
+        for a in range(0, int(last - first), 2 * SEGMENT):  # more than one turn only inside a very long span
+            b = min(a + 2 * SEGMENT, int(last - first))
+            part = data[first + a : first + b]
+            begins = np.clip(s, a, b)
+            # The start of the word that a byte is in, or of the last one before it; negative where that is further back.
+            lead = s[max(int(np.searchsorted(s, a, "right")) - 1, 0)] - a
+            own = np.repeat(np.concatenate(([lead], s - a)).astype(np.int32), np.diff(np.concatenate(([a], begins, [b]))))
+            place = np.arange(b - a, dtype=np.int32) - own
+            far = np.flatnonzero(place >= _PLACES)
+            place[far] = 0
+            numbers = _NUMBERS[(place << 8) + part]
+            if len(far):
+                numbers[far] = _value(far - own[far], LOWER[part[far]])
+            prefix = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(numbers, out=prefix[1:])
+            total += prefix[np.clip(e - a, 0, b - a)] - prefix[np.clip(s - a, 0, b - a)]
+        out[at:to] = mix(total + (e - s).astype(np.uint64) * _M1)
         at = to
     return out
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; nulls count as empty."""
-    column = column.cast(pa.large_string())
+    """(bytes, offsets) of a string or binary column; nulls count as empty."""
+    column = column.cast(pa.large_string() if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null("" if pa.types.is_large_string(column.type) else b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
@@ -203,7 +250,3 @@ def components(edges: DataFrame) -> DataFrame:
         later = ends.toDF("to", "end")
         ends = checkpointed(hooks.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("component")))
     return ends
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
