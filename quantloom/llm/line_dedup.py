@@ -2,12 +2,15 @@
 
 Lines are split at \\n; a line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased, named by its
 128-bit digest. Only keys of at least ``min_chars`` code points are exploded, as (document, key) and never as text, so
-what is shuffled to count documents is narrow and combined on the map side, and a line in a third of all documents is
-spread by (key, document) first. Dropped positions come back to their document in one join; a document's text is
-shuffled once.
+what is shuffled to count documents is narrow. A line in a third of all documents is spread twice over: its documents
+are counted by (key, document) first, and its copies meet its count by broadcast, as there are at most
+``common.HEAVY_KEYS`` such lines; rarer lines go through an ordinary join. Dropped positions come back to their
+document in one join; a document's text is shuffled once and put together again in time linear in its lines.
 
 Edge cases: null or empty text is one empty line and comes back as an empty text; short lines always stay; a null id
-counts as no document and protects nothing; rows that repeat id and text lose the same lines. Extra columns are kept, but
+counts as no document and protects nothing; of rows that repeat an id each loses its own lines, and the id counts
+once; a line twice in one document is one document, and both copies go or stay. Very long texts are split in a
+Python worker that holds one batch of about 8 MB, or one text. An empty table gives no row. Extra columns are kept, but
 for those named n_lines or n_dropped, which the appended ones replace.
 """
 
@@ -44,13 +47,17 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     own = [x for x in docs.columns if x not in ("n_lines", "n_dropped")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     lines = c.checkpointed(rows.mapInArrow(lambda it: _long_lines(it, min_chars), "doc_id long, mark long, at int, key binary"))
-    common = lines.where("doc_id is not null").groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs)
-    drops = lines.join(common.select("key", "holder"), "key").where("doc_id is null or doc_id <> holder")
+    counts = lines.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("holder"), F.count("*").alias("times"))
+    common = c.checkpointed(counts.where(F.col("n") >= min_docs).select("key", "holder", "times"))
+    drops = c.heavy_join(lines, common, "key", "times").where("doc_id is null or doc_id <> holder")
     drops = drops.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("drop_at")).toDF("drop_id", "drop_mark", "drop_at")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = F.split(text, "\n", -1)
-    stay = F.array_join(F.filter(split, lambda _, k: ~F.array_contains("drop_at", k)), "\n")
     joined = docs.select(*own, F.xxhash64(text_col).alias("own_mark")).join(drops, F.col(id_col).eqNullSafe(F.col("drop_id")) & (F.col("own_mark") == F.col("drop_mark")), "left")
+    # One array a row by a generator: an expression would be split anew for each line that stays.
+    split = F.when(F.col("drop_at").isNotNull(), F.split(text, "\n", -1))
+    joined = joined.select("*", F.explode(F.array(split)).alias("own_lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("own_lines") - 1), "drop_at")
+    stay = F.array_join(F.transform(kept, lambda k: F.get("own_lines", k)), "\n")
     n_lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
     return joined.select(
         *(F.when(F.col("drop_at").isNull(), text).otherwise(stay).alias(x) if x == text_col else x for x in own),
