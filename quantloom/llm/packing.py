@@ -1,21 +1,23 @@
 """Packing: optimal length buckets from the global histogram, token-budget batches inside each bucket.
 
-Every text's word count goes into one histogram (lengths are exact below 4096 and rounded up by at most 1/2048 above,
-so it has a bounded number of rows at any scale). Dynamic programming over it chooses the bucket boundaries with the
-least total padding of these lengths, and a bucket is as long as its longest text; the cost is a difference of lines,
-so a convex hull makes each layer linear. Inside a bucket of length b a batch takes ``budget // b`` documents, at least one.
+Every text's word count goes into one histogram of exact lengths, which has one row for each length that occurs: with W
+words in all there can be no more than sqrt(2 W), since that many different lengths already add up to W. Dynamic
+programming over it chooses the bucket boundaries with the least total padding, lengths that occur; the cost is a
+difference of lines, so a convex hull makes each layer linear. Inside a bucket of length b a batch takes
+``budget // b`` documents, at least one.
 
 A document's rank in its bucket is its rank in one of ``SHARDS`` hashed shards plus the sizes of the shards before, so
 no task holds a bucket. The shard table has at most buckets * SHARDS rows and is broadcast. Results do not depend on
 the number of partitions.
 
 Edge cases: null or empty texts have length 0; a document over the budget is a batch of its own; rows repeating an id
-are packed one by one; an empty table gives no row.
+are packed one by one; a very long text is a length like any other; an empty table gives no row. Extra columns of
+any name are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -23,12 +25,6 @@ from . import common as c
 BUCKETS, BUDGET, SHARDS = 16, 16_384, 1024
 
 
-def rounded(length: Column) -> Column:
-    """Histogram bin: the length itself below 4096, else rounded up to a multiple of 2**(floor(log2) - 11)."""
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 11).cast("long"))
-    return (F.ceil(length / step) * step).cast("long")
-
-
 def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     """Ascending bucket lengths (the last is the longest) minimising sum of (bucket length - length) * count.
 
@@ -72,15 +68,14 @@ def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_length, batch, slot) for every row."""
     rows = c.checkpointed(docs.select(F.col(id_col).alias("doc_id"), c.word_count(F.col(text_col)).alias("n_tokens")))
-    histogram = rows.groupBy(rounded(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).collect()
-    ends = boundaries([(r["bin"], r["n"]) for r in histogram], buckets)
-    longest = {r["bin"]: r["longest"] for r in histogram}
+    histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow()
+    ends = boundaries(list(zip(histogram.column("n_tokens").to_pylist(), histogram.column("n").to_pylist(), strict=True)), buckets)
     if not ends:
         return rows.select("doc_id", "n_tokens", *(F.lit(0).cast("long").alias(x) for x in ("bucket", "bucket_length", "batch", "slot")))
-    edges = F.array(*(F.lit(int(e)) for e in ends))
-    bucket = F.size(F.filter(edges, lambda e: e < F.col("bin")))
-    placed = rows.withColumn("bin", rounded(F.col("n_tokens"))).withColumn("bucket", bucket.cast("long"))
-    placed = placed.withColumn("bucket_length", F.get(F.array(*(F.lit(longest[e]) for e in ends)), F.col("bucket").cast("int")).cast("long")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SHARDS)).cast("int"))
+    edges = F.array(*(F.lit(int(e)).cast("long") for e in ends))
+    placed = rows.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("n_tokens"))))
+    placed = placed.withColumn("bucket_length", F.get(edges, F.col("bucket"))).withColumn("bucket", F.col("bucket").cast("long"))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SHARDS)).cast("int"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n")).select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
