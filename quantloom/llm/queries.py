@@ -10,15 +10,22 @@ from .common import load
 
 #: (host, path, action) of the rules, and the hosts of the block list.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-BLOCK_LIST = (("adult-x.example.com", "/"), ("ads-track.example.com", "/"))
+#: The block list: whole hosts, each family under each domain, and canonical URLs by rule on three further hosts.
+JUNK = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+DOMAINS = ("example.com", "example.net", "example.org")
+LISTED_HOSTS, LISTED_LANGS, LISTED_UPTO, LISTED_STEP = ("tionsh.example.net", "blog.tionsh.example.com", "tionble.example.org"), ("de", "en", "es", "fr"), 10_000, 7
 #: The conversation that is added to ``conversations``.
 EXTRA_TURNS = tuple((-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant")))
 NEAR = ngram_join.Similarity(n=4, percent=85)
 
 
 def url_listing(spark: SparkSession) -> DataFrame:
-    rows = [(*r, "prefix", True) for r in RULES] + [(*r, "block", "prefix", False) for r in BLOCK_LIST]
-    return spark.createDataFrame(rows, "host string, path string, action string, kind string, named boolean")
+    """The rules, the block list's hosts, and its canonical URLs, some 17,000."""
+    whole = [(*r, "prefix", True) for r in RULES] + [(f"{x}.{d}", "", "block", "prefix", False) for x in JUNK for d in DOMAINS]
+    hosts = spark.createDataFrame(whole, "host string, path string, action string, kind string, named boolean")
+    numbers = spark.range(0, LISTED_UPTO, LISTED_STEP).select("id", F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("host"))
+    pages = numbers.select("host", F.explode(F.array(*map(F.lit, LISTED_LANGS))).alias("lang"), "id")
+    return hosts.unionByName(pages.select("host", F.concat_ws("/", F.lit(""), "lang", "id").alias("path"), F.lit("block").alias("action"), F.lit("exact").alias("kind"), F.lit(False).alias("named")))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,17 +103,22 @@ _PATH = "regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2)"
 
 
 def oracle_sql() -> dict[str, str]:
-    listed = ", ".join(f"('{h}', '{p}', '{a}', true)" for h, p, a in RULES) + ", " + ", ".join(f"('{h}', '{p}', 'block', false)" for h, p in BLOCK_LIST)
+    listed = ", ".join([*(f"('{h}', '{p}', '{a}', true)" for h, p, a in RULES), *(f"('{x}.{d}', '', 'block', false)" for x in JUNK for d in DOMAINS)])
+    hosts, langs = (", ".join(f"('{x}')" for x in some) for some in (LISTED_HOSTS, LISTED_LANGS))
     extra = ", ".join(f"({k}, {t}, '{r}', '{x}')" for k, t, r, x in EXTRA_TURNS)
     w = ", ".join(f"{x:.1f}" for x in mixing.WEIGHTS)
     return {
         "op1_url_filter": f"""
-            WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+            WITH u AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages),
             l(h, p, action, named) AS (VALUES {listed}),
+            x AS (SELECT h || '/' || g || '/' || n AS address FROM (VALUES {hosts}) a(h), (VALUES {langs}) b(g), range(0, {LISTED_UPTO}, {LISTED_STEP}) r(n)),
+            k AS (SELECT page_id, regexp_replace(host, ':(80|443)$', '') || coalesce(nullif(path, ''), '/') AS address,
+                         array_to_string([y FOR y IN string_split(regexp_extract(url, '://[^?#]*[?]([^#]*)', 1), '&') IF y <> '' AND NOT regexp_matches(y, '^(utm_[^=&]*|gclid|fbclid|msclkid|mc_[ce]id)(=|$)')], '&') AS query FROM u),
+            e AS (SELECT DISTINCT page_id FROM k WHERE address || CASE WHEN query <> '' THEN '?' || query ELSE '' END IN (SELECT address FROM x)),
             fit AS (SELECT * FROM u JOIN l ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p)),
             best AS (SELECT page_id, arg_max(h || p, length(h || p)) FILTER (named) AS rule, arg_max(action, length(h || p)) FILTER (named) AS action,
                             bool_or(NOT named) AS listed FROM fit GROUP BY page_id)
-            SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN best.action WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+            SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN best.action WHEN listed OR page_id IN (SELECT page_id FROM e) THEN 'block' ELSE 'allow' END AS verdict
             FROM u LEFT JOIN best USING (page_id)""",
         "op4_line_dedup": f"""
             WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
