@@ -3,18 +3,26 @@
 A media value is a WAV file (PCM, mono, unsigned 8 bit). Its samples are resampled by a polyphase filter from
 ``SOURCE_RATE`` to ``TARGET_RATE``, cut into overlapped Hann windows, and turned into log-mel energies. Energy
 segmentation uses two thresholds: a segment opens at the upper one and lasts until the level falls below the lower.
-Chunks of ``CHUNK`` frames (the last one padded) become a fixed-shape tensor column beside their time spans, written
-as one Arrow IPC stream per row. Long media are resampled and framed in blocks, so work arrays are bounded.
+Chunks of ``CHUNK`` frames (the last one padded) become a fixed-shape tensor column beside their time spans, one Arrow
+IPC stream a row.
+
+``stored_media`` writes the media column as Parquet in the shared folder and reads it back; ``audio_features`` makes the
+feature columns from what is stored, and ``digests_of`` describes both. Media are resampled and framed in blocks of
+``BLOCK_FRAMES`` frames: beside the media value itself and its features (a third of its size) only one block is held
+as numbers, whatever the length.
 
 Edge cases: null text counts as empty; an empty value is padded to one unit of 192 blanks and has one chunk; equal
-payloads give equal values. Extra columns are ignored.
+payloads give equal values; a very long text is one value, in a batch of its own; an empty table gives no row. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -53,6 +61,11 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
     raise ValueError("no data chunk")
 
 
+@functools.cache
+def _phases(up: int, down: int) -> np.ndarray:
+    return polyphase_filter(up, down)
+
+
 def polyphase_filter(up: int, down: int, taps_each: int = 16) -> np.ndarray:
     """Hann-windowed sinc, cut at the lower Nyquist rate, as one row of taps for each of the ``up`` phases."""
     n = 2 * taps_each * max(up, down) + 1
@@ -62,20 +75,27 @@ def polyphase_filter(up: int, down: int, taps_each: int = 16) -> np.ndarray:
     return (h / h.sum() * up).astype(np.float32).reshape(-1, up).T[:, ::-1].copy()
 
 
-def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Sample rate times up / down. Output k uses phase (k * down) mod up of the filter at input (k * down) div up."""
-    phases = polyphase_filter(up, down)
+def resample(samples: np.ndarray, up: int, down: int, first: int = 0, count: int | None = None) -> np.ndarray:
+    """Outputs first, first + 1, ... of samples, 8-bit or in [-1, 1], at rate times up / down; silence before and after.
+
+    Output k uses phase (k * down) mod up of the filter at input (k * down) div up, so a part equals that of the whole.
+    """
+    phases = _phases(up, down)
     taps = phases.shape[1]
-    count = -(-len(x) * up // down)
-    lead = taps // 2
-    padded = np.concatenate((np.zeros(lead, np.float32), x, np.zeros(taps, np.float32)))
+    count = -(-len(samples) * up // down) - first if count is None else count
+    base = first * down // up - taps // 2  # first input that the part uses
+    last = (first + count - 1) * down // up - taps // 2 + taps
+    x = np.zeros(last - base, np.float32)
+    a, b = max(base, 0), min(last, len(samples))
+    if b > a:
+        x[a - base : b - base] = (samples[a:b].astype(np.float32) - 128) / 128 if samples.dtype == np.uint8 else samples[a:b]
     out = np.empty(count, np.float32)
-    for first in range(min(up, count)):
-        # Outputs first, first + up, ... share a phase and step through the input by ``down``.
-        place, phase = divmod(first * down, up)
-        many = len(range(first, count, up))
-        span = np.lib.stride_tricks.as_strided(padded[place:], (many, taps), (padded.strides[0] * down, padded.strides[0]))
-        out[first::up] = span @ phases[phase]
+    for k in range(min(up, count)):
+        # Outputs k, k + up, ... share a phase and step through the input by ``down``.
+        place, phase = divmod((first + k) * down, up)
+        many = len(range(k, count, up))
+        span = np.lib.stride_tricks.as_strided(x[place - taps // 2 - base :], (many, taps), (x.strides[0] * down, x.strides[0]))
+        out[k::up] = span @ phases[phase]
     return out
 
 
@@ -92,16 +112,23 @@ def mel_filters() -> np.ndarray:
 _HANN, _MEL = np.hanning(WINDOW).astype(np.float32), mel_filters()
 
 
-def log_mel(x: np.ndarray) -> np.ndarray:
-    """frames x MELS log energies; at least one frame, the last padded with silence."""
-    frames = max(1, -(-(len(x) - WINDOW) // HOP) + 1)
-    x = np.concatenate((x, np.zeros(max(0, (frames - 1) * HOP + WINDOW - len(x)), np.float32)))
-    view = np.lib.stride_tricks.as_strided(x, (frames, WINDOW), (x.strides[0] * HOP, x.strides[0]))
+def log_mel(samples: np.ndarray, rate: int) -> np.ndarray:
+    """frames x MELS log energies of 8-bit samples; at least one frame, the last padded with silence."""
+    step = int(np.gcd(rate, TARGET_RATE))
+    up, down = TARGET_RATE // step, rate // step
+    length = -(-len(samples) * up // down)
+    frames = max(1, -(-(length - WINDOW) // HOP) + 1)
     out = np.empty((frames, MELS), np.float32)
     for at in range(0, frames, BLOCK_FRAMES):
-        spectrum = np.fft.rfft(view[at : at + BLOCK_FRAMES] * _HANN, FFT)
+        many = min(BLOCK_FRAMES, frames - at)
+        x = np.zeros((many - 1) * HOP + WINDOW, np.float32)
+        have = min(len(x), length - at * HOP)
+        if have > 0:
+            x[:have] = resample(samples, up, down, at * HOP, have)
+        view = np.lib.stride_tricks.as_strided(x, (many, WINDOW), (x.strides[0] * HOP, x.strides[0]))
+        spectrum = np.fft.rfft(view * _HANN, FFT)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        out[at : at + BLOCK_FRAMES] = np.log(power @ _MEL + np.float32(1e-6))
+        out[at : at + many] = np.log(power @ _MEL + np.float32(1e-6))
     return out
 
 
@@ -121,9 +148,7 @@ def segments(level: np.ndarray) -> np.ndarray:
 def features(media: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(chunks x CHUNK x MELS tensor, chunks x 2 spans in seconds, segments x 2 in seconds) of a WAV file."""
     samples, rate = from_wav(media)
-    step = np.gcd(rate, TARGET_RATE)
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel = log_mel(resample(x, int(TARGET_RATE // step), int(rate // step)))
+    mel = log_mel(np.frombuffer(samples, np.uint8), rate)
     found = segments(mel.mean(1))
     frames = len(mel)
     chunks = -(-frames // CHUNK)
@@ -168,47 +193,56 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("media")).schema)
 
 
+def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode_media`` as a table written to the shared folder, which is left to its owner to delete."""
+    spark = docs.sparkSession
+    path = f"{c.shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    encode_media(docs, id_col, text_col).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def audio_features(media: DataFrame) -> DataFrame:
-    """(doc_id, tensors binary, segments array<struct<start_s, end_s>>) from (doc_id, media)."""
-    schema = media.select("doc_id", F.lit(b"").alias("tensors"), F.array(F.struct(F.lit(0.0).alias("start_s"), F.lit(0.0).alias("end_s"))).alias("segments")).schema
+    """``media`` with tensors (binary) and segments (array<struct<start_s, end_s>>) appended, from the column media."""
+    own = [x for x in media.columns if x not in ("tensors", "segments")]
+    spans = F.array(F.struct(F.lit(0.0).alias("start_s"), F.lit(0.0).alias("end_s")))
+    schema = media.select(*own, F.lit(b"").alias("tensors"), spans.alias("segments")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [features(m) for m in c.column_of(part, "media").to_pylist()]
-                blobs = pa.array([to_tensors(t, s) for t, s, _ in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([c.column_of(part, "doc_id"), blobs, pa.array([[{"start_s": a, "end_s": b} for a, b in x.tolist()] for _, _, x in found], kind)], ["doc_id", "tensors", "segments"])
+        for batch in c.pieces(batches, "media", 2 << 20):
+            found = [features(m) for m in c.column_of(batch, "media").to_pylist()]
+            blobs = pa.array([to_tensors(t, s) for t, s, _ in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, blobs, pa.array([[{"start_s": a, "end_s": b} for a, b in x.tolist()] for _, _, x in found], kind)], schema.names)
 
-    return media.select("doc_id", "media").mapInArrow(run, schema)
+    return media.select(*own).mapInArrow(run, schema)
 
 
-def digest_row(media: bytes) -> tuple[int, str, int, int, str, str]:
-    """What a media value holds, read back from its stored bytes, with a summary of its stored features."""
-    payload, _ = from_wav(media)
-    tensor, spans, found = features(media)
-    tensor, spans = from_tensors(to_tensors(tensor, spans))
+def said(tensors: bytes, segments: list[dict]) -> str:
+    """A summary of the feature columns, from their stored form."""
+    tensor, spans = from_tensors(tensors)
     mean, spread = tensor.mean(dtype=np.float64), tensor.std(dtype=np.float64)
-    seconds = float((found[:, 1] - found[:, 0]).sum()) if len(found) else 0.0
-    said = f"chunks={len(tensor)};span={spans[-1, 1]:.4f};mean={mean:.3f};std={spread:.3f};segments={len(found)};active={seconds:.3f}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), said
+    seconds = sum(x["end_s"] - x["start_s"] for x in segments)
+    return f"chunks={len(tensor)};span={spans[-1, 1]:.4f};mean={mean:.3f};std={spread:.3f};segments={len(segments)};active={seconds:.3f}"
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """The digest columns of every document, its media encoded, read back and analysed in one pass over the texts."""
-    rows = docs.select("doc_id", "text")
+def digests_of(featured: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored media with features."""
     names = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
-    schema = rows.select("doc_id", *(F.lit(None).cast(k).alias(n) for n, k in names.items())).schema
+    schema = featured.select("doc_id", *(F.lit(None).cast(k).alias(n) for n, k in names.items())).schema
     kinds = {"long": pa.int64(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in c.pieces(batches, "text", 2 << 20):
+        for batch in c.pieces(batches, "media", 2 << 20):
             made = []
-            for text in c.column_of(batch, "text").to_pylist():
-                payload, n = payload_of(text)
-                made.append((n, *digest_row(to_wav(payload))))
+            for n, media, tensors, segments in zip(*(c.column_of(batch, x).to_pylist() for x in ("n_bytes", "media", "tensors", "segments")), strict=True):
+                payload, _ = from_wav(media)
+                made.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), said(tensors, segments)))
             columns = [pa.array(x, kinds[k]) for x, k in zip(zip(*made, strict=True), names.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([c.column_of(batch, "doc_id"), *columns], ["doc_id", *names])
 
-    return rows.mapInArrow(run, schema)
+    return featured.select("doc_id", "n_bytes", "media", "tensors", "segments").mapInArrow(run, schema)
+
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """``digests_of`` every document: its media written, read back and analysed."""
+    return digests_of(audio_features(stored_media(docs)))
