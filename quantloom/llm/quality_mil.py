@@ -10,7 +10,9 @@ label (the smallest hashes of the ids), each with all of its passages. It runs o
 and is deterministic. A document with several labels has their mean, 0.5 or more being 1.
 
 Edge cases: null or empty text is one passage of zeros; labels that are null, or of unknown ids, are ignored; without
-labelled documents of both kinds every score is the share of label 1, or 0.5. Extra columns are ignored.
+labelled documents of both kinds every score is the share of label 1, or 0.5; rows repeating an id are scored each, and
+the smallest of their texts is learnt; a very long text is one bag, in a batch of its own, in work arrays of some 36
+times its bytes; an empty table gives no row. Extra columns are ignored by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -160,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     present = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = present.where("y = 1").orderBy(*order).limit(SAMPLE).union(present.where("y = 0").orderBy(*order).limit(SAMPLE))
-    bags = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    # Of rows repeating an id the smallest text, so that reruns learn the same.
+    bags = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.pieces(batches, "text"):
