@@ -6,32 +6,39 @@ Exact set-similarity join in size-banded tiles:
    reading gives each row's class, the signature of each class, and the number of documents of each n-gram;
 2. n-grams in more than ``hot`` documents (counted over the whole corpus) are ordered last, all others by hash. A pair
    at the threshold must share one of the first ``n - ceil(t n) + 1`` n-grams of that order, so a class enters the
-   tiles of those n-grams only. A tile of an ordinary n-gram has at most ``hot`` classes: pairs inside the size band
-   are candidates, and bitmap signatures bound their overlap from above before they may connect two classes;
-3. classes whose prefix reaches hot n-grams (families of thousands of near copies) are not paired: each such tile is
-   a star around its smallest class;
+   tiles of those n-grams only. In a tile of at most ``hot`` classes pairs inside the size band are candidates, and
+   bitmap signatures bound their overlap from above before they may connect two classes;
+3. larger tiles are not paired, whatever n-gram they belong to: each is a star around its smallest class;
 4. candidates make coarse components, a superset of the true ones. Each is cut into blocks of bounded size ordered by
-   set size, and tiles of two size-compatible blocks are checked: bitmap bound first, then exact intersection of the
-   sorted arrays. Classes that a tile already connects are not compared again, so a tile emits a spanning forest;
-5. the exact links of all tiles make the final components.
+   set size. Blocks are checked alone, then each with the next one in size, then any two of a component whose classes
+   are not all connected by then: bitmap bound first, then exact intersection of the sorted arrays. Classes that are
+   already connected are not compared again, so a family of near copies, however large, ships each set three times;
+5. the exact links make the final components.
 
-Every text is read in full. Sets are compared by 64-bit n-gram hashes. No pair list of a hot group is ever made; the
-work inside one family of m mutually similar but different texts is still O(m^2) bitmap comparisons, spread over
-tiles of bounded size.
+Every text is read in full. A class is named by 64 bits; a second 64-bit sum tells when two different sets share that
+name, and such names are then made from both sums, so an identity has 128 bits. No pair list of a hot group is ever made. Two
+blocks of one coarse component that stay unconnected are compared with each other, so a component of B blocks with no
+true links costs O(B^2) shipped blocks.
+
+Filters that executors hold are sized from counted keys; beyond ``FILTER_BYTES`` that of wanted classes is cut into
+parts, each a reading of the texts, and that of hot n-grams keeps to those in the most documents. A reducer of counts
+holds the share of one range of n-gram names; there are RANGES ranges for each input split or more.
 
 Edge cases: null or empty text has an empty set and links with nothing; fewer words than ``n`` give one n-gram;
-repeated rows and equal texts share a class; a null id never becomes a component's id unless all its ids are null.
-Extra columns are ignored.
+repeated rows and equal texts share a class; a null id never becomes a component's id unless all its ids are null; a
+very long text is one set, hashed in segments; an empty table gives no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -42,24 +49,31 @@ LANES = 8
 COUNT_BITS = 40
 #: N-grams held in a task before it hands over counts.
 FLUSH = 4_000_000
-#: At most so many hot n-grams are named (8 bytes each, sent to every executor); the bar rises to keep to it.
-HOT_CAPACITY = 1_000_000
+#: Ranges of n-gram names for each input split.
+RANGES = 8
+#: Bits of a filter a key, and bytes of a filter (or a part of it) that an executor holds.
+KEY_BITS, FILTER_BYTES = 32, 64 << 20
 #: N-grams in a block of a tile (8 bytes each).
 BLOCK = 1_000_000
 
 
-ROW_NAMES = ["doc_id", "n_shingles", "class_key", "bits"]
+ROW_NAMES = ["doc_id", "mark", "n_shingles", "class_key", "check", "bits"]
+ROW_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 #: Kinds of what a tile gives: candidate pairs, links of a star, and (n-gram, centre) of a star.
 PAIR, STAR, CENTRE = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Similarity:
-    """Links need ``100 * intersection >= percent * union`` over distinct ``n``-word shingles."""
+    """Links need ``100 * intersection >= percent * union`` over distinct ``n``-word shingles.
+
+    Classes carry ``name_bits`` bits of their first sum, as long as no two share it; fewer only make clashes likelier.
+    """
 
     n: int = 5
     percent: int = 80
     hot: int = 48
+    name_bits: int = 64
 
     def prefix(self, size):
         return size - -(-self.percent * size // 100) + 1
@@ -91,10 +105,24 @@ def shingles(column: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def class_key(grams: np.ndarray) -> int:
-    """64-bit name of a set, as a signed long."""
-    total = c.mix(grams ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
-    return int(c.mix(np.array([total + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
+_FIRST, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+
+
+def set_sum(grams: np.ndarray, salt: np.uint64, bits: int = 64) -> int:
+    """The top bits of a 64-bit sum over a set and its size, as a signed long."""
+    total = c.mix(grams ^ salt).sum(dtype=np.uint64)
+    return int((c.mix(np.array([total + np.uint64(len(grams))], np.uint64)) >> np.uint64(64 - bits)).view(np.int64)[0])
+
+
+def class_key(grams: np.ndarray, rule: Similarity, clashes: frozenset = frozenset()) -> int:
+    """Name of a set: its first sum, or one made from both where different sets share the first."""
+    key = set_sum(grams, _FIRST, rule.name_bits)
+    return both_sums(key, set_sum(grams, _SECOND)) if key in clashes else key
+
+
+def both_sums(key: int, check: int) -> int:
+    pair = np.array([key, check], np.int64).view(np.uint64)
+    return int(c.mix(pair[:1] + c.mix(pair[1:])).view(np.int64)[0])
 
 
 def lanes_of(size: int) -> int:
@@ -115,23 +143,23 @@ def fold(bits: np.ndarray, lanes: int) -> np.ndarray:
     return bits
 
 
-def classes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.ndarray]]:
+def classes(batches: Iterator[pa.RecordBatch], rule: Similarity, clashes: frozenset) -> Iterator[tuple[int, np.ndarray]]:
     """(key, set) of each class once a task; empty sets are left out."""
     seen: set[int] = set()
     for batch in c.pieces(batches, "text"):
-        for grams in shingles(c.column_of(batch, "text"), n):
-            if len(grams) and (key := class_key(grams)) not in seen:
+        for grams in shingles(c.column_of(batch, "text"), rule.n):
+            if len(grams) and (key := class_key(grams, rule, clashes)) not in seen:
                 seen.add(key)
                 yield key, grams
 
 
 # --------------------------------------------------------------------- counting documents, rows and signatures
-def _runs(batches, n: int, ranges: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches, rule: Similarity, ranges: int) -> Iterator[pa.RecordBatch]:
     """What one reading of the texts gives: (part, gaps, more).
 
     Parts from 0 hold the distinct n-grams of a task as sorted runs, one for each range of identities, with counts.
-    Parts below 0 hold, in ``gaps``, Arrow streams of (doc_id, n_shingles, class_key, bits): every row of the input,
-    with the signature where the task meets a class first.
+    Parts below 0 hold, in ``gaps``, Arrow streams of ROW_NAMES: every row of the input, with the signature where the
+    task meets a class first. They are dealt out by turns.
     """
     shift, span = np.uint64(64 - COUNT_BITS), (1 << COUNT_BITS) // ranges
 
@@ -144,23 +172,27 @@ def _runs(batches, n: int, ranges: int) -> Iterator[pa.RecordBatch]:
         rows = [(r, ids[a:b] - np.uint64(r * span), times[a:b]) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         return sent([(r, _pack(np.diff(x, prepend=np.uint64(0))), _pack(t - 1)) for r, x, t in rows])
 
-    seen: set[int] = set()
+    seen: set[tuple] = set()
     held, size = [], 0
+    turn = TaskContext.get().partitionId() * 7919
     for batch in c.pieces(batches, "text"):
-        found = shingles(c.column_of(batch, "text"), n)
-        keys = [class_key(x) if len(x) else None for x in found]
+        found = shingles(c.column_of(batch, "text"), rule.n)
+        keys = [set_sum(x, _FIRST, rule.name_bits) if len(x) else None for x in found]
+        checks = [set_sum(x, _SECOND) if len(x) else None for x in found]
         bits = [None] * len(found)
-        for k, (key, grams) in enumerate(zip(keys, found, strict=True)):
-            if key is not None and key not in seen:
-                seen.add(key)
+        for k, (name, grams) in enumerate(zip(zip(keys, checks, strict=True), found, strict=True)):
+            if len(grams) and name not in seen:
+                seen.add(name)
                 bits[k] = bitmap(grams, lanes_of(len(grams)))
                 held.append(grams)
                 size += len(grams)
-        rows = pa.RecordBatch.from_arrays([c.column_of(batch, "doc_id").cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], ROW_NAMES)
+        columns = [c.column_of(batch, "doc_id"), c.column_of(batch, "mark"), [len(x) for x in found], keys, checks, bits]
+        rows = pa.RecordBatch.from_arrays([x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(columns, ROW_KINDS, strict=True)], ROW_NAMES)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as out:
             out.write_batch(rows)
-        yield sent([(-1 - next((x for x in keys if x is not None), 0) % ranges, sink.getvalue().to_pybytes(), b"")])
+        turn += 1
+        yield sent([(-1 - turn % ranges, sink.getvalue().to_pybytes(), b"")])
         if size >= FLUSH:
             yield run(held)
             held, size = [], 0
@@ -196,44 +228,41 @@ def _merged(table: pa.Table, hot: int) -> pa.Table:
     ids, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
     df = np.bincount(at, np.concatenate([x for _, x in found])).astype(np.int64)
     keep = df > hot
-    none = pa.nulls(int(keep.sum()))
-    return pa.table([pa.array(np.full(keep.sum(), part), pa.int32()), ids[keep].astype(np.int64), df[keep], none.cast(pa.int64()), none.cast(pa.binary())], ["part", *ROW_NAMES])
+    none = [pa.nulls(int(keep.sum()), kind) for kind in ROW_KINDS[2:]]
+    return pa.table([pa.array(np.full(keep.sum(), part), pa.int32()), ids[keep].astype(np.int64), df[keep], *none], ["part", *ROW_NAMES])
 
 
-def counted_rows(rows: DataFrame, rule: Similarity) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, class_key, bits) of every row, and the sorted identities of hot n-grams.
+def counted_rows(rows: DataFrame, rule: Similarity) -> tuple[DataFrame, np.ndarray, frozenset]:
+    """ROW_NAMES of every row, the filter of hot n-grams, and first sums that different sets share.
 
     Hot are n-grams in more than ``rule.hot`` documents, named by their top ``COUNT_BITS`` bits. Every n-gram of every
-    text is counted, exact copies once a task. If more than ``HOT_CAPACITY`` qualify, the bar doubles until they fit;
-    any bar gives the same links, a higher one larger tiles. ``bits`` is there at least once for each class.
+    text is counted, exact copies once a task. Where the filter would exceed FILTER_BYTES, the bar doubles until the
+    rest fit, and so it does for a false hit: any bar gives the same links, since an n-gram is only ordered by it, and
+    a tile of more than ``rule.hot`` classes is a star anyway. ``bits`` is there at least once for each class.
     """
-    spark = rows.sparkSession
-    ranges = 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    n, hot = rule.n, rule.hot
-    runs = rows.mapInArrow(lambda it: _runs(it, n, ranges), "part int, gaps binary, more binary")
-    merged = c.checkpointed(runs.groupBy("part").applyInArrow(lambda t: _merged(t, hot), "part int, doc_id long, n_shingles long, class_key long, bits binary"))
-    counts = merged.where("part >= 0").select("part", F.col("doc_id").alias("id"), F.floor(F.log2(F.col("n_shingles") / hot)).alias("level"))
-    tally = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()}
-    level = next(k for k in range(64) if sum(n for at, n in tally.items() if at >= k) <= HOT_CAPACITY)
-    found = counts.where(F.col("level") >= level).select("part", "id").toArrow()
+    splits = max(rows.rdd.getNumPartitions(), 32)
+    ranges = 1 << (RANGES * splits - 1).bit_length()
+    hot = rule.hot
+    runs = rows.mapInArrow(lambda it: _runs(it, rule, ranges), "part int, gaps binary, more binary")
+    merged = c.checkpointed(runs.groupBy("part").applyInArrow(lambda t: _merged(t, hot), "part int, doc_id long, mark long, n_shingles long, class_key long, check long, bits binary"))
+    counts = merged.where("part >= 0").select("part", F.col("doc_id").alias("id"), F.floor(F.log2(F.col("mark") / hot)).alias("level"))
+    tally = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()}  # at most 64 rows
+    level = next(k for k in range(64) if sum(n for at, n in tally.items() if at >= k) * KEY_BITS <= FILTER_BYTES * 8)
     span = (1 << COUNT_BITS) // ranges
-    names = np.sort(found.column("part").to_numpy().astype(np.uint64) * np.uint64(span) + found.column("id").to_numpy().astype(np.uint64))
-    return merged.where("part < 0").select(*ROW_NAMES), names
+    names = counts.where(F.col("level") >= level).select((F.col("part").cast("long") * span + F.col("id")).alias("key"))
+    named = merged.where("part < 0").select(*ROW_NAMES)
+    sums = named.where("class_key is not null").groupBy("class_key").agg(F.min("check").alias("a"), F.max("check").alias("b"))
+    # Of 1e10 sets about three pairs share a first sum.
+    clashes = frozenset(r["class_key"] for r in sums.where("a <> b").select("class_key").collect())
+    if clashes:
+        apart = F.udf(both_sums, "long")
+        named = named.withColumn("class_key", F.when(F.col("class_key").isin(*clashes), apart("class_key", "check")).otherwise(F.col("class_key")))
+    return named, filter_of(names, sum(n for at, n in tally.items() if at >= level)), clashes
 
 
 # ------------------------------------------------------------------------------------------- candidates
-def _prefixes(batches, rule: Similarity, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches, rule: Similarity, hot: np.ndarray, clashes: frozenset) -> Iterator[pa.RecordBatch]:
     """(shingle, is_hot, key, size) for the first n-grams of each class, hot ones last."""
-    door = np.zeros(1 << 16, bool)
-    door[(hot >> np.uint64(COUNT_BITS - 16)).astype(np.int64)] = True
-
-    def flags(grams):
-        out = door[(grams >> np.uint64(48)).astype(np.int64)]
-        if out.any():
-            ids = grams[out] >> np.uint64(64 - COUNT_BITS)
-            at = np.minimum(np.searchsorted(hot, ids), len(hot) - 1)
-            out[out] = hot[at] == ids
-        return out
 
     def flush():
         sizes = [len(x) for x, _, _ in held]
@@ -248,9 +277,9 @@ def _prefixes(batches, rule: Similarity, hot: np.ndarray) -> Iterator[pa.RecordB
         )
 
     held, size = [], 0
-    for key, grams in classes(batches, rule.n):
+    for key, grams in classes(batches, rule, clashes):
         p = rule.prefix(len(grams))
-        is_hot = flags(grams) if len(hot) else np.zeros(len(grams), bool)
+        is_hot = filter_has(hot, (grams >> np.uint64(64 - COUNT_BITS)).view(np.int64))
         cold = grams[~is_hot][:p]
         late = grams[is_hot][: p - len(cold)]
         held.append((np.concatenate((cold, late)), np.arange(p) >= len(cold), (key, len(grams))))
@@ -265,8 +294,8 @@ def _prefixes(batches, rule: Similarity, hot: np.ndarray) -> Iterator[pa.RecordB
 def _tiles(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
     """(kind, a, b) from rows sorted by shingle and size.
 
-    Classes of an ordinary n-gram pair up inside the size band. Those of a hot one, of which a task has a share, form
-    a star around the smallest; its centre is named so that the shares can be joined.
+    Classes of an n-gram in at most ``rule.hot`` of them pair up inside the size band; those of a larger tile form a star
+    around the smallest. Of a hot n-gram a task has a share only; its centre is named so that the shares can be joined.
     """
 
     def given(kind, a, b):
@@ -276,6 +305,14 @@ def _tiles(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
         columns = [tile.column(x).to_numpy() for x in ("shingle", "key", "size")]
         is_hot = tile.column("is_hot").to_numpy()
         shingle, key, size = (x[~is_hot] for x in columns)
+        if len(key):
+            starts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+            sizes = np.diff(starts, append=len(key))
+            if sizes.max() > rule.hot:
+                large = np.repeat(sizes > rule.hot, sizes)
+                around = np.repeat(np.minimum.reduceat(key, starts), sizes)
+                yield given(STAR, around[large & (around != key)], key[large & (around != key)])
+                shingle, key, size = (x[~large] for x in (shingle, key, size))
         size = size.astype(np.int64)
         lag = 1
         while lag < len(key):
@@ -297,47 +334,60 @@ def _tiles(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
             yield given(CENTRE, shingle[starts], centre)
 
 
-def _wanted(batches, n: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, size, data) of classes that may be wanted; data is the set itself. ``wanted`` is a filter."""
+def _wanted(batches, rule: Similarity, wanted: np.ndarray, part: int, parts: int, clashes: frozenset) -> Iterator[pa.RecordBatch]:
+    """(key, mark, size, data) of the rows that may be wanted, by their marks; data is the set itself."""
 
     def flush():
-        data = [x.tobytes() for _, x in held]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([len(x) for _, x in held], pa.int32()), pa.array(data, pa.binary())], ["key", "size", "data"])
+        data = [x.tobytes() for _, _, x in held]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in held], pa.int64()), pa.array([m for _, m, _ in held], pa.int64()), pa.array([len(x) for _, _, x in held], pa.int32()), pa.array(data, pa.binary())], ["key", "mark", "size", "data"])
 
     held, size = [], 0
-    for key, grams in classes(batches, n):
-        if filter_has(wanted, np.array([key], np.int64))[0]:
-            held.append((key, grams))
-            size += len(grams)
-            if size >= BLOCK:
-                yield flush()
-                held, size = [], 0
+    for batch in batches:
+        marks = c.column_of(batch, "mark").to_numpy(zero_copy_only=False)
+        rows = batch.filter(pa.array(filter_has(wanted, marks) & (marks % parts == part)))
+        for piece in c.pieces([rows], "text"):
+            for mark, grams in zip(c.column_of(piece, "mark").to_pylist(), shingles(c.column_of(piece, "text"), rule.n), strict=True):
+                if len(grams):
+                    held.append((class_key(grams, rule, clashes), mark, grams))
+                    size += len(grams)
+                    if size >= BLOCK:
+                        yield flush()
+                        held, size = [], 0
     if held:
         yield flush()
 
 
-def wanted_classes(texts: DataFrame, n: int, keys: DataFrame) -> DataFrame:
-    """(key, size, data) once for each class in ``keys`` (and a few more that its filter lets through), hashed by key."""
-    wanted = texts.sparkSession.sparkContext.broadcast(filter_of(keys))
-    found = texts.mapInArrow(lambda it: _wanted(it, n, wanted.value), "key long, size int, data binary")
-    return found.repartition("key").dropDuplicates(["key"])
+def wanted_classes(rows: DataFrame, rule: Similarity, keys: DataFrame, clashes: frozenset) -> DataFrame:
+    """(key, size, data) once for each class of ``keys`` (key, mark), where mark names the one row that it is read from."""
+    spark, count = rows.sparkSession, keys.count()
+    parts = max(1, -(-count * KEY_BITS // (FILTER_BYTES * 8)))
 
+    def reader(wanted, part: int):
+        return lambda it: _wanted(it, rule, wanted.value, part, parts, clashes)
 
-#: log2 of the bits of the filter of wanted classes: 4 MB whatever the corpus.
-FILTER_BITS = 25
+    found = []
+    for part in range(parts):
+        own = keys.select(F.col("mark").alias("key")).where(F.pmod("key", F.lit(parts)) == part)
+        found.append(rows.select("mark", "text").mapInArrow(reader(spark.sparkContext.broadcast(filter_of(own, -(-count // parts))), part), "key long, mark long, size int, data binary"))
+    found = reduce(DataFrame.unionByName, found)
+    # Rows repeating an id and a text share a mark, and a few marks only pass the filter.
+    return found.join(keys.select("key", "mark"), ["key", "mark"]).dropDuplicates(["key"]).select("key", "size", "data")
 
 
 def filter_has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = c.mix(keys.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+    """Which keys may be in a filter; its number of bits is a power of two."""
+    at = c.mix(keys.view(np.uint64)) >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def filter_of(keys: DataFrame) -> np.ndarray:
-    """A filter of a long column ``key``, built by the executors in slices of 512 bytes; false hits only cost time."""
+def filter_of(keys: DataFrame, count: int) -> np.ndarray:
+    """A filter of ``count`` longs ``key``, built by the executors in slices of 512 bytes; false hits only cost time."""
+    log = max(12, (max(count, 1) * KEY_BITS - 1).bit_length())
+    log -= (1 << log) > FILTER_BYTES * 8
 
     def slices(batches):
         for batch in batches:
-            at = c.mix(c.column_of(batch, "key").to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+            at = c.mix(c.column_of(batch, "key").to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - log)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(12)).astype(np.int32)), pa.array((at & np.uint64(4095)).astype(np.int32))], ["slice", "bit"])
 
     def merge(table):
@@ -346,7 +396,7 @@ def filter_of(keys: DataFrame) -> np.ndarray:
         return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     made = keys.select("key").mapInArrow(slices, "slice int, bit int").distinct().groupBy("slice").applyInArrow(merge, "slice int, bits binary").toArrow()
-    out = np.zeros((1 << FILTER_BITS - 12, 512), np.uint8)
+    out = np.zeros((1 << log - 12, 512), np.uint8)
     for at, bits in zip(made.column("slice").to_pylist(), made.column("bits").to_pylist(), strict=True):
         out[at] = np.frombuffer(bits, np.uint8)
     return out.ravel()
@@ -415,44 +465,71 @@ def _verify(batches, rule: Similarity) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
-def exact_links(texts: DataFrame, coarse: DataFrame, rule: Similarity) -> DataFrame:
+def exact_links(rows: DataFrame, coarse: DataFrame, rule: Similarity, clashes: frozenset) -> DataFrame:
     """Spanning links (a, b) of each coarse component, checked in tiles of one or two blocks.
 
-    ``coarse`` has (key, component, size). A set is shuffled once by its key and once to each of its tiles.
+    ``coarse`` has (key, component, size, mark). A set is shuffled once by its key and once to each of its tiles.
     """
-    sizes = coarse
     # Blocks by set size: bands of 2**(1/8) in size first, so that a window never has to hold a whole component.
     band = F.floor(F.log2(F.col("size").cast("double")) * 8)
     salt = F.when(F.col("many"), F.pmod(F.xxhash64("key"), F.ceil(F.col("weight") / BLOCK))).otherwise(F.lit(0))
-    whole = sizes.groupBy("component").agg(F.sum("size").alias("total"))
-    banded = sizes.groupBy("component", band.alias("band")).agg(F.sum("size").alias("weight"))
+    whole = coarse.groupBy("component").agg(F.sum("size").alias("total"))
+    banded = coarse.groupBy("component", band.alias("band")).agg(F.sum("size").alias("weight"))
     placed = (
-        sizes.withColumn("band", band)
+        coarse.withColumn("band", band)
         .join(whole, "component")
         .join(banded, ["component", "band"])
         .withColumn("many", F.col("total") > BLOCK)
         .withColumn("band", F.when(F.col("many"), F.col("band")).otherwise(F.lit(0)))
         .withColumn("salt", salt)
-        .select("key", "component", F.xxhash64("component", "band", "salt").alias("block"), "size")
+        .select("key", "component", F.xxhash64("component", "band", "salt").alias("block"), "size", "mark")
     )
     placed = c.checkpointed(placed)
+
+    def checked(members: DataFrame, wanted: DataFrame) -> DataFrame:
+        sets = wanted_classes(rows, rule, wanted, clashes).join(members, "key").select("tile", "block", "key", "size", "data")
+        return c.checkpointed(sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _verify(it, rule), "a long, b long"))
+
+    def of_tiles(tiles: DataFrame) -> DataFrame:
+        """Links of tiles (block, block2); only sets of their blocks are read."""
+        tiles = tiles.select("block", "block2", F.xxhash64("block", "block2").alias("tile"))
+        sides = tiles.select("tile", "block").union(tiles.select("tile", "block2"))
+        members = c.checkpointed(sides.join(placed, "block").select("key", "mark", "tile", "block"))
+        return checked(members.drop("mark"), members.select("key", "mark").distinct())
+
+    links = checked(placed.select("key", F.col("block").alias("tile"), "block"), placed)
     blocks = placed.groupBy("component", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    other = blocks.select("component", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    blocks = c.checkpointed(blocks.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where("n > 1").drop("n"))
+    if blocks.isEmpty():
+        return links
+    following = Window.partitionBy("component").orderBy("low", "high", "block")
+    ring = blocks.withColumn("block2", F.lead("block").over(following)).withColumn("low2", F.lead("low").over(following)).where("block2 is not null")
+    ring = c.checkpointed(ring.where(F.col("low2") * rule.percent <= F.col("high") * 100).select("block", "block2"))
+    links = links.union(of_tiles(ring))
+    label = c.components(links).toDF("key", "label")
+    own = placed.join(blocks.select("block"), "block", "left_semi").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    pure = own.groupBy("block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    left = blocks.join(pure, "block")
+    right = left.toDF(*(x if x == "component" else f"{x}2" for x in left.columns))
     near = (F.col("low") * rule.percent <= F.col("high2") * 100) & (F.col("low2") * rule.percent <= F.col("high") * 100)
-    tiles = blocks.join(other, "component").where((F.col("block") <= F.col("block2")) & near).select("block", "block2", F.xxhash64("component", "block", "block2").alias("tile"))
-    members = tiles.select("tile", "block").union(tiles.where("block <> block2").select("tile", "block2"))
-    members = members.join(placed.select("key", "block"), "block")
-    rows = wanted_classes(texts, rule.n, placed).join(members, "key").select("tile", "block", "key", "size", "data")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _verify(it, rule), "a long, b long")
+    connected = (F.col("least") == F.col("most")) & (F.col("least2") == F.col("most2")) & (F.col("least") == F.col("least2"))
+    rest = left.join(right, "component").where((F.col("block") < F.col("block2")) & near & ~connected).select("block", "block2")
+    done = ring.select(F.least("block", "block2").alias("block"), F.greatest("block", "block2").alias("block2"))
+    rest = c.checkpointed(rest.join(done, ["block", "block2"], "left_anti"))
+    return links if rest.isEmpty() else links.union(of_tiles(rest))
 
 
 def ngram_components(docs: DataFrame, rule: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_key) for every row of ``docs``; see the module's text."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts, spark = rows.select("text"), docs.sparkSession
-    named, names = counted_rows(rows, rule)
+    """(doc_id, mark, n_shingles, component_id, component, class_key) for every row of ``docs``; see the module's text.
+
+    ``mark`` is ``row_mark`` of the row, which names its id and text. ``component`` is the smallest class of the
+    component: where rows repeat an id with different texts, two components may have the same smallest id.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_mark(id_col, text_col).alias("mark"))
+    spark = docs.sparkSession
+    named, names, clashes = counted_rows(rows, rule)
     hot = spark.sparkContext.broadcast(names)
-    entries = texts.mapInArrow(lambda it: _prefixes(it, rule, hot.value), "shingle long, is_hot boolean, key long, size int")
+    entries = rows.select("text").mapInArrow(lambda it: _prefixes(it, rule, hot.value, clashes), "shingle long, is_hot boolean, key long, size int")
 
     # Hot n-grams are salted by class, since one of them may hold a large part of all classes.
     salt = F.when(F.col("is_hot"), F.pmod("key", F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))).otherwise(F.lit(0))
@@ -460,39 +537,47 @@ def ngram_components(docs: DataFrame, rule: Similarity, id_col: str = "doc_id",
     tiles = c.checkpointed(dealt.mapInArrow(lambda it: _tiles(it, rule), "kind int, a long, b long").distinct())
     pairs = tiles.where(F.col("kind") == PAIR).select("a", "b")
     shares = tiles.where(F.col("kind") == CENTRE).select(F.col("a").alias("shingle"), "b")
-    # One row a hot n-gram, at most HOT_CAPACITY of them, of 16 bytes each.
-    centres = F.broadcast(shares.groupBy("shingle").agg(F.min("b").alias("a")))
+    centres = shares.groupBy("shingle").agg(F.min("b").alias("a"))
     stars = tiles.where(F.col("kind") == STAR).select("a", "b").union(shares.join(centres, "shingle").where("a <> b").select("a", "b").distinct())
 
     keys = tiles.where(F.col("kind") != CENTRE).select(F.explode(F.array("a", "b")).alias("key")).union(shares.select("b")).distinct()
-    marks = named.where("bits is not null").select(F.col("class_key").alias("key"), F.col("n_shingles").cast("int").alias("size"), F.col("bits").alias("data"))
-    marks = c.checkpointed(marks.join(keys, "key", "left_semi").dropDuplicates(["key"]))
+    marks = named.where("bits is not null").select(F.col("class_key").alias("key"), F.col("n_shingles").cast("int").alias("size"), "bits", "mark")
+    marks = c.checkpointed(marks.join(keys, "key", "left_semi").groupBy("key").agg(F.min("size").alias("size"), F.min("bits").alias("data"), F.min("mark").alias("mark")))
+    of = marks.select("key", "size", "data")
     bounded = (
-        pairs.join(marks.toDF("a", "na", "xa"), "a")
-        .join(marks.toDF("b", "nb", "xb"), "b")
+        pairs.join(of.toDF("a", "na", "xa"), "a")
+        .join(of.toDF("b", "nb", "xb"), "b")
         .select("a", "b", "na", "nb", "xa", "xb")
         .mapInArrow(lambda it: _bounded(it, rule), "a long, b long")
     )
-    coarse = c.components(bounded.union(stars)).withColumnRenamed("node", "key").join(marks.select("key", "size"), "key")
-    final = c.components(exact_links(texts, coarse, rule)).withColumnRenamed("node", "key")
-    return _labelled(named.drop("bits"), final)
+    coarse = c.components(bounded.union(stars)).withColumnRenamed("node", "key").join(marks.select("key", "size", "mark"), "key")
+    final = c.components(exact_links(rows, coarse, rule, clashes)).withColumnRenamed("node", "key")
+    return _labelled(named.select("doc_id", "mark", "n_shingles", "class_key"), final)
+
+
+def row_mark(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), text_col)
 
 
 def _labelled(named: DataFrame, final: DataFrame) -> DataFrame:
     least = named.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("least"))
     least = least.join(final.toDF("class_key", "component"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
     ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = least.join(ids, "component").select("class_key", "component_id")
-    return named.join(ids, "class_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_key")
+    rows = named.join(least.join(ids, "component").select("class_key", "component", "component_id"), "class_key", "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "mark", "n_shingles", own.alias("component_id"), "component", "class_key")
 
 
 def keep_one(docs: DataFrame, rule: Similarity) -> DataFrame:
-    """One document of each component stays, the one of the smallest id; documents without words all stay.
+    """One document of each component stays; documents without words all stay. Columns of ``docs`` come back unchanged.
 
-    Of rows repeating that id one stays. Rows without an id cannot be named by another and stay. The columns of
-    ``docs`` come back unchanged.
+    The smallest id stays, and where several texts of the component have it, the one of the smallest ``row_mark``. Rows of
+    one id whose texts are not similar are in components of their own. Of rows repeating id and text one stays, the
+    first by the hash of all its columns. Rows without an id cannot be named by another and stay.
     """
-    found = ngram_components(docs, rule)
-    stay = found.where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.unionByName(docs.where("doc_id is null"))
+    found = ngram_components(docs, rule).where("doc_id is not null and n_shingles > 0")
+    stay = found.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("w")).select("w.doc_id", "w.mark").distinct()
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(c.WORD_PATTERN), F.lit(False))
+    rows = docs.where(~alone).select(F.col("doc_id").cast("long").alias("doc_id"), row_mark("doc_id", "text").alias("mark"), F.struct(*docs.columns).alias("own"), F.xxhash64(*docs.columns).alias("first"))
+    once = rows.join(stay, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(F.min_by("own", "first").alias("own"))
+    return once.select("own.*").unionByName(docs.where(alone))

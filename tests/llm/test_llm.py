@@ -222,3 +222,243 @@ def test_classifier_separates_shouting(spark):
     d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
     out = quality_mil.score(d, quality_mil.fit(d, lab)).where("held_out").collect()
     assert out and all(r["predicted"] == r["doc_id"] % 2 for r in out)
+
+
+def test_word_hashes_have_no_structure():
+    # Words that a polynomial modulo a power of two cannot tell apart.
+    words = []
+    for k in range(10, 14):
+        word = "a"
+        while len(word) < 1 << k:
+            word += word.translate(str.maketrans("ab", "ba"))
+        words += [word, word.translate(str.maketrans("ab", "ba"))]
+    assert len(set(common.hashed_words(pa.array(words))[0].tolist())) == len(words)
+    hashes = common.hashed_words(pa.array([" ".join(["q" * 70, "x" * 3_000_000, "y", "q" * 70]), "Q" * 70]))[0]
+    assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[3] == hashes[4]
+
+
+def test_ngram_join_tells_structured_texts_apart(spark):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join(word)), (2, " ".join(word.translate(str.maketrans("ab", "ba"))) + " c c"), (3, word), (4, word.translate(str.maketrans("ab", "ba")))]
+    out = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), queries.NEAR).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out if r["doc_id"] > 2} == {3: 3, 4: 4}
+
+
+def test_classes_that_share_a_name_are_told_apart(spark):
+    # Names of one bit, so that nearly all sets clash.
+    rule = ngram_join.Similarity(4, 85, name_bits=1)
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(40))) for k in range(20)]
+    rows += [(100 + k, t + " more") for k, t in rows[:5]] + [(200, rows[0][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    marked = d.select("doc_id", "text", ngram_join.row_mark("doc_id", "text").alias("mark"))
+    named, _, clashes = ngram_join.counted_rows(marked, rule)
+    assert clashes == {0, 1}
+    grams = ngram_join.shingles(pa.array([t for _, t in rows]), 4)
+    want = [ngram_join.both_sums(ngram_join.set_sum(x, ngram_join._FIRST, 1), ngram_join.set_sum(x, ngram_join._SECOND)) for x in grams]
+    assert {r["doc_id"]: r["class_key"] for r in named.collect()} == {k: w for (k, _), w in zip(rows, want, strict=True)} and len(set(want)) == 25
+    got = [{r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(d, r).collect()} for r in (rule, queries.NEAR)]
+    assert got[0] == got[1] and got[0][100] == got[0][200] == 0
+
+
+def test_blocks_of_a_family_are_checked_until_connected(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    rows = []
+    for family in range(3):
+        base = [word() for _ in range(120)]
+        for k in range(60):
+            text = list(base)
+            text[k] = word()
+            rows.append((family * 1000 + k, " ".join(text + [word() for _ in range(k % 7)])))
+    # Texts made of the same hot n-grams as a family, and similar to none.
+    rows += [(5000 + k, " ".join(rows[0][1].split()[k : k + 40])) for k in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(x.tolist()) for x in ngram_join.shingles(pa.array([t for _, t in rows]), 4)]
+    least = list(range(len(rows)))
+    for _ in range(20):
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if 100 * len(x & y) >= 85 * len(x | y):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(d, ngram_join.Similarity(4, 85, hot=8)).collect()}
+    assert got == {rows[k][0]: rows[least[k]][0] for k in range(len(rows))}
+
+
+def test_keep_one_judges_rows_of_one_id_by_their_texts(spark):
+    a, b, e = (" ".join(f"{x}{k}" for k in range(30)) for x in "abe")
+    rows = [(1, a, "x"), (1, b, "x"), (2, e, "x"), (3, a + " z", "x"), (4, b + " z", "x"), (1, a, "y"), (None, a, "x"), (5, "", "x"), (5, "", "x")]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, mark string"), ngram_join.Similarity()).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (2, e), (None, a), (5, ""), (5, "")], key=str)
+
+
+def test_packing_is_optimal_for_long_texts(spark):
+    from itertools import combinations
+
+    rng = random.Random(6)
+    lengths = [4097, 4097, 4099, 5003, 8191, 8193, 16385, 16385, 3, 0]
+    rows = [(k, "w " * n) for k, n in enumerate(lengths)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), buckets=4).collect()
+    kinds = sorted(set(lengths))
+    cost = lambda ends: sum(min(e for e in ends if e >= n) - n for n in lengths)
+    best = min(cost((*x, kinds[-1])) for x in combinations(kinds[:-1], 3))
+    assert sum(r["bucket_length"] - r["n_tokens"] for r in out) == best
+    assert {r["bucket_length"] for r in out} <= set(lengths) and len(out) == len(rows) and rng
+
+
+def test_canonical_urls():
+    at = lambda url: url_filter.asked(url, {})[0].split(" ", 2)[2]
+    assert at("HTTP://User@WWW.Example.com:80/a/./b/../c%7e%2f?utm_source=x&b=%c3#frag") == "www.example.com/a/c~%2F?b=%C3"
+    assert at("https://example.com.") == "example.com/" and at("https://e.org:8443/..") == "e.org:8443/"
+    assert at("https://e.org/a/..") == "e.org/" and at("http://e.org/a/.") == "e.org/a/" and at("x://e.org?gclid=1") == "e.org/"
+
+
+def test_url_filter_by_brute_force(spark):
+    rng = random.Random(3)
+    hosts = ["a.com", "b.a.com", "c.b.a.com", "xa.com", "org", "é.org", "A.Com:80", "u@a.com"]
+    paths = ["", "/", "/x", "/x/", "/x/y", "/xy", "/%78", "/x/../x", "//"]
+    rows = [("a.com", "/x", "block", "prefix", True), ("b.a.com", "/x", "allow", "prefix", True), ("org", "", "block", "prefix", False), ("com", "/x", "allow", "prefix", True), ("com", "/x", "block", "prefix", True)]
+    rows += [("a.com", "/x", "block", "exact", False), ("B.A.COM", "/x/./y?utm_a=1&q=2", "block", "exact", False), ("xa.com", "/xy", "allow", "exact", False)]
+    rows += [(f"h{k}.net", "/", "block", "exact", False) for k in range(3000)]
+    urls = [f"{s}://{h}{p}{t}" for s in ("http", "HTTPS") for h in hosts for p in paths for t in ("", "?q=2", "#f", "?utm_x=1")] + [None, "", "://", "a.com/x", "http://h7.net", "http://h7.net/#a", "http://h3001.net"]
+    rng.shuffle(urls)
+    listing = spark.createDataFrame(rows, "host string, path string, action string, kind string, named boolean")
+    pages = spark.createDataFrame([(k, u, "old") for k, u in enumerate(urls + urls[:9])], "page_id long, url string, rule string")
+
+    def judged(url):
+        _, mark, rest = (url or "").partition("://")
+        host, path, query = re.match(r"([^/?#]*)([^?#]*)(\?[^#]*)?", rest).groups("") if mark else ("", "", "")
+        scheme, low = (url or "").partition("://")[0], "".join(x.lower() if x.isascii() else x for x in host)
+        if not host:
+            return "", "", None, "allow"
+        fits = [(len(h + p), h + p, a == "allow", a, n) for h, p, a, k, n in rows if k == "prefix" and (low == h or low.endswith("." + h)) and path.startswith(p)]
+        whole = url_filter.canonical(scheme, host, path, query)
+        fits += [(len("".join(whole)), "".join(whole), a == "allow", a, n) for h, p, a, k, n in rows if k == "exact" and url_filter.canonical("", h, p.partition("?")[0], "?" + p.partition("?")[2]) == whole]
+        named = [x[:4] for x in fits if x[4]]
+        if named:
+            return low, path, max(named)[1], max(named)[3]
+        return low, path, None, "block" if any(x[3] == "block" for x in fits) else "allow"
+
+    for parts in (64 << 20, 2000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(url_filter, "FILTER_BYTES", parts)
+            got = url_filter.url_filter(pages, listing).collect()
+        assert len(got) == len(urls) + 9
+        for r in got:
+            assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(r["url"]), r["url"]
+    assert url_filter.url_filter(pages.limit(0), listing).count() == 0
+    assert {r["verdict"] for r in url_filter.url_filter(pages, listing.limit(0)).collect()} == {"allow"}
+
+
+def test_very_long_urls_take_linear_time():
+    import time
+
+    began = time.time()
+    url = "http://" + "a." * 16_000 + "net" + "/x" * 16_000 + "/.." * 16_000 + "?" + "q=1&" * 16_000
+    assert len(url_filter.asked(url, {3: [0, 1]})) == 3
+    assert time.time() - began < 1
+
+
+def test_heavy_join_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_KEYS", 3)
+    rows = spark.createDataFrame([("hot", k) for k in range(50)] + [(f"k{k % 10}", k) for k in range(30)] + [("none", 1)], "key string, x long")
+    facts = rows.where("key <> 'none'").groupBy("key").agg(F.count("*").alias("times"), F.max("x").alias("most"))
+    got = common.heavy_join(rows, facts, "key", "times")
+    assert got.count() == 80 and got.columns == ["key", "x", "most"] and got.where("key = 'hot' and most = 49").count() == 50
+
+
+def test_line_dedup_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_KEYS", 2)
+    rng = random.Random(7)
+    pool = [f"{k} shared line that is longer than forty characters in all" for k in range(12)]
+    rows = []
+    for k in range(80):
+        lines = [rng.choice(["short", "", f"own line {k} " * 5, f"\t {rng.choice(pool).upper()} ", rng.choice(pool)]) for _ in range(rng.randint(0, 12))]
+        rows.append((k % 70, "\n".join(lines), "x"))
+    rows += [(None, pool[0], "x"), (3, None, "x"), (500, "\n".join([pool[1]] * 3 + ["a"] * 20_000), "x")]
+    strip = lambda x: x.strip(common.WHITESPACE).lower()
+    holders = {}
+    for k, text, _ in rows:
+        for line in (text or "").split("\n"):
+            if k is not None and len(strip(line)) >= 40:
+                holders.setdefault(strip(line), set()).add(k)
+    want = []
+    for k, text, _ in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(holders.get(strip(x), ())) < 5 or max(holders[strip(x)]) == k]
+        want.append((k, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"])) for r in got)
+
+
+def test_exact_dedup_keeps_one_row_of_each_text(docs):
+    kept = exact_dedup.exact_dedup(docs).collect()
+    key = lambda r: re.sub(r"[\x20\x09-\x0D]+", "", r["text"] or "")
+    assert len(kept) == len({key(r) for r in kept}) == len({key(r) for r in docs.collect()})
+    assert set(kept[0].asDict()) == set(docs.columns)
+
+
+def test_mix_targets_by_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(k, rng.choice([None, "", "a", "B", "é", "zz", "one"]), "w " * rng.choice([0, 3, 50])) for k in range(120)] + [(900, "tiny", "w"), (901, "void", "")]
+    out = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    sizes = {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, open_, left = {}, set(order), 1.5 * sum(sizes.values())
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if 2 * sizes[s] <= weight[s] * share}
+        if not over:
+            target |= {s: weight[s] * share for s in open_}
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(2 * sizes[s] for s in over)
+        open_ -= over
+    assert all(r["target"] == pytest.approx(target[r["source"]], abs=1e-5) and r["source_size"] == sizes[r["source"]] for r in out) and len(out) == len(rows)
+
+
+def test_media_digests_by_hand(spark, docs):
+    import hashlib
+    import zlib
+
+    texts = [None, "", "é" * 95, "é" * 96, "x" * 192, "x" * 193, "\0\x7f" * 70_000]
+    d = spark.createDataFrame([(k, t, "m") for k, t in enumerate(texts)] + [(90, "é" * 95, "m")], "doc_id long, text string, media string")
+    media = audio_features.stored_media(d)
+    featured = audio_features.audio_features(media)
+    rows = {r["doc_id"]: r for r in audio_features.digests_of(featured).collect()}
+    assert {r["doc_id"]: r for r in audio_features.media_digests(d).collect()} == rows
+    for k, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        wav = audio_features.to_wav(payload)
+        r = rows[k]
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(wav))
+        assert (r["payload_sha256"], r["media_sha256"], r["tail_crc32"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(wav).hexdigest(), zlib.crc32(payload[-16:]))
+    assert rows[2]["feature"] == rows[90]["feature"]
+    for r in featured.collect():
+        tensor, spans = audio_features.from_tensors(r["tensors"])
+        assert tensor.shape[1:] == (audio_features.CHUNK, audio_features.MELS) and len(tensor) == len(spans)
+        want = [sum(s["end_s"] - s["start_s"] for s in r["segments"])]
+        assert rows[r["doc_id"]]["feature"].endswith(f"active={want[0]:.3f}")
+
+
+def test_audio_blocks_equal_the_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    samples = rng.integers(0, 256, 200_000).astype(np.uint8)
+    for up, down in ((1, 3), (3, 2), (1, 1), (160, 441)):
+        whole = audio_features.resample(samples, up, down)
+        parts = [audio_features.resample(samples, up, down, k, min(7001, len(whole) - k)) for k in range(0, len(whole), 7001)]
+        assert np.allclose(np.concatenate(parts), whole, atol=1e-5)
+    want = audio_features.log_mel(samples, 48_000)
+    monkeypatch.setattr(audio_features, "BLOCK_FRAMES", 37)
+    assert np.allclose(audio_features.log_mel(samples, 48_000), want, atol=1e-4)
+    # Against the definition: filter, window, spectrum and mel bands of one frame.
+    x = audio_features.resample(samples, 1, 3)[160 * 5 : 160 * 5 + 400]
+    power = np.abs(np.fft.rfft(x * np.hanning(400), 512)) ** 2
+    assert np.allclose(want[5], np.log(power @ audio_features.mel_filters() + 1e-6), atol=1e-3)
