@@ -1,45 +1,62 @@
 """From raw documents to packed batches: STAGES are applied in order, each to all that its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's ``docs``.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, and any further ones whatever their names. An empty table passes
+through all stages and gives no row.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantloom.llm import line_dedup, mixing, ngram_join, packing, quality_mil
-from quantloom.llm.common import load
+from quantloom.llm.common import load, remove, shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null or empty text is judged as one passage of zeros; rows repeating an id or a text get the same verdict by their
+    text; without labels of both kinds every row gets the share of label 1.
+    """
     return quality_mil.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go; the character count follows the text."""
-    from pyspark.sql import functions as F
+    """Lines that many documents share go, but for those of the largest id; the character count follows the text.
 
+    A null text becomes an empty one; a row without an id protects no line; of rows repeating an id each loses its own
+    lines; a column n_chars is counted anew, others stay.
+    """
     kept = line_dedup.line_dedup(docs).select(*docs.columns)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    """One document of each group of near copies stays (five words, similarity 0.8), the one of the smallest id.
+
+    Texts without words and rows without an id all stay; of rows repeating id and text one stays, and rows that repeat
+    an id only are judged by their texts.
+    """
     return ngram_join.keep_one(docs, ngram_join.Similarity())
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    A null source is a source, a null text has no words; rows repeating an id get the same number of copies.
+    """
     return mixing.mix(docs)
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Batches of the mixed documents."""
+    """Batches of the mixed documents: (doc_id, n_tokens, bucket, bucket_length, batch, slot), a row each.
+
+    Null and empty texts have length 0; copies are packed one by one.
+    """
     return packing.pack(docs)
 
 
@@ -56,11 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``; stages meet in the folder that all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quantloom-")
-    folder = f"{shared}/corpus-pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage over ``documents``.
+
+    Stages meet in the folder that all executors share. What a stage wrote is deleted once the next one is written; the
+    last table stays, since the result reads it, and is the caller's to delete.
+    """
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = load(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
