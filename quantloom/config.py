@@ -41,6 +41,7 @@ class Regimes:
     feature_source: str = "constituent"
     constituent_window: int = 63
     max_names_for_eig: int = 200
+    covariance_type: str = "full"
     covars_prior: float = 1e-2
     min_covar: float = 1e-3
 
@@ -50,7 +51,6 @@ class Portfolio:
     covariance_estimator: str = "ledoit_wolf"
     regime_weight_floor: float = 0.0
     cvar_confidence: float = 0.95
-    lookback_days_grid: tuple[int, ...] = (63, 126, 252)
     default_lookback: int = 252
     max_universe: int | None = 300
     min_window_coverage: float = 1.0
@@ -80,6 +80,16 @@ class Inference:
     fdr_alpha: float = 0.05
 
 
+@dataclass(frozen=True)
+class Sensitivity:
+    bl_view_confidence_grid: tuple[float, ...] = (0.1, 0.25, 0.5, 1.0, 2.0)
+    bl_tau_grid: tuple[float, ...] = (0.05,)
+    lookback_grid: tuple[int, ...] = (63, 126, 252)
+    transaction_cost_grid_bps: tuple[float, ...] = (5.0, 10.0, 20.0)
+    rebalance_frequency_grid: tuple[str, ...] = ("M", "Q")
+    sweep_markets: tuple[str, ...] | None = None
+
+
 @dataclass(frozen=True)
 class Config:
     root: str = "."
@@ -92,6 +102,7 @@ class Config:
     portfolio: Portfolio = Portfolio()
     backtest: Backtest = Backtest()
     inference: Inference = Inference()
+    sensitivity: Sensitivity = Sensitivity()
 
     def path(self, name: str) -> Path:
         """A folder of ``data`` relative to the project root."""
@@ -113,7 +124,7 @@ def load_config(path: str) -> Config:
         raise FileNotFoundError(f"no configuration at {path}")
     raw = yaml.safe_load(file.read_text()) or {}
     base = Config(root=str(file.parent), seed=raw.get("seed", 42), indices=tuple(x["name"] if isinstance(x, dict) else x for x in raw.get("indices", ())))
-    kinds = {"preprocessing": Preprocessing, "eda": Eda, "regimes": Regimes, "portfolio": Portfolio, "backtest": Backtest, "inference": Inference}
+    kinds = {"preprocessing": Preprocessing, "eda": Eda, "regimes": Regimes, "portfolio": Portfolio, "backtest": Backtest, "inference": Inference, "sensitivity": Sensitivity}
     made = {k: _section(kind, raw[k]) for k, kind in kinds.items() if isinstance(raw.get(k), dict)}
     dirs = {k: v for k, v in (raw.get("data") or raw.get("paths") or {}).items() if isinstance(v, str)}
     return replace(base, data=base.data | dirs, **made)

@@ -91,48 +91,131 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centres * scale
 
 
-def _em(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int, prior: float, ridge: float, tol: float = 1e-4) -> Hmm:
+KINDS = ("full", "diag", "spherical", "tied")
+
+
+def shaped(scatter: np.ndarray, mass: np.ndarray, prior: float, kind: str) -> np.ndarray:
+    """k x d x d covariances from the states' scatter matrices: one each, its diagonal, its mean variance, or one for all."""
+    d = scatter.shape[1]
+    if kind == "tied":
+        scatter, mass = np.broadcast_to(scatter.sum(0), scatter.shape), np.full(len(mass), mass.sum())
+    out = (scatter + prior * np.eye(d)) / (mass[:, None, None] + 1)
+    if kind in ("diag", "spherical"):
+        out = out * np.eye(d)
+    if kind == "spherical":
+        out = np.trace(out, axis1=1, axis2=2)[:, None, None] / d * np.eye(d)
+    return out + 1e-10 * np.eye(d)
+
+
+@dataclass
+class _Runs:
+    """Models of several restarts, stacked along the first axis; ``ll`` is of the model before its last update."""
+
+    start: np.ndarray
+    trans: np.ndarray
+    means: np.ndarray
+    covars: np.ndarray
+    ll: np.ndarray
+
+    def of(self, at) -> _Runs:
+        return _Runs(*(v[at].copy() for v in (self.start, self.trans, self.means, self.covars, self.ll)))
+
+
+def _densities(runs: _Runs, x: np.ndarray) -> np.ndarray:
+    """T x runs x k log densities; nan where a covariance is not positive definite."""
     d = x.shape[1]
-    model = Hmm(np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1)), _kmeans(x, k, rng), np.repeat((np.atleast_2d(np.cov(x.T)) + ridge * np.eye(d))[None], k, 0))
-    np.fill_diagonal(model.trans, 0.9 if k > 1 else 1.0)
-    before = -np.inf
+    good = (np.linalg.eigvalsh(runs.covars)[..., 0] > 0) & np.isfinite(runs.covars).all((2, 3))
+    safe = np.where(good[..., None, None], runs.covars, np.eye(d))
+    root = np.linalg.cholesky(safe)
+    z = (x[None, None] - runs.means[:, :, None]) @ np.linalg.inv(root).swapaxes(-1, -2)
+    out = -0.5 * ((z**2).sum(-1) + d * np.log(2 * np.pi)) - np.log(np.diagonal(root, axis1=-2, axis2=-1)).sum(-1)[..., None]
+    return np.where(good[..., None], out, np.nan).transpose(2, 0, 1)
+
+
+def _expect(runs: _Runs, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(T x runs x k state probabilities, runs x k x k transition counts, log-likelihoods), all restarts in one pass."""
+    top = b.max(2, keepdims=True)
+    e = np.exp(b - top)
+    n = len(e)
+    alpha, scale = np.empty_like(e), np.empty(e.shape[:2])
+    p = runs.start * e[0]
+    for t in range(n):
+        if t:
+            p = (alpha[t - 1][:, None] @ runs.trans)[:, 0] * e[t]
+        scale[t] = np.maximum(p.sum(1), 1e-300)
+        alpha[t] = p / scale[t][:, None]
+    beta = np.ones_like(e)
+    back = runs.trans.swapaxes(1, 2)
+    for t in range(n - 2, -1, -1):
+        ahead = e[t + 1] * beta[t + 1] / scale[t + 1][:, None]
+        beta[t] = (ahead[:, None] @ back)[:, 0]
+    gamma = alpha * beta
+    gamma /= np.maximum(gamma.sum(2, keepdims=True), 1e-300)
+    ahead = e[1:] * beta[1:] / scale[1:, :, None]
+    counts = np.einsum("trj,trk->rjk", alpha[:-1], ahead) * runs.trans
+    return gamma, counts, top[..., 0].sum(0) + np.log(scale).sum(0)
+
+
+def _em(x: np.ndarray, k: int, seeds: list[int], rounds: int, prior: float, ridge: float, tol: float, kind: str) -> list[Hmm]:
+    """EM of all restarts side by side; one that has converged or failed leaves the others to go on."""
+    d, n = x.shape[1], len(seeds)
+    whole = np.repeat(np.atleast_2d(np.cov(x.T))[None], k, 0)
+    first = (whole if kind == "full" else shaped(whole * len(x) / k, np.full(k, len(x) / k), 0.0, kind)) + ridge * np.eye(d)
+    trans = np.full((k, k), 0.1 / max(k - 1, 1))
+    np.fill_diagonal(trans, 0.9 if k > 1 else 1.0)
+    starts = [_kmeans(x, k, np.random.default_rng(s)) for s in seeds]
+    runs = _Runs(np.full((n, k), 1 / k), np.repeat(trans[None], n, 0), np.stack(starts), np.repeat(first[None], n, 0), np.full(n, -np.inf))
+    found: list[Hmm | None] = [None] * n
+    live, before = np.arange(n), np.full(n, -np.inf)
+
+    def leave(gone: np.ndarray, converged: np.ndarray) -> None:
+        nonlocal runs, live, before
+        for i in np.flatnonzero(gone):
+            one = runs.of(i)
+            found[live[i]] = Hmm(one.start, one.trans, one.means, one.covars, float(one.ll), bool(converged[i]))
+        runs, live, before = runs.of(~gone), live[~gone], before[~gone]
+
     for _ in range(rounds):
-        gamma, counts, total = smoothed(model, x)
-        model.loglik = total
-        if total - before < tol and np.isfinite(before):
-            model.converged = True
+        if not len(live):
             break
-        before = total
+        gamma, counts, runs.ll = _expect(runs, _densities(runs, x))
+        still = (runs.ll - before < tol) & np.isfinite(before)
+        out = still | ~np.isfinite(runs.ll)
+        before = runs.ll
+        if out.any():
+            gamma, counts = gamma[:, ~out], counts[~out]
+            leave(out, still)
+            if not len(live):
+                break
         mass = gamma.sum(0) + 1e-12
-        model.start = gamma[0] / gamma[0].sum()
-        model.trans = (counts + 1e-12) / (counts + 1e-12).sum(1, keepdims=True)
-        model.means = gamma.T @ x / mass[:, None]
-        for j in range(k):
-            c = x - model.means[j]
-            model.covars[j] = ((gamma[:, j, None] * c).T @ c + prior * np.eye(d)) / (mass[j] + 1)
-            model.covars[j] += 1e-10 * np.eye(d)
-    return model
+        runs.start = gamma[0] / gamma[0].sum(1, keepdims=True)
+        runs.trans = (counts + 1e-12) / (counts + 1e-12).sum(2, keepdims=True)
+        runs.means = np.einsum("trk,td->rkd", gamma, x) / mass[..., None]
+        centred = x[None, None] - runs.means[:, :, None]
+        scatter = (gamma.transpose(1, 2, 0)[..., None] * centred).swapaxes(-1, -2) @ centred
+        runs.covars = np.stack([shaped(scatter[i], mass[i], prior, kind) for i in range(len(live))])
+    leave(np.ones(len(live), bool), np.zeros(len(live), bool))
+    return found
 
 
-def fit(x: np.ndarray, k: int, n_init: int = 10, rounds: int = 1000, seed: int = 42, prior: float = 1e-2, ridge: float = 1e-3) -> Hmm:
+def fit(x: np.ndarray, k: int, n_init: int = 10, rounds: int = 1000, seed: int = 42, prior: float = 1e-2, ridge: float = 1e-3, kind: str = "full", tol: float = 1e-4) -> Hmm:
     """The best of ``n_init`` restarts (seeds seed, seed + 1, ...; the first wins ties); an error if all fail."""
-    best = None
-    for i in range(n_init):
-        try:
-            with np.errstate(all="ignore"):
-                model = _em(x, k, np.random.default_rng(seed + i), rounds, prior, ridge)
-        except (np.linalg.LinAlgError, ValueError):
-            continue
-        if np.isfinite(model.loglik) and (best is None or model.loglik > best.loglik):
-            best = model
-    if best is None:
+    if kind not in KINDS:
+        raise ValueError(f"unknown covariance type {kind}")
+    if len(x) < k:
+        raise RuntimeError(f"{len(x)} rows cannot have {k} states")
+    with np.errstate(all="ignore"):
+        found = _em(x, k, [seed + i for i in range(n_init)], rounds, prior, ridge, tol, kind)
+    good = [m for m in found if np.isfinite(m.loglik)]
+    if not good:
         raise RuntimeError(f"all {n_init} restarts failed for {k} states")
-    return best
+    return max(good, key=lambda m: m.loglik)
 
 
-def n_params(k: int, d: int) -> int:
-    """Free parameters with full covariances."""
-    return (k - 1) + k * (k - 1) + k * d + k * d * (d + 1) // 2
+def n_params(k: int, d: int, kind: str = "full") -> int:
+    """Free parameters of start, transitions, means and covariances."""
+    one = d * (d + 1) // 2
+    return (k - 1) + k * (k - 1) + k * d + {"full": k * one, "diag": k * d, "spherical": k, "tied": one}[kind]
 
 
 def select(x: np.ndarray, grid: tuple[int, ...], criterion: str = "bic", **how) -> tuple[Hmm, list[dict]]:
@@ -140,7 +223,7 @@ def select(x: np.ndarray, grid: tuple[int, ...], criterion: str = "bic", **how)
     table, models = [], {}
     for k in grid:
         m = models[k] = fit(x, k, **how)
-        p = n_params(k, x.shape[1])
+        p = n_params(k, x.shape[1], how.get("kind", "full"))
         table.append({"k": k, "loglik": m.loglik, "n_params": p, "aic": 2 * p - 2 * m.loglik, "bic": p * np.log(len(x)) - 2 * m.loglik, "converged": m.converged})
     return models[min(table, key=lambda r: (r[criterion], r["k"]))["k"]], table
 

@@ -58,7 +58,7 @@ def project_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - c[np.flatnonzero(u > c)[-1]], 0)
 
 
-def normalised(w: np.ndarray, tol: float = 1e-8) -> np.ndarray:
+def normalised(w: np.ndarray, tol: float = 1e-6) -> np.ndarray:
     w = np.where(w > tol, w, 0.0)
     return w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
 
@@ -77,8 +77,8 @@ def max_sharpe(s: np.ndarray, mu: np.ndarray) -> np.ndarray:
     return normalised(nonnegative_qp(s / scale, mu / np.abs(mu).max()))
 
 
-def max_utility(s: np.ndarray, mu: np.ndarray, aversion: float, rounds: int = 20_000) -> np.ndarray:
-    """max mu'w - aversion / 2 w'Sw on the simplex by accelerated projected gradient with restarts."""
+def max_utility(s: np.ndarray, mu: np.ndarray, aversion: float, rounds: int = 20_000, tol: float = 1e-6) -> np.ndarray:
+    """max mu'w - aversion / 2 w'Sw on the simplex by accelerated projected gradient with restarts; weights up to ``tol`` go."""
     n = len(mu)
     step = 1 / max(aversion * np.linalg.norm(s, 2), 1e-12)
     w = z = np.full(n, 1 / n)
@@ -94,7 +94,7 @@ def max_utility(s: np.ndarray, mu: np.ndarray, aversion: float, rounds: int = 20
         w, z, k = new, z2, k2
         if done:
             break
-    return normalised(w)
+    return normalised(w, tol)
 
 
 def single_linkage_order(d: np.ndarray) -> list[int]:
@@ -121,7 +121,11 @@ def single_linkage_order(d: np.ndarray) -> list[int]:
 
 
 def hrp(s: np.ndarray) -> np.ndarray:
-    """Hierarchical risk parity: linkage order, then halving with inverse cluster variances."""
+    """Hierarchical risk parity: linkage order, then halving with inverse cluster variances.
+
+    A name without variance has no weight inside its cluster unless all are like it; two clusters without variance
+    share alike.
+    """
     n = len(s)
     if n == 1:
         return np.ones(1)
@@ -129,8 +133,9 @@ def hrp(s: np.ndarray) -> np.ndarray:
     order = single_linkage_order(np.sqrt(np.maximum((1 - np.clip(s / np.outer(sd, sd), -1, 1)) / 2, 0)))
 
     def spread(part):
-        iv = 1 / np.maximum(np.diag(s)[part], 1e-18)
-        iv /= iv.sum()
+        own = np.diag(s)[part]
+        iv = np.divide(1, own, out=np.zeros(len(part)), where=own > 0)
+        iv = iv / iv.sum() if iv.any() else np.full(len(part), 1 / len(part))
         return iv @ s[np.ix_(part, part)] @ iv
 
     w, todo = np.ones(n), [order]
@@ -139,8 +144,9 @@ def hrp(s: np.ndarray) -> np.ndarray:
         if len(part) > 1:
             left, right = part[: len(part) // 2], part[len(part) // 2 :]
             a, b = spread(left), spread(right)
-            w[left] *= 1 - a / (a + b)
-            w[right] *= a / (a + b)
+            share = b / (a + b) if a + b > 0 else 0.5
+            w[left] *= share
+            w[right] *= 1 - share
             todo += [left, right]
     return w / w.sum()
 
@@ -192,7 +198,7 @@ def cvar_min(x: np.ndarray, confidence: float, weights: np.ndarray | None = None
         found = solve_lp(a, np.concatenate((np.zeros(t), [1.0])), cost)
     except np.linalg.LinAlgError:
         found = None
-    return np.full(n, 1 / n) if found is None else normalised(found[:n], 1e-7)
+    return np.full(n, 1 / n) if found is None else normalised(found[:n])
 
 
 def cvar(x: np.ndarray, w: np.ndarray, confidence: float) -> float:
@@ -204,9 +210,9 @@ def cvar(x: np.ndarray, w: np.ndarray, confidence: float) -> float:
 
 
 def black_litterman(s: np.ndarray, prior: np.ndarray, view: np.ndarray, tau: float, confidence: float) -> np.ndarray:
-    """Posterior mean with absolute views on every name and view variance diag(tau S) / confidence."""
+    """Posterior mean with absolute views on every name and view variance diag(tau S) / confidence, 1e-12 at least."""
     ts = tau * s + 1e-10 * np.eye(len(s))
-    omega = np.diag(np.diag(tau * s) / max(confidence, 1e-12)) + 1e-10 * np.eye(len(s))
+    omega = np.diag(np.maximum(tau * np.diag(s) / max(confidence, 1e-8), 1e-12))
     return prior + ts @ np.linalg.solve(ts + omega, view - prior)
 
 
@@ -248,5 +254,5 @@ def build_weights(strategy: str, x: np.ndarray, cfg, obs: np.ndarray | None = No
         return max_sharpe(s, mu) if (mu > 0).any() else min_variance(covariance(x, cfg.covariance_estimator))
     if method == "equilibrium":
         prior = cfg.risk_aversion * s @ np.full(n, 1 / n)
-        return max_utility(s, black_litterman(s, prior, mu, cfg.bl_tau, cfg.bl_view_confidence), cfg.risk_aversion)
+        return max_utility(s, black_litterman(s, prior, mu, cfg.bl_tau, cfg.bl_view_confidence), cfg.risk_aversion, tol=0.0)
     raise NotImplementedError(strategy)

@@ -191,25 +191,31 @@ def fit_garch(x: np.ndarray) -> dict[str, np.ndarray | float]:
 
 
 def dcc_path(z: np.ndarray, a: float, b: float) -> tuple[np.ndarray, float]:
-    """(T x N x N correlations, likelihood part) of the DCC(1,1) recursion."""
-    bar = np.corrcoef(z.T)
+    """(T x N x N correlations, likelihood part) of the DCC(1,1) recursion towards the covariance of the residuals.
+
+    The likelihood is minus infinity where a correlation matrix is not positive definite.
+    """
+    bar = np.atleast_2d(np.cov(z.T))
     q, out, total = bar.copy(), np.empty((len(z), *bar.shape)), 0.0
     for t in range(len(z)):
         if t:
             q = (1 - a - b) * bar + a * np.outer(z[t - 1], z[t - 1]) + b * q
         s = 1 / np.sqrt(np.diag(q))
         r = out[t] = q * np.outer(s, s)
-        _, det = np.linalg.slogdet(r)
+        sign, det = np.linalg.slogdet(r)
+        if sign <= 0:
+            return out, -math.inf
         total -= 0.5 * (det + z[t] @ np.linalg.solve(r, z[t]) - z[t] @ z[t])
     return out, total
 
 
 def fit_dcc(x: np.ndarray) -> dict:
-    """Two-step DCC of T x N returns."""
+    """Two-step DCC of T x N returns; a in [1e-6, 0.3], b in [1e-6, 0.999], and a + b below 0.999."""
     z = np.column_stack([fit_garch(c)["z"] for c in x.T])
 
     def loss(p):
-        return 1e10 if p[0] < 0 or p[1] < 0 or p.sum() >= 0.999 else -dcc_path(z, *p)[1]
+        inside = 1e-6 <= p[0] <= 0.3 and 1e-6 <= p[1] <= 0.999 and p.sum() < 0.999
+        return min(-dcc_path(z, *p)[1], 1e10) if inside else 1e10
 
     a, b = nelder_mead(loss, np.array([0.02, 0.95]), np.array([0.02, -0.1]), rounds=80, tol=1e-7)
     path, total = dcc_path(z, a, b)
@@ -303,9 +309,8 @@ def bootstrap_sharpe_test(x: np.ndarray, y: np.ndarray, block: int = 21, n_boot:
     year = math.sqrt(252)
     gap, error = sharpe(x) - sharpe(y), float(sharpe_gap_errors(x, y)[0])
     out = {"n_obs": t, "sharpe": sharpe(x) * year, "sharpe_benchmark": sharpe(y) * year, "sharpe_diff": gap * year}
-    if not error > 0:
-        same = {"p_value": 1.0} if abs(gap) < 1e-12 else {}
-        return out | {"hac_se": 0.0, "ci_low": gap * year, "ci_high": gap * year} | same
+    if not error > 0:  # nothing varies, so there is nothing to resample
+        return out | {"hac_se": 0.0, "ci_low": gap * year, "ci_high": gap * year, "p_value": 1.0 if abs(gap) < 1e-12 else math.nan}
     rng, blocks = np.random.default_rng(seed), -(-t // block)
     d, s = np.empty(n_boot), np.empty(n_boot)
     for at in range(0, n_boot, 250):

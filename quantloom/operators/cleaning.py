@@ -66,9 +66,10 @@ def winsorize(panel: DataFrame, low: float, high: float) -> DataFrame:
     """Clips each id at its own interpolated full-sample quantiles. Adds ``clipped``."""
     if low <= 0 and high >= 1:
         return panel.withColumn("clipped", F.lit(False))
-    cuts = panel.groupBy("market", "id").agg(F.percentile("ret", F.lit(low)).alias("lo"), F.percentile("ret", F.lit(high)).alias("hi"))
+    own = Window.partitionBy("market", "id")
+    cuts = panel.withColumn("lo", F.percentile("ret", F.lit(low)).over(own)).withColumn("hi", F.percentile("ret", F.lit(high)).over(own))
     clip = F.greatest("lo", F.least("hi", "ret"))
-    return panel.join(cuts, ["market", "id"]).select("market", "id", "date", clip.alias("ret"), (clip != F.col("ret")).alias("clipped"))
+    return cuts.select("market", "id", "date", clip.alias("ret"), (clip != F.col("ret")).alias("clipped"))
 
 
 def clean_index(series: DataFrame, calendar: DataFrame, most: int) -> DataFrame:
@@ -86,7 +87,7 @@ def with_history(panel: DataFrame, least: int) -> DataFrame:
 def sample_ids(panel: DataFrame, most: int, seed: int) -> DataFrame:
     """At most ``most`` ids a market, by hash of seed and id: the same on any cluster."""
     ids = panel.select("market", "id").distinct()
-    order = Window.partitionBy("market").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    order = Window.partitionBy("market").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "id")), "id")
     return ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("market", "id")
 
 
@@ -135,20 +136,47 @@ def diagnostics(raw: DataFrame, calendar: DataFrame, filled: DataFrame, clipped:
     return joined.select("market", "own_days", *(F.coalesce(x, zero).alias(x) for x in ("lost_days", "n_filled", "n_clipped")))
 
 
-def survivorship(panel: DataFrame) -> DataFrame:
-    """(market, year, active, entries, exits, net); no entries in the first year, no exits in the last of the sample."""
-    years = panel.select("market", "id", F.year("date").alias("year")).distinct()
-    spans = years.groupBy("market", "id").agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    edges = spans.groupBy("market").agg(F.min("first").alias("a"), F.max("last").alias("b"))
-    active = years.groupBy("market", "year").agg(F.count("*").alias("active"))
-    entries = spans.groupBy("market", F.col("first").alias("year")).agg(F.count("*").alias("entries"))
-    exits = spans.groupBy("market", F.col("last").alias("year")).agg(F.count("*").alias("exits"))
-    spine = edges.select("market", "a", "b", F.explode(F.sequence("a", "b")).alias("year"))
+def full_diagnostics(raw: DataFrame, own_days: DataFrame, calendar: DataFrame, kept: DataFrame, filled: DataFrame, clipped: DataFrame) -> DataFrame:
+    """The counters of a cleaning run, per market.
+
+    ``raw`` is the panel as read (its ids are the universe), ``own_days`` (market, date) each market's trading days,
+    ``calendar`` (date) the shared one, ``kept`` the aligned panel without sparse days (the membership), ``filled`` and
+    ``clipped`` what the later steps marked. Members are counted on active days; the median is cut to a whole number.
+    """
+    days = own_days.select("market", "date").distinct()
+    shared = calendar.select("date", F.lit(1).alias("shared"))
+    own = days.join(shared, "date", "left").groupBy("market").agg(F.count("*").alias("n_own_days"), F.count_if(F.col("shared").isNull()).alias("n_days_lost"))
+    ids = raw.groupBy("market").agg(F.countDistinct("id").alias("n_ids"))
+    members = membership(kept).groupBy("market").agg(
+        F.count("*").alias("n_days"), F.floor(F.median("n_active")).cast("long").alias("n_median"), F.min("n_active").alias("n_min"), F.max("n_active").alias("n_max"), F.sum("n_active").alias("cells")
+    )
+    edges = calendar.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_calendar"))
+    fills = filled.groupBy("market").agg(F.count_if("filled").alias("n_filled"))
+    clips = clipped.groupBy("market").agg(F.count_if("clipped").alias("n_clipped"))
+    joined = own.join(ids, "market").join(members, "market", "left").join(fills, "market", "left").join(clips, "market", "left")
     zero = F.lit(0).cast("long")
-    joined = spine.join(active, ["market", "year"], "left").join(entries, ["market", "year"], "left").join(exits, ["market", "year"], "left")
-    come = F.when(F.col("year") == F.col("a"), zero).otherwise(F.coalesce("entries", zero))
-    go = F.when(F.col("year") == F.col("b"), zero).otherwise(F.coalesce("exits", zero))
-    return joined.select("market", "year", F.coalesce("active", zero).alias("active"), come.alias("entries"), go.alias("exits"), (come - go).alias("net"))
+    counts = [F.coalesce(x, zero).alias(x) for x in ("n_days", "n_median", "n_min", "n_max", "n_filled", "n_clipped")]
+    missing = F.round(100 * (1 - F.coalesce("cells", zero) / (F.col("n_calendar") * F.col("n_ids"))), 2)
+    return joined.crossJoin(F.broadcast(edges)).select("market", "n_own_days", "n_days_lost", "n_ids", *counts, "first_date", "last_date", missing.alias("pct_missing"))
+
+
+def survivorship(panel: DataFrame) -> DataFrame:
+    """(market, year, active, entries, exits, net); no entries in the first year, no exits in the last of the sample.
+
+    The panel is aggregated once, to the years of each id; everything else comes from that.
+    """
+    own = panel.groupBy("market", "id").agg(F.collect_set(F.year("date")).alias("years"))
+    marks = own.select("market", F.explode("years").alias("year"), F.array_min("years").alias("first"), F.array_max("years").alias("last"))
+    come, go = F.count_if(F.col("year") == F.col("first")), F.count_if(F.col("year") == F.col("last"))
+    seen = marks.groupBy("market", "year").agg(F.count("*").alias("active"), come.alias("entries"), go.alias("exits"))
+    by = Window.partitionBy("market")
+    edged = seen.withColumn("a", F.min("year").over(by)).withColumn("b", F.max("year").over(by))
+    # A year without any id follows the one before it as a row of zeros.
+    after = F.coalesce(F.lead("year").over(by.orderBy("year")), F.col("year") + 1)
+    spread = edged.withColumn("after", after).withColumn("at", F.explode(F.sequence(F.col("year"), F.col("after") - 1)))
+    real = lambda x: F.when(F.col("at") == F.col("year"), x).otherwise(F.lit(0).cast("long"))
+    entries, exits = real(F.when(F.col("year") > F.col("a"), F.col("entries")).otherwise(0)), real(F.when(F.col("year") < F.col("b"), F.col("exits")).otherwise(0))
+    return spread.select("market", F.col("at").alias("year"), real(F.col("active")).alias("active"), entries.alias("entries"), exits.alias("exits"), (entries - exits).alias("net"))
 
 
 def survivorship_totals(yearly: DataFrame) -> DataFrame:

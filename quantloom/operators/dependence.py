@@ -55,12 +55,11 @@ def crisis_vs_calm(series: DataFrame, periods: DataFrame, least: int = 5) -> Dat
 
     ``periods`` is (period, start, end), a configuration table; null where a period has fewer than ``least`` days.
     """
-    p = F.broadcast(periods)
-    own = pairs(series)
-    named = own.join(p, F.col("date").between(F.col("start"), F.col("end"))).select("period", "a", "b", "date", "x", "y")
-    inside = own.join(p, F.col("date").between(F.col("start"), F.col("end")), "left_semi").withColumn("period", F.lit("ALL CRISIS"))
-    calm = own.join(p, F.col("date").between(F.col("start"), F.col("end")), "left_anti").withColumn("period", F.lit("CALM"))
-    rows = named.unionByName(inside.select(named.columns)).unionByName(calm.select(named.columns))
+    inside = F.col("date").between(F.col("start"), F.col("end"))
+    days = series.select("date").distinct().join(F.broadcast(periods), inside, "left").groupBy("date").agg(F.collect_list("period").alias("in"))
+    labels = F.when(F.size("in") > 0, F.concat("in", F.array(F.lit("ALL CRISIS")))).otherwise(F.array(F.lit("CALM")))
+    # Days are labelled first, so that the pairs are made once.
+    rows = pairs(series).join(days, "date").select(F.explode(labels).alias("period"), "a", "b", "date", "x", "y")
     each = rows.groupBy("period", "a", "b").agg(F.countDistinct("date").alias("n"), F.corr("x", "y").alias("corr"))
     mean = each.groupBy("period").agg(F.max("n").alias("n_days"), F.when(F.max("n") >= least, F.avg("corr")).alias("avg_corr"))
     base = mean.where("period = 'CALM'").select(F.col("avg_corr").alias("calm"))

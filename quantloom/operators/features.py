@@ -17,10 +17,10 @@ def cross_section(panel: DataFrame) -> DataFrame:
     )
 
 
-def rolling(rows: DataFrame, keys: list[str], window: int, order: str = "date"):
+def rolling(rows: DataFrame, keys: list[str], window: int, order: str = "date", counted: str = "ret"):
     """The trailing window of rows, and whether it is full."""
     frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(window - 1), 0)
-    return frame, F.count("ret").over(frame) == window
+    return frame, F.count(counted).over(frame) == window
 
 
 def index_features(series: DataFrame, window: int) -> DataFrame:

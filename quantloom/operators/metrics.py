@@ -61,16 +61,25 @@ def sortino(r: Column, rf: float = 0.0, days: int = DAYS) -> Column:
 
 
 def wealth_path(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds wealth and drawdown. Wealth starts after the first return, so a first loss is no drawdown. Needs ret > -1."""
+    """Adds wealth and drawdown. Wealth starts after the first return, so a first loss is no drawdown.
+
+    A return of -1 ends in wealth 0 and drawdown -1 for good; a series that begins with it never had wealth, and no
+    drawdown either (null).
+    """
     run = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    grown = series.withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(run)))
-    return grown.withColumn("drawdown", F.col("wealth") / F.max("wealth").over(run) - 1)
+    grown = series.withColumn("wealth", F.product(1 + F.col("ret")).over(run))
+    return grown.withColumn("drawdown", F.try_divide(F.col("wealth"), F.max("wealth").over(run)) - 1)
+
+
+def present(series: DataFrame) -> DataFrame:
+    """Rows with a return: neither null nor NaN."""
+    return series.where(F.col("ret").isNotNull() & ~F.isnan("ret"))
 
 
 def summarise(series: DataFrame, keys: list[str], rf: float = 0.0, days: int = DAYS, places: int = 8) -> DataFrame:
     """Six performance figures a group; one shuffle by ``keys`` serves the window and the aggregate."""
     r = F.col("ret")
-    path = wealth_path(series.where(r.isNotNull()), keys)
+    path = wealth_path(present(series), keys)
     raw = path.groupBy(*keys).agg(
         F.count("ret").alias("n_days"),
         annual_return(r, days).alias("ann_return"),

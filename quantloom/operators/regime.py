@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels.optim import covariance
+
 
 def runs(path: DataFrame) -> DataFrame:
     """(market, state, run, first, length) of maximal runs of one state (gaps and islands)."""
@@ -80,12 +84,20 @@ def weighted_means(window: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def weighted_covariance(window: DataFrame, weights: DataFrame) -> DataFrame:
-    """(market, rebal, a, b, cov) for a <= b: weights sum to T, the divisor is max(sum - 1, 1)."""
+    """(market, rebal, a, b, cov) for a <= b: weights sum to T, the divisor is max(sum - 1, 1).
+
+    A task has one T x N window, so its T x N^2 products are never rows.
+    """
     rows = window.join(weights.select("market", "rebal", "date", F.col("w").alias("obs_w")), ["market", "rebal", "date"])
-    rows = rows.join(weighted_means(window, weights), ["market", "rebal", "id"]).select("market", "rebal", "date", "id", "obs_w", (F.col("ret") - F.col("mu")).alias("x"))
-    left, right = rows.withColumnsRenamed({"id": "a", "x": "xa"}), rows.select("market", "rebal", "date", F.col("id").alias("b"), F.col("x").alias("xb"))
-    both = left.join(right, ["market", "rebal", "date"]).where("a <= b")
-    return both.groupBy("market", "rebal", "a", "b").agg((F.sum(F.col("obs_w") * F.col("xa") * F.col("xb")) / F.greatest(F.sum("obs_w") - 1, F.lit(1.0))).alias("cov"))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="date", columns="id", values="ret").fillna(0.0)
+        own = pdf.drop_duplicates("date").set_index("date")["obs_w"].reindex(wide.index).to_numpy(float)
+        cov = covariance(wide.to_numpy(float), "sample", own)
+        i, j = np.triu_indices(len(wide.columns))
+        return pd.DataFrame({"market": key[0], "rebal": key[1], "a": wide.columns[i], "b": wide.columns[j], "cov": cov[i, j]})
+
+    return rows.select("market", "rebal", "date", "id", "ret", "obs_w").groupBy("market", "rebal").applyInPandas(run, "market string, rebal date, a string, b string, cov double")
 
 
 def states_of_window(window_days: DataFrame, path: DataFrame) -> DataFrame:

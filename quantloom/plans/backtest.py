@@ -17,6 +17,7 @@ from ..config import Config
 from ..kernels import optim
 from ..operators import metrics, rebalance, regime
 from ..operators.cleaning import keep_first, ordinals
+from ..sources.sinks import materialise
 
 KEYS = ["market", "strategy"]
 
@@ -52,20 +53,25 @@ def solve_windows(window: DataFrame, strategies: list[str], cfg, obs: DataFrame
     return rows.groupBy("market", "rebal").applyInPandas(run, "market string, strategy string, rebal date, id string, w double")
 
 
-def run_backtest(panel: DataFrame, series: DataFrame, cfg: Config, strategies: list[str], contexts: DataFrame | None = None) -> Result:
-    """Every market at once. ``contexts`` (market, rebal, date, p, pi) feed the ``_rc`` strategies."""
-    calendar = ordinals(panel)
+def run_backtest(panel: DataFrame, series: DataFrame, cfg: Config, strategies: list[str], contexts: DataFrame | None = None, calendar: DataFrame | None = None) -> Result:
+    """Every market at once. ``contexts`` (market, rebal, date, p, pi) feed the ``_rc`` strategies.
+
+    ``calendar`` (market, date, t) is the study's; days on which the panel is blank count in a lookback. Without it
+    the panel's own days are the calendar.
+    """
+    panel = materialise(panel)
+    calendar = ordinals(panel) if calendar is None else materialise(calendar)
     rebals = rebalance.rebalance_dates(calendar, cfg.backtest.train_end, cfg.backtest.rebalance_frequency)
     intervals = rebalance.holding_intervals(rebals)
     held = rebalance.days_of_intervals(calendar, intervals)
     p = cfg.portfolio
-    window = rebalance.investable_window(panel, calendar, intervals.select("market", "rebal"), p.default_lookback, p.min_window_coverage, p.max_universe)
+    window = materialise(rebalance.investable_window(panel, calendar, intervals.select("market", "rebal"), p.default_lookback, p.min_window_coverage, p.max_universe))
     obs = None
     if contexts is not None:
         current = contexts.select("market", "rebal", F.col("pi").alias("p")).dropDuplicates(["market", "rebal"])
         obs = regime.observation_weights(window, contexts, current, p.regime_weight_floor)
-    # Solved once: returns and turnover both read the weights. Lost blocks are solved again from their windows.
-    weights = solve_windows(window, strategies, p, obs).persist()
+    # Solved once: returns and turnover both read the weights.
+    weights = materialise(solve_windows(window, strategies, p, obs))
     moved = rebalance.turnover(weights, KEYS)
     gross = rebalance.holding_returns(weights, panel, held, KEYS)
     net = rebalance.charge(gross, moved, KEYS, cfg.backtest.transaction_cost_bps)
@@ -73,7 +79,7 @@ def run_backtest(panel: DataFrame, series: DataFrame, cfg: Config, strategies: l
         live = window.select("market", "rebal").distinct()
         index = rebalance.benchmark_returns(series, held.join(live, ["market", "rebal"], "left_semi"))
         net = net.unionByName(index.withColumn("strategy", F.lit("index_benchmark")).withColumn("turnover", F.lit(None).cast("double")))
-    net = keep_first(net, [*KEYS, "date"], "rebal")
+    net = materialise(keep_first(net, [*KEYS, "date"], "rebal"))
     figures = metrics.summarise(net, KEYS, cfg.backtest.risk_free_annual, cfg.backtest.trading_days_per_year)
     figures = figures.join(rebalance.average_turnover(moved, KEYS), KEYS, "left")
     return Result(net, weights, moved, figures)

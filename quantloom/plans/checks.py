@@ -41,14 +41,28 @@ def regimes(path: DataFrame) -> list[DataFrame]:
     ]
 
 
-def backtest(figures: DataFrame, returns: DataFrame, turnover: DataFrame, days: int = 252) -> list[DataFrame]:
+def backtest(figures: DataFrame, returns: DataFrame, turnover: DataFrame, days: int = 252, common_days: int = 100) -> list[DataFrame]:
+    """Figures against their recomputation, signs and ranges, and whether equal weights follow the index.
+
+    Plausible are volatilities in (0.01, 1.5), Sharpe ratios below 4, and a correlation of equal_weight with
+    index_benchmark above 0.7 where both share more than ``common_days`` days.
+    """
+    side = lambda s: returns.where(F.col("strategy") == s).select("market", "date", "ret")
+    follows = metrics.tracking(side("equal_weight"), side("index_benchmark"), common_days).where("corr is not null")
     again = metrics.summarise(returns, ["market", "strategy"], days=days).select("market", "strategy", *(F.col(x).alias(f"{x}_2") for x in ("ann_return", "ann_vol", "sharpe", "max_drawdown")))
     both = figures.join(again, ["market", "strategy"])
     off = lambda x: F.abs(F.col(x) - F.col(f"{x}_2")) > 1e-6 * F.greatest(F.abs(F.col(x)), F.lit(1e-2))
     return [
         rules(both, *((f"{x} recomputes", off(x)) for x in ("ann_return", "ann_vol", "sharpe", "max_drawdown"))),
         rules(figures.join(returns.select("market", "strategy").distinct(), ["market", "strategy"], "left_anti"), ("metrics have returns", F.lit(True))),
-        rules(figures, ("drawdown in [-1, 0]", ~F.col("max_drawdown").between(-1, 0)), ("volatility plausible", ~F.col("ann_vol").between(0, 5), "plausible")),
+        rules(
+            figures,
+            ("drawdown in [-1, 0]", ~F.col("max_drawdown").between(-1, 0)),
+            ("volatility not negative", F.col("ann_vol") < 0),
+            ("volatility plausible", (F.col("ann_vol") <= 0.01) | (F.col("ann_vol") >= 1.5), "plausible"),
+            ("sharpe plausible", F.abs("sharpe") >= 4, "plausible"),
+        ),
+        rules(follows, ("equal weights follow the index", F.col("corr") <= 0.7, "plausible")),
         rules(turnover, ("turnover in [0, 1]", ~F.col("turnover").between(-1e-9, 1 + 1e-9))),
     ]
 

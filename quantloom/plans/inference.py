@@ -42,10 +42,16 @@ def stylised_facts(rows: DataFrame, keys: list[str], lb_lags: int = 10, arch_lag
 
 
 def test_failures(facts: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Per market: number of ids tested and the shares that reject normality, a unit root and no ARCH effect."""
+    """Per market: number of ids tested (those with an ADF test), and the shares that are not stationary (a unit root is
+    not rejected), have ARCH effects, and are not normal."""
     wide = facts.groupBy("market", "id").pivot("fact", ["adf_p", "arch_p", "jb_p"]).agg(F.first("value")).where("adf_p is not null")
-    share = lambda x: F.round(F.avg((F.col(x) < alpha).cast("double")), 3)
-    return wide.groupBy("market").agg(F.count("*").alias("n_tested"), share("adf_p").alias("reject_unit_root"), share("arch_p").alias("reject_no_arch"), share("jb_p").alias("reject_normal"))
+    share = lambda holds: F.round(F.avg(F.coalesce(holds, F.lit(False)).cast("double")), 3)
+    return wide.groupBy("market").agg(
+        F.count("*").alias("n_tested"),
+        share(F.col("adf_p") > alpha).alias("frac_nonstationary"),
+        share(F.col("arch_p") < alpha).alias("frac_arch_effects"),
+        share(F.col("jb_p") < alpha).alias("frac_nonnormal"),
+    )
 
 
 def dcc(series: DataFrame) -> DataFrame:

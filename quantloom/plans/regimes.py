@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Regimes
 from ..kernels import hmm
 from ..kernels.series import eigen_share, fit_msgarch
 from ..operators import features as feats
+from ..operators import regime
 from ..operators.cleaning import ordinals
 
 
-def eigen_features(panel: DataFrame, window: int, most: int, seed: int) -> DataFrame:
+def eigen_features(panel: DataFrame, window: int, most: int, seed: int, calendar: DataFrame | None = None) -> DataFrame:
     """(market, date, eig1_share) over names complete in the trailing window, at most ``most`` by hash of seed, day and id.
 
     A grouped map per market and span of ``window`` days sees the span and its lead-in, so no task holds a market.
     """
-    days = panel.join(ordinals(panel), ["market", "date"]).select("market", "id", "date", "t", "ret")
+    days = panel.join(ordinals(panel) if calendar is None else calendar, ["market", "date"]).select("market", "id", "date", "t", "ret")
     spans = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.floor(F.col("t") / window) + k))
     spread = days.withColumn("span", F.explode(spans))
 
@@ -29,7 +32,7 @@ def eigen_features(panel: DataFrame, window: int, most: int, seed: int) -> DataF
         out = []
         for t in wide.index[(wide.index // window == key[1]) & (wide.index >= window)]:
             block = wide.loc[t - window + 1 : t]
-            names = block.columns[block.notna().all() & (len(block) == window)]
+            names = block.columns[block.notna().all()] if len(block) == window else []
             if len(names) > most:
                 names = sorted(names, key=lambda x: hash_order(seed, t, x))[:most]
             value = eigen_share(block[names].to_numpy()) if len(names) else np.nan
@@ -49,18 +52,21 @@ def hash_order(seed: int, t: int, name: str) -> int:
 CONSTITUENT = ["xs_dispersion", "frac_negative", "xs_skew", "avg_pairwise_corr", "eig1_share"]
 
 
-def regime_features(series: DataFrame, panel: DataFrame | None, source: str, cfg: Regimes) -> tuple[DataFrame, list[str]]:
-    """(market, date, ret, features...) of complete rows, and the names of the features."""
+def regime_features(series: DataFrame, panel: DataFrame | None, source: str, cfg: Regimes, calendar: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """(market, date, ret, features...) of complete rows, and the names of the features.
+
+    ``calendar`` (market, date, t) is the study's; without it the panel's own days are.
+    """
     if source == "index":
         names = ["r", "realised_vol"]
         rows = feats.index_features(series, cfg.vol_window).withColumn("r", F.col("ret"))
     elif source == "constituent":
         if panel is None:
             raise ValueError("constituent features need a panel")
-        names = CONSTITUENT
+        names, calendar = CONSTITUENT, ordinals(panel) if calendar is None else calendar
         rows = feats.cross_section(panel)
-        rows = rows.join(feats.average_pairwise_correlation(panel, ordinals(panel), cfg.constituent_window).drop("n"), ["market", "date"])
-        rows = rows.join(eigen_features(panel, cfg.constituent_window, cfg.max_names_for_eig, cfg.random_state), ["market", "date"])
+        rows = rows.join(feats.average_pairwise_correlation(panel, calendar, cfg.constituent_window).drop("n"), ["market", "date"])
+        rows = rows.join(eigen_features(panel, cfg.constituent_window, cfg.max_names_for_eig, cfg.random_state, calendar), ["market", "date"])
         rows = rows.join(series.select("market", "date", "ret"), ["market", "date"], "left")
     else:
         raise ValueError(f"unknown feature source {source}")
@@ -74,7 +80,7 @@ def detect(rows: DataFrame, names: list[str], cfg: Regimes) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         x = pdf[names].to_numpy(float)
-        model, _ = hmm.select(x, cfg.n_states_grid, cfg.model_selection, n_init=cfg.n_init, rounds=cfg.n_iter, seed=cfg.random_state, prior=cfg.covars_prior, ridge=cfg.min_covar)
+        model, _ = hmm.select(x, cfg.n_states_grid, cfg.model_selection, n_init=cfg.n_init, rounds=cfg.n_iter, seed=cfg.random_state, prior=cfg.covars_prior, ridge=cfg.min_covar, kind=cfg.covariance_type)
         k = len(model.means)
         raw = hmm.decode(model, x)
         order = hmm.volatility_order(raw, pdf["ret"].to_numpy(), k)
@@ -90,50 +96,102 @@ def model_table(rows: DataFrame, names: list[str], cfg: Regimes) -> DataFrame:
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("date")[names].to_numpy(float)
-        _, table = hmm.select(x, (int(key[1]),), n_init=cfg.n_init, rounds=cfg.n_iter, seed=cfg.random_state, prior=cfg.covars_prior, ridge=cfg.min_covar)
+        _, table = hmm.select(x, (int(key[1]),), n_init=cfg.n_init, rounds=cfg.n_iter, seed=cfg.random_state, prior=cfg.covars_prior, ridge=cfg.min_covar, kind=cfg.covariance_type)
         return pd.DataFrame(table).assign(market=key[0])[["market", "k", "loglik", "n_params", "aic", "bic", "converged"]]
 
     spread = rows.withColumn("k", F.explode(F.array(*(F.lit(k) for k in cfg.n_states_grid))))
     return spread.groupBy("market", "k").applyInPandas(run, "market string, k int, loglik double, n_params int, aic double, bic double, converged boolean")
 
 
-def walk_forward(rows: DataFrame, names: list[str], rebals: DataFrame, cfg: Regimes, n_init: int, refit: str, keep_days: int) -> DataFrame:
-    """(market, rebal, date, state, p, pi): filtered posteriors of the last ``keep_days`` days up to each rebalance.
+#: Rows of features that a fit needs.
+LEAST_ROWS = 60
+_MODEL = "start array<double>, trans array<double>, means array<double>, covars array<double>, calm_first array<int>"
+
 
-    A model is fitted on data up to the first rebalance of its calendar year (or each rebalance) and needs 60 rows.
-    Fits do not depend on each other, so each is a task: features up to the group's last rebalance are its input.
+def refits(rows: DataFrame, names: list[str], rebals: DataFrame, cfg: Regimes, n_init: int, refit: str) -> DataFrame:
+    """(market, fitted, start, trans, means, covars, calm_first): the models of a walk-forward study, flat, by refit date.
+
+    In each calendar year (or at each rebalance) a model is fitted at the first rebalance where one can be: there are
+    LEAST_ROWS rows up to it, and a number of states fits. Years do not depend on each other, so each is a task.
     """
     group = F.year("rebal") if refit == "annual" else F.unix_date("rebal")
-    marks = rebals.withColumn("fit", group)
-    cuts = marks.groupBy("market", "fit").agg(F.sort_array(F.collect_list("rebal")).alias("rebals"))
+    cuts = rebals.groupBy("market", group.alias("fit")).agg(F.sort_array(F.collect_list("rebal")).alias("rebals"))
     spread = rows.join(cuts, "market").where(F.col("date") <= F.element_at("rebals", -1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        dates, x, ret, out = pd.to_datetime(pdf["date"]).to_numpy(), pdf[names].to_numpy(float), pdf["ret"].to_numpy(), []
-        asked = [pd.Timestamp(d).to_datetime64() for d in pdf["rebals"].iloc[0]]
-        model = None
-        n = int((dates <= asked[0]).sum())
-        if n >= 60:
+        dates, x, ret = pd.to_datetime(pdf["date"]).to_numpy(), pdf[names].to_numpy(float), pdf["ret"].to_numpy()
+        for at in map(pd.Timestamp, pdf["rebals"].iloc[0]):
+            n = int((dates <= at.to_datetime64()).sum())
             tries = []
-            for k in cfg.n_states_grid:
+            for k in cfg.n_states_grid if n >= LEAST_ROWS else ():
                 try:
-                    m = hmm.fit(x[:n], k, n_init, cfg.n_iter, cfg.random_state, cfg.covars_prior, cfg.min_covar)
+                    m = hmm.fit(x[:n], k, n_init, cfg.n_iter, cfg.random_state, cfg.covars_prior, cfg.min_covar, cfg.covariance_type)
                 except RuntimeError:
                     continue
-                tries.append((-2 * m.loglik + np.log(n) * hmm.n_params(k, x.shape[1]), k, m))
-            model = min(tries, key=lambda t: t[:2])[2] if tries else None
-        if model is not None:
-            order = hmm.volatility_order(hmm.decode(model, x[:n]), ret[:n], len(model.means))
-            for at in asked:
-                upto = int((dates <= at).sum())
-                p = hmm.filtered(model, x[:upto])[:, order]
-                state = np.argsort(order)[hmm.decode(model, x[:upto])]
-                for i in range(max(0, upto - keep_days), upto):
-                    out.append((pdf["market"].iloc[0], at, dates[i], int(state[i]), p[i].tolist(), p[-1].tolist()))
+                cost = {"bic": np.log(n), "aic": 2.0}[cfg.model_selection.lower()]
+                tries.append((cost * hmm.n_params(k, x.shape[1], cfg.covariance_type) - 2 * m.loglik, k, m))
+            if tries:
+                m = min(tries, key=lambda t: t[:2])[2]
+                order = hmm.volatility_order(hmm.decode(m, x[:n]), ret[:n], len(m.means))
+                return pd.DataFrame([[pdf["market"].iloc[0], at.date(), *(v.ravel().tolist() for v in (m.start, m.trans, m.means, m.covars)), order.tolist()]], columns=["market", "fitted", "start", "trans", "means", "covars", "calm_first"])
+        return pd.DataFrame(columns=["market", "fitted", "start", "trans", "means", "covars", "calm_first"])
+
+    return spread.groupBy("market", "fit").applyInPandas(run, f"market string, fitted date, {_MODEL}")
+
+
+def model_of(row) -> hmm.Hmm:
+    """The model of a row of ``refits``."""
+    k = len(row["start"])
+    means = np.array(row["means"]).reshape(k, -1)
+    d = means.shape[1]
+    return hmm.Hmm(np.array(row["start"]), np.array(row["trans"]).reshape(k, k), means, np.array(row["covars"]).reshape(k, d, d))
+
+
+def walk_forward(rows: DataFrame, names: list[str], rebals: DataFrame, cfg: Regimes, n_init: int, refit: str, keep_days: int) -> DataFrame:
+    """(market, rebal, date, state, p, pi): filtered posteriors of the last ``keep_days`` days up to each rebalance.
+
+    A rebalance uses the last model fitted on or before it, its own year's or, until that one can be fitted, an
+    earlier one; before the first model it has no rows. A task is the rebalances of one model.
+    """
+    models = refits(rows, names, rebals, cfg, n_init, refit)
+    past = Window.partitionBy("market").orderBy("date", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = models.select("market", F.col("fitted").alias("date"), F.lit(0).alias("ask"), "fitted").unionByName(rebals.select("market", F.col("rebal").alias("date"), F.lit(1).alias("ask"), F.lit(None).cast("date").alias("fitted")))
+    used = marks.withColumn("fitted", F.last("fitted", ignorenulls=True).over(past)).where("ask = 1 and fitted is not null")
+    cuts = used.groupBy("market", "fitted").agg(F.sort_array(F.collect_list("date")).alias("rebals")).join(models, ["market", "fitted"])
+    spread = rows.join(cuts, "market").where(F.col("date") <= F.element_at("rebals", -1))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        dates, x, out = pd.to_datetime(pdf["date"]).to_numpy(), pdf[names].to_numpy(float), []
+        model, order = model_of(pdf.iloc[0]), np.array(pdf["calm_first"].iloc[0])
+        for at in map(pd.Timestamp, pdf["rebals"].iloc[0]):
+            upto = int((dates <= at.to_datetime64()).sum())
+            p = hmm.filtered(model, x[:upto])[:, order]
+            state = np.argsort(order)[hmm.decode(model, x[:upto])]
+            for i in range(max(0, upto - keep_days), upto):
+                out.append((pdf["market"].iloc[0], at, dates[i], int(state[i]), p[i].tolist(), p[-1].tolist()))
         return pd.DataFrame(out, columns=["market", "rebal", "date", "state", "p", "pi"]).astype({"rebal": "datetime64[ns]", "date": "datetime64[ns]"})
 
-    return spread.groupBy("market", "fit").applyInPandas(run, "market string, rebal date, date date, state int, p array<double>, pi array<double>")
+    return spread.groupBy("market", "fitted").applyInPandas(run, "market string, rebal date, date date, state int, p array<double>, pi array<double>")
+
+
+def compare_sources(paths: dict[str, DataFrame], periods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What two or more feature sources make of the same days.
+
+    ``paths`` are (market, date, state) by source. Gives (market, source, k, n_days, pct_top, recall map<period, pct>) and
+    (market, a, b, n_days, agreement) of each two sources on shared days; periods without days are not in the map.
+    """
+    rows = reduce(DataFrame.unionByName, [p.select(F.lit(name).alias("source"), "market", "date", "state") for name, p in paths.items()])
+    top = F.col("state") == F.max("state").over(Window.partitionBy("market", "source"))
+    rows = rows.withColumn("top", top.cast("double"))
+    whole = rows.groupBy("market", "source").agg((F.max("state") + 1).alias("k"), F.count("*").alias("n_days"), F.round(100 * F.avg("top"), 2).alias("pct_top"))
+    inside = rows.join(F.broadcast(periods), F.col("date").between(F.col("start"), F.col("end")))  # a configuration table
+    recall = inside.groupBy("market", "source", "period").agg(F.round(100 * F.avg("top"), 1).alias("pct"))
+    recall = recall.groupBy("market", "source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("period", "pct")))).alias("recall"))
+    names = list(paths)
+    both = [regime.agreement(paths[a], paths[b]).select("market", F.lit(a).alias("a"), F.lit(b).alias("b"), "n_days", "agreement") for i, a in enumerate(names) for b in names[i + 1 :]]
+    return whole.join(recall, ["market", "source"], "left"), reduce(DataFrame.unionByName, both)
 
 
 def msgarch(series: DataFrame, k: int = 2) -> DataFrame:

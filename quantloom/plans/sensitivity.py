@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,9 @@ from .backtest import KEYS, Result, run_backtest
 
 
 def _tagged(frames: dict[str, DataFrame], name: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [f.select(F.lit(name).alias("parameter"), F.lit(v).alias("value"), *f.columns) for v, f in frames.items()])
+    """(parameter, value, place, figures...); ``place`` is the value's position in its grid."""
+    parts = [f.select(F.lit(name).alias("parameter"), F.lit(v).alias("value"), F.lit(k).alias("place"), *f.columns) for k, (v, f) in enumerate(frames.items())]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sweep_cost(result: Result, cfg: Config, levels: list[float]) -> DataFrame:
@@ -23,24 +26,37 @@ def sweep_cost(result: Result, cfg: Config, levels: list[float]) -> DataFrame:
     return _tagged({f"{b:g}": at(b) for b in levels}, "transaction_cost_bps")
 
 
-def _sweep(panel, series, cfg: Config, strategies, contexts, section: str, key: str, values) -> DataFrame:
-    run = lambda v: run_backtest(panel, series, override(cfg, **{section: {key: v}}), strategies, contexts).metrics
+def _sweep(panel, series, cfg: Config, strategies, contexts, calendar, section: str, key: str, values) -> DataFrame:
+    run = lambda v: run_backtest(panel, series, override(cfg, **{section: {key: v}}), strategies, contexts, calendar).metrics
     return _tagged({str(v): run(v) for v in values}, key)
 
 
-def sweep_lookback(panel, series, cfg: Config, strategies, contexts=None) -> DataFrame:
-    return _sweep(panel, series, cfg, strategies, contexts, "portfolio", "default_lookback", cfg.portfolio.lookback_days_grid)
+def sweep_lookback(panel, series, cfg: Config, strategies, contexts=None, calendar=None) -> DataFrame:
+    return _sweep(panel, series, cfg, strategies, contexts, calendar, "portfolio", "default_lookback", cfg.sensitivity.lookback_grid)
 
 
-def sweep_rebalance(panel, series, cfg: Config, strategies, frequencies=("M", "Q"), contexts=None) -> DataFrame:
-    return _sweep(panel, series, cfg, strategies, contexts, "backtest", "rebalance_frequency", frequencies)
+def sweep_rebalance(panel, series, cfg: Config, strategies, contexts_of: Callable[[Config], DataFrame] | None = None, calendar=None) -> DataFrame:
+    """``contexts_of`` a configuration gives the contexts of its rebalance dates; without it ``_rc`` strategies are left out."""
+    frames = {}
+    for frequency in cfg.sensitivity.rebalance_frequency_grid:
+        own = override(cfg, backtest={"rebalance_frequency": frequency})
+        frames[frequency] = run_backtest(panel, series, own, strategies, contexts_of and contexts_of(own), calendar).metrics
+    return _tagged(frames, "rebalance_frequency")
 
 
-def sweep_views(panel, series, cfg: Config, contexts, confidences) -> DataFrame:
-    return _sweep(panel, series, cfg, ["equilibrium_rc"], contexts, "portfolio", "bl_view_confidence", confidences)
+def sweep_views(panel, series, cfg: Config, contexts, confidences, taus=(0.05,), calendar=None) -> DataFrame:
+    """The equilibrium strategy over confidences and, inside each, prior uncertainties; a column tau is added."""
+    at = lambda tau: _sweep(panel, series, override(cfg, portfolio={"bl_tau": tau}), ["equilibrium_rc"], contexts, calendar, "portfolio", "bl_view_confidence", confidences)
+    return reduce(DataFrame.unionByName, [at(tau).withColumn("tau", F.lit(float(tau))) for tau in taus])
+
+
+def in_order(sweep: DataFrame) -> DataFrame:
+    """Rows of a sweep by market, place in the grid, and strategy."""
+    return sweep.orderBy("market", "place", "strategy")
 
 
 def roll_up(sweeps: list[DataFrame]) -> DataFrame:
-    """(parameter, market, value, sharpe, max_drawdown): means over strategies."""
-    both = reduce(DataFrame.unionByName, [s.select("parameter", "value", "market", "sharpe", "max_drawdown") for s in sweeps])
-    return both.groupBy("parameter", "market", "value").agg(F.round(F.avg("sharpe"), 8).alias("sharpe"), F.round(F.avg("max_drawdown"), 8).alias("max_drawdown"))
+    """(parameter, market, value, sharpe, max_drawdown): means over strategies, in the order of sweeps and grids."""
+    both = reduce(DataFrame.unionByName, [s.select(F.lit(k).alias("sweep"), "parameter", "value", "place", "market", "sharpe", "max_drawdown") for k, s in enumerate(sweeps)])
+    means = both.groupBy("sweep", "parameter", "market", "place", "value").agg(F.round(F.avg("sharpe"), 8).alias("sharpe"), F.round(F.avg("max_drawdown"), 8).alias("max_drawdown"))
+    return means.orderBy("sweep", "market", "place").drop("sweep", "place")

@@ -1,4 +1,8 @@
-"""The stages of a full study in order, with a manifest; a failing stage is recorded and the run goes on."""
+"""The stages of a full study in order, with a manifest; a failing stage is recorded and the run goes on to the end.
+
+The last stage checks the results; ``StudyFailed`` is raised after the manifest is written if it found a broken
+invariant, or if any stage failed.
+"""
 
 from __future__ import annotations
 
@@ -11,65 +15,149 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..kernels.optim import strategies
 from ..operators import cleaning, dependence, features, metrics
-from . import backtest, checks, inference, regimes
+from ..operators.rebalance import holding_intervals, rebalance_dates
+from ..sources.sinks import write_stage
+from . import backtest, checks, inference, regimes, reports, sensitivity, tables
+
+
+class StudyFailed(RuntimeError):
+    """Some stage failed, or an invariant is broken; ``manifest`` tells."""
+
+    def __init__(self, manifest: list[tuple[str, str, float]], why: str):
+        super().__init__(why)
+        self.manifest = manifest
+
 
+def preprocess(series: DataFrame, panel: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Aligned, filled, winsorised and thinned (series, panel), the study's calendar (market, date, t), and the counters.
 
-def preprocess(series: DataFrame, panel: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """Aligned, filled, winsorised and thinned (series, panel)."""
+    Days that are too sparse lose their returns and stay in the calendar.
+    """
     p = cfg.preprocessing
     series, panel = (cleaning.between_dates(x, p.start_date, p.end_date) for x in (series, panel))
     calendar = cleaning.shared_calendar(series, p.calendar_alignment)
-    days = cleaning.ordinals(series.join(calendar, "date", "left_semi"))
-    panel = cleaning.blank_sparse_days(panel.join(calendar, "date", "left_semi"), p.min_active_constituents)
-    if p.max_forward_fill_days > 0:
-        panel = cleaning.forward_fill(panel, days, p.max_forward_fill_days).drop("filled")
-    panel = cleaning.winsorize(panel, *p.winsorize_quantiles).drop("clipped")
-    return cleaning.clean_index(series, days, p.max_forward_fill_days).drop("filled"), panel
+    numbered = cleaning.ordinals(calendar.select(F.lit("all").alias("market"), "date")).drop("market")
+    days = numbered.crossJoin(F.broadcast(series.select("market").distinct())).select("market", "date", "t")  # one row a market
+    kept = cleaning.blank_sparse_days(panel.join(calendar, "date", "left_semi"), p.min_active_constituents)
+    filled = cleaning.forward_fill(kept, days, p.max_forward_fill_days)
+    clipped = cleaning.winsorize(filled.drop("filled"), *p.winsorize_quantiles)
+    counters = cleaning.full_diagnostics(panel, series, calendar, kept, filled, clipped)
+    return cleaning.clean_index(series, days, p.max_forward_fill_days).drop("filled"), clipped.drop("clipped"), days, counters
 
 
-def stages(spark: SparkSession, series: DataFrame, panel: DataFrame, cfg: Config) -> dict[str, Callable[[dict], DataFrame]]:
+def stages(spark: SparkSession, raw_series: DataFrame, raw_panel: DataFrame, cfg: Config) -> dict[str, Callable[[dict], DataFrame]]:
     """Stage name -> function of the results so far."""
     periods = spark.createDataFrame(list(cfg.eda.crisis_periods), "period string, start string, end string").select("period", F.to_date("start").alias("start"), F.to_date("end").alias("end"))
+    names = [p[0] for p in cfg.eda.crisis_periods]
+    cleaned = preprocess(raw_series, raw_panel, cfg)
+    study = {}
 
-    def contexts(_):
-        from ..operators.rebalance import holding_intervals, rebalance_dates
+    def source(done, name):
+        return regimes.regime_features(done["index"], done["panel"], name, cfg.regimes, done["calendar"])
 
-        rows, names = regimes.regime_features(series, panel, cfg.regimes.feature_source, cfg.regimes)
-        rebals = holding_intervals(rebalance_dates(cleaning.ordinals(panel), cfg.backtest.train_end, cfg.backtest.rebalance_frequency)).select("market", "rebal")
-        return regimes.walk_forward(rows, names, rebals, cfg.regimes, cfg.backtest.regime_refit_n_init, cfg.backtest.regime_refit_frequency, cfg.portfolio.default_lookback)
+    def paths(done, name):
+        return regimes.detect(*source(done, name), cfg.regimes)
+
+    def contexts(done, own=cfg):
+        rows, columns = source(done, own.regimes.feature_source)
+        rebals = holding_intervals(rebalance_dates(done["calendar"], own.backtest.train_end, own.backtest.rebalance_frequency)).select("market", "rebal")
+        longest = max(own.portfolio.default_lookback, *own.sensitivity.lookback_grid)
+        return regimes.walk_forward(rows, columns, rebals, own.regimes, own.backtest.regime_refit_n_init, own.backtest.regime_refit_frequency, longest)
 
     def run(done):
-        done["_result"] = backtest.run_backtest(panel, series, cfg, strategies(), done["contexts"])
-        return done["_result"].returns
+        study["result"] = backtest.run_backtest(done["panel"], done["index"], cfg, strategies(), done["contexts"], done["calendar"])
+        return study["result"].returns
+
+    def compared(done):
+        return regimes.compare_sources({x: done[f"regimes_{x}"] for x in ("constituent", "index")}, periods)
+
+    def swept(done):
+        grid = cfg.sensitivity
+        of = (lambda x: x.where(F.col("market").isin(*grid.sweep_markets))) if grid.sweep_markets else (lambda x: x)
+        inputs = of(done["panel"]), of(done["index"]), cfg, strategies()
+        calendar = of(done["calendar"])
+        views = sensitivity.sweep_views(*inputs[:2], cfg, done["contexts"], grid.bl_view_confidence_grid, grid.bl_tau_grid, calendar)
+        lookback = sensitivity.sweep_lookback(*inputs, done["contexts"], calendar)
+        cost = sensitivity.sweep_cost(study["result"], cfg, list(grid.transaction_cost_grid_bps))
+        rebalance = sensitivity.sweep_rebalance(*inputs, lambda own: contexts(done, own), calendar)
+        return sensitivity.roll_up([views, lookback, of(cost), rebalance])
 
+    def table(maker, *inputs):
+        return lambda done: maker(*(x(done) if callable(x) else done[x] if x in done else x for x in inputs))
+
+    first = cfg.indices[0] if cfg.indices else ""
+    n_trials = len(strategies()) * max(1, len(cfg.indices))
     return {
-        "data_summary": lambda _: cleaning.dataset_summary(panel, cfg.portfolio.default_lookback),
-        "survivorship": lambda _: cleaning.survivorship(panel),
-        "eda": lambda _: inference.stylised_facts(series, ["market"], cfg.eda.ljung_box_lags, cfg.eda.arch_lm_lags),
-        "dependence": lambda _: dependence.crisis_vs_calm(series, periods),
-        "features": lambda _: features.cross_section(panel),
-        "regimes": lambda _: regimes.detect(*regimes.regime_features(series, panel, cfg.regimes.feature_source, cfg.regimes), cfg.regimes),
+        "index": lambda _: cleaned[0],
+        "panel": lambda _: cleaned[1],
+        "calendar": lambda _: cleaned[2],
+        "diagnostics": lambda _: cleaned[3],
+        "data_summary": lambda done: cleaning.dataset_summary(done["panel"], cfg.portfolio.default_lookback),
+        "survivorship": lambda done: cleaning.survivorship(done["panel"]),
+        "eda": lambda done: inference.stylised_facts(done["index"], ["market"], cfg.eda.ljung_box_lags, cfg.eda.arch_lm_lags),
+        "dependence": lambda _: dependence.crisis_vs_calm(raw_series, periods),
+        "features": lambda done: features.cross_section(done["panel"]),
+        "regimes_index": lambda done: paths(done, "index"),
+        "regimes_constituent": lambda done: paths(done, "constituent"),
+        "regime_sources": lambda done: compared(done)[0],
+        "msgarch": lambda done: regimes.msgarch(done["index"]),
         "contexts": contexts,
         "backtest": run,
-        "metrics": lambda done: done["_result"].metrics,
+        "metrics": lambda _: study["result"].metrics,
+        "turnover": lambda _: study["result"].turnover,
+        "effect": lambda done: metrics.regime_effect(done["metrics"], ["ann_return", "ann_vol", "sharpe", "sortino", "max_drawdown", "calmar", "avg_turnover"]),
         "crisis": lambda done: metrics.by_period(done["backtest"], ["market", "strategy"], periods),
-        "inference": lambda done: inference.inference_table(done["backtest"], cfg.inference, len(strategies()) * max(1, len(cfg.indices)), cfg.seed),
-        "validate": lambda done: checks.report(checks.regimes(done["regimes"]) + checks.inference(done["inference"])),
+        "inference": lambda done: inference.inference_table(done["backtest"], cfg.inference, n_trials, cfg.seed),
+        "sensitivity": swept,
+        "table_dataset": table(tables.dataset, "data_summary"),
+        "table_survivorship": table(tables.survivorship, "survivorship", first),
+        "table_survivorship_totals": table(tables.survivorship_totals, "survivorship"),
+        "table_stylised_facts": table(tables.stylised_facts, "eda"),
+        "table_regime_sources": lambda done: tables.regime_sources(done["regime_sources"], first, names),
+        "table_backtest": lambda done: tables.backtest(done["metrics"], first),
+        "table_regime_effect": lambda done: tables.regime_effect(done["effect"], list(cfg.indices)),
+        "table_inference": lambda done: tables.inference(done["inference"], first),
+        "table_crisis": lambda done: tables.crisis(reports.crisis_pivot(done["crisis"].where(F.col("market") == first), names), names),
+        "table_full_grid": table(tables.full_grid, "metrics"),
+        "table_sensitivity": table(tables.sensitivity, "sensitivity"),
+        "figure_wealth": lambda done: reports.wealth_figure(done["backtest"], ["market", "strategy"]),
+        "figure_drawdown": lambda done: reports.drawdown_figure(done["backtest"]),
+        "figure_regimes": lambda done: reports.regime_figure(done[f"regimes_{cfg.regimes.feature_source}"]),
+        "figure_effect": lambda done: reports.effect_figure(done["effect"]),
+        "figure_correlation": lambda _: reports.correlation_figure(raw_series, cfg.eda.rolling_corr_window),
+        "validate": lambda done: checks.report(
+            checks.dataset(done["data_summary"])
+            + checks.survivorship(done["survivorship"])
+            + checks.regimes(done["regimes_index"])
+            + checks.backtest(done["metrics"], done["backtest"].select("market", "strategy", "date", "ret"), done["turnover"], cfg.backtest.trading_days_per_year)
+            + checks.effect(done["effect"])
+            + checks.inference(done["inference"])
+        ),
     }
 
 
 def run_all(spark: SparkSession, series: DataFrame, panel: DataFrame, cfg: Config, folder: str, only: list[str] | None = None) -> list[tuple[str, str, float]]:
-    """Writes each stage as Parquet under ``folder``; returns the manifest (stage, status, seconds)."""
-    done, manifest = {}, []
+    """Writes each stage as Parquet under ``folder`` and, last, the manifest (stage, status, seconds), which it returns.
+
+    A stage that fails is recorded; those that need it fail likewise. Raises ``StudyFailed`` at the end if any did, or
+    if the checks found a broken invariant. ``only`` limits the run to some stages, whose inputs must then be among them.
+    """
+    done, manifest, why = {}, [], []
     for name, stage in stages(spark, series, panel, cfg).items():
         if only and name not in only:
             continue
         began = time.time()
         try:
-            stage(done).write.mode("overwrite").parquet(f"{folder}/{name}")
+            write_stage(stage(done), f"{folder}/{name}")
             done[name] = spark.read.parquet(f"{folder}/{name}")
+            if name == "validate":
+                checks.assert_valid(done[name])
             status = "ok"
-        except Exception as error:  # the manifest tells; later stages that need it fail likewise
+        except Exception as error:
             status = f"failed: {type(error).__name__}: {str(error)[:200]}"
+            why.append(f"{name} {status}")
         manifest.append((name, status, time.time() - began))
+    spark.createDataFrame(manifest, "stage string, status string, seconds double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    if why:
+        raise StudyFailed(manifest, "; ".join(why))
     return manifest

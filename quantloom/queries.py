@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from .config import Config, override
 from .kernels import optim
 from .operators import cleaning, dependence, features, metrics, rebalance, regime
-from .plans import backtest, checks, inference, panels, regimes, reports, sensitivity
+from .plans import backtest, checks, inference, panels, regimes, reports, sensitivity, tables
 from .plans.panels import EVENTS_SQL, LINES_SQL, ORDERS_SQL
 from .sources import index_json
+from .sources.sinks import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,10 +26,11 @@ PERIODS = (("week two", "2024-01-08", "2024-01-14"), ("storm", "2024-01-20", "20
 YEARS = (("start", "1996-01-01", "1997-12-31"), ("late", "1999-01-01", "1999-12-31"))
 STUDY = override(
     Config(indices=("lines",)),
-    backtest={"train_end": "1998-01-01", "regime_refit_n_init": 2},
-    portfolio={"default_lookback": LOOKBACK, "max_universe": 20, "lookback_days_grid": (12, 24)},
-    regimes={"n_states_grid": (2,), "n_init": 2, "n_iter": 60, "vol_window": 6, "covars_prior": 1e-3, "min_covar": 1e-4},
-    inference={"block_size": 3, "n_bootstrap": 500},
+    backtest={"train_end": "1998-01-01"},
+    portfolio={"default_lookback": LOOKBACK},
+    regimes={"vol_window": 6, "constituent_window": 12, "covars_prior": 1e-3, "min_covar": 1e-4},
+    inference={"block_size": 3},
+    sensitivity={"lookback_grid": (12, LOOKBACK)},
 )
 
 
@@ -232,7 +234,7 @@ def _(spark, d):
     return cleaning.winsorize(od(spark, d), 0.05, 0.95).withColumn("ret", F.round("ret", 12))
 
 
-@query("f7_clean_index", f"""WITH {ORDERS_SQL}, ix AS (SELECT market, date, avg(ret) AS ret FROM od WHERE market <> 'ASIA' GROUP BY 1, 2), dd AS (SELECT DISTINCT date FROM od),
+@query("f7_clean_index", f"""WITH {ORDERS_SQL}, ix AS (SELECT market, date, avg(ret) AS ret FROM od GROUP BY 1, 2), dd AS (SELECT DISTINCT date FROM od),
     nt AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM dd), sp AS (SELECT market, min(date) AS a, max(date) AS b FROM ix GROUP BY 1),
     g AS (SELECT sp.market, nt.date, nt.t, ix.ret FROM sp JOIN nt ON nt.date BETWEEN a AND b LEFT JOIN ix ON ix.market = sp.market AND ix.date = nt.date),
     f AS (SELECT *, last_value(ret IGNORE NULLS) OVER w AS lv, max(CASE WHEN ret IS NOT NULL THEN t END) OVER w AS lt FROM g WINDOW w AS (PARTITION BY market ORDER BY t))
@@ -251,7 +253,7 @@ def _(spark, d):
     return cleaning.with_history(od(spark, d), 60).groupBy("market", "id").agg(F.count("*").alias("n_obs"))
 
 
-@query("f10_sample_ids")
+@query("f10_sample_ids", f"WITH {ORDERS_SQL} SELECT market, id FROM (SELECT DISTINCT market, id FROM od) QUALIFY row_number() OVER (PARTITION BY market ORDER BY md5('42:' || id), id) <= 3")
 def _(spark, d):
     return cleaning.sample_ids(od(spark, d), 3, 42)
 
@@ -342,18 +344,19 @@ def _(spark, d):
 
 
 def _lines(spark, d):
-    panel = ln(spark, d)
+    panel = materialise(ln(spark, d))
     calendar = cleaning.ordinals(panel)
     intervals = rebalance.holding_intervals(rebalance.rebalance_dates(calendar, "1998-01-01", "M"))
-    window = rebalance.investable_window(panel, calendar, intervals.select("market", "rebal"), LOOKBACK, 1.0, 20)
+    window = rebalance.investable_window(panel, calendar, intervals.select("market", "rebal"), LOOKBACK, 1.0, STUDY.portfolio.max_universe)
     return panel, calendar, intervals, window
 
 
-_BT = f"""WITH {LINES_SQL}, dt AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM ln)),
-    rb AS (SELECT date AS rebal, t, lead(date) OVER (ORDER BY date) AS nxt FROM dt WHERE date >= DATE '1998-01-01'), rb2 AS (SELECT * FROM rb WHERE nxt IS NOT NULL AND t >= {LOOKBACK}),
-    wr AS (SELECT rebal, nxt, ln.id, ln.date, ln.ret FROM rb2 JOIN dt ON dt.t BETWEEN rb2.t - {LOOKBACK - 1} AND rb2.t JOIN ln ON ln.date = dt.date),
-    nm AS (SELECT rebal, nxt, id, count(*) AS n, stddev_samp(ret) AS s, row_number() OVER (PARTITION BY rebal ORDER BY count(*) DESC, length(id), id) AS k FROM wr GROUP BY 1, 2, 3 HAVING count(*) >= {LOOKBACK}),
-    un AS (SELECT * FROM nm WHERE k <= 20),
+def _bt(lookback: int = LOOKBACK, rebals: str = "true") -> str:
+    return f"""WITH {LINES_SQL}, dt AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM ln)),
+    rb AS (SELECT date AS rebal, t, lead(date) OVER (ORDER BY date) AS nxt FROM dt WHERE date >= DATE '1998-01-01' AND {rebals}), rb2 AS (SELECT * FROM rb WHERE nxt IS NOT NULL AND t >= {lookback}),
+    wr AS (SELECT rebal, nxt, ln.id, ln.date, ln.ret FROM rb2 JOIN dt ON dt.t BETWEEN rb2.t - {lookback - 1} AND rb2.t JOIN ln ON ln.date = dt.date),
+    nm AS (SELECT rebal, nxt, id, count(*) AS n, stddev_samp(ret) AS s, row_number() OVER (PARTITION BY rebal ORDER BY count(*) DESC, length(id), id) AS k FROM wr GROUP BY 1, 2, 3 HAVING count(*) >= {lookback}),
+    un AS (SELECT * FROM nm WHERE k <= {STUDY.portfolio.max_universe}),
     wt AS (SELECT 'equal_weight' AS strategy, rebal, nxt, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY rebal) AS w FROM un UNION ALL SELECT 'inv_vol', rebal, nxt, id, 1 / s / sum(1 / s) OVER (PARTITION BY rebal) FROM un WHERE s > 0),
     sr AS (SELECT DISTINCT strategy, rebal, nxt FROM wt), hd AS (SELECT strategy, rebal, dt.date FROM sr JOIN dt ON dt.date > rebal AND dt.date <= nxt),
     gr AS (SELECT hd.strategy, hd.rebal, hd.date, coalesce(sum(w * ln.ret), 0) AS ret FROM hd JOIN wt ON wt.strategy = hd.strategy AND wt.rebal = hd.rebal LEFT JOIN ln ON ln.id = wt.id AND ln.date = hd.date GROUP BY 1, 2, 3),
@@ -364,11 +367,14 @@ _BT = f"""WITH {LINES_SQL}, dt AS (SELECT date, row_number() OVER (ORDER BY date
            CASE WHEN date = min(date) OVER (PARTITION BY gr.strategy, rebal) THEN turnover END AS turnover FROM gr JOIN tn USING (strategy, rebal))"""
 
 
+_BT = _bt()
+
+
 def _relational(spark, d):
     """The fully relational backtest: equal and inverse-volatility weights."""
     panel, calendar, intervals, window = _lines(spark, d)
     named = lambda w, s: w.select("market", F.lit(s).alias("strategy"), "rebal", "id", "w")
-    weights = named(rebalance.equal_weights(window), "equal_weight").unionByName(named(rebalance.inverse_volatility(window), "inv_vol")).persist()
+    weights = materialise(named(rebalance.equal_weights(window), "equal_weight").unionByName(named(rebalance.inverse_volatility(window), "inv_vol")))
     moved = rebalance.turnover(weights, backtest.KEYS)
     gross = rebalance.holding_returns(weights, panel, rebalance.days_of_intervals(calendar, intervals), backtest.KEYS)
     return weights, moved, gross, rebalance.charge(gross, moved, backtest.KEYS, 10.0)
@@ -601,12 +607,12 @@ def _(spark, d):
     return checks.report(checks.survivorship(cleaning.survivorship(od(spark, d))))
 
 
-@query("streaming_cross_section", f"""WITH {EVENTS_SQL} SELECT market, date_trunc('day', date) AS start, count(*) AS n, round(avg(ret), 8) AS mean, round(stddev_samp(ret), 8) AS dispersion, round(avg((ret < 0)::INT), 8) AS frac_negative FROM ev GROUP BY 1, 2""")
+@query("streaming_cross_section", f"""WITH {EVENTS_SQL} SELECT market, date_trunc('day', date) AS start, count(*) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS dispersion, round(avg((ret < 0)::INT), 6) AS frac_negative FROM ev GROUP BY 1, 2""")
 def _(spark, d):
     from .streaming import windowed_cross_section
 
     rows = windowed_cross_section(ev(spark, d).withColumnRenamed("date", "ts"))
-    return rows.select("market", F.col("start").cast("timestamp_ntz").alias("start"), "n", *(F.round(x, 8).alias(x) for x in ("mean", "dispersion", "frac_negative")))
+    return rows.select("market", F.col("start").cast("timestamp_ntz").alias("start"), "n", *(F.round(x, 6).alias(x) for x in ("mean", "dispersion", "frac_negative")))
 
 
 # ------------------------------------------------------------------------------------------- raw texts
@@ -721,11 +727,13 @@ _S, _M = "(SELECT count(DISTINCT strategy) FROM nt)", "(SELECT count(*) FROM tn)
 
 @query("v5_backtest_checks", f"{_BT}{_BT_METRICS} " + _checks_sql(
     *((f"{x} recomputes", "invariant", 0, _S) for x in ("ann_return", "ann_vol", "sharpe", "max_drawdown")), ("metrics have returns", "invariant", 0, 0), ("drawdown in [-1, 0]", "invariant", 0, _S),
-    ("turnover in [0, 1]", "invariant", "(SELECT count(*) FROM tn WHERE turnover NOT BETWEEN -1e-9 AND 1 + 1e-9)", _M), ("volatility plausible", "plausible", "(SELECT count(*) FROM mt WHERE ann_vol NOT BETWEEN 0 AND 5)", _S)))
+    ("turnover in [0, 1]", "invariant", "(SELECT count(*) FROM tn WHERE turnover NOT BETWEEN -1e-9 AND 1 + 1e-9)", _M), ("volatility not negative", "invariant", 0, _S), ("volatility plausible", "plausible", "(SELECT count(*) FROM mt WHERE ann_vol <= 0.01 OR ann_vol >= 1.5)", _S),
+    ("sharpe plausible", "plausible", "(SELECT count(*) FROM mt WHERE abs(sharpe) >= 4)", _S),
+    ("equal weights follow the index", "plausible", "(SELECT count(*) FROM (SELECT corr(x.ret, y.ret) AS c FROM nt x JOIN nt y USING (date) WHERE x.strategy = 'equal_weight' AND y.strategy = 'inv_vol') WHERE c <= 0.7)", 1)))
 def _(spark, d):
     _, moved, _, net = _relational(spark, d)
-    returns = net.select(*backtest.KEYS, "date", "ret")
-    return checks.report(checks.backtest(metrics.summarise(returns, backtest.KEYS), returns, moved))
+    returns = net.select(*backtest.KEYS, "date", "ret").replace("inv_vol", "index_benchmark", ["strategy"])
+    return checks.report(checks.backtest(metrics.summarise(returns, backtest.KEYS), returns, moved, common_days=10))
 
 
 @query("v6_inference_checks", f"WITH {_TESTS} " + _checks_sql(
@@ -745,26 +753,26 @@ QUERIES["a6_test_failures"] = lambda spark, d: inference.test_failures(inference
 QUERIES["u22_garch"] = lambda spark, d: inference.garch(ev(spark, d))
 QUERIES["u23_dcc"] = lambda spark, d: inference.dcc(ev(spark, d))
 QUERIES["u24_msgarch"] = lambda spark, d: regimes.msgarch(ev(spark, d))
-QUERIES["w12_eigen_share"] = lambda spark, d: regimes.eigen_features(ln(spark, d), 12, 15, 42)
+QUERIES["w12_eigen_share"] = lambda spark, d: regimes.eigen_features(ln(spark, d), 12, STUDY.regimes.max_names_for_eig, 42)
 
 
 def _index_rows(spark, d):
     return regimes.regime_features(ev(spark, d), None, "index", STUDY.regimes)
 
 
-QUERIES["u3_model_table"] = lambda spark, d: regimes.model_table(*_index_rows(spark, d), override(STUDY, regimes={"n_states_grid": (2, 3)}).regimes)
+QUERIES["u3_model_table"] = lambda spark, d: regimes.model_table(*_index_rows(spark, d), STUDY.regimes)
 QUERIES["u8_regimes"] = lambda spark, d: regimes.detect(*_index_rows(spark, d), STUDY.regimes)
 
 
 def _study_config(spark, d, conditional: bool):
-    panel = ln(spark, d)
+    panel = materialise(ln(spark, d))
     series = panels.index_of(panel)
     contexts = None
     if conditional:
         rows, names = regimes.regime_features(series, None, "index", STUDY.regimes)
         rebals = rebalance.holding_intervals(rebalance.rebalance_dates(cleaning.ordinals(panel), STUDY.backtest.train_end, "M")).select("market", "rebal")
-        # Monthly data: models see 30 rows and more at the first refit with 60, from the fifth year on.
-        contexts = regimes.walk_forward(rows, names, rebals, STUDY.regimes, 2, "annual", LOOKBACK)
+        # Monthly data: the first model comes with the 60th row, in the fifth year.
+        contexts = materialise(regimes.walk_forward(rows, names, rebals, STUDY.regimes, STUDY.backtest.regime_refit_n_init, "annual", LOOKBACK))
     return panel, series, contexts
 
 
@@ -784,17 +792,353 @@ def _(spark, d):
     return backtest.solve_windows(_lines(spark, d)[3], ["min_variance", "mean_variance", "hrp", "cvar", "equilibrium"], STUDY.portfolio)
 
 
+def _race(spark, d):
+    """The event types as strategies, with the clicks as benchmark: a test needs 50 common periods."""
+    returns = ev(spark, d).select(F.lit("events").alias("market"), F.col("market").alias("strategy"), "date", "ret")
+    return inference.inference_table(returns, override(STUDY, inference={"benchmark": "click"}).inference, 12)
+
+
 @query("u27_inference")
 def _(spark, d):
-    panel, series, _ = _study_config(spark, d, False)
-    returns = backtest.run_backtest(panel, series, STUDY, ["equal_weight", "min_variance", "hrp"]).returns
-    return inference.inference_table(returns, override(STUDY, inference={"block_size": 3}).inference, 12)
+    return _race(spark, d)
 
 
 @query("u28_lookback_sweep")
 def _(spark, d):
+    panel, series, contexts = _study_config(spark, d, True)
+    return sensitivity.in_order(sensitivity.sweep_lookback(panel, series, STUDY, optim.strategies(), contexts))
+
+
+# ------------------------------------------------------------------------------- what SQL can say about the kernels
+@query("w4_total_loss", f"""WITH {EVENTS_SQL}, x AS (SELECT market, date, CASE WHEN day(date) = 10 AND hour(date) = 5 THEN -1.0 ELSE ret END AS ret FROM ev),
+    c AS (SELECT *, product(1 + ret) OVER (PARTITION BY market ORDER BY date) AS wealth FROM x), e AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY market ORDER BY date) - 1 AS dd FROM c)
+    SELECT market, count(*) AS n_days, round(stddev_samp(ret) * sqrt(252), 8) AS ann_vol, round(min(dd), 8) AS max_drawdown, CASE WHEN product(1 + ret) > 0 THEN 1.0 END AS ann_return FROM e GROUP BY market""")
+def _(spark, d):
+    lost = (F.dayofmonth("date") == 10) & (F.hour("date") == 5)
+    rows = ev(spark, d).withColumn("ret", F.when(lost, -1.0).otherwise(F.col("ret")))
+    return metrics.summarise(rows, ["market"]).select("market", "n_days", "ann_vol", "max_drawdown", "ann_return")
+
+
+@query("a1_full_diagnostics", f"""{_FILL}, {_SHARED}, {_WINS}, kd AS (SELECT market, date, count(*) AS n FROM od WHERE date IN (SELECT date FROM cal) GROUP BY 1, 2), kk AS (SELECT * FROM kd WHERE n >= 2),
+    o AS (SELECT market, count(DISTINCT date) AS n_own_days, count(DISTINCT date) FILTER (date NOT IN (SELECT date FROM cal)) AS n_days_lost, count(DISTINCT id) AS n_ids FROM od GROUP BY 1),
+    m AS (SELECT market, count(*) AS n_days, CAST(floor(median(n)) AS BIGINT) AS n_median, min(n) AS n_min, max(n) AS n_max, sum(n) AS cells FROM kk GROUP BY 1),
+    k AS (SELECT market, count(*) FILTER (filled) AS n_filled FROM ff GROUP BY 1), c AS (SELECT market, count(*) FILTER (clipped) AS n_clipped FROM wz GROUP BY 1),
+    ed AS (SELECT min(date) AS first_date, max(date) AS last_date, count(*) AS n FROM cal)
+    SELECT o.market, n_own_days, n_days_lost, n_ids, n_days, n_median, n_min, n_max, n_filled, n_clipped, first_date, last_date, round(100 * (1 - cells / (ed.n * n_ids)), 2) AS pct_missing
+    FROM o JOIN m USING (market) JOIN k USING (market) JOIN c USING (market), ed""")
+def _(spark, d):
+    p = materialise(od(spark, d))
+    calendar = cleaning.shared_calendar(p)
+    kept = cleaning.blank_sparse_days(p.join(calendar, "date", "left_semi"), 2)
+    return cleaning.full_diagnostics(p, p, calendar, kept, cleaning.forward_fill(p, cleaning.ordinals(p), 2), cleaning.winsorize(p, 0.05, 0.95))
+
+
+@query("u1_closed_form", f"""WITH {EVENTS_SQL}, a AS (SELECT market, row_number() OVER (PARTITION BY market ORDER BY date) AS t, ret FROM ev),
+    s AS (SELECT 'lb' AS f, market, t, ret AS x FROM a UNION ALL SELECT 'lb2', market, t, ret * ret FROM a), c AS (SELECT f, market, t, x - avg(x) OVER (PARTITION BY f, market) AS x FROM s),
+    p AS (SELECT f, market, count(*)::DOUBLE AS n, sum(x * x) AS v FROM c GROUP BY 1, 2), r AS (SELECT y.f, y.market, y.t - z.t AS k, sum(y.x * z.x) AS g FROM c y JOIN c z ON y.f = z.f AND y.market = z.market AND y.t - z.t BETWEEN 1 AND 10 GROUP BY 1, 2, 3),
+    q AS (SELECT f, market, n * (n + 2) * sum((g / v) * (g / v) / (n - k)) AS q FROM r JOIN p USING (f, market) GROUP BY f, market, n),
+    j AS (SELECT market, count(*)::DOUBLE AS n, skewness(ret) AS s, kurtosis(ret) AS k, avg(ret) * 252 AS m, stddev_samp(ret) * sqrt(252) AS v, kurtosis_pop(ret) AS kp,
+                 skewness(ret) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)) AS sp FROM a GROUP BY 1),
+    o AS (SELECT market, 'n_obs' AS fact, n AS value FROM j UNION ALL SELECT market, 'skew', s FROM j UNION ALL SELECT market, 'kurt', k FROM j UNION ALL SELECT market, 'mean_ann', m FROM j UNION ALL SELECT market, 'vol_ann', v FROM j
+          UNION ALL SELECT market, 'jb', n / 6 * (sp * sp + kp * kp / 4) FROM j UNION ALL SELECT market, 'jb_p', exp(-n / 12 * (sp * sp + kp * kp / 4)) FROM j UNION ALL SELECT market, f, q FROM q
+          UNION ALL SELECT market, f || '_p', exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24) FROM q)
+    SELECT market, fact, round(value, 6) AS value FROM o""")
+def _(spark, d):
+    shown = ["n_obs", "skew", "kurt", "mean_ann", "vol_ann", "jb", "jb_p", "lb", "lb_p", "lb2", "lb2_p"]
+    return inference.stylised_facts(ev(spark, d), ["market"]).where(F.col("fact").isin(*shown)).withColumn("value", F.round("value", 6))
+
+
+_FEATURES = "v0 AS (SELECT *, stddev_samp(ret) OVER w AS s, count(*) OVER w AS n FROM ev WINDOW w AS (PARTITION BY market ORDER BY date ROWS 5 PRECEDING)), fe AS (SELECT * FROM v0 WHERE n = 6)"
+
+
+@query("u3_criteria", f"WITH {EVENTS_SQL} SELECT market, CAST(k AS INTEGER) AS k, CAST(k - 1 + k * (k - 1) + 2 * k + 3 * k AS INTEGER) AS n_params, true AS aic_adds_up, true AS bic_adds_up FROM (SELECT DISTINCT market FROM ev), (VALUES (2), (3)) v(k)")
+def _(spark, d):
+    rows, names = _index_rows(spark, d)
+    rows = materialise(rows)
+    table = regimes.model_table(rows, names, STUDY.regimes).join(rows.groupBy("market").agg(F.count("*").alias("n")), "market")
+    off = lambda x, cost: F.abs(F.col(x) - (cost * F.col("n_params") - 2 * F.col("loglik"))) < 1e-6
+    return table.select("market", "k", "n_params", off("aic", F.lit(2.0)).alias("aic_adds_up"), off("bic", F.log("n")).alias("bic_adds_up"))
+
+
+@query("v4_detected_checks", f"WITH {EVENTS_SQL}, {_FEATURES} " + _checks_sql(
+    *((x, "invariant", 0, "(SELECT count(*) FROM fe)") for x in ("probabilities sum to 1", "probabilities not negative", "states in range")), ("decoded and filtered agree", "plausible", 0, "(SELECT count(DISTINCT market) FROM fe)")))
+def _(spark, d):
+    return checks.report(checks.regimes(regimes.detect(*_index_rows(spark, d), STUDY.regimes)))
+
+
+def _two_paths(spark, d):
+    """Two ways to tell states: by the size of a return, and by its sign."""
+    path = _threshold_path(spark, d)
+    return {"index": path, "constituent": path.withColumn("state", F.when(F.col("ret") > 0, 1).otherwise(0))}
+
+
+_SOURCES = f"""{_STATE}, {_values(PERIODS)}, sc AS (SELECT 'index' AS source, market, date, state FROM st UNION ALL SELECT 'constituent', market, date, (ret > 0)::INT FROM st),
+    rc AS (SELECT source, market, period, round(100 * avg((state = 1)::INT), 1) AS pct FROM sc JOIN p ON date BETWEEN a AND b GROUP BY 1, 2, 3),
+    sm AS (SELECT market, source, 2 AS k, count(*) AS n_days, round(100 * avg((state = 1)::INT), 2) AS pct_top FROM sc GROUP BY 1, 2)"""
+
+
+@query("u9_source_comparison", f"""{_SOURCES} SELECT market, source, CAST(k AS INTEGER) AS k, n_days, pct_top, max(pct) FILTER (period = 'storm') AS recall_storm, max(pct) FILTER (period = 'week two') AS recall_week_two
+    FROM sm LEFT JOIN rc USING (market, source) GROUP BY ALL""")
+def _(spark, d):
+    found = regimes.compare_sources(_two_paths(spark, d), _periods(spark, PERIODS))[0]
+    return found.select("market", "source", "k", "n_days", "pct_top", F.col("recall")["storm"].alias("recall_storm"), F.col("recall")["week two"].alias("recall_week_two"))
+
+
+@query("u9_source_agreement", f"{_STATE} SELECT market, 'index' AS a, 'constituent' AS b, count(*) AS n_days, round(avg((state = (ret > 0)::INT)::INT), 8) AS agreement FROM st GROUP BY 1")
+def _(spark, d):
+    return regimes.compare_sources(_two_paths(spark, d), _periods(spark, PERIODS))[1]
+
+
+_WINDOW12 = f"""WITH {LINES_SQL}, dt AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM ln)),
+    nm AS (SELECT e.date, id, count(*) AS n FROM dt e JOIN dt w ON w.t BETWEEN e.t - 11 AND e.t JOIN ln ON ln.date = w.date WHERE e.t >= 12 GROUP BY 1, 2 HAVING count(*) = 12 AND stddev_samp(ret) > 0),
+    ok AS (SELECT date, count(*) AS names FROM nm GROUP BY 1 HAVING count(*) >= 10)"""
+
+
+@query("w12_eigen_bounds", f"{_WINDOW12} SELECT 'lines' AS market, date, true AS inside FROM ok")
+def _(spark, d):
+    found = regimes.eigen_features(materialise(ln(spark, d)), 12, STUDY.regimes.max_names_for_eig, 42)
+    return found.select("market", "date", F.col("eig1_share").between(1 / 25 - 1e-9, 1 + 1e-9).alias("inside"))
+
+
+@query("u7_constituent_features", f"""{_WINDOW12}, xs AS (SELECT date, round(stddev_samp(ret) * 100, 6) AS xs_dispersion, round(avg((ret < 0)::INT), 8) AS frac_negative, round(skewness(ret), 6) AS xs_skew, round(avg(ret), 8) AS ret FROM ln GROUP BY 1)
+    SELECT 'lines' AS market, date, ret, xs_dispersion, frac_negative, xs_skew FROM xs JOIN ok USING (date) WHERE xs_skew IS NOT NULL""")
+def _(spark, d):
+    panel = materialise(ln(spark, d))
+    rows, _ = regimes.regime_features(panels.index_of(panel), panel, "constituent", STUDY.regimes)
+    return rows.select("market", "date", F.round("ret", 8).alias("ret"), F.round("xs_dispersion", 6).alias("xs_dispersion"), F.round("frac_negative", 8).alias("frac_negative"), F.round("xs_skew", 6).alias("xs_skew"))
+
+
+QUERIES["u8_constituent_regimes"] = lambda spark, d: _constituent_regimes(spark, d)
+
+
+def _constituent_regimes(spark, d):
+    panel = materialise(ln(spark, d))
+    return regimes.detect(*regimes.regime_features(panels.index_of(panel), panel, "constituent", STUDY.regimes), STUDY.regimes)
+
+
+@query("u19_feasible", f"{_BT} SELECT v.s AS strategy, count(DISTINCT rebal) AS n_windows, 0::BIGINT AS n_bad_sum, 0::BIGINT AS n_negative FROM un, (VALUES ('min_variance'), ('mean_variance'), ('hrp'), ('cvar'), ('equilibrium')) v(s) GROUP BY 1")
+def _(spark, d):
+    weights = backtest.solve_windows(_lines(spark, d)[3], ["min_variance", "mean_variance", "hrp", "cvar", "equilibrium"], STUDY.portfolio)
+    each = weights.groupBy("strategy", "rebal").agg(F.sum("w").alias("total"), F.count_if(F.col("w") < 0).alias("negative"))
+    return each.groupBy("strategy").agg(F.count("*").alias("n_windows"), F.count_if(F.abs(F.col("total") - 1) > 1e-9).alias("n_bad_sum"), F.sum("negative").alias("n_negative"))
+
+
+@query("u13_stationary", f"{_BT} SELECT rebal, count(*) AS n_names, true AS stationary FROM un GROUP BY rebal")
+def _(spark, d):
+    """Minimum variance: no name's gradient is below the portfolio's, and those held are at it."""
+    window = materialise(_lines(spark, d)[3])
+    weights = backtest.solve_windows(window, ["min_variance"], STUDY.portfolio)
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        wide = pdf.pivot(index="date", columns="id", values="ret")
+        w = pdf.drop_duplicates("id").set_index("id")["w"].reindex(wide.columns).to_numpy()
+        g = optim.covariance(wide.to_numpy()) @ w
+        ok = (g >= (w @ g) * (1 - 1e-4)).all() and np.allclose(g[w > 0], w @ g, rtol=1e-4)
+        return pd.DataFrame([[key[0], len(w), bool(ok)]], columns=["rebal", "n_names", "stationary"])
+
+    return window.join(weights, ["market", "rebal", "id"]).groupBy("rebal").applyInPandas(run, "rebal date, n_names long, stationary boolean")
+
+
+_FIGURES = """, q AS (SELECT strategy, date, ret FROM nt WHERE strategy = 'equal_weight' UNION ALL SELECT 'index_benchmark', hd.date, coalesce(ix.ret, 0) FROM hd LEFT JOIN (SELECT date, avg(ret) AS ret FROM ln GROUP BY date) ix USING (date) WHERE strategy = 'equal_weight'),
+    c AS (SELECT *, product(1 + ret) OVER (PARTITION BY strategy ORDER BY date) AS wealth FROM q), e AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY strategy ORDER BY date) - 1 AS dd FROM c),
+    f0 AS (SELECT strategy, count(*) AS n_days, pow(product(1 + ret), 252.0 / count(*)) - 1 AS ann_return, stddev_samp(ret) * sqrt(252) AS ann_vol, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe,
+                  avg(ret) / sqrt(avg(CASE WHEN ret < 0 THEN ret * ret END)) * sqrt(252) AS sortino, min(dd) AS max_drawdown FROM e GROUP BY 1),
+    tv AS (SELECT strategy, avg(turnover) AS avg_turnover FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY rebal) AS k FROM tn) WHERE k > 1 GROUP BY 1),
+    fg AS (SELECT 'lines' AS market, strategy, n_days, round(ann_return, 6) AS ann_return, round(ann_vol, 6) AS ann_vol, round(sharpe, 6) AS sharpe, round(sortino, 6) AS sortino, round(max_drawdown, 6) AS max_drawdown,
+                  CASE WHEN max_drawdown <> 0 THEN round(ann_return / abs(max_drawdown), 6) END AS calmar, round(avg_turnover, 6) AS avg_turnover FROM f0 LEFT JOIN tv USING (strategy))"""
+
+
+def _plain_figures(spark, d):
+    panel, series, _ = _study_config(spark, d, False)
+    found = backtest.run_backtest(panel, series, STUDY, ["equal_weight", "index_benchmark"]).metrics
+    return found.select("market", "strategy", "n_days", *(F.round(x, 6).alias(x) for x in ("ann_return", "ann_vol", "sharpe", "sortino", "max_drawdown", "calmar", "avg_turnover")))
+
+
+@query("u20_benchmarks", f"{_BT}{_FIGURES} SELECT * FROM fg")
+def _(spark, d):
+    return _plain_figures(spark, d)
+
+
+@query("u27_sharpes", f"""WITH {EVENTS_SQL}, b AS (SELECT date, ret AS base FROM ev WHERE market = 'click')
+    SELECT 'events' AS market, market AS strategy, count(*) AS n_obs, round(avg(ret) / stddev_samp(ret) * sqrt(252), 6) AS sharpe, round(avg(base) / stddev_samp(base) * sqrt(252), 6) AS sharpe_benchmark,
+           round((avg(ret) / stddev_samp(ret) - avg(base) / stddev_samp(base)) * sqrt(252), 6) AS sharpe_diff, 4::BIGINT AS n_tests, true AS ordered FROM ev JOIN b USING (date) WHERE market <> 'click' GROUP BY ev.market""")
+def _(spark, d):
+    ordered = (F.col("ci_low") <= F.col("ci_high")) & (F.col("q_value") >= F.col("p_value") - 1e-12) & F.col("dsr").between(0, 1)
+    return _race(spark, d).select("market", "strategy", "n_obs", *(F.round(x, 6).alias(x) for x in ("sharpe", "sharpe_benchmark", "sharpe_diff")), "n_tests", ordered.alias("ordered"))
+
+
+_SWEEP = "x AS (SELECT strategy, date, ret FROM nt WHERE strategy = 'equal_weight'), c AS (SELECT *, product(1 + ret) OVER (ORDER BY date) AS wealth FROM x), e AS (SELECT *, wealth / max(wealth) OVER (ORDER BY date) - 1 AS dd FROM c)"
+_SWEPT = "SELECT '{0}' AS parameter, 'lines' AS market, '{1}' AS value, round(avg(ret) / stddev_samp(ret) * sqrt(252), 6) AS sharpe, round(min(dd), 6) AS max_drawdown FROM e"
+
+
+def _one_sweep(parameter: str, value: str, **how) -> str:
+    return f"SELECT * FROM ({_bt(**how)}, {_SWEEP} {_SWEPT.format(parameter, value)})"
+
+
+_GRID = " UNION ALL ".join(
+    [_one_sweep("default_lookback", str(x), lookback=x) for x in STUDY.sensitivity.lookback_grid]
+    + [f"SELECT * FROM ({_BT}, x0 AS (SELECT strategy, date, ret - ({b} - 10) / 1e4 * coalesce(turnover, 0) AS ret FROM nt WHERE strategy = 'equal_weight'), {_SWEEP.replace('FROM nt WHERE', 'FROM x0 WHERE')} {_SWEPT.format('transaction_cost_bps', f'{b:g}')})" for b in STUDY.sensitivity.transaction_cost_grid_bps]
+    + [_one_sweep("rebalance_frequency", "M"), _one_sweep("rebalance_frequency", "Q", rebals="(month(date) % 3 = 0 OR date = (SELECT max(date) FROM dt))")]
+)
+
+
+def _rolled(spark, d):
     panel, series, _ = _study_config(spark, d, False)
-    return sensitivity.sweep_lookback(panel, series, STUDY, ["equal_weight", "min_variance"])
+    only = ["equal_weight"]
+    base = backtest.run_backtest(panel, series, STUDY, only)
+    cost = sensitivity.sweep_cost(base, STUDY, list(STUDY.sensitivity.transaction_cost_grid_bps))
+    rolled = sensitivity.roll_up([sensitivity.sweep_lookback(panel, series, STUDY, only), cost, sensitivity.sweep_rebalance(panel, series, STUDY, only)])
+    return rolled.select("parameter", "market", "value", F.round("sharpe", 6).alias("sharpe"), F.round("max_drawdown", 6).alias("max_drawdown"))
+
+
+@query("a22_all_sweeps", _GRID)
+def _(spark, d):
+    return _rolled(spark, d)
+
+
+QUERIES["u28_rebalance_sweep"] = lambda spark, d: _conditional_sweep(spark, d, "rebalance")
+QUERIES["u28_view_sweep"] = lambda spark, d: _conditional_sweep(spark, d, "views")
+
+
+def _conditional_sweep(spark, d, kind: str):
+    panel = materialise(ln(spark, d))
+    series = materialise(panels.index_of(panel))
+    rows, names = regimes.regime_features(series, None, "index", STUDY.regimes)
+
+    def contexts(cfg):
+        rebals = rebalance.holding_intervals(rebalance.rebalance_dates(cleaning.ordinals(panel), cfg.backtest.train_end, cfg.backtest.rebalance_frequency)).select("market", "rebal")
+        return materialise(regimes.walk_forward(rows, names, rebals, cfg.regimes, cfg.backtest.regime_refit_n_init, "annual", LOOKBACK))
+
+    if kind == "views":
+        return reports.views_figure(sensitivity.sweep_views(panel, series, STUDY, contexts(STUDY), STUDY.sensitivity.bl_view_confidence_grid))
+    return sensitivity.in_order(sensitivity.sweep_rebalance(panel, series, STUDY, optim.strategies(), contexts))
+
+
+# ------------------------------------------------------------------------------------------- report tables
+def _fmt(x: str, places: int) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '--' ELSE printf('%.{places}f', {x}) END"
+
+
+def _whole(x: str) -> str:
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+@query("r1_dataset_table", f"""SELECT market AS "Index", {_whole('n_days')} AS "T", {_whole('n_ids')} AS "Unique N", {_whole('n_min')} AS "N min", {_whole('n_median')} AS "N med", {_whole('n_max')} AS "N max", {_fmt('n_over_t', 2)} AS "N/T",
+    {_fmt('100 * share_missing', 1)} AS "Missing (%)", CAST(first_date AS VARCHAR) AS "First", CAST(last_date AS VARCHAR) AS "Last" FROM ({ORACLE['a2_dataset_summary']})""")
+def _(spark, d):
+    return tables.dataset(cleaning.dataset_summary(od(spark, d), 252))
+
+
+@query("r2_survivorship_table", f"""{_SURV} SELECT year AS "Year", {_whole('active')} AS "Active", {_whole('entries')} AS "Entries", {_whole('exits')} AS "Exits", {_whole('entries - exits')} AS "Net" FROM sv WHERE market = 'EUROPE'""")
+def _(spark, d):
+    return tables.survivorship(cleaning.survivorship(od(spark, d)), "EUROPE")
+
+
+@query("r2_totals_table", f"""{_SURV} SELECT market AS "Index", {_whole('sum(entries)')} AS "Total entries", {_whole('sum(exits)')} AS "Total exits" FROM sv GROUP BY 1""")
+def _(spark, d):
+    return tables.survivorship_totals(cleaning.survivorship(od(spark, d)))
+
+
+QUERIES["r3_facts_table"] = lambda spark, d: tables.stylised_facts(inference.stylised_facts(ev(spark, d), ["market"]))
+
+
+@query("r4_sources_table", f"""{_SOURCES}, w AS (SELECT market, source, k, n_days, pct_top, max(pct) FILTER (period = 'storm') AS s, max(pct) FILTER (period = 'week two') AS v FROM sm LEFT JOIN rc USING (market, source) GROUP BY ALL)
+    SELECT CASE source WHEN 'index' THEN 'Index return only' ELSE 'Constituent-level' END AS "Feature set", {_whole('k')} AS "K", {_whole('n_days')} AS "Days", {_fmt('pct_top', 1)} AS "Turbulent (%)",
+           {_fmt('v', 1)} AS "week two recall (%)", {_fmt('s', 1)} AS "storm recall (%)" FROM w WHERE market = (SELECT min(market) FROM st)""")
+def _(spark, d):
+    paths = _two_paths(spark, d)
+    found = regimes.compare_sources(paths, _periods(spark, PERIODS))[0]
+    market = paths["index"].agg(F.min("market")).first()[0]
+    return tables.regime_sources(found, market, [p for p, _, _ in PERIODS])
+
+
+_SHOWN_FIGURES = f"""CASE strategy WHEN 'equal_weight' THEN '1/N' ELSE 'Index' END AS "Strategy", {_fmt('100 * ann_return', 1)} AS "Return (%)", {_fmt('100 * ann_vol', 1)} AS "Vol (%)", {_fmt('sharpe', 2)} AS "Sharpe", {_fmt('sortino', 2)} AS "Sortino",
+    {_fmt('100 * max_drawdown', 1)} AS "MaxDD (%)", {_fmt('calmar', 2)} AS "Calmar", {_fmt('avg_turnover', 2)} AS "Turnover" """
+
+
+@query("r5_backtest_table", f"{_BT}{_FIGURES} SELECT {_SHOWN_FIGURES} FROM fg")
+def _(spark, d):
+    return tables.backtest(_plain_figures(spark, d), "lines")
+
+
+@query("r9_full_grid", f'{_BT}{_FIGURES} SELECT market AS "Index", {_SHOWN_FIGURES} FROM fg')
+def _(spark, d):
+    return tables.full_grid(_plain_figures(spark, d))
+
+
+def _method_twins(spark, d):
+    """The relational strategies under the names of a method of the report and its conditional twin."""
+    net = _relational(spark, d)[3].select("market", F.when(F.col("strategy") == "inv_vol", "hrp_rc").otherwise("hrp").alias("strategy"), "date", "ret")
+    return metrics.summarise(net, backtest.KEYS)
+
+
+@query("r6_effect_table", f"""{_BT}{_BT_METRICS} SELECT 'HRP' AS "Method", {_fmt('round(r.sharpe - b.sharpe, 8)', 3)} AS lines, '--' AS elsewhere FROM mt b, mt r WHERE b.strategy = 'equal_weight' AND r.strategy = 'inv_vol'""")
+def _(spark, d):
+    return tables.regime_effect(metrics.regime_effect(_method_twins(spark, d), ["sharpe"]), ["lines", "elsewhere"])
+
+
+@query("a19_full_effect", f"""{_BT}, c AS (SELECT *, product(1 + ret) OVER (PARTITION BY strategy ORDER BY date) AS wealth FROM nt), e AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY strategy ORDER BY date) - 1 AS dd FROM c),
+    f AS (SELECT strategy, round(pow(product(1 + ret), 252.0 / count(*)) - 1, 8) AS ann_return, round(stddev_samp(ret) * sqrt(252), 8) AS ann_vol, round(avg(ret) / stddev_samp(ret) * sqrt(252), 8) AS sharpe,
+                 round(avg(ret) / sqrt(avg(CASE WHEN ret < 0 THEN ret * ret END)) * sqrt(252), 8) AS sortino, round(min(dd), 8) AS max_drawdown FROM e GROUP BY 1),
+    h AS (SELECT f.*, round(avg_turnover, 8) AS avg_turnover FROM f JOIN (SELECT strategy, avg(turnover) AS avg_turnover FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY rebal) AS k FROM tn) WHERE k > 1 GROUP BY 1) USING (strategy)),
+    l AS (SELECT strategy, figure, v FROM (UNPIVOT h ON ann_return, ann_vol, sharpe, sortino, max_drawdown, avg_turnover INTO NAME figure VALUE v))
+    SELECT figure, round(b.v, 6) AS base, round(r.v, 6) AS conditional, round(r.v - b.v, 6) AS change FROM l b JOIN l r USING (figure) WHERE b.strategy = 'equal_weight' AND r.strategy = 'inv_vol'""")
+def _(spark, d):
+    _, moved, _, net = _relational(spark, d)
+    twin = F.when(F.col("strategy") == "inv_vol", "hrp_rc").otherwise("hrp")
+    figures = metrics.summarise(net, backtest.KEYS).join(rebalance.average_turnover(moved, backtest.KEYS).withColumn("avg_turnover", F.round("avg_turnover", 8)), backtest.KEYS).withColumn("strategy", twin)
+    shown = ["ann_return", "ann_vol", "sharpe", "sortino", "max_drawdown", "avg_turnover"]
+    effect = metrics.regime_effect(figures, [*shown, "calmar"])
+    part = lambda x: F.struct(F.lit(x).alias("figure"), *(F.round(F.col(c), 6).alias(n) for n, c in (("base", f"{x}_base"), ("conditional", f"{x}_rc"), ("change", f"d_{x}"))))
+    return effect.select(F.inline(F.array(*map(part, shown))))
+
+
+@query("r7_inference_table", f"""WITH {_TESTS}, r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p_value) AS k FROM t WHERE p_value IS NOT NULL), q0 AS (SELECT strategy, least(1, min(p_value * n / k) OVER (ORDER BY k DESC)) AS q FROM r)
+    SELECT strategy AS "Strategy", {_fmt('p_value * 2', 2)} AS "Sharpe", {_fmt('p_value', 3)} AS "vs 1/N", '--' AS "HAC s.e.", {_fmt('p_value', 3)} AS "p", {_fmt('max(q) OVER (PARTITION BY p_value)', 3)} AS "BH q", {_fmt('p_value * 1.5', 3)} AS "DSR" FROM t LEFT JOIN q0 USING (strategy)""")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    tests = _tests(spark, d).withColumn("q_value", F.max("q_value").over(Window.partitionBy("p_value")))  # tied p-values, one figure
+    shown = tests.withColumns({"sharpe": F.col("p_value") * 2, "sharpe_diff": F.col("p_value"), "hac_se": F.lit(None).cast("double")})
+    return tables.inference(shown, "all")
+
+
+@query("r8_crisis_table", f"""{_BT}, {_values(YEARS)}, z AS (SELECT period, strategy, ret FROM nt JOIN p ON date BETWEEN a AND b UNION ALL SELECT 'FULL', strategy, ret FROM nt), s AS (SELECT strategy, period, round(avg(ret) / stddev_samp(ret) * sqrt(252), 8) AS v FROM z GROUP BY 1, 2),
+    w AS (SELECT strategy, max(v) FILTER (period = 'late') AS late, max(v) FILTER (period = 'FULL') AS f FROM s GROUP BY 1) SELECT CASE strategy WHEN 'equal_weight' THEN '1/N' ELSE strategy END AS "Strategy", {_fmt('late', 2)} AS late, {_fmt('f', 2)} AS "Full sample" FROM w""")
+def _(spark, d):
+    net = _relational(spark, d)[3].select("market", "strategy", "date", "ret")
+    return tables.crisis(reports.crisis_pivot(metrics.by_period(net, backtest.KEYS, _periods(spark, YEARS)), ["late"]), ["late"])
+
+
+@query("r10_sensitivity_table", f"""SELECT CASE parameter WHEN 'default_lookback' THEN 'Lookback (days)' WHEN 'transaction_cost_bps' THEN 'Cost (bps)' ELSE 'Rebalance' END AS "Parameter", market AS "Index", value AS "Value", {_fmt('sharpe', 2)} AS "Mean Sharpe", {_fmt('100 * max_drawdown', 1)} AS "Mean MaxDD" FROM ({_GRID})""")
+def _(spark, d):
+    return tables.sensitivity(_rolled(spark, d))
+
+
+@query("r11_feature_figure", f"""WITH {EVENTS_SQL}, l AS (SELECT market, date, 'ret' AS feature, ret AS value FROM ev UNION ALL SELECT market, date, 'size', abs(ret) FROM ev)
+    SELECT market, date, feature, round(value, 8) AS value, CASE WHEN count(*) OVER w = 21 THEN round(avg(value) OVER w, 8) END AS smooth FROM l WINDOW w AS (PARTITION BY market, feature ORDER BY date ROWS 20 PRECEDING)""")
+def _(spark, d):
+    found = reports.feature_figure(ev(spark, d).withColumn("size", F.abs("ret")), ["ret", "size"], 21)
+    return found.withColumn("value", F.round("value", 8)).withColumn("smooth", F.round("smooth", 8))
+
+
+@query("r11_correlation_figure", f"{_ROLLING} SELECT date, round(round(avg(corr), 8), 6) AS rolling FROM ro WHERE corr IS NOT NULL GROUP BY date")
+def _(spark, d):
+    return reports.correlation_figure(ev(spark, d), ROLL).select("date", F.round("rolling", 6).alias("rolling"))
+
+
+@query("r11_drawdown_figure", f"""{_BT}, c AS (SELECT *, product(1 + ret) OVER (ORDER BY date) AS wealth FROM nt WHERE strategy = 'equal_weight') SELECT 'lines' AS market, strategy, date, round(wealth / max(wealth) OVER (ORDER BY date) - 1, 8) AS drawdown FROM c""")
+def _(spark, d):
+    return reports.drawdown_figure(_relational(spark, d)[3]).withColumn("drawdown", F.round("drawdown", 8))
+
+
+@query("r11_effect_figure", f"""{_BT}{_BT_METRICS}, x AS (SELECT round(r.sharpe - b.sharpe, 8) AS v FROM mt b, mt r WHERE b.strategy = 'equal_weight' AND r.strategy = 'inv_vol')
+    SELECT 'lines' AS market, m AS method, CASE WHEN m = 'hrp' THEN v END AS d_sharpe FROM x, (VALUES ('mean_variance'), ('min_variance'), ('hrp'), ('cvar'), ('equilibrium')) t(m)""")
+def _(spark, d):
+    return reports.effect_figure(metrics.regime_effect(_method_twins(spark, d), ["sharpe"]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

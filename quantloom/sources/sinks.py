@@ -4,9 +4,26 @@ from __future__ import annotations
 
 import csv
 import math
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session may do without, and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="quantloom-")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back by all that use it; Spark deletes the files with the last reference."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def write_stage(df: DataFrame, path: str) -> None:
@@ -31,9 +48,16 @@ def _missing(value: float | None) -> bool:
     return value is None or isinstance(value, float) and math.isnan(value)
 
 
+#: Rows of the largest report table; the full grid of a study has one row a market and strategy.
+TABLE_ROWS = 10_000
+
+
 def write_table(df: DataFrame, folder: str, name: str, caption: str = "") -> list[Path]:
-    """A report table (a few rows by construction) in three formats."""
-    rows = [[("--" if _missing(v) else str(v)) for v in row] for row in df.collect()]
+    """A report table in three formats, on the driver's own disk; more than TABLE_ROWS rows are an error."""
+    found = df.limit(TABLE_ROWS + 1).collect()
+    if len(found) > TABLE_ROWS:
+        raise ValueError(f"{name} has more than {TABLE_ROWS} rows and is no report table")
+    rows = [[("--" if _missing(v) else str(v)) for v in row] for row in found]
     head, base = df.columns, Path(folder)
     base.mkdir(parents=True, exist_ok=True)
     files = [base / f"{name}.{x}" for x in ("csv", "md", "tex")]

@@ -1,9 +1,16 @@
-"""Streaming forms of the daily aggregates."""
+"""Streaming forms of the daily aggregates and of the recursions, whose state is a few numbers a market."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..kernels.hmm import Hmm, log_density
 
 
 def windowed_cross_section(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
@@ -19,3 +26,73 @@ def windowed_cross_section(events: DataFrame, late: str = "1 hour", width: str =
         F.stddev_samp("ret").alias("dispersion"),
         F.avg((F.col("ret") < 0).cast("double")).alias("frac_negative"),
     ).select("market", F.col("w.start").alias("start"), "n", "mean", "dispersion", "frac_negative")
+
+
+def filtered_states(features: DataFrame, names: list[str], model: Hmm, late: str = "1 hour") -> DataFrame:
+    """(market, ts, p): P(state | all rows so far) under a fixed model, for a stream of (market, ts, features).
+
+    The state of a market is its last probability vector and time. Rows of a micro-batch are taken by time; one that is
+    not after the market's last is dropped, since the recursion cannot go back.
+    """
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        alpha, last = state.get if state.exists else (None, None)
+        rows = pd.concat(list(frames)).drop_duplicates("ts").sort_values("ts")
+        rows = rows if last is None else rows[rows["ts"] > pd.Timestamp(last)]
+        if not len(rows):
+            return
+        out = []
+        for b in log_density(model, rows[names].to_numpy(float)):
+            p = (model.start if alpha is None else np.array(alpha) @ model.trans) * np.exp(b - b.max())
+            alpha = (p / max(p.sum(), 1e-300)).tolist()
+            out.append(alpha)
+        state.update((alpha, rows["ts"].iloc[-1].to_pydatetime()))
+        yield pd.DataFrame({"market": key[0], "ts": rows["ts"].to_numpy(), "p": out})
+
+    kind = features.schema["ts"].dataType.simpleString()
+    marked = features.withWatermark("ts", late)
+    return marked.groupBy("market").applyInPandasWithState(run, f"market string, ts {kind}, p array<double>", f"alpha array<double>, last {kind}", "append", GroupStateTimeout.NoTimeout)
+
+
+def conditional_correlation(residuals: DataFrame, bar: np.ndarray, a: float, b: float) -> DataFrame:
+    """(study, ts, avg_corr): mean correlation of the DCC recursion over a stream of (study, ts, z array<double>).
+
+    ``bar`` is the covariance it returns to. The state is the last N x N matrix and the last residuals.
+    """
+    n = len(bar)
+    upper = np.triu_indices(n, 1)
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        q, z, last = state.get if state.exists else (None, None, None)
+        rows = pd.concat(list(frames)).drop_duplicates("ts").sort_values("ts")
+        rows = rows if last is None else rows[rows["ts"] > pd.Timestamp(last)]
+        if not len(rows):
+            return
+        out = []
+        for now in rows["z"]:
+            q = bar if q is None else (1 - a - b) * bar + a * np.outer(z, z) + b * np.reshape(q, (n, n))
+            z, s = np.array(now, float), 1 / np.sqrt(np.diag(q))
+            out.append(float((q * np.outer(s, s))[upper].mean()))
+        state.update((np.ravel(q).tolist(), z.tolist(), rows["ts"].iloc[-1].to_pydatetime()))
+        yield pd.DataFrame({"study": key[0], "ts": rows["ts"].to_numpy(), "avg_corr": out})
+
+    kind = residuals.schema["ts"].dataType.simpleString()
+    return residuals.groupBy("study").applyInPandasWithState(run, f"study string, ts {kind}, avg_corr double", f"q array<double>, z array<double>, last {kind}", "append", GroupStateTimeout.NoTimeout)
+
+
+def refit_marks(rebals: DataFrame) -> DataFrame:
+    """(market, ts): the first rebalance of each calendar year of a stream (market, ts), where a model is fitted anew."""
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (year,) = state.get if state.exists else (0,)
+        out = []
+        for at in sorted(pd.concat(list(frames))["ts"]):
+            if at.year > year:
+                year = at.year
+                out.append(at)
+        state.update((year,))
+        if out:
+            yield pd.DataFrame({"market": key[0], "ts": out})
+
+    kind = rebals.schema["ts"].dataType.simpleString()
+    return rebals.groupBy("market").applyInPandasWithState(run, f"market string, ts {kind}", "year int", "append", GroupStateTimeout.NoTimeout)
