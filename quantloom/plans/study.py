@@ -148,8 +148,9 @@ def run_all(spark: SparkSession, series: DataFrame, panel: DataFrame, cfg: Confi
             continue
         began = time.time()
         try:
-            write_stage(stage(done), f"{folder}/{name}")
-            done[name] = spark.read.parquet(f"{folder}/{name}")
+            made = stage(done)
+            write_stage(made, f"{folder}/{name}")
+            done[name] = spark.read.schema(made.schema).parquet(f"{folder}/{name}")  # an empty table has no files to tell it
             if name == "validate":
                 checks.assert_valid(done[name])
             status = "ok"

@@ -69,3 +69,121 @@ def test_override_copies():
     base = Config()
     assert override(base, backtest={"rebalance_frequency": "Q"}).backtest.rebalance_frequency == "Q"
     assert base.backtest.rebalance_frequency == "M"
+
+
+def test_hrp_shares_alike_between_clusters_without_variance():
+    w = optim.hrp(np.diag([0.0, 0.0, 1.0, 1.0]))
+    assert np.isfinite(w).all() and w.sum() == pytest.approx(1)
+    assert optim.hrp(np.zeros((3, 3))) == pytest.approx([0.25, 0.25, 0.5], abs=0.26) and np.isfinite(optim.hrp(np.zeros((3, 3)))).all()
+    s = np.diag([1.0, 4.0])
+    assert optim.hrp(s) == pytest.approx([0.8, 0.2])
+
+
+def test_black_litterman_is_the_precision_weighted_mean(returns):
+    s = optim.covariance(returns)
+    prior, view = s @ np.full(12, 1 / 12), returns.mean(0)
+    for confidence in (0.1, 1.0, 5.0):
+        ts = np.linalg.inv(0.05 * s + 1e-10 * np.eye(12))
+        omega = np.diag(1 / np.maximum(0.05 * np.diag(s) / confidence, 1e-12))
+        assert optim.black_litterman(s, prior, view, 0.05, confidence) == pytest.approx(np.linalg.solve(ts + omega, ts @ prior + omega @ view), rel=1e-8)
+
+
+def test_shrinkage_by_its_definition(returns):
+    x = returns - returns.mean(0)
+    t, n = x.shape
+    s = x.T @ x / t
+    mu = np.trace(s) / n
+    d2 = ((s - mu * np.eye(n)) ** 2).sum() / n
+    b2 = min(d2, sum(((np.outer(r, r) - s) ** 2).sum() for r in x) / t / t / n)
+    assert optim.covariance(returns) == pytest.approx(b2 / d2 * mu * np.eye(n) + (1 - b2 / d2) * s)
+
+
+def test_max_sharpe_and_utility_beat_neighbours(returns):
+    s, mu, rng = optim.covariance(returns), returns.mean(0), np.random.default_rng(5)
+    best, cautious = optim.max_sharpe(s, mu), optim.max_utility(s, mu, 5.0)
+    ratio = lambda w: w @ mu / np.sqrt(w @ s @ w)
+    useful = lambda w: w @ mu - 2.5 * w @ s @ w
+    for _ in range(300):
+        v = rng.dirichlet(np.ones(12))
+        assert ratio(0.9 * best + 0.1 * v) <= ratio(best) + 1e-6 and useful(0.9 * cautious + 0.1 * v) <= useful(cautious) + 1e-9
+
+
+@pytest.mark.parametrize("kind", hmm.KINDS)
+def test_covariance_kinds(kind):
+    rng = np.random.default_rng(6)
+    truth = np.repeat([0, 1, 0, 1], 120)
+    x = rng.normal(size=(480, 2)) * np.where(truth[:, None], 3.0, 0.5) + truth[:, None] * 2
+    model = hmm.fit(x, 2, n_init=3, rounds=60, kind=kind)
+    c = model.covars
+    assert {"full": 13, "diag": 11, "spherical": 9, "tied": 10}[kind] == hmm.n_params(2, 2, kind)
+    assert kind == "full" or (kind == "tied" and np.allclose(c[0], c[1])) or np.allclose(c * (1 - np.eye(2)), 0)
+    assert kind != "spherical" or np.allclose(c[:, 0, 0], c[:, 1, 1])
+    gamma, _, total = hmm.smoothed(model, x)
+    assert model.loglik == pytest.approx(total, rel=1e-3) and np.allclose(gamma.sum(1), 1)
+    with pytest.raises(ValueError):
+        hmm.fit(x, 2, kind="round")
+
+
+def test_restarts_side_by_side_equal_single_ones():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 2)) * np.where(np.arange(200)[:, None] // 50 % 2, 3.0, 0.5)
+    one = [hmm.fit(x, 2, n_init=1, rounds=40, seed=42 + i).loglik for i in range(4)]
+    assert hmm.fit(x, 2, n_init=4, rounds=40).loglik == pytest.approx(max(one))
+    with pytest.raises(RuntimeError):
+        hmm.fit(x[:1], 2)
+
+
+def test_correlations_return_to_the_covariance_of_the_residuals():
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(400, 2)) @ np.linalg.cholesky(np.array([[1.0, 0.5], [0.5, 1.0]])).T * [1.3, 0.7]
+    path, _ = series.dcc_path(z, 0.0, 0.0)
+    bar = np.cov(z.T)
+    assert path[5, 0, 1] == pytest.approx(bar[0, 1] / np.sqrt(bar[0, 0] * bar[1, 1]))
+    q = 0.95 * bar + 0.05 * np.outer(z[0], z[0])
+    assert series.dcc_path(z, 0.05, 0.0)[0][1, 0, 1] == pytest.approx(q[0, 1] / np.sqrt(q[0, 0] * q[1, 1]))
+    found = series.fit_dcc(z[:250] / 100)
+    assert 1e-6 <= found["a"] <= 0.3 and 1e-6 <= found["b"] <= 0.999 and found["a"] + found["b"] < 0.999
+    assert found["mean"][0, 1] == pytest.approx(0.5, abs=0.12)
+
+
+def test_series_tests_tell_known_series_apart():
+    rng = np.random.default_rng(9)
+    noise, walks = rng.normal(size=600), rng.normal(size=(9, 600)).cumsum(1)
+    assert series.adf(noise)[1] < 0.01 < 0.1 < np.median([series.adf(w)[1] for w in walks])
+    assert series.kpss(noise)[1] == 0.10 and np.median([series.kpss(w)[1] for w in walks]) == 0.01
+    assert series.ks_normal(noise)[1] > 0.05 > series.ks_normal(rng.standard_t(2, 600))[1]
+    smooth = np.convolve(noise, [1, 0.8], "valid")
+    assert series.ljung_box(smooth, 10)[1] < 0.01
+    h, e = 1.0, []
+    for v in noise:
+        e.append(np.sqrt(h) * v)
+        h = 0.2 + 0.6 * e[-1] ** 2 + 0.2 * h
+    assert series.arch_lm(np.array(e), 10)[1] < 0.01
+    c = noise - noise.mean()
+    q = 600 * 602 * sum((sum(c[t] * c[t - k] for t in range(k, 600)) / (c @ c)) ** 2 / (600 - k) for k in range(1, 11))
+    assert series.ljung_box(noise, 10)[0] == pytest.approx(q)
+    facts = series.stylised_facts(noise)
+    s, k = (c**3).mean() / (c**2).mean() ** 1.5, (c**4).mean() / (c**2).mean() ** 2 - 3
+    assert facts["jb"] == pytest.approx(100 * (s * s + k * k / 4)) and series.stylised_facts(noise[:10]) == {"n_obs": 10}
+
+
+def test_bootstrap_has_size_and_power():
+    rng = np.random.default_rng(10)
+    small = 0
+    for k in range(12):
+        x, y = rng.normal(0.0005, 0.01, (2, 250))
+        small += series.bootstrap_sharpe_test(x, y, n_boot=200, seed=k)["p_value"] < 0.05
+    assert small <= 6
+    y = rng.normal(0, 0.01, 500)
+    assert series.bootstrap_sharpe_test(y + 0.004, y, n_boot=200)["p_value"] < 0.05
+    assert np.isnan(series.deflated_sharpe(y[:20], 5)) and series.expected_max_sharpe(1, 1.0) == 0.0
+
+
+def test_garch_recovers_persistence():
+    rng = np.random.default_rng(11)
+    h, r = 1e-4, []
+    for v in rng.normal(size=2500):
+        r.append(np.sqrt(h) * v)
+        h = 2e-6 + 0.1 * r[-1] ** 2 + 0.88 * h
+    found = series.fit_garch(np.array(r))
+    assert 0.03 < found["alpha"] < 0.2 and 0.93 < found["alpha"] + found["beta"] < 1 and np.isfinite(found["loglik"])
