@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import materialise
+
 DAYS = 252
 
 
@@ -112,20 +114,48 @@ def reprice(returns: DataFrame, turnover: DataFrame, keys: list[str], from_bps:
 
 
 def benjamini_hochberg(tests: DataFrame, keys: list[str], alpha: float) -> DataFrame:
-    """Adds n_tests, q_value and bh_reject within ``keys`` (one group if empty); null p-values take no part.
+    """Adds n_tests, q_value and bh_reject within ``keys``, or over all tests; null p-values take no part.
 
-    The input is one row a test of a study, so the global variant's single partition stays small by construction.
+    Without keys the tests are sorted in ranges of p-values: ranks and the least step from the right need one row a
+    range (its size, its least step) beside the range itself, so no task holds all tests.
     """
     usable = F.col("p_value").isNotNull() & ~F.isnan("p_value")
     ok, rest = tests.where(usable), tests.where(~usable)
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = ok.withColumn("n_tests", F.count("*").over(group)).withColumn("_r", F.row_number().over(group.orderBy("p_value")))
-    step = F.min(F.col("p_value") * F.col("n_tests") / F.col("_r")).over(group.orderBy(F.col("_r").desc()))
-    out = ranked.withColumn("q_value", F.least(step, F.lit(1.0))).drop("_r").withColumn("bh_reject", F.col("q_value") <= alpha)
+    out = _stepped(ok, keys) if keys else _stepped_by_range(ok)
+    out = out.withColumn("q_value", F.least("q_value", F.lit(1.0))).withColumn("bh_reject", F.col("q_value") <= alpha)
     none = rest.withColumn("n_tests", F.lit(0).cast("long")).withColumn("q_value", F.lit(None).cast("double")).withColumn("bh_reject", F.lit(False))
     return out.unionByName(none)
 
 
+def _stepped(ok: DataFrame, keys: list[str]) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    ranked = ok.withColumn("n_tests", F.count("*").over(group)).withColumn("_r", F.row_number().over(group.orderBy("p_value")))
+    step = F.min(F.col("p_value") * F.col("n_tests") / F.col("_r")).over(group.orderBy(F.col("_r").desc()))
+    return ranked.withColumn("q_value", step).drop("_r")
+
+
+def _stepped_by_range(ok: DataFrame) -> DataFrame:
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the row of it in the lower 33
+    placed = materialise(ok.orderBy("p_value").withColumn("_m", place))
+    placed = placed.withColumn("_part", F.shiftright("_m", 33)).withColumn("_row", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    sizes = [(r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()]
+    total, before, offsets = sum(n for _, n in sizes), 0, []
+    for part, n in sizes:
+        offsets.append((part, before))
+        before += n
+    told = placed.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    ranked = placed.join(F.broadcast(told), "_part").withColumn("_r", F.col("_before") + F.col("_row"))  # a row a range
+    ranked = ranked.withColumn("n_tests", F.lit(total).cast("long")).withColumn("_q", F.col("p_value") * F.col("n_tests") / F.col("_r"))
+    least, after = float("inf"), []
+    for r in ranked.groupBy("_part").agg(F.min("_q").alias("q")).orderBy(F.desc("_part")).collect():
+        after.append((r["_part"], least))
+        least = min(least, r["q"])
+    right = placed.sparkSession.createDataFrame(after, "_part long, _after double")
+    own = F.min("_q").over(Window.partitionBy("_part").orderBy(F.col("_r").desc()))
+    stepped = ranked.join(F.broadcast(right), "_part").withColumn("q_value", F.least(own, "_after"))
+    return stepped.drop("_m", "_part", "_row", "_before", "_r", "_q", "_after")
+
+
 def tracking(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
     """Per market, correlation of two series on common dates; null with at most ``least`` of them."""
     both = a.select("market", "date", F.col("ret").alias("x")).join(b.select("market", "date", F.col("ret").alias("y")), ["market", "date"])

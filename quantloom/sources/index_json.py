@@ -36,6 +36,15 @@ def _days(spark: SparkSession, path: str, market: str, schema: str) -> DataFrame
     return days_of(spark.read.text(path, wholetext=True).select(F.lit(market).alias("market"), "value"), schema)
 
 
+def read_lines(spark: SparkSession, path: str, market: str, schema: str = _FULL) -> DataFrame:
+    """``days_of`` a file (or folder) whose every line is an object of one day or a few.
+
+    Such a file is read by as many tasks as it has splits. A raw file that is one object is one value in one task, so
+    it has to stay below 2 GB of text; larger markets are to be kept by lines.
+    """
+    return days_of(spark.read.text(path).select(F.lit(market).alias("market"), "value").where("trim(value) <> ''"), schema)
+
+
 def index_of_days(days: DataFrame) -> DataFrame:
     return days.select("market", "date", F.col("day.return").alias("ret")).where("ret is not null")
 

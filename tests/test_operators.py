@@ -105,3 +105,33 @@ def test_broken_invariants_are_counted_and_raised(spark):
         checks.assert_valid(found)
     tests = spark.createDataFrame([("m", "a", None), ("m", "b", 0.2), ("m", "c", 0.1)], "market string, strategy string, p_value double")
     assert [r["strategy"] for r in reports.lowest_p(tests).collect()] == ["c", "b", "a"]
+
+
+def test_false_discovery_control_in_ranges_equals_the_definition(spark):
+    import random
+
+    rng = random.Random(3)
+    p = [rng.choice([0.01, 0.02, rng.random(), rng.random() ** 4, None, float("nan")]) for _ in range(300)]
+    t = spark.createDataFrame([(f"s{k}", "g", v) for k, v in enumerate(p)], "strategy string, family string, p_value double").repartition(7)
+    real = sorted(v for v in p if v is not None and v == v)
+    step = [v * len(real) / (k + 1) for k, v in enumerate(real)]
+    want = {v: min(1.0, *step[k:]) for k, v in reversed(list(enumerate(real)))}
+    for keys in ([], ["family"]):
+        rows = metrics.benjamini_hochberg(t, keys, 0.1).collect()
+        assert len(rows) == 300 and {r["n_tests"] for r in rows if r["q_value"] is not None} == {len(real)}
+        least = {}
+        for r in rows:
+            if r["q_value"] is not None:
+                least[r["p_value"]] = min(least.get(r["p_value"], 2), r["q_value"])
+                assert r["bh_reject"] == (r["q_value"] <= 0.1)
+        assert least == pytest.approx(want)
+    assert metrics.benjamini_hochberg(t.limit(0), [], 0.1).count() == 0
+
+
+def test_lines_of_days_are_read_like_a_whole_file(spark, tmp_path):
+    days = [{f"2020-01-0{k}T00:00:00+00:00": {"return": k / 100, "ts": {"1": 0.1, "2": None}}} for k in range(1, 6)]
+    (tmp_path / "X.jsonl").write_text("\n".join(map(json.dumps, days)) + "\n\n")
+    (tmp_path / "X.json").write_text(json.dumps({k: v for d in days for k, v in d.items()}))
+    lines = index_json.read_lines(spark, str(tmp_path / "X.jsonl"), "X")
+    whole = index_json.parse_index_file(spark, str(tmp_path / "X.json"), "X")
+    assert sorted(index_json.index_of_days(lines).collect()) == sorted(whole[0].collect()) and sorted(index_json.panel_of_days(lines).collect()) == sorted(whole[1].collect())
