@@ -8,8 +8,9 @@ Turns are sorted by (turn, role, text); adjacent turns of one role are merged, t
 mask is run-length coded, three runs a turn: what precedes the text, the text (learnt for the assistant), what follows.
 
 Edge cases: null text or role counts as empty, a null turn comes first, rows without a conversation id form one
-conversation, repeated rows are repeated turns, an empty table gives no row. A conversation is one value by
-definition, so it has to fit in one; map-side lists keep its rows from being shuffled one by one.
+conversation, repeated rows are repeated turns, an empty table gives no row. Other columns are ignored, whatever their
+names. A conversation is one value by definition, so it has to fit in one, with very long texts as with many turns
+(the escaped form at most doubles them); map-side lists keep its rows from being shuffled one by one.
 """
 
 from __future__ import annotations

@@ -122,6 +122,18 @@ def forward(model: dict[str, np.ndarray], x: np.ndarray, bags: np.ndarray) -> tu
     return _sigmoid(z @ model["c"] + model["d"][0]), (e, t, g, a, z, doc)
 
 
+def gradient(model: dict[str, np.ndarray], x: np.ndarray, bags: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted mean log loss by each learnt parameter."""
+    p, (e, t, g, a, z, doc) = forward(model, x, bags)
+    dl = (p - y) * weight / len(y)
+    dz = dl[:, None] * model["c"]
+    # z is a weighted mean, so a score moves it by a (e - z).
+    ds = a * ((e - z[doc]) * dz[doc]).sum(1)
+    dt, dg = ds[:, None] * model["w"] * g * (1 - t * t), ds[:, None] * model["w"] * t * g * (1 - g)
+    de = (a[:, None] * dz[doc] + dt @ model["V"].T + dg @ model["U"].T) * (1 - e * e)
+    return {"We": ((x - model["mean"]) / model["scale"]).T @ de, "be": de.sum(0), "V": e.T @ dt, "U": e.T @ dg, "w": (t * g).T @ ds, "c": z.T @ dl, "d": np.array([dl.sum()])}
+
+
 def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     """Adam on the balanced log loss; bags are visited in a seeded order."""
     rng = np.random.default_rng(seed)
@@ -138,14 +150,7 @@ def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, seed: int = 5) -> dict
             pick = order[at : at + 128]
             own = np.concatenate(([0], np.cumsum([len(rows[k]) for k in pick])))
             xs = x[np.concatenate([rows[k] for k in pick])]
-            p, (e, t, g, a, z, doc) = forward(model | learnt, xs, own)
-            dl = (p - y[pick]) * weight[pick] / len(pick)
-            dz = dl[:, None] * learnt["c"]
-            # z is a weighted mean, so a score moves it by a (e - z).
-            ds = a * ((e - z[doc]) * dz[doc]).sum(1)
-            dt, dg = ds[:, None] * learnt["w"] * g * (1 - t * t), ds[:, None] * learnt["w"] * t * g * (1 - g)
-            de = (a[:, None] * dz[doc] + dt @ learnt["V"].T + dg @ learnt["U"].T) * (1 - e * e)
-            grad = {"We": ((xs - model["mean"]) / model["scale"]).T @ de, "be": de.sum(0), "V": e.T @ dt, "U": e.T @ dg, "w": (t * g).T @ ds, "c": z.T @ dl, "d": np.array([dl.sum()])}
+            grad = gradient(model | learnt, xs, own, y[pick], weight[pick])
             step += 1
             for k, v in grad.items():
                 v = v + 1e-4 * learnt[k]
