@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,11 @@ def null_if_nan(x: Column | str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def small(table: DataFrame, most: int = 10_000) -> DataFrame:
+    """``table`` marked for broadcast if it has at most ``most`` rows, as configuration tables have, else as it is."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def argmax(p: Column | str) -> Column:
     """Index of the first largest element."""
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")

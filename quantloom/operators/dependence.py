@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import small
+
 
 def pairs(series: DataFrame) -> DataFrame:
     """(a, b, date, x, y) for market names a < b on each date where both are present."""
@@ -56,7 +58,7 @@ def crisis_vs_calm(series: DataFrame, periods: DataFrame, least: int = 5) -> Dat
     ``periods`` is (period, start, end), a configuration table; null where a period has fewer than ``least`` days.
     """
     inside = F.col("date").between(F.col("start"), F.col("end"))
-    days = series.select("date").distinct().join(F.broadcast(periods), inside, "left").groupBy("date").agg(F.collect_list("period").alias("in"))
+    days = series.select("date").distinct().join(small(periods), inside, "left").groupBy("date").agg(F.collect_list("period").alias("in"))
     labels = F.when(F.size("in") > 0, F.concat("in", F.array(F.lit("ALL CRISIS")))).otherwise(F.array(F.lit("CALM")))
     # Days are labelled first, so that the pairs are made once.
     rows = pairs(series).join(days, "date").select(F.explode(labels).alias("period"), "a", "b", "date", "x", "y")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import small
 from ..sources.sinks import materialise
 
 DAYS = 252
@@ -96,7 +97,7 @@ def summarise(series: DataFrame, keys: list[str], rf: float = 0.0, days: int = D
 
 def by_period(series: DataFrame, keys: list[str], periods: DataFrame, **how) -> DataFrame:
     """``summarise`` inside each (period, start, end), both inclusive, and over all as period FULL."""
-    inside = series.join(F.broadcast(periods), F.col("date").between(F.col("start"), F.col("end"))).select("period", *series.columns)
+    inside = series.join(small(periods), F.col("date").between(F.col("start"), F.col("end"))).select("period", *series.columns)
     return summarise(series.withColumn("period", F.lit("FULL")).select("period", *series.columns).unionByName(inside), ["period", *keys], **how)
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import small
 from ..kernels.optim import covariance
 
 
@@ -37,7 +38,7 @@ def relabel_by_volatility(path: DataFrame) -> DataFrame:
 def recall(path: DataFrame, periods: DataFrame) -> DataFrame:
     """Share of days of each period spent in the market's top state; periods without days give no row."""
     top = path.groupBy("market").agg(F.max("state").alias("top"))
-    inside = path.join(F.broadcast(periods), F.col("date").between(F.col("start"), F.col("end"))).join(top, "market")
+    inside = path.join(small(periods), F.col("date").between(F.col("start"), F.col("end"))).join(top, "market")
     return inside.groupBy("market", "period").agg(F.count("*").alias("n_days"), F.round(F.avg((F.col("state") == F.col("top")).cast("double")), 8).alias("recall"))
 
 

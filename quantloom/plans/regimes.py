@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Regimes
+from ..functions import small
 from ..kernels import hmm
 from ..kernels.series import eigen_share, fit_msgarch
 from ..operators import features as feats
@@ -186,7 +187,7 @@ def compare_sources(paths: dict[str, DataFrame], periods: DataFrame) -> tuple[Da
     top = F.col("state") == F.max("state").over(Window.partitionBy("market", "source"))
     rows = rows.withColumn("top", top.cast("double"))
     whole = rows.groupBy("market", "source").agg((F.max("state") + 1).alias("k"), F.count("*").alias("n_days"), F.round(100 * F.avg("top"), 2).alias("pct_top"))
-    inside = rows.join(F.broadcast(periods), F.col("date").between(F.col("start"), F.col("end")))  # a configuration table
+    inside = rows.join(small(periods), F.col("date").between(F.col("start"), F.col("end")))
     recall = inside.groupBy("market", "source", "period").agg(F.round(100 * F.avg("top"), 1).alias("pct"))
     recall = recall.groupBy("market", "source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("period", "pct")))).alias("recall"))
     names = list(paths)
