@@ -4,13 +4,15 @@ P(word | previous) = P(class | previous class) * P(word | class). Everything is
 (crc32(doc_id as text) mod 7 is not 2), all of them and whole:
 
 1. unigram counts of all words, by hash, aggregated map side and then by key;
-2. bigram counts among the ``CORE`` most frequent words; exchange clustering on the driver moves one word at a time to
+2. the neighbours of every word are written once, by word: those that executors hold as numbers with a side and a
+   count, the others as rows that ask for a class. All rounds read these, and no text;
+3. bigram counts among the ``CORE`` most frequent words; exchange clustering on the driver moves one word at a time to
    the class that raises the mutual information of adjacent classes most (the counts have at most CORE**2 cells). These
    are only the classes to start from;
-3. at most ``PASSES`` rounds of exchange over every training word: the classes beside each word are gathered by word,
+4. at most ``PASSES`` rounds of exchange over every training word: the classes beside each word are gathered by word,
    and each word goes where the objective gains most against the class bigram table of the round. All words of a round
    move at once; a round that does not raise the objective is undone and ends the search;
-4. class transitions over the whole training corpus, smoothed towards the class unigram; emissions by adding one, with
+5. class transitions over the whole training corpus, smoothed towards the class unigram; emissions by adding one, with
    one more slot in each class for unseen words. An unseen word is summed over the classes it could have.
 
 Executors hold counts and classes of the frequent words (at or above the smallest count that leaves at most
@@ -18,7 +20,8 @@ Executors hold counts and classes of the frequent words (at or above the smalles
 what a word gets does not depend on where it is held. A document starts and ends in the end token's class.
 
 Edge cases: null or empty text is one end token; repeated rows and ids are scored each; without training words
-the score equals the base score; a null id is a training document. Extra columns are ignored.
+the score equals the base score; a null id is a training document; a very long text is tokenised whole, in a batch
+of its own; an empty table gives no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +49,13 @@ SIDES = CLASSES + 1
 SELF, OWN = 2 * SIDES, 2 * SIDES + 2
 #: Tokens that a task aggregates at a time.
 HELD = 1_000_000
+#: Of a neighbour that executors hold, its cell: 2 * its number + side (0 before, 1 after); of the word itself, ITSELF.
+ITSELF = 2 * LEXICON + 2
+#: Bits of a cell's count; more than that is repeated.
+TIMES = 32 - (ITSELF + 2).bit_length()
+SPREAD = 1 << 20
+#: Words seen at most so often have their gains looked up.
+RARE = 64
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,48 +121,18 @@ class Lexicon:
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, ids: np.ndarray, missing: int):
         order = np.argsort(words)
-        self.words, self.counts, self.ids, self.missing = words[order], counts[order].astype(np.int64), ids[order].astype(np.int16), missing
+        self.words, self.counts, self.ids, self.missing = words[order], counts[order].astype(np.int64), ids[order].astype(np.int32), missing
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(present, id, count) of each word."""
         if not len(self.words):
-            return np.zeros(len(words), bool), np.full(len(words), self.missing, np.int16), np.zeros(len(words), np.int64)
+            return np.zeros(len(words), bool), np.full(len(words), self.missing, np.int32), np.zeros(len(words), np.int64)
         own, back = np.unique(words, return_inverse=True)
         at = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
         here = self.words[at] == own
         return here[back], np.where(here, self.ids[at], self.missing)[back], np.where(here, self.counts[at], 0)[back]
 
 
-def _previous(ids: np.ndarray, first: np.ndarray, start: int, skip: int) -> np.ndarray:
-    """The id before each token; ids equal to ``skip`` tell nothing and are looked through. A text begins after ``start``."""
-    if not len(ids):
-        return ids
-    last = np.maximum.accumulate(np.where(ids != skip, np.arange(len(ids)), -1))
-    out = np.empty_like(ids)
-    out[1:] = ids[last[:-1]]
-    out[1:][last[:-1] < first[np.searchsorted(first, np.arange(1, len(ids)), "right") - 1]] = start
-    out[first[:-1]] = start
-    return out
-
-
-def _pair_counts(train: DataFrame, shared, size: int, start: int, skip: int = -1) -> np.ndarray:
-    """size x size counts of (previous id, id) over the whole training corpus, from the lexicon's ids."""
-
-    def run(batches):
-        total = np.zeros(size * size, np.int64)
-        for words, first in _training(batches):
-            _, ids, _ = shared.value.find(words)
-            ids = ids.astype(np.int64)
-            total += np.bincount(_previous(ids, first, start, skip) * size + ids, minlength=size * size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
-
-    rows = train.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size)
-    out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
-    return out.reshape(size, size)
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -211,11 +192,9 @@ def _row_part(joint: np.ndarray, add: np.ndarray) -> np.ndarray:
     return _xlogx(diagonal + add) - _xlogx(diagonal)
 
 
-def _packed(words: np.ndarray, cells: np.ndarray, times: np.ndarray | None = None) -> pa.RecordBatch:
+def _packed(words: np.ndarray, cells: np.ndarray, times: np.ndarray, distinct: bool = False) -> pa.RecordBatch:
     """(word, seen) from cells index of word * 256 + slot: seen holds times * 256 + slot in 4 bytes, repeated where they overflow."""
-    if times is None:
-        cells, times = np.unique(cells, return_counts=True)
-    else:
+    if not distinct:
         cells, at = np.unique(cells, return_inverse=True)
         times = np.bincount(at, times, len(cells)).astype(np.int64)
     most = (1 << 24) - 1
@@ -245,31 +224,124 @@ def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray,
     return words, np.repeat(index, np.concatenate(sizes)) * 256 + (data & 255), data >> 8
 
 
+def _neighbours(train: DataFrame, shared) -> DataFrame:
+    """(word, beside): of every word its held neighbours, and how often it follows itself, over the whole corpus.
+
+    A word seen more than SPREAD times has several rows, so that no task holds all of a frequent word's neighbours.
+    """
+
+    def run(batches):
+        most, turn = 1 << TIMES, TaskContext.get().partitionId()
+        for words, before, at in _streams(batches):
+            here, number, n = shared.value.find(words)
+            number = number.astype(np.int64)
+            same = before == at
+            into, out = ~same & here[before], ~same & here[at]
+            cells = np.concatenate(((at[into] << 32) + number[before[into]] * 2, (before[out] << 32) + number[at[out]] * 2 + 1, (at[same] << 32) + ITSELF))
+            cells, times = np.unique(cells, return_counts=True)
+            if len(times) and times.max() > most:
+                parts = -(-times // most)
+                last = np.cumsum(parts) - 1
+                rest = times - (parts - 1) * most
+                cells, times = np.repeat(cells, parts), np.full(parts.sum(), most)
+                times[last] = rest
+            who = cells >> 32
+            starts = np.flatnonzero(np.diff(who, prepend=-1))
+            packed = ((cells & 0xFFFFFFFF) << TIMES) + times - 1
+            beside = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.append(starts, len(cells)) * 4).astype(np.int32)), pa.py_buffer(packed.astype(np.uint32))])
+            salt = turn % np.maximum(n[who[starts]] // SPREAD, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(words[who[starts]].view(np.int64)), pa.array(salt.astype(np.int32)), beside], ["word", "salt", "beside"])
+
+    def joined(batches):
+        # Rows of a word follow each other, and so do their bytes.
+        for table in c.sorted_runs(batches, "word"):
+            table = table.combine_chunks()
+            word, beside = table.column("word").chunk(0), table.column("beside").chunk(0).cast(pa.large_binary())
+            starts = np.flatnonzero(np.diff(word.to_numpy(), prepend=0) != 0) if len(word) else np.zeros(0, int)
+            starts = np.unique(np.concatenate(([0], starts)))
+            offsets = np.frombuffer(beside.buffers()[1], np.int64, len(beside) + 1, beside.offset * 8)
+            ends = np.append(offsets[starts], offsets[-1])
+            data = pa.py_buffer(np.frombuffer(beside.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0]) if ends[-1] > ends[0] else b"")
+            for a in range(0, len(starts), 1 << 14):
+                part = ends[a : min(a + (1 << 14), len(starts)) + 1]
+                own = data.slice(int(part[0] - ends[0]), int(part[-1] - part[0]))
+                yield pa.RecordBatch.from_arrays([word.take(pa.array(starts[a : a + (1 << 14)])), pa.Array.from_buffers(pa.large_binary(), len(part) - 1, [None, pa.py_buffer(part - part[0]), own]).cast(pa.binary())], ["word", "beside"])
+
+    rows = train.mapInArrow(run, "word long, salt int, beside binary")
+    return c.checkpointed(rows.repartition("word", "salt").sortWithinPartitions("word").select("word", "beside").mapInArrow(joined, "word long, beside binary"))
+
+
+def _cells_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, row, cell, times) of neighbour rows."""
+    beside = c.column_of(batch, "beside").cast(pa.large_binary())
+    offsets = np.frombuffer(beside.buffers()[1], np.int64, len(beside) + 1, beside.offset * 8)
+    data = np.frombuffer(beside.buffers()[2], np.uint32, (offsets[-1] - offsets[0]) // 4, offsets[0]).astype(np.int64) if offsets[-1] > offsets[0] else np.zeros(0, np.int64)
+    return c.column_of(batch, "word").to_numpy().view(np.uint64), np.repeat(np.arange(len(beside)), np.diff(offsets) // 4), data >> TIMES, (data & ((1 << TIMES) - 1)) + 1
+
+
+def _core_pairs(neighbours: DataFrame, core: np.ndarray, shared) -> np.ndarray:
+    """Counts of (previous, word) among the core words, from the neighbours that are before them."""
+    rank = np.full(len(shared.value.words) + 2, -1)
+    rank[np.searchsorted(shared.value.words, core)] = np.arange(len(core))
+    wanted = np.sort(core)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = c.column_of(batch, "word").to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(wanted, words), len(wanted) - 1)
+            few = batch.filter(pa.array(wanted[at] == words))
+            if few.num_rows:
+                words, row, cell, times = _cells_of(few)
+                own = rank[np.searchsorted(shared.value.words, words)][row]
+                before = np.where(cell == ITSELF, own, np.where(cell & 1 == 0, rank[np.minimum(cell >> 1, len(rank) - 1)], -1))
+                use = before >= 0
+                pair, index = np.unique(before[use] * len(core) + own[use], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.bincount(index, times[use], len(pair)).astype(np.int64))], ["pair", "n"])
+
+    rows = neighbours.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most CORE**2 rows
+    out = np.zeros(len(core) ** 2)
+    out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(len(core), len(core))
+
+
 def _asks(train: DataFrame, shared) -> DataFrame:
     """(key, word, mark): how often, * 2 + side, a word that executors do not hold is beside another word. Learnt once."""
 
     def run(batches):
         for words, before, at in _streams(batches):
             away = ~shared.value.find(words)[0]
-            pair, n = np.unique(before * len(words) + at, return_counts=True)
+            use = (away[before] | away[at]) & (before != at)
+            pair, n = np.unique(before[use] * len(words) + at[use], return_counts=True)
             left, right = pair // len(words), pair % len(words)
             for key, word, side in ((left, right, 0), (right, left, 1)):
-                use = away[key] & (key != word)
+                use = away[key]
                 yield pa.RecordBatch.from_arrays([pa.array(words[key[use]].view(np.int64)), pa.array(words[word[use]].view(np.int64)), pa.array(n[use] * 2 + side)], ["key", "word", "mark"])
 
     return c.checkpointed(train.mapInArrow(run, "key long, word long, mark long"))
 
 
-def _gathered(train: DataFrame, classes: DataFrame, asks: DataFrame, shared, held) -> DataFrame:
+def _gathered(neighbours: DataFrame, classes: DataFrame, asks: DataFrame, shared, held) -> DataFrame:
     """(word, seen) of every training word: its class and count, and the classes beside it over the whole corpus."""
 
     def beside(batches):
-        for words, before, at in _streams(batches):
-            k = shared.value.find(words)[1].astype(np.int64)
-            same, left, right = before == at, k[before], k[at]
-            into, out = ~same & (left >= 0), ~same & (right >= 0)
-            cells = (at[into] * 256 + left[into], before[out] * 256 + SIDES + right[out], at[same] * 256 + SELF)
-            yield _packed(words, np.concatenate(cells))
+        lexicon = shared.value
+        kinds = np.append(np.repeat(lexicon.ids.astype(np.int64), 2), np.zeros(max(ITSELF + 1 - 2 * len(lexicon.ids), 0), np.int64))
+        slots = np.where(kinds < 0, -1, kinds + np.arange(len(kinds)) % 2 * SIDES)
+        slots[ITSELF] = SELF
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1 << 12):
+                words, row, cell, times = _cells_of(batch.slice(a, 1 << 12))
+                slot = slots[cell]
+                use = slot >= 0
+                at = row[use] * 256 + slot[use]
+                if len(at) < 8 * len(words):
+                    yield _packed(words, at, times[use])
+                else:
+                    sums = np.bincount(at, times[use], len(words) * 256)
+                    at = np.flatnonzero(sums)
+                    yield _packed(words, at, sums[at].astype(np.int64), True)
 
     def told(batches):
         parts, size = [], 0
@@ -292,7 +364,7 @@ def _gathered(train: DataFrame, classes: DataFrame, asks: DataFrame, shared, hel
     def own(batches):
         for batch in batches:
             words = c.column_of(batch, "word").to_numpy().view(np.uint64)
-            yield _packed(words, np.arange(len(words)) * 256 + OWN + c.column_of(batch, "k").to_numpy(), c.column_of(batch, "n").to_numpy())
+            yield _packed(words, np.arange(len(words)) * 256 + OWN + c.column_of(batch, "k").to_numpy(), c.column_of(batch, "n").to_numpy(), True)
 
     def whole(batches):
         for table in c.sorted_runs(batches, "word"):
@@ -300,7 +372,7 @@ def _gathered(train: DataFrame, classes: DataFrame, asks: DataFrame, shared, hel
 
     kind = "word long, seen binary"
     away = classes.where(~held & (F.col("k") >= 0)).select(F.col("word").alias("key"), "k")
-    rows = train.mapInArrow(beside, kind).union(asks.join(away, "key").select("word", "mark", "k").mapInArrow(told, kind)).union(classes.mapInArrow(own, kind))
+    rows = neighbours.mapInArrow(beside, kind).union(asks.join(away, "key").select("word", "mark", "k").mapInArrow(told, kind)).union(classes.mapInArrow(own, kind))
     return c.checkpointed(rows.repartition("word").sortWithinPartitions("word").mapInArrow(whole, kind))
 
 
@@ -366,7 +438,7 @@ def gains(joint: np.ndarray, own: np.ndarray, left, right, twice: np.ndarray) ->
             d = _xlogx(x + t) - _xlogx(x)
             d[np.arange(len(w)), j] = 0
             starts = np.flatnonzero(np.diff(w, prepend=-1))
-            np.add.at(out, w[starts], np.add.reduceat(d, starts))
+            out[w[starts]] += np.add.reduceat(d, starts)
     cross = l + r + twice[:, None]
     x = np.diagonal(joint) - is_own * cross
     out += _xlogx(x + cross) - _xlogx(x)
@@ -376,16 +448,69 @@ def gains(joint: np.ndarray, own: np.ndarray, left, right, twice: np.ndarray) ->
     return out
 
 
+def steps(joint: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What x log x grows by, from each cell, transposed cell, row sum and column sum, when 0 to RARE is added."""
+    t = np.arange(RARE + 1.0)
+    grow = lambda x: _xlogx(x[None] + t.reshape(-1, *([1] * x.ndim))) - _xlogx(x)[None]
+    return grow(joint), grow(joint.T), grow(joint.sum(1)), grow(joint.sum(0))
+
+
+def rare_gains(joint: np.ndarray, own: np.ndarray, left, right, table: tuple[np.ndarray, ...]) -> np.ndarray:
+    """``gains`` of words seen at most RARE times and never beside themselves, from the table of ``steps``.
+
+    Only a word's own class, from which it is taken out first, and the crossings need logarithms of their own.
+    """
+    n, size = len(own), len(joint)
+    l, r = np.zeros((n, size)), np.zeros((n, size))  # noqa: E741
+    l[left[0], left[1]], r[right[0], right[1]] = left[2], right[2]
+    out = np.zeros((n, size))
+    placed = np.flatnonzero(own >= 0)
+    lost = lambda x, t: _xlogx(x) - _xlogx(x - t)
+    for (who, k, times), grown, cells, other in ((right, table[1], joint.T, l), (left, table[0], joint, r)):
+        for a in range(0, len(who), 1 << 14):
+            w, j, t = who[a : a + (1 << 14)], k[a : a + (1 << 14)], times[a : a + (1 << 14)]
+            d = grown[t, j]
+            back = np.flatnonzero(own[w] >= 0)
+            d[back, own[w[back]]] = lost(cells[j[back], own[w[back]]], t[back])
+            corner = np.flatnonzero(j == own[w])  # the word's own class, which all of its other side leaves
+            x = cells[j[corner]] - other[w[corner]]
+            d[corner] = _xlogx(x + t[corner, None]) - _xlogx(x)
+            d[np.arange(len(w)), j] = 0
+            starts = np.flatnonzero(np.diff(w, prepend=-1))
+            out[w[starts]] += np.add.reduceat(d, starts)
+    cross = l + r
+    w, j = np.nonzero(cross)
+    x = np.diagonal(joint)[j] - (own[w] == j) * cross[w, j]
+    out[w, j] += _xlogx(x + cross[w, j]) - _xlogx(x)
+    for sums, grown, add in ((joint.sum(1), table[2], r.sum(1)), (joint.sum(0), table[3], l.sum(1))):
+        add = add.astype(np.int64)
+        d = grown[add]
+        d[placed, own[placed]] = lost(sums[own[placed]], add[placed])
+        out -= d
+    return out
+
+
 def _moved(gathered: DataFrame, joint: np.ndarray) -> DataFrame:
     """(word, n, k): each word in the class where the objective gains most against ``joint``."""
     # An empty class suits each word best alone, so all would crowd into it at once.
     empty = joint[:CLASSES].sum(1) + joint[:, :CLASSES].sum(0) == 0
 
+    def of(side, take):
+        at = np.full(len(take), -1)
+        at[take] = np.arange(take.sum())
+        use = take[side[0]]
+        return at[side[0][use]], side[1][use], side[2][use]
+
     def run(batches):
+        table = steps(joint)
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 words, own, n, left, right, twice = _sides(batch.slice(a, 4096))
-                gain = np.where(empty, -np.inf, gains(joint, own, left, right, twice)[:, :CLASSES])
+                rare = (n <= RARE) & (twice == 0)
+                gain = np.empty((len(words), len(joint)))
+                gain[rare] = rare_gains(joint, own[rare], of(left, rare), of(right, rare), table)
+                gain[~rare] = gains(joint, own[~rare], of(left, ~rare), of(right, ~rare), twice[~rare])
+                gain = np.where(empty, -np.inf, gain[:, :CLASSES])
                 best = gain.argmax(1)
                 rows = np.arange(len(words))
                 stays = (own >= 0) & (gain[rows, best] <= gain[rows, np.clip(own, 0, CLASSES - 1)] + 1e-9)
@@ -428,10 +553,13 @@ def fit(train: DataFrame) -> dict:
     core = head.words[order][head.words[order] != END][:CORE]
     if model["V"] < 2:  # no word but the end token
         return model | {"lexicon": head, "classes": counts.withColumn("k", F.lit(-1)), "trans": None}
-    # Core words by rank, then the end token and, last, all other words.
-    names = Lexicon(np.append(core, END), np.zeros(len(core) + 1), np.append(np.arange(len(core)), CORE), CORE + 1)
-    pairs = _pair_counts(train, spark.sparkContext.broadcast(names), CORE + 2, CORE)[: len(core), : len(core)]
-    first = Lexicon(names.words, names.counts, np.append(exchange(pairs, CLASSES, ROUNDS), CLASSES)[np.argsort(np.append(core, END))], -1)
+    numbered = Lexicon(head.words, head.counts, np.arange(len(head.words)), -1)
+    by_number = spark.sparkContext.broadcast(numbered)
+    neighbours = _neighbours(train, by_number)
+    asks = _asks(train, by_number)
+    _drop_unused(spark)
+    pairs = _core_pairs(neighbours, core, by_number)
+    first = Lexicon(np.append(core, END), np.zeros(len(core) + 1), np.append(exchange(pairs, CLASSES, ROUNDS), CLASSES), -1)
 
     def start(batches):
         for batch in batches:
@@ -440,10 +568,9 @@ def fit(train: DataFrame) -> dict:
 
     classes = c.checkpointed(counts.mapInArrow(start, "word long, n long, k int"))
     lexicon = _lexicon(classes, held)
-    asks = _asks(train, spark.sparkContext.broadcast(lexicon))
     kept = None
     for k in range(PASSES + 1):
-        gathered = _gathered(train, classes, asks, spark.sparkContext.broadcast(lexicon), held)
+        gathered = _gathered(neighbours, classes, asks, spark.sparkContext.broadcast(lexicon), held)
         joint = joint_of(gathered)
         if kept and information(joint) <= information(kept[2]):
             break
@@ -454,7 +581,7 @@ def fit(train: DataFrame) -> dict:
             lexicon = _lexicon(classes, held)
         del gathered
         _drop_unused(spark)
-    gathered = asks = None
+    gathered = asks = neighbours = None
     classes, lexicon, trans = kept
     _drop_unused(spark)
     mass, kinds = np.zeros(SIDES), np.zeros(SIDES)

@@ -462,3 +462,193 @@ def test_audio_blocks_equal_the_whole(monkeypatch):
     x = audio_features.resample(samples, 1, 3)[160 * 5 : 160 * 5 + 400]
     power = np.abs(np.fft.rfft(x * np.hanning(400), 512)) ** 2
     assert np.allclose(want[5], np.log(power @ audio_features.mel_filters() + 1e-6), atol=1e-3)
+
+
+def test_rare_gains_equal_gains():
+    rng = np.random.default_rng(4)
+    size, n = 9, 40
+    joint = rng.integers(20, 400, (size, size)).astype(float)
+    own = rng.integers(-1, size, n)
+    side = lambda: np.where(rng.random((n, size)) < 0.3, rng.integers(1, 5, (n, size)), 0)
+    cells = lambda m: (np.nonzero(m)[0], np.nonzero(m)[1], m[np.nonzero(m)])
+    left, right = cells(side()), cells(side())
+    want = class_lm.gains(joint, own, left, right, np.zeros(n))
+    assert np.allclose(class_lm.rare_gains(joint, own, left, right, class_lm.steps(joint)), want)
+
+
+def test_neighbours_by_brute_force(spark, monkeypatch):
+    from collections import Counter
+
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", f"once{k}"]) for _ in range(rng.choice([0, 1, 60]))) for k in range(50)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    name = lambda w: class_lm.END if w == "end" else common.hashed_words(pa.array([w]))[0][0]
+    held = class_lm.Lexicon(np.array([name(w) for w in ("a", "b", "end")], np.uint64), np.array([5 << 20, 9, 9]), np.zeros(3, int), -1)
+    held = class_lm.Lexicon(held.words, held.counts, np.arange(3), -1)
+    number = {w: int(np.searchsorted(held.words, name(w))) for w in ("a", "b", "end")}
+    want = Counter()
+    for t in texts:
+        tokens = ["end", *t.split(), "end"]
+        for x, y in zip(tokens, tokens[1:]):
+            if x == y:
+                want[int(name(x)), class_lm.ITSELF] += 1
+            else:
+                if x in number:
+                    want[int(name(y)), 2 * number[x]] += 1
+                if y in number:
+                    want[int(name(x)), 2 * number[y] + 1] += 1
+    got = Counter()
+    for batch in class_lm._neighbours(train, spark.sparkContext.broadcast(held)).toArrow().to_batches():
+        words, row, cell, times = class_lm._cells_of(batch)
+        for w, x, n in zip(words[row].tolist(), cell.tolist(), times.tolist()):
+            got[w, x] += n
+    assert got == want
+    core = np.array([name("b"), name("a")], np.uint64)
+    pairs = class_lm._core_pairs(class_lm._neighbours(train, spark.sparkContext.broadcast(held)), core, spark.sparkContext.broadcast(held))
+    tokens = [["end", *t.split(), "end"] for t in texts]
+    assert pairs.tolist() == [[sum(zip_ == (x, y) for t in tokens for zip_ in zip(t, t[1:])) for y in "ba"] for x in "ba"]
+
+
+def test_class_lm_is_a_distribution(spark):
+    rng = random.Random(13)
+    rows = [(k, " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(20))) for k in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = class_lm.fit(d.select("text"))
+    words = ["ab", "cd", "ef", "gh"]
+    # After each known word: what may follow, a known word, an unseen one or the end, sums to 1.
+    ask = spark.createDataFrame([(k * 10 + j, f"{w} {x}".strip()) for k, w in enumerate(words) for j, x in enumerate(["", *words, "unseen"])], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in class_lm.score(ask, model).collect()}
+    alone = {w: score[k * 10] for k, w in enumerate(words)}
+    # P(w x end) / P(end | x) is P(w) P(x | w); the end's share after x is the same wherever x is.
+    ids = {r["word"]: r["k"] for r in model["classes"].collect()}
+    named = {w: ids[int(common.hashed_words(pa.array([w]))[0].view(np.int64)[0])] for w in words}
+    trans = 10 ** model["trans"]
+    for w in words:
+        row = trans[named[w]]
+        assert row[: class_lm.SIDES].sum() == pytest.approx(1, abs=1e-9)
+        known = sum(row[named[x]] * (count + 1) / 10 ** model["slots"][named[x]] for x in words for count in [sum(t.split().count(x) for _, t in rows)])
+        end = row[class_lm.CLASSES] * (30 + 1) / 10 ** model["slots"][class_lm.CLASSES]
+        assert known + end + row[-1] == pytest.approx(1, abs=1e-9)
+    assert all(x < 0 for x in alone.values())
+
+
+def _small_model(rng, features):
+    shapes = {"We": (features, 4), "be": (4,), "V": (4, 3), "U": (4, 3), "w": (3,), "c": (4,), "d": (1,)}
+    return {k: rng.normal(size=v) for k, v in shapes.items()} | {"mean": rng.normal(size=features), "scale": rng.uniform(1, 2, features)}
+
+
+def test_attention_by_its_definition():
+    rng = np.random.default_rng(1)
+    m, x, bags = _small_model(rng, 5), rng.normal(size=(7, 5)), np.array([0, 3, 4, 7])
+    got = quality_mil.forward(m, x, bags)[0]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for k in range(3):
+        e = [np.tanh((v - m["mean"]) / m["scale"] @ m["We"] + m["be"]) for v in x[bags[k] : bags[k + 1]]]
+        s = np.exp([m["w"] @ (np.tanh(v @ m["V"]) * sigmoid(v @ m["U"])) for v in e])
+        z = sum(a * v for a, v in zip(s / s.sum(), e, strict=True))
+        assert got[k] == pytest.approx(sigmoid(z @ m["c"] + m["d"][0]))
+
+
+def test_gradient_by_differences():
+    rng = np.random.default_rng(2)
+    m, x, bags = _small_model(rng, 5), rng.normal(size=(7, 5)), np.array([0, 3, 4, 7])
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.5, 2.0, 1.0])
+
+    def loss():
+        p = quality_mil.forward(m, x, bags)[0]
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
+
+    for name, slope in quality_mil.gradient(m, x, bags, y, weight).items():
+        for at in np.ndindex(slope.shape):
+            old = m[name][at]
+            values = []
+            for step in (1e-6, -1e-6):
+                m[name][at] = old + step
+                values.append(loss())
+            m[name][at] = old
+            assert slope[at] == pytest.approx((values[0] - values[1]) / 2e-6, abs=1e-6)
+
+
+def test_passages_by_hand():
+    text = "Ab ab, 12 xx " * 20 + "é" * 25 + " !? " + "tail word " * 30
+    words = text.split()
+    x, bags = quality_mil.passage_features(pa.array([text, None, "one"]))
+    assert bags.tolist() == [0, 3, 4, 5] and not x[3].any()
+    for k in range(3):
+        part = [w.encode() for w in words[k * 64 : (k + 1) * 64]]
+        size = [len(w) for w in part]
+        begin = len(" ".join(words[: k * 64]).encode()) + (k > 0)
+        whole = re.sub(rb"\s+", b" ", text.encode())[begin:]
+        whole = whole[: len(b" ".join(part))]
+        assert x[k, 0] == pytest.approx(sum(65 <= b <= 90 for b in whole) / len(whole), abs=0.01)
+        assert x[k, 8] == pytest.approx(np.mean(size) / 10) and x[k, 9] == pytest.approx(np.std(size) / 10)
+        assert x[k, 10] == pytest.approx(sum(words[i].lower() == words[i - 1].lower() for i in range(max(k * 64, 1), min((k + 1) * 64, len(words)))) / len(part))
+        assert x[k, 15] == pytest.approx(np.mean([n > 20 for n in size])) and x[k, 16] == pytest.approx(np.mean([n == 1 for n in size]))
+        assert x[k, 11] == pytest.approx(1 - len({w.lower() for w in part}) / len(part))
+
+
+def test_repeated_labelled_ids_teach_the_same_whatever_the_order(spark):
+    rows = [(k, "GOOD!! " * 80 if k % 2 else "bad words " * 70, k % 2) for k in range(40)] + [(k, "other text " * 70, k % 2) for k in range(40)]
+    fits = []
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string, quality int").repartition(3)
+        fits.append(quality_mil.fit(d.select("doc_id", "text"), d.select("doc_id", "quality")))
+    assert all(np.array_equal(fits[0][k], fits[1][k]) for k in fits[0])
+
+
+def test_stages_give_the_expected_rows(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    line = "This line stands in many documents and is longer than forty characters"
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(k, f"own text {k}\n{line}", None, "s", k) for k in range(6)] + [(6, None, "de", None, None), (7, "", "de", "s", 0), (None, f"x\n{line}", None, "s", 1), (1, f"other\n {line.upper()}", None, "t", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.line_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((str(r["doc_id"]), r["text"], r["n_chars"]) for r in out.collect())
+    want = [(str(k), f"own text {k}", len(f"own text {k}")) for k in range(5)] + [("5", rows[5][1], len(rows[5][1])), ("6", "", 0), ("7", "", 0), ("None", "x", 1), ("1", "other", 5)]
+    assert got == sorted(want)
+
+    near = spark.createDataFrame([(3, a, None, "s", 1), (2, a + " more", "x", "s", 2), (9, b, None, None, 3), (9, b, None, None, 3), (9, a, None, "t", 4), (4, "", None, "s", 0), (5, None, None, "s", 0)], docs.schema)
+    kept = pipeline.ngram_jaccard_join(spark, near, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(2, a + " more"), (9, b), (4, ""), (5, "")])
+
+    mixed = pipeline.source_mixing(spark, near, "")
+    counts = {}
+    for r in mixed.collect():
+        counts[tuple(r)] = counts.get(tuple(r), 0) + 1
+    assert mixed.columns == docs.columns and all(1 <= n <= 4 for n in counts.values()) and set(counts) <= {tuple(r) for r in near.collect()}
+
+    packed = pipeline.length_packing(spark, near, "").collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in packed) == sorted((r["doc_id"], len((r["text"] or "").split())) for r in near.collect())
+
+    (tmp_path / "x").mkdir()
+    shout = [(k, ("word " if k % 2 else "BUY!! ") * 70, None, "s", 1) for k in range(60)]
+    spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    good = pipeline.quality_classifier(spark, spark.createDataFrame(shout, docs.schema), str(tmp_path))
+    assert good.columns == docs.columns and {r["doc_id"] for r in good.collect()} == {k for k in range(60) if k % 2}
+
+
+def test_pipeline_run_leaves_only_its_last_table(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rows = [(k, f"some words of document {k} " * 30, "en", f"s{k % 3}", 1) for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1) for k in range(5)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.count() >= 30 and set(out.columns) == {"doc_id", "n_tokens", "bucket", "bucket_length", "batch", "slot"}
+    from pathlib import Path
+
+    folder = Path(next(iter(out.inputFiles())).removeprefix("file://")).parents[1]
+    assert [x.name for x in folder.iterdir()] == [str(len(pipeline.STAGES) - 1)]
+
+
+def test_chat_takes_long_texts_empty_tables_and_other_columns(spark):
+    rows = [(1, 0, "user", "\\<|" * 200_000, "x"), (1, 1, "assistant", "<|end|>\n" * 100_000, "y")] + [(2, k, ("user", "assistant")[k % 2], f"t{k}", "z") for k in range(2000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.chat_format(turns)).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == [rows[0][3], rows[1][3]] and got[1]["learnt"] == [rows[1][3]]
+    assert len(got[2]["turns"]) == 2000 and got[2]["learnt"] == [f"t{k}" for k in range(1, 2000, 2)]
+    empty = chat_format.read_back(chat_format.chat_format(turns.limit(0)))
+    assert empty.count() == 0 and empty.columns == ["conv_id", "formatted", "loss_mask", "turns", "learnt"]
