@@ -556,8 +556,8 @@ def fit(train: DataFrame) -> dict:
     numbered = Lexicon(head.words, head.counts, np.arange(len(head.words)), -1)
     by_number = spark.sparkContext.broadcast(numbered)
     neighbours = _neighbours(train, by_number)
-    asks = _asks(train, by_number)
     _drop_unused(spark)
+    asks = _asks(train, by_number)
     pairs = _core_pairs(neighbours, core, by_number)
     first = Lexicon(np.append(core, END), np.zeros(len(core) + 1), np.append(exchange(pairs, CLASSES, ROUNDS), CLASSES), -1)
 
@@ -567,6 +567,8 @@ def fit(train: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first.find(words)[1].astype(np.int32))], ["word", "n", "k"])
 
     classes = c.checkpointed(counts.mapInArrow(start, "word long, n long, k int"))
+    del counts
+    _drop_unused(spark)
     lexicon = _lexicon(classes, held)
     kept = None
     for k in range(PASSES + 1):
