@@ -27,6 +27,7 @@ of its own; an empty table gives no row. Extra columns are ignored.
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,9 +225,11 @@ def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray,
     return words, np.repeat(index, np.concatenate(sizes)) * 256 + (data & 255), data >> 8
 
 
-def _neighbours(train: DataFrame, shared) -> DataFrame:
+def _neighbours(train: DataFrame, shared, path: str | None = None) -> DataFrame:
     """(word, beside): of every word its held neighbours, and how often it follows itself, over the whole corpus.
 
+    A table written to ``path``, by default one of its own in the shared folder.
+
     A word seen more than SPREAD times has several rows, so that no task holds all of a frequent word's neighbours.
     """
 
@@ -268,7 +271,10 @@ def _neighbours(train: DataFrame, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([word.take(pa.array(starts[a : a + (1 << 14)])), pa.Array.from_buffers(pa.large_binary(), len(part) - 1, [None, pa.py_buffer(part - part[0]), own]).cast(pa.binary())], ["word", "beside"])
 
     rows = train.mapInArrow(run, "word long, salt int, beside binary")
-    return c.checkpointed(rows.repartition("word", "salt").sortWithinPartitions("word").select("word", "beside").mapInArrow(joined, "word long, beside binary"))
+    path = path or f"{c.shared_folder(train.sparkSession)}/neighbours-{uuid.uuid4().hex}"
+    rows = rows.repartition("word", "salt").sortWithinPartitions("word").select("word", "beside")
+    rows.mapInArrow(joined, "word long, beside binary").write.option("compression", "zstd").parquet(path)
+    return train.sparkSession.read.schema("word long, beside binary").parquet(path)
 
 
 def _cells_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -555,7 +561,8 @@ def fit(train: DataFrame) -> dict:
         return model | {"lexicon": head, "classes": counts.withColumn("k", F.lit(-1)), "trans": None}
     numbered = Lexicon(head.words, head.counts, np.arange(len(head.words)), -1)
     by_number = spark.sparkContext.broadcast(numbered)
-    neighbours = _neighbours(train, by_number)
+    beside = f"{c.shared_folder(spark)}/neighbours-{uuid.uuid4().hex}"
+    neighbours = _neighbours(train, by_number, beside)
     _drop_unused(spark)
     asks = _asks(train, by_number)
     pairs = _core_pairs(neighbours, core, by_number)
@@ -584,6 +591,7 @@ def fit(train: DataFrame) -> dict:
         del gathered
         _drop_unused(spark)
     gathered = asks = neighbours = None
+    c.remove(spark, beside)  # the tables that stay are checkpointed
     classes, lexicon, trans = kept
     _drop_unused(spark)
     mass, kinds = np.zeros(SIDES), np.zeros(SIDES)
