@@ -60,22 +60,24 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-#: A key is heavy at this share of all rows or more, so there are at most so many heavy keys (below a MB to broadcast).
-HEAVY_KEYS = 10_000
+#: A key is heavy at this share of all rows or more, so there are at most so many heavy keys; the most bytes to broadcast.
+HEAVY_KEYS, HEAVY_BYTES = 10_000, 8 << 20
 
 
 def heavy_join(rows: DataFrame, facts: DataFrame, key: str, times: str) -> DataFrame:
     """Inner join of ``rows`` with ``facts`` (unique ``key``, not null) that no frequent key can hold up.
 
-    Up to HEAVY_KEYS facts are broadcast whole. Of more, those that ``facts.times`` gives ``1 / HEAVY_KEYS`` of all times
-    or more, at most HEAVY_KEYS by arithmetic, are broadcast and joined where the rows are; all others hold a smaller
-    share and are joined by an ordinary shuffle that the heavy ones do not enter. ``facts`` must be a written table, as
-    it is read several times; ``rows`` are then read twice.
+    Up to HEAVY_KEYS facts of HEAVY_BYTES together are broadcast whole. Of more, those are broadcast and joined where the
+    rows are that ``facts.times`` gives ``1 / HEAVY_KEYS`` of all times or more, and that take no larger share of
+    HEAVY_BYTES than of the times: both bounds hold by arithmetic. All others are joined by an ordinary shuffle that the
+    heavy ones do not enter. ``facts`` must be a written table, as it is read several times; ``rows`` are then read twice.
     """
-    told = facts.agg(F.count("*").alias("n"), F.sum(times).alias("total")).first()
-    if told["n"] <= HEAVY_KEYS:
+    width = F.length(F.to_json(F.struct(*(x for x in facts.columns if x != times))))
+    told = facts.agg(F.count("*").alias("n"), F.sum(times).alias("total"), F.sum(width).alias("bytes")).first()
+    if told["n"] <= HEAVY_KEYS and (told["bytes"] or 0) <= HEAVY_BYTES:
         return rows.join(F.broadcast(facts.drop(times)), key)
-    is_heavy = F.col(times) * HEAVY_KEYS >= F.lit(told["total"])
+    total = F.lit(told["total"])
+    is_heavy = (F.col(times) * HEAVY_KEYS >= total) & (width * total <= F.col(times) * HEAVY_BYTES)
     heavy, light = facts.where(is_heavy).drop(times), facts.where(~is_heavy).drop(times)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
     return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
@@ -166,9 +168,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) of each word in the buffer and, per document, the index of its first word (one more at the end)."""
-    ink = ~SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of each word in the buffer and, per document, the index of its first word (one more at the end).
+
+    ``blank`` tells for each byte whether it lies between words.
+    """
+    ink = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     opens = ink.copy()
@@ -179,10 +184,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
-def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(column: pa.Array, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """uint64 word hashes of all texts in order, and per document the index of its first word (one more at the end)."""
     data, offsets = text_buffer(column)
-    starts, ends, first = word_spans(data, offsets)
+    starts, ends, first = word_spans(data, offsets, blank)
     return hash_spans(data, starts, ends), first
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, chat_format, class_lm, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_mil, url_filter
+from . import audio_features, chat_format, class_lm, decontam, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_mil, url_filter
 from .common import load
 
 #: (host, path, action) of the rules, and the hosts of the block list.
@@ -85,6 +85,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(sized, F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = decontam.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return told.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,11 +97,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_url_filter, op2_packing, op3_ngram_join, op4_line_dedup, op5_quality, op6_exact_dedup, op7_chat_format, op8_audio_features, op9_class_lm, op10_mixing, pipeline)
+    own = (op1_url_filter, op2_packing, op3_ngram_join, op4_line_dedup, op5_quality, op6_exact_dedup, op7_chat_format, op8_audio_features, op9_class_lm, op10_mixing, op11_decontamination, pipeline)
     return {f.__name__: f for f in own}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 _HOST = f"translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}')"
 _PATH = "regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2)"
@@ -158,4 +164,16 @@ def oracle_sql() -> dict[str, str]:
                          CAST('0x' || md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) / 4294967296.0 AS u
                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
             SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM q""",
+        "op11_decontamination": rf"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM documents),
+            b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM benchmark),
+            i AS (SELECT DISTINCT item, n, unnest([array_to_string(w[k:k + n - 1], ' ') FOR k IN range(1, len(w) - n + 2)]) AS words
+                  FROM (SELECT item, w, least(len(w), {decontam.WINDOW}) AS n FROM b WHERE len(w) > 0)),
+            p AS (SELECT doc_id, n, unnest([{{'k': k, 'words': array_to_string(w[k:k + n - 1], ' ')}} FOR k IN range(1, len(w) - n + 2)], recursive := true)
+                  FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n),
+            h AS (SELECT doc_id, k, n, item FROM p JOIN i USING (n, words)),
+            u AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) FROM (SELECT DISTINCT doc_id, k, n FROM h)) GROUP BY doc_id),
+            t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+            SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+            FROM d LEFT JOIN u USING (doc_id) LEFT JOIN t USING (doc_id)""",
     }
