@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, chat_format, class_lm, decontam, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_mil, url_filter
+from . import audio_features, chat_format, class_lm, decontam, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_mil, token_align, url_filter
 from .common import load
 
 #: (host, path, action) of the rules, and the hosts of the block list.
@@ -90,6 +90,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.link_statistics(load(spark, sf_dir, "documents"), token_align.Tokenizers.read())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_url_filter, op2_packing, op3_ngram_join, op4_line_dedup, op5_quality, op6_exact_dedup, op7_chat_format, op8_audio_features, op9_class_lm, op10_mixing, op11_decontamination, pipeline)
+    own = (op1_url_filter, op2_packing, op3_ngram_join, op4_line_dedup, op5_quality, op6_exact_dedup, op7_chat_format, op8_audio_features, op9_class_lm, op10_mixing, op11_decontamination, op12_token_align, pipeline)
     return {f.__name__: f for f in own}
 
 
