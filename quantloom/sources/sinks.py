@@ -5,25 +5,89 @@ from __future__ import annotations
 import csv
 import math
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_temporary: dict = {}
+#: Folders of the scratch spaces that are open, the innermost last.
+_open: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only a local session may do without, and gets a temporary one."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session whose master is local may do without that setting; it gets one temporary folder. Any other raises,
+    since executors do not see the driver's own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return named or tempfile.mkdtemp(prefix="quantloom-")
+    if spark.sparkContext not in _temporary:
+        _temporary[spark.sparkContext] = tempfile.mkdtemp(prefix="quantloom-")
+    return _temporary[spark.sparkContext]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through the file system that Spark writes to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def place_of(spark: SparkSession) -> str:
+    """Where tables go that are needed for a while: the open scratch space, or else the shared folder."""
+    return _open[-1] if _open else shared_folder(spark)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for all tables that are materialised inside; it is deleted at the end, whether that fails or not.
+
+    Frames that still read those tables cannot be used afterwards. One thread may have such spaces inside each other.
+    """
+    folder = f"{place_of(spark)}/scratch-{uuid.uuid4().hex}"
+    _open.append(folder)
+    try:
+        yield folder
+    finally:
+        _open.remove(folder)
+        remove(spark, folder)
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back by all that use it; Spark deletes the files with the last reference."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """``df`` computed once and read back by all that use it: its lineage is cut through a checkpoint in a folder of its own.
+
+    Spark deletes checkpoints only where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, and then with the
+    driver's garbage; so the files go with the scratch space they were made in, or by ``release``.
+    """
+    folder = f"{place_of(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.sparkSession.sparkContext.setCheckpointDir(folder)
+    out = df.checkpoint(eager=True)
+    out._own_folder = folder
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables, which nothing may read any more."""
+    for table in tables:
+        remove(table.sparkSession, table._own_folder)
+
+
+def tidy(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that ``make`` returns, written once; every other table that it materialised is deleted.
+
+    The result's own folder stays for as long as the caller reads it, and is the caller's to delete.
+    """
+    folder = f"{place_of(spark)}/result-{uuid.uuid4().hex}"
+    with scratch(spark):
+        made = make()
+        made.write.parquet(folder)
+    return spark.read.schema(made.schema).parquet(folder)
 
 
 def write_stage(df: DataFrame, path: str) -> None:
