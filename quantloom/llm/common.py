@@ -8,7 +8,6 @@ given words share one with probability about 2**-64 (about 3e-4 that any two of
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import materialise as checkpointed
+from ..sources.sinks import place_of, release, remove, scratch, shared_folder, tidy
+
+__all__ = ["checkpointed", "place_of", "release", "remove", "scratch", "shared_folder", "tidy"]
+
 WHITESPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
@@ -27,39 +31,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session whose master is local may do without that setting; it gets one temporary folder. Any other raises,
-    since executors do not see the driver's own disk.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if spark.sparkContext not in _temporary:
-        _temporary[spark.sparkContext] = tempfile.mkdtemp(prefix="quantloom-")
-    return _temporary[spark.sparkContext]
-
-
-_temporary: dict = {}
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that Spark writes to."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 #: A key is heavy at this share of all rows or more, so there are at most so many heavy keys; the most bytes to broadcast.
 HEAVY_KEYS, HEAVY_BYTES = 10_000, 8 << 20
 

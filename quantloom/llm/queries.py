@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_features, chat_format, class_lm, decontam, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_mil, token_align, url_filter
-from .common import load
+from . import audio_features, chat_format, class_lm, decontam, exact_dedup, keyed_upsert, line_dedup, mixing, ngram_join, packing, quality_mil, token_align, url_filter
+from .common import load, scratch, shared_folder, tidy
 
 #: (host, path, action) of the rules, and the hosts of the block list.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -91,7 +93,32 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_align.link_statistics(load(spark, sf_dir, "documents"), token_align.Tokenizers.read())
+    return tidy(spark, lambda: token_align.link_statistics(load(spark, sf_dir, "documents"), token_align.Tokenizers.read()))
+
+
+def _of_ten(first: Column) -> Column:
+    return F.crc32(first.cast("string")) % 10
+
+
+def op13_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, changes = load(spark, sf_dir, "clients"), load(spark, sf_dir, "client_changes")
+    most, folder, key = 1 + clients.count() // 1500, f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}", "client_id"
+    with scratch(spark):
+        keyed_upsert.write_sorted(clients.where(F.crc32(F.col(key).cast("string")) % 7 > 3), key, folder, most)
+        before = keyed_upsert.upsert(
+            *(spark, folder, clients.schema, changes, key, ["seq", "change_id"], ["source", "segment", "city", "balance"], most),
+            ignored=lambda first, _: _of_ten(first) > 7,
+            deleted=lambda first, change: F.coalesce(change["op"] == "D", F.lit(False)) | (F.crc32(change["change_id"].cast("string")) % 8 < _of_ten(first)),
+        )
+    sums = {
+        "cents": F.coalesce(F.floor(F.col("balance") * 100 + 0.5), F.lit(0)),
+        "rows_crc": F.crc32(F.concat_ws("|", *(F.coalesce(x, F.lit("")) for x in ("source", "segment", "city")))),
+    }
+    told = keyed_upsert.report(spark, folder, clients.schema, key, sums)
+    columns = F.lit(",".join(spark.read.parquet(folder).columns if before else clients.columns))
+    earlier = F.broadcast(spark.createDataFrame([(x, False) for x in before], "path string, rewritten boolean"))  # a row a file
+    told = told.join(earlier, "path", "left").withColumn("rewritten", F.coalesce("rewritten", F.lit(True)))
+    return told.select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", columns.alias("columns"), "path", "rewritten")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_url_filter, op2_packing, op3_ngram_join, op4_line_dedup, op5_quality, op6_exact_dedup, op7_chat_format, op8_audio_features, op9_class_lm, op10_mixing, op11_decontamination, op12_token_align, pipeline)
+    own = (op1_url_filter, op2_packing, op3_ngram_join, op4_line_dedup, op5_quality, op6_exact_dedup, op7_chat_format, op8_audio_features, op9_class_lm, op10_mixing, op11_decontamination, op12_token_align, op13_keyed_upsert, pipeline)
     return {f.__name__: f for f in own}
 
 
