@@ -97,27 +97,40 @@ def max_utility(s: np.ndarray, mu: np.ndarray, aversion: float, rounds: int = 20
     return normalised(w, tol)
 
 
-def single_linkage_order(d: np.ndarray) -> list[int]:
-    """Leaf order of the single-linkage tree of a distance matrix; ties by the lower pair of indices."""
+def linkage(d: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """Single-linkage merges of a distance matrix: (child, child, distance, size), the smaller cluster number first.
+
+    Names are clusters 0 to n - 1, merge k makes cluster n + k. Names are lined up from name 0, always the one nearest to
+    any before it (ties to the lower name); a cluster is then a stretch of this line, and closing its gaps in rising
+    order (ties from the left) gives the merges.
+    """
     n = len(d)
-    inside, best, link, edges = [0], d[0].copy(), np.zeros(n, int), []
-    out = set(range(1, n))
-    while out:
-        j = min(out, key=lambda k: (best[k], k))
-        edges.append((best[j], min(link[j], j), max(link[j], j)))
-        out.discard(j)
-        inside.append(j)
-        for k in out:
-            if d[j, k] < best[k]:
-                best[k], link[k] = d[j, k], j
-    leaves = {i: [i] for i in range(n)}
-    root = list(range(n))
-    for _, a, b in sorted(edges):
-        ra, rb = root[a], root[b]
-        leaves[ra] += leaves.pop(rb)
-        for k in leaves[ra]:
-            root[k] = ra
-    return leaves[root[0]]
+    line, gaps, near = [0], [], np.where(np.arange(n) == 0, np.inf, d[0])
+    while len(line) < n:
+        j = int(near.argmin())
+        line.append(j)
+        gaps.append(near[j])
+        near = np.where(np.isinf(near) | (np.arange(n) == j), np.inf, np.minimum(near, d[j]))
+    # A stretch is known at both of its ends: (cluster, first place, last place).
+    at = {k: (name, k, k) for k, name in enumerate(line)}
+    merges = []
+    for k in np.argsort(gaps, kind="stable").tolist():
+        (left, first, _), (right, _, last) = at[k], at[k + 1]
+        merges.append((min(left, right), max(left, right), float(gaps[k]), last - first + 1))
+        at[first] = at[last] = (n + len(merges) - 1, first, last)
+    return merges
+
+
+def leaf_order(merges: list[tuple[int, int, float, int]]) -> list[int]:
+    """The names under the last merge, the first child's before the second's."""
+    n, out, todo = len(merges) + 1, [], [2 * len(merges)]
+    while todo:
+        k = todo.pop()
+        if k < n:
+            out.append(k)
+        else:
+            todo += [merges[k - n][1], merges[k - n][0]]
+    return out
 
 
 def hrp(s: np.ndarray) -> np.ndarray:
@@ -130,7 +143,7 @@ def hrp(s: np.ndarray) -> np.ndarray:
     if n == 1:
         return np.ones(1)
     sd = np.sqrt(np.maximum(np.diag(s), 1e-18))
-    order = single_linkage_order(np.sqrt(np.maximum((1 - np.clip(s / np.outer(sd, sd), -1, 1)) / 2, 0)))
+    order = leaf_order(linkage(np.sqrt(np.maximum((1 - np.clip(s / np.outer(sd, sd), -1, 1)) / 2, 0))))
 
     def spread(part):
         own = np.diag(s)[part]

@@ -58,9 +58,9 @@ def sharpe(r: Column, rf: float = 0.0, days: int = DAYS) -> Column:
 
 
 def sortino(r: Column, rf: float = 0.0, days: int = DAYS) -> Column:
-    """Downside deviation is the root mean square of the negative observations alone."""
+    """Downside deviation is the root mean square of the negative observations alone; null for fewer than two values."""
     x = r - ((1 + rf) ** (1 / days) - 1)
-    return F.try_divide(F.avg(x), F.sqrt(F.avg(F.when(x < 0, x * x)))) * days**0.5
+    return F.when(F.count(r) >= 2, F.try_divide(F.avg(x), F.sqrt(F.avg(F.when(x < 0, x * x)))) * days**0.5)
 
 
 def wealth_path(series: DataFrame, keys: list[str]) -> DataFrame:

@@ -37,16 +37,19 @@ def days_of_intervals(calendar: DataFrame, intervals: DataFrame) -> DataFrame:
     return held.select("market", "date", F.col("m.rebal").alias("rebal"))
 
 
-def investable_window(panel: DataFrame, calendar: DataFrame, rebals: DataFrame, lookback: int, coverage: float, cap: int | None) -> DataFrame:
+def investable_window(panel: DataFrame, calendar: DataFrame, rebals: DataFrame, lookback: int | None, coverage: float, cap: int | None) -> DataFrame:
     """(market, rebal, id, t, date, ret): trailing ``lookback`` days of names present on at least ``coverage`` of them.
 
+    Without a ``lookback`` each rebalance has its own, in a column of that name.
+
     Rebalances with a shorter history have no rows. Of more than ``cap`` names the fullest stay, ties by natural id.
     A row enters each window that covers it: windows are found by exploding the ordinal, not by a range join.
     """
-    ends = rebals.join(calendar, (rebals.market == calendar.market) & (rebals.rebal == calendar.date)).select(rebals.market, "rebal", F.col("t").alias("end_t")).where(F.col("end_t") >= lookback)
-    reach = ends.select("market", "rebal", "end_t", F.explode(F.sequence(F.col("end_t") - lookback + 1, F.col("end_t"))).alias("t"))
+    back = F.col("lookback") if lookback is None else F.lit(lookback)
+    ends = rebals.join(calendar, (rebals.market == calendar.market) & (rebals.rebal == calendar.date)).select(rebals.market, "rebal", F.col("t").alias("end_t"), back.alias("lookback")).where("end_t >= lookback")
+    reach = ends.select("market", "rebal", "lookback", F.explode(F.expr("sequence(end_t - lookback + 1, end_t)")).alias("t"))
     rows = panel.join(calendar, ["market", "date"]).join(reach, ["market", "t"])
-    names = rows.groupBy("market", "rebal", "id").agg(F.count("ret").alias("n")).where(F.col("n") / lookback >= coverage)
+    names = rows.groupBy("market", "rebal", "id", "lookback").agg(F.count("ret").alias("n")).where(F.col("n") / F.col("lookback") >= coverage)
     if cap is not None:
         order = Window.partitionBy("market", "rebal").orderBy(F.col("n").desc(), *natural())
         names = names.withColumn("k", F.row_number().over(order)).where(F.col("k") <= cap)

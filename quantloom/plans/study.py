@@ -16,7 +16,7 @@ from ..config import Config
 from ..kernels.optim import strategies
 from ..operators import cleaning, dependence, features, metrics
 from ..operators.rebalance import holding_intervals, rebalance_dates
-from ..sources.sinks import write_stage
+from ..sources.sinks import materialise, scratch, write_stage
 from . import backtest, checks, inference, regimes, reports, sensitivity, tables
 
 
@@ -74,12 +74,12 @@ def stages(spark: SparkSession, raw_series: DataFrame, raw_panel: DataFrame, cfg
     def swept(done):
         grid = cfg.sensitivity
         of = (lambda x: x.where(F.col("market").isin(*grid.sweep_markets))) if grid.sweep_markets else (lambda x: x)
-        inputs = of(done["panel"]), of(done["index"]), cfg, strategies()
-        calendar = of(done["calendar"])
-        views = sensitivity.sweep_views(*inputs[:2], cfg, done["contexts"], grid.bl_view_confidence_grid, grid.bl_tau_grid, calendar)
-        lookback = sensitivity.sweep_lookback(*inputs, done["contexts"], calendar)
+        points = sensitivity.view_points(cfg, done["contexts"], grid.bl_view_confidence_grid, grid.bl_tau_grid)
+        points |= sensitivity.lookback_points(cfg, strategies(), done["contexts"])
+        points |= sensitivity.rebalance_points(cfg, strategies(), lambda own: contexts(done, own))
+        found = materialise(sensitivity.sweep(of(done["panel"]), of(done["index"]), points, of(done["calendar"])))
+        views, lookback, rebalance = (found.where(F.col("parameter") == x) for x in ("bl_view_confidence", "default_lookback", "rebalance_frequency"))
         cost = sensitivity.sweep_cost(study["result"], cfg, list(grid.transaction_cost_grid_bps))
-        rebalance = sensitivity.sweep_rebalance(*inputs, lambda own: contexts(done, own), calendar)
         return sensitivity.roll_up([views, lookback, of(cost), rebalance])
 
     def table(maker, *inputs):

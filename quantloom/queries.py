@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Config, override
@@ -923,6 +923,30 @@ def _(spark, d):
     return each.groupBy("strategy").agg(F.count("*").alias("n_windows"), F.count_if(F.abs(F.col("total") - 1) > 1e-9).alias("n_bad_sum"), F.sum("negative").alias("n_negative"))
 
 
+_TRIPLES = f"""WITH {LINES_SQL}, nm AS (SELECT id, row_number() OVER (ORDER BY length(id), id) AS k FROM (SELECT DISTINCT id FROM ln)),
+    wd AS (SELECT k, date, coalesce(ret, 0) AS ret FROM (SELECT DISTINCT date FROM ln) CROSS JOIN nm LEFT JOIN ln USING (id, date)),
+    cv AS (SELECT a.k AS i, b.k AS j, covar_samp(a.ret, b.ret) AS s FROM wd a JOIN wd b ON a.date = b.date AND abs(a.k - b.k) <= 2 GROUP BY 1, 2),
+    ds AS (SELECT i, j, sqrt((1 - x.s / sqrt(y.s * z.s)) / 2) AS d FROM cv x JOIN (SELECT i, s FROM cv WHERE i = j) y USING (i) JOIN (SELECT j, s FROM cv WHERE i = j) z USING (j) WHERE i < j),
+    tr AS (SELECT t.k AS t, arg_min([i, j], d) AS near FROM nm t JOIN ds ON i >= t.k AND j <= t.k + 2 WHERE t.k + 2 <= (SELECT max(k) FROM nm) GROUP BY 1),
+    ly AS (SELECT t, 3 * t + 3 - near[1] - near[2] AS f, near[1] AS p, near[2] AS q FROM tr),
+    vr AS (SELECT ly.*, vf.s AS sf, vp.s AS sp, vq.s AS sq, vx.s AS sx FROM ly JOIN cv vf ON vf.i = f AND vf.j = f JOIN cv vp ON vp.i = p AND vp.j = p JOIN cv vq ON vq.i = q AND vq.j = q JOIN cv vx ON vx.i = p AND vx.j = q),
+    wg AS (SELECT *, 1 - sf / (sf + (1 / sp + 1 / sq + 2 * sx / (sp * sq)) / pow(1 / sp + 1 / sq, 2)) AS wf FROM vr)"""
+
+
+@query("u15_hrp_of_three", f"""{_TRIPLES} SELECT CAST(t AS VARCHAR) AS triple, nm.id, round(CASE nm.k WHEN f THEN wf WHEN p THEN (1 - wf) * sq / (sp + sq) ELSE (1 - wf) * sp / (sp + sq) END, 8) AS w
+    FROM wg JOIN nm ON nm.k BETWEEN t AND t + 2""")
+def _(spark, d):
+    """Risk parity of every three names that follow each other: the tree has one merge, and the single name leads."""
+    panel = materialise(ln(spark, d))
+    names = panel.select("id").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.length("id"), "id")))  # a nation a row
+    grid = panel.select("date").distinct().crossJoin(F.broadcast(names)).join(panel, ["id", "date"], "left").select("id", "k", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    whole = F.broadcast(names.agg((F.max("k") - 2).alias("last")))
+    spread = grid.withColumn("triple", F.explode(F.sequence(F.col("k") - 2, F.col("k")))).join(whole, F.col("triple").between(1, F.col("last")))
+    window = spread.select(F.col("triple").cast("string").alias("market"), F.lit("2000-01-01").cast("date").alias("rebal"), "id", "date", "ret")
+    weights = backtest.solve_windows(window, ["hrp"], override(STUDY, portfolio={"covariance_estimator": "sample"}).portfolio)
+    return weights.select(F.col("market").alias("triple"), "id", F.round("w", 8).alias("w"))
+
+
 @query("u13_stationary", f"{_BT} SELECT rebal, count(*) AS n_names, true AS stationary FROM un GROUP BY rebal")
 def _(spark, d):
     """Minimum variance: no name's gradient is below the portfolio's, and those held are at it."""
@@ -988,9 +1012,9 @@ _GRID = " UNION ALL ".join(
 def _rolled(spark, d):
     panel, series, _ = _study_config(spark, d, False)
     only = ["equal_weight"]
-    base = backtest.run_backtest(panel, series, STUDY, only)
-    cost = sensitivity.sweep_cost(base, STUDY, list(STUDY.sensitivity.transaction_cost_grid_bps))
-    rolled = sensitivity.roll_up([sensitivity.sweep_lookback(panel, series, STUDY, only), cost, sensitivity.sweep_rebalance(panel, series, STUDY, only)])
+    points = sensitivity.lookback_points(STUDY, only) | sensitivity.rebalance_points(STUDY, only)
+    lookback, frequency, cost = sensitivity.sweep_all(panel, series, backtest.Setting(STUDY, only), points)
+    rolled = sensitivity.roll_up([lookback, cost, frequency])
     return rolled.select("parameter", "market", "value", F.round("sharpe", 6).alias("sharpe"), F.round("max_drawdown", 6).alias("max_drawdown"))
 
 

@@ -187,3 +187,69 @@ def test_garch_recovers_persistence():
         h = 2e-6 + 0.1 * r[-1] ** 2 + 0.88 * h
     found = series.fit_garch(np.array(r))
     assert 0.03 < found["alpha"] < 0.2 and 0.93 < found["alpha"] + found["beta"] < 1 and np.isfinite(found["loglik"])
+
+
+def clusters_by_definition(d):
+    """Single-linkage merges found by looking at all pairs of clusters each time; no two distances may be equal."""
+    n = len(d)
+    groups, merges = {k: {k} for k in range(n)}, []
+    while len(groups) > 1:
+        near = {(a, b): min(d[i, j] for i in groups[a] for j in groups[b]) for a in groups for b in groups if a < b}
+        (a, b), gap = min(near.items(), key=lambda x: x[1])
+        groups[n + len(merges)] = groups.pop(a) | groups.pop(b)
+        merges.append((a, b, gap, len(groups[n + len(merges)])))
+    return merges
+
+
+def leaves_of(merges, k):
+    n = len(merges) + 1
+    return [k] if k < n else leaves_of(merges, merges[k - n][0]) + leaves_of(merges, merges[k - n][1])
+
+
+def hrp_by_definition(s):
+    n = len(s)
+    sd = np.sqrt(np.diag(s))
+    merges = clusters_by_definition(np.sqrt(np.maximum(1 - s / np.outer(sd, sd), 0) / 2))
+
+    def variance(part):
+        iv = 1 / np.diag(s)[part]
+        return (iv / iv.sum()) @ s[np.ix_(part, part)] @ (iv / iv.sum())
+
+    def share(part):
+        if len(part) == 1:
+            return {part[0]: 1.0}
+        left, right = part[: len(part) // 2], part[len(part) // 2 :]
+        a = 1 - variance(left) / (variance(left) + variance(right))
+        return {k: a * v for k, v in share(left).items()} | {k: (1 - a) * v for k, v in share(right).items()}
+
+    told = share(leaves_of(merges, 2 * n - 2))
+    return np.array([told[k] for k in range(n)])
+
+
+def test_linkage_rows_and_leaf_order_of_three_names():
+    d = np.array([[0, 0.3, 0.6], [0.3, 0, 0.4], [0.6, 0.4, 0]])
+    assert optim.linkage(d) == [(0, 1, 0.3, 2), (2, 3, 0.4, 3)]
+    assert optim.leaf_order(optim.linkage(d)) == [2, 0, 1]  # a name's number is below a cluster's
+    sd = np.array([0.1, 0.2, 0.3])
+    s = (1 - 2 * d**2) * np.outer(sd, sd)
+    assert optim.hrp(s) == pytest.approx(hrp_by_definition(s))
+
+
+def test_linkage_ties_go_to_the_lower_name_and_from_the_left():
+    d = np.ones((4, 4)) - np.eye(4)
+    assert optim.linkage(d) == [(0, 1, 1.0, 2), (2, 4, 1.0, 3), (3, 5, 1.0, 4)]
+    assert optim.leaf_order(optim.linkage(d)) == [3, 2, 0, 1]
+    assert optim.linkage(np.zeros((1, 1))) == [] and optim.leaf_order([]) == [0]
+
+
+@pytest.mark.parametrize("seed", range(50))
+def test_hrp_follows_the_dendrogram(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 12))
+    s = np.cov(rng.normal(size=(3 * n + 5, n)) @ rng.normal(size=(n, n)), rowvar=False)
+    sd = np.sqrt(np.diag(s))
+    d = np.sqrt(np.maximum(1 - s / np.outer(sd, sd), 0) / 2)
+    np.fill_diagonal(d, 0)
+    got, want = optim.linkage(d), clusters_by_definition(d)
+    assert [(a, b, n) for a, b, _, n in got] == [(a, b, n) for a, b, _, n in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+    assert optim.hrp(s) == pytest.approx(hrp_by_definition(s), rel=1e-9)
