@@ -10,8 +10,8 @@ document in one join; a document's text is shuffled once and put together again
 Edge cases: null or empty text is one empty line and comes back as an empty text; short lines always stay; a null id
 counts as no document and protects nothing; of rows that repeat an id each loses its own lines, and the id counts
 once; a line twice in one document is one document, and both copies go or stay. Very long texts are split in a
-Python worker that holds one batch of about 8 MB, or one text. An empty table gives no row. Extra columns are kept, but
-for those named n_lines or n_dropped, which the appended ones replace.
+Python worker that holds one batch of about 8 MB, or one text. An empty table gives no row. Extra columns are kept whatever
+their names, but for those named n_lines or n_dropped in any case, which the appended ones replace.
 """
 
 from __future__ import annotations
@@ -39,28 +39,29 @@ def _long_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[p
                     texts.append(mark)
                     at.append(k)
                     keys.append(hashlib.blake2b(key.encode().lower(), digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "mark", "at", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "mark", "at", "key"])
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text`` replaced by the lines that stay, and n_lines and n_dropped appended."""
-    own = [x for x in docs.columns if x not in ("n_lines", "n_dropped")]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    lines = c.checkpointed(rows.mapInArrow(lambda it: _long_lines(it, min_chars), "doc_id long, mark long, at int, key binary"))
+    own = [x for x in docs.columns if x.lower() not in ("n_lines", "n_dropped")]
+    # The caller's columns stay in one struct, so that no name of theirs meets one of ours.
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*own).alias("own"))
+    docs = docs.withColumn("mark", F.unhex(F.md5("text")))
+    lines = c.checkpointed(docs.select("doc_id", "mark", "text").mapInArrow(lambda it: _long_lines(it, min_chars), "doc_id long, mark binary, at int, key binary"))
     counts = lines.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("holder"), F.count("*").alias("times"))
     common = c.checkpointed(counts.where(F.col("n") >= min_docs).select("key", "holder", "times"))
     drops = c.heavy_join(lines, common, "key", "times").where("doc_id is null or doc_id <> holder")
     drops = drops.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("drop_at")).toDF("drop_id", "drop_mark", "drop_at")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.select(*own, F.xxhash64(text_col).alias("own_mark")).join(drops, F.col(id_col).eqNullSafe(F.col("drop_id")) & (F.col("own_mark") == F.col("drop_mark")), "left")
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("mark") == F.col("drop_mark")), "left")
     # One array a row by a generator: an expression would be split anew for each line that stays.
-    split = F.when(F.col("drop_at").isNotNull(), F.split(text, "\n", -1))
-    joined = joined.select("*", F.explode(F.array(split)).alias("own_lines"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("own_lines") - 1), "drop_at")
-    stay = F.array_join(F.transform(kept, lambda k: F.get("own_lines", k)), "\n")
-    n_lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    split = F.when(F.col("drop_at").isNotNull(), F.split("text", "\n", -1))
+    joined = joined.select("own", "text", "drop_at", F.explode(F.array(split)).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop_at")
+    stay = F.array_join(F.transform(kept, lambda k: F.get("lines", k)), "\n")
+    n_lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
     return joined.select(
-        *(F.when(F.col("drop_at").isNull(), text).otherwise(stay).alias(x) if x == text_col else x for x in own),
+        *(F.when(F.col("drop_at").isNull(), F.col("text")).otherwise(stay).alias(x) if x == text_col else F.col("own")[x].alias(x) for x in own),
         n_lines.alias("n_lines"),
         F.coalesce(F.size("drop_at"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -71,16 +71,16 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def plan_mix(docs: DataFrame, size: Column | None = None) -> DataFrame:
-    """``docs`` with size, source_size, target and n_copies appended; columns of these names, or rate, are replaced.
+    """``docs`` with size, source_size, target and n_copies appended; columns of these names, in any case, are replaced.
 
     ``size`` is the number of words, by default counted in ``text``.
     """
-    own = [x for x in docs.columns if x not in ("size", "source_size", "target", "n_copies", "rate", "rate_source")]
+    own = [x for x in docs.columns if x.lower() not in ("size", "source_size", "target", "n_copies")]
     key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce(F.col("source").cast("string"), F.lit("")))
-    sized = docs.select(*own, (c.word_count(F.col("text")) if size is None else size).alias("size"), key.alias("rate_source"))
+    sized = docs.select(F.struct(*own).alias("own"), "doc_id", "source", (c.word_count(F.col("text")) if size is None else size).alias("size"), key.alias("rate_source"))
     rates = source_rates(sized.select("source", F.col("rate_source").alias("source_key"), "size")).withColumnRenamed("source_key", "rate_source")
-    joined = c.heavy_join(sized, rates, "rate_source", "n_docs")
-    return joined.select(*own, "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id")).cast("long").alias("n_copies"))
+    joined = c.heavy_join(sized.drop("source"), rates, "rate_source", "n_docs")
+    return joined.select(*(F.col("own")[x].alias(x) for x in own), "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id")).cast("long").alias("n_copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ joins go by ``common.heavy_join``, so a rule or a url in a third of all rows is
 Edge cases: a null url or one without ``://`` has empty host and path, fits nothing and passes; repeated urls each get a
 verdict; of rules of equal length the larger key wins, then allow before block; a rule listed twice counts once, and a
 block list row with action allow does nothing; very long urls are read whole; empty pages give no row, an empty listing
-lets all pass. Columns of ``pages`` named host, path, rule or verdict are replaced, all others stay.
+lets all pass. Columns of ``pages`` named host, path, rule or verdict in any case are replaced, all others stay,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -199,12 +200,13 @@ def url_filter(pages: DataFrame, listing: DataFrame, url_col: str = "url") -> Da
     best = c.heavy_join(hits, facts, "key", "times").groupBy("url").agg(F.max("rule").alias("best"), F.bool_or("listed").alias("listed"))
     verdict = F.when(F.col("best").isNotNull(), F.col("best.action")).when(F.col("listed"), "block").otherwise("allow")
     told = c.checkpointed(urls.join(best, "url", "left").select(_digest("url").alias("_url"), F.col("best.text").alias("rule"), verdict.alias("verdict"), "times"))
-    own = [x for x in pages.columns if x not in ("host", "path", "rule", "verdict")]
+    own = [x for x in pages.columns if x.lower() not in ("host", "path", "rule", "verdict")]
     host, path = host_path(F.col(url_col))
-    rows = pages.select(*own, host.alias("host"), path.alias("path"), _digest(url_col).alias("_url"))
+    # The caller's columns stay in one struct, so that no name of theirs meets one of ours.
+    rows = pages.select(F.struct(*own).alias("own"), host.alias("host"), path.alias("path"), _digest(url_col).alias("_url"))
     judged = c.heavy_join(rows.where("_url is not null"), told, "_url", "times")
     nowhere = rows.where("_url is null").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-    return judged.unionByName(nowhere).select(*own, "host", "path", "rule", "verdict")
+    return judged.unionByName(nowhere).select(*(F.col("own")[x].alias(x) for x in own), "host", "path", "rule", "verdict")
 
 
 def _digest(url: str) -> Column:

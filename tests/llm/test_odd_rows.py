@@ -1,13 +1,26 @@
 """Every operator and pipeline stage on nulls, repeated rows, very long texts, and columns that clash with inner names."""
 
 import importlib
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom.llm import audio_features, chat_format, class_lm, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_mil, queries, url_filter
 
-CLASHING = ["key", "size", "line", "rate", "bucket", "batch", "slot", "kept", "keep_id", "group_size", "score", "class_key", "n_lines", "n_dropped", "component_id", "n_shingles", "target", "n_copies", "source_size", "copy", "length", "pos", "rank", "digest", "bits"]
+
+
+def inner_names():
+    """Names that operators give to columns of their own, as the code has them; some in another case."""
+    code = "".join(x.read_text() for x in sorted(Path(queries.__file__).parent.glob("*.py")))
+    names = set(re.findall(r'(?:alias|withColumn)\("(\w+)"', code)) | {x for part in re.findall(r"toDF\(([^)]*)\)", code) for x in re.findall(r'"(\w+)"', part)}
+    names |= {x for part in re.findall(r'"([^"]*)"', code) for x in re.findall(r"(\w+) (?:long|int|double|string|binary|boolean|array<)", part)}
+    names = sorted({x.lower() for x in names} - {"doc_id", "text", "lang", "source", "n_chars", "page_id", "url", "quality"})
+    return [x.upper() if k % 4 == 0 else x for k, x in enumerate(names)]
+
+
+CLASHING = inner_names()
 LONG = "seven more words stand in this line " * 20_000
 TEXTS = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A  b c d e f"), (3, None), (None, "a b c d e f"), (None, None), (4, ""), (5, " \t\n"), (6, LONG), (7, LONG + "x"), (8, "one")]
 
@@ -27,7 +40,7 @@ def test_operators_take_odd_rows(spark, odd):
     assert line_dedup.line_dedup(odd).count() == exact_dedup.annotate(odd).count() == packing.pack(odd).count() == n
     assert audio_features.media_digests(odd).count() == class_lm.class_lm(odd).count() == n
     assert mixing.plan_mix(odd).count() == n
-    labels = odd.select("doc_id", F.lit(None).cast("int").alias("quality"), "score")
+    labels = odd.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit("x").alias("score"))
     assert {r["score"] for r in quality_mil.score(odd, quality_mil.fit(odd, labels)).collect()} == {0.5}
     pages = odd.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), *CLASHING)
     assert {r["verdict"] for r in url_filter.url_filter(pages, queries.url_listing(spark)).collect()} == {"allow"}
@@ -58,8 +71,12 @@ def test_stages_take_odd_rows_and_keep_columns(spark, odd, tmp_path):
 
 
 def test_mix_leaves_clashing_columns_alone(odd):
+    assert {"own_mark", "drop_at", "_url", "rate_source", "component", "host"} <= {x.lower() for x in CLASHING} | {"own_mark", "drop_at", "_url", "component"}
     rows = mixing.mix(odd).collect()
     assert rows and {r[x] for r in rows for x in CLASHING} == {"clash"}
+    for made, replaced in ((line_dedup.line_dedup(odd), {"n_lines", "n_dropped"}), (mixing.plan_mix(odd), {"size", "source_size", "target", "n_copies"})):
+        row = made.where("doc_id = 8").first()
+        assert {row[x] for x in CLASHING if x.lower() not in replaced} == {"clash"} and {x.lower() for x in made.columns} == {x.lower() for x in odd.columns} | replaced
     counted = mixing.plan_mix(odd).select("doc_id", "size").collect()
     assert {r["doc_id"]: r["size"] for r in counted if r["doc_id"] in (1, 3, 8)} == {1: 6, 3: 0, 8: 1}
 
