@@ -26,7 +26,6 @@ of its own; an empty table gives no row. Extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -55,6 +54,8 @@ ITSELF = 2 * LEXICON + 2
 #: Bits of a cell's count; more than that is repeated.
 TIMES = 32 - (ITSELF + 2).bit_length()
 SPREAD = 1 << 20
+#: A word is frequent at this share of all tokens; rows to which a frequent word's are reduced first.
+HOT, PARTS = 1000, 64
 #: Words seen at most so often have their gains looked up.
 RARE = 64
 
@@ -271,7 +272,7 @@ def _neighbours(train: DataFrame, shared, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([word.take(pa.array(starts[a : a + (1 << 14)])), pa.Array.from_buffers(pa.large_binary(), len(part) - 1, [None, pa.py_buffer(part - part[0]), own]).cast(pa.binary())], ["word", "beside"])
 
     rows = train.mapInArrow(run, "word long, salt int, beside binary")
-    path = path or f"{c.shared_folder(train.sparkSession)}/neighbours-{uuid.uuid4().hex}"
+    path = path or f"{c.place_of(train.sparkSession)}/neighbours-{uuid.uuid4().hex}"
     rows = rows.repartition("word", "salt").sortWithinPartitions("word").select("word", "beside")
     rows.mapInArrow(joined, "word long, beside binary").write.option("compression", "zstd").parquet(path)
     return train.sparkSession.read.schema("word long, beside binary").parquet(path)
@@ -328,8 +329,18 @@ def _asks(train: DataFrame, shared) -> DataFrame:
     return c.checkpointed(train.mapInArrow(run, "key long, word long, mark long"))
 
 
-def _gathered(neighbours: DataFrame, classes: DataFrame, asks: DataFrame, shared, held) -> DataFrame:
-    """(word, seen) of every training word: its class and count, and the classes beside it over the whole corpus."""
+def _gathered(neighbours: DataFrame, classes: DataFrame, asks: DataFrame, shared, held) -> tuple[DataFrame, DataFrame]:
+    """(word, seen) of every training word: its class and count, and the classes beside it over the whole corpus.
+
+    A word in ``1 / HOT`` of all tokens or more has a row in many tasks; these are first reduced to ``PARTS`` rows, and
+    only then to one. The other table is the one that the first reads.
+    """
+
+    def parted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, words = shared.value.counts, shared.value.words
+        hot = np.isin(batch.column(0).to_numpy().view(np.uint64), words[counts * HOT >= max(counts.sum(), 1)])
+        part = np.where(hot, 1 + TaskContext.get().partitionId() % PARTS, 0)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["word", "seen", "part"])
 
     def beside(batches):
         lexicon = shared.value
@@ -343,11 +354,11 @@ def _gathered(neighbours: DataFrame, classes: DataFrame, asks: DataFrame, shared
                 use = slot >= 0
                 at = row[use] * 256 + slot[use]
                 if len(at) < 8 * len(words):
-                    yield _packed(words, at, times[use])
+                    yield parted(_packed(words, at, times[use]))
                 else:
                     sums = np.bincount(at, times[use], len(words) * 256)
                     at = np.flatnonzero(sums)
-                    yield _packed(words, at, sums[at].astype(np.int64), True)
+                    yield parted(_packed(words, at, sums[at].astype(np.int64), True))
 
     def told(batches):
         parts, size = [], 0
@@ -356,7 +367,7 @@ def _gathered(neighbours: DataFrame, classes: DataFrame, asks: DataFrame, shared
             table = pa.Table.from_batches(parts)
             words, index = np.unique(table.column("word").to_numpy().view(np.uint64), return_inverse=True)
             mark = table.column("mark").to_numpy()
-            return _packed(words, index * 256 + (mark & 1) * SIDES + table.column("k").to_numpy(), mark >> 1)
+            return parted(_packed(words, index * 256 + (mark & 1) * SIDES + table.column("k").to_numpy(), mark >> 1))
 
         for batch in batches:
             parts.append(batch)
@@ -370,16 +381,18 @@ def _gathered(neighbours: DataFrame, classes: DataFrame, asks: DataFrame, shared
     def own(batches):
         for batch in batches:
             words = c.column_of(batch, "word").to_numpy().view(np.uint64)
-            yield _packed(words, np.arange(len(words)) * 256 + OWN + c.column_of(batch, "k").to_numpy(), c.column_of(batch, "n").to_numpy(), True)
+            yield parted(_packed(words, np.arange(len(words)) * 256 + OWN + c.column_of(batch, "k").to_numpy(), c.column_of(batch, "n").to_numpy(), True))
 
     def whole(batches):
         for table in c.sorted_runs(batches, "word"):
-            yield _packed(*_unpacked(table))
+            yield parted(_packed(*_unpacked(table)))
 
-    kind = "word long, seen binary"
+    kind = "word long, seen binary, part int"
     away = classes.where(~held & (F.col("k") >= 0)).select(F.col("word").alias("key"), "k")
     rows = neighbours.mapInArrow(beside, kind).union(asks.join(away, "key").select("word", "mark", "k").mapInArrow(told, kind)).union(classes.mapInArrow(own, kind))
-    return c.checkpointed(rows.repartition("word").sortWithinPartitions("word").mapInArrow(whole, kind))
+    reduce = lambda rows, *by: rows.repartition(*by).sortWithinPartitions("word").mapInArrow(whole, kind)
+    table = c.checkpointed(reduce(rows, "word", "part"))
+    return table.where("part = 0").union(reduce(table.where("part > 0"), "word")).select("word", "seen"), table
 
 
 def _sides(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -532,12 +545,6 @@ def _lexicon(classes: DataFrame, held) -> Lexicon:
     return Lexicon(rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy(), rows.column("k").to_numpy(), -2)
 
 
-def _drop_unused(spark) -> None:
-    """Spark deletes the files of a table when the driver no longer holds it; else each round's would pile up."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fit(train: DataFrame) -> dict:
     """Counts and classes of all words (a checkpointed table) and the bounded model; ``train`` has a column text."""
     spark = train.sparkSession
@@ -561,9 +568,8 @@ def fit(train: DataFrame) -> dict:
         return model | {"lexicon": head, "classes": counts.withColumn("k", F.lit(-1)), "trans": None}
     numbered = Lexicon(head.words, head.counts, np.arange(len(head.words)), -1)
     by_number = spark.sparkContext.broadcast(numbered)
-    beside = f"{c.shared_folder(spark)}/neighbours-{uuid.uuid4().hex}"
+    beside = f"{c.place_of(spark)}/neighbours-{uuid.uuid4().hex}"
     neighbours = _neighbours(train, by_number, beside)
-    _drop_unused(spark)
     asks = _asks(train, by_number)
     pairs = _core_pairs(neighbours, core, by_number)
     first = Lexicon(np.append(core, END), np.zeros(len(core) + 1), np.append(exchange(pairs, CLASSES, ROUNDS), CLASSES), -1)
@@ -574,26 +580,27 @@ def fit(train: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first.find(words)[1].astype(np.int32))], ["word", "n", "k"])
 
     classes = c.checkpointed(counts.mapInArrow(start, "word long, n long, k int"))
-    del counts
-    _drop_unused(spark)
+    c.release(counts)
     lexicon = _lexicon(classes, held)
     kept = None
+    # The tables of a round go once the next one's are there; what stays are the classes of the best round.
     for k in range(PASSES + 1):
-        gathered = _gathered(neighbours, classes, asks, spark.sparkContext.broadcast(lexicon), held)
+        gathered, table = _gathered(neighbours, classes, asks, spark.sparkContext.broadcast(lexicon), held)
         joint = joint_of(gathered)
         if kept and information(joint) <= information(kept[2]):
+            c.release(table, classes)
             break
+        if kept or not k:
+            c.release(kept[0] if kept else classes)
         if k:  # before, not all words had a class
             kept = classes, lexicon, joint
         if k < PASSES:
             classes = _moved(gathered, joint)
             lexicon = _lexicon(classes, held)
-        del gathered
-        _drop_unused(spark)
-    gathered = asks = neighbours = None
-    c.remove(spark, beside)  # the tables that stay are checkpointed
+        c.release(table)
+    c.release(asks)
+    c.remove(spark, beside)
     classes, lexicon, trans = kept
-    _drop_unused(spark)
     mass, kinds = np.zeros(SIDES), np.zeros(SIDES)
     for row in classes.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         mass[row["k"]], kinds[row["k"]] = row["n"], row["v"]

@@ -68,18 +68,42 @@ def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_length, batch, slot) for every row."""
     rows = c.checkpointed(docs.select(F.col(id_col).alias("doc_id"), c.word_count(F.col(text_col)).alias("n_tokens")))
-    histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow()
+    return _packed(rows, rows, buckets, budget).select("doc_id", *PLACE)
+
+
+def pack_rows(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with n_tokens, bucket, bucket_length, batch and slot appended; columns of these names, in any case, are replaced.
+
+    Every row keeps its own text, so batches are whole even where texts or ids repeat. ``docs`` are read twice, and have
+    to be the same each time, as a written table is; texts are shuffled once.
+    """
+    own = [x for x in docs.columns if x.lower() not in PLACE]
+    n_tokens = c.word_count(F.col(text_col)).alias("n_tokens")
+    rows = docs.select(F.col(id_col).alias("doc_id"), n_tokens, F.struct(*own).alias("own"))
+    return _packed(rows, docs.select(n_tokens), buckets, budget).select(*(F.col("own")[x].alias(x) for x in own), *PLACE)
+
+
+#: What packing tells of a row.
+PLACE = ("n_tokens", "bucket", "bucket_length", "batch", "slot")
+
+
+def _packed(rows: DataFrame, sizes: DataFrame, buckets: int, budget: int) -> DataFrame:
+    """``rows`` (doc_id, n_tokens, ...) with their places; ``sizes`` has the n_tokens of all rows."""
+    histogram = sizes.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow()
     ends = boundaries(list(zip(histogram.column("n_tokens").to_pylist(), histogram.column("n").to_pylist(), strict=True)), buckets)
     if not ends:
-        return rows.select("doc_id", "n_tokens", *(F.lit(0).cast("long").alias(x) for x in ("bucket", "bucket_length", "batch", "slot")))
+        return rows.select("*", *(F.lit(0).cast("long").alias(x) for x in PLACE[1:]))
     edges = F.array(*(F.lit(int(e)).cast("long") for e in ends))
-    placed = rows.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("n_tokens"))))
-    placed = placed.withColumn("bucket_length", F.get(edges, F.col("bucket"))).withColumn("bucket", F.col("bucket").cast("long"))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SHARDS)).cast("int"))
+
+    def in_buckets(some: DataFrame) -> DataFrame:
+        bucket = F.size(F.filter(edges, lambda e: e < F.col("n_tokens")))
+        some = some.withColumn("bucket", bucket).withColumn("bucket_length", F.get(edges, F.col("bucket"))).withColumn("bucket", F.col("bucket").cast("long"))
+        return some.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SHARDS)).cast("int"))
+
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n")).select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = in_buckets(rows.select("doc_id", "n_tokens")).groupBy("bucket", "shard").agg(F.count("*").alias("n")).select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
-    ranked = placed.withColumn("rank", rank).join(F.broadcast(offsets), ["bucket", "shard"])
+    ranked = in_buckets(rows).withColumn("rank", rank).join(F.broadcast(offsets), ["bucket", "shard"])
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1))))
     at = F.col("offset") + F.col("rank")
-    return ranked.select("doc_id", "n_tokens", "bucket", "bucket_length", F.floor(at / room).cast("long").alias("batch"), F.pmod(at, room).cast("long").alias("slot"))
+    return ranked.withColumn("batch", F.floor(at / room).cast("long")).withColumn("slot", F.pmod(at, room).cast("long"))

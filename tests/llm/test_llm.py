@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.llm import audio_features, chat_format, class_lm, common, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_mil, queries, url_filter
+from quantloom.sources import sinks
 
 DOCS = "doc_id long, text string, source string, extra string"
 
@@ -95,7 +96,7 @@ def test_chat_round_trip(spark, text):
     turns = spark.createDataFrame([(1, 0, "us\ner<|", text), (1, 1, "assistant", text), (1, 2, "assistant", "b")], "conv_id long, turn long, role string, text string")
     r = chat_format.read_back(chat_format.chat_format(turns)).first()
     assert [(t["role"], t["text"]) for t in r["turns"]] == [("us\ner<|", text or ""), ("assistant", (text or "") + "\nb")]
-    assert r["learnt"] == [(text or "") + "\nb"]
+    assert r["learnt"] == [text or "", "b"]
 
 
 def test_packing_boundaries_are_optimal_and_batches_fit(docs):
@@ -620,8 +621,11 @@ def test_stages_give_the_expected_rows(spark, tmp_path):
         counts[tuple(r)] = counts.get(tuple(r), 0) + 1
     assert mixed.columns == docs.columns and all(1 <= n <= 4 for n in counts.values()) and set(counts) <= {tuple(r) for r in near.collect()}
 
-    packed = pipeline.length_packing(spark, near, "").collect()
-    assert sorted((r["doc_id"], r["n_tokens"]) for r in packed) == sorted((r["doc_id"], len((r["text"] or "").split())) for r in near.collect())
+    packed = pipeline.length_packing(spark, near, "")
+    assert packed.columns == [*docs.columns, *packing.PLACE]
+    packed = packed.collect()
+    assert sorted((r["doc_id"], r["text"] or "", r["n_tokens"]) for r in packed) == sorted((r["doc_id"], r["text"] or "", len((r["text"] or "").split())) for r in near.collect())
+    assert len({(r["bucket"], r["batch"], r["slot"]) for r in packed}) == len(packed)
 
     (tmp_path / "x").mkdir()
     shout = [(k, ("word " if k % 2 else "BUY!! ") * 70, None, "s", 1) for k in range(60)]
@@ -630,18 +634,69 @@ def test_stages_give_the_expected_rows(spark, tmp_path):
     assert good.columns == docs.columns and {r["doc_id"] for r in good.collect()} == {k for k in range(60) if k % 2}
 
 
-def test_pipeline_run_leaves_only_its_last_table(spark, tmp_path):
+def files_below(folder):
+    return sorted(str(x.relative_to(folder)) for x in folder.rglob("*") if x.is_file() and not x.name.startswith((".", "_")))
+
+
+@pytest.fixture
+def shared(spark, tmp_path, monkeypatch):
+    """A folder of its own in place of the shared one, as inside a scratch space."""
+    monkeypatch.setattr(sinks, "_open", [str(tmp_path / "shared")])
+    return tmp_path / "shared"
+
+
+def test_pipeline_run_leaves_its_texts_and_nothing_else(spark, tmp_path, shared):
     import corpus_pipeline as pipeline
 
     rows = [(k, f"some words of document {k} " * 30, "en", f"s{k % 3}", 1) for k in range(30)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k, 1) for k in range(5)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     out = pipeline.run(spark, str(tmp_path))
-    assert out.count() >= 30 and set(out.columns) == {"doc_id", "n_tokens", "bucket", "bucket_length", "batch", "slot"}
-    from pathlib import Path
-
-    folder = Path(next(iter(out.inputFiles())).removeprefix("file://")).parents[1]
-    assert [x.name for x in folder.iterdir()] == [str(len(pipeline.STAGES) - 1)]
+    got = out.collect()
+    assert len(got) >= 30 and out.columns == ["doc_id", "text", "lang", "source", "n_chars", *packing.PLACE]
+    batches = {}
+    for r in got:  # every row of a batch has its own text, copies too
+        assert r["text"] == rows[r["doc_id"]][1] and r["n_tokens"] == len(r["text"].split()) <= r["bucket_length"]
+        batches.setdefault((r["bucket"], r["batch"]), []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in batches.values())
+    assert {x.rpartition("/")[0].rpartition("/")[2] for x in files_below(shared)} == {str(len(pipeline.STAGES) - 1)}
+
+
+@pytest.mark.parametrize("name", ["op1_url_filter", "op3_ngram_join", "op4_line_dedup", "op6_exact_dedup", "op9_class_lm", "op10_mixing", "op11_decontamination"])
+def test_queries_leave_their_result_only(spark, tmp_path, shared, name):
+    words = "one two three four five six seven eight nine ten eleven".split()
+    rows = [(k, " ".join([*words, f"w{k % 7}", *words]), "en", f"s{k % 3}", 1) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(words))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, f"http://a{k}.net/x") for k in range(9)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = queries.queries()[name](spark, str(tmp_path))
+    assert out.count() == (9 if name.startswith("op1_") else 40)
+    assert {x.partition("-")[0] for x in files_below(shared)} == {"result"}
+
+
+def test_packed_rows_keep_their_columns(spark, docs):
+    clash = docs.select("*", *(F.lit("c").alias(x) for x in ("own", "rank", "shard", "offset", "Batch", "SLOT", "bucket")))
+    out = packing.pack_rows(clash, 4, 500)
+    assert out.columns == [*docs.columns, "own", "rank", "shard", "offset", *packing.PLACE]
+    told = lambda rows: sorted(map(repr, ((r["doc_id"], r["text"], r["source"], r["extra"]) for r in rows)))
+    assert told(out.collect()) == told(docs.collect())
+    narrow = sorted(repr(tuple(r)) for r in packing.pack(docs, 4, 500).collect())
+    assert sorted(repr((r["doc_id"], *(r[x] for x in packing.PLACE))) for r in out.collect()) == narrow
+    assert packing.pack_rows(docs.limit(0)).count() == 0
+
+
+def test_nothing_between_learnt_texts(spark):
+    said = [("user", "q\n<|and|>"), ("user", ""), ("assistant", "a\\m"), ("assistant", ""), ("assistant", "<|end|>\nb"), ("user", "x"), ("assistant", "c")]
+    turns = spark.createDataFrame([(1, k, *x) for k, x in enumerate(said)], "conv_id long, turn long, role string, text string")
+    row = chat_format.read_back(chat_format.chat_format(turns)).first()
+    assert [(t["role"], t["text"]) for t in row["turns"]] == [("user", "q\n<|and|>\n"), ("assistant", "a\\m\n\n<|end|>\nb"), ("user", "x"), ("assistant", "c")]
+    assert row["learnt"] == ["a\\m", "", "<|end|>\nb", "c"]
+    at, learnt = 0, []
+    for run in (r for t in row["loss_mask"] for r in t):  # the mask alone, over the string as it is
+        if run["learn"]:
+            learnt.append(row["formatted"][at : at + run["length"]].replace("\\m", "<|").replace("\\s", "\\"))
+        at += run["length"]
+    assert at == len(row["formatted"]) and learnt == row["learnt"]
 
 
 def test_chat_takes_long_texts_empty_tables_and_other_columns(spark):
