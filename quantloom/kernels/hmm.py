@@ -66,19 +66,40 @@ def smoothed(model: Hmm, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return gamma, counts, total
 
 
-def decode(model: Hmm, x: np.ndarray) -> np.ndarray:
-    """The most likely path (Viterbi)."""
+@dataclass
+class Survivors:
+    """Viterbi scores and back pointers of every row: the best path up to any row can be read off without another pass."""
+
+    score: np.ndarray
+    trail: np.ndarray
+
+    def path(self, upto: int, days: int | None = None) -> np.ndarray:
+        """The last ``days`` states (all of them without it) of the most likely path of the first ``upto`` rows."""
+        first = 0 if days is None else max(0, upto - days)
+        out = np.empty(upto - first, int)
+        if upto:
+            out[-1] = self.score[upto - 1].argmax()
+        for t in range(upto - 1, first, -1):
+            out[t - 1 - first] = self.trail[t, out[t - first]]
+        return out
+
+
+def survivors(model: Hmm, x: np.ndarray) -> Survivors:
+    """One forward pass; row t needs no later row."""
     b, lt = log_density(model, x), np.log(np.maximum(model.trans, 1e-300))
-    score, trail = np.log(np.maximum(model.start, 1e-300)) + b[0], np.zeros(b.shape, int)
+    score, trail = np.empty(b.shape), np.zeros(b.shape, int)
+    if len(x):
+        score[0] = np.log(np.maximum(model.start, 1e-300)) + b[0]
     for t in range(1, len(x)):
-        step = score[:, None] + lt
+        step = score[t - 1][:, None] + lt
         trail[t] = step.argmax(0)
-        score = step.max(0) + b[t]
-    out = np.empty(len(x), int)
-    out[-1] = score.argmax()
-    for t in range(len(x) - 1, 0, -1):
-        out[t - 1] = trail[t, out[t]]
-    return out
+        score[t] = step.max(0) + b[t]
+    return Survivors(score, trail)
+
+
+def decode(model: Hmm, x: np.ndarray) -> np.ndarray:
+    """The most likely path (Viterbi)."""
+    return survivors(model, x).path(len(x))
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -133,26 +154,66 @@ def _densities(runs: _Runs, x: np.ndarray) -> np.ndarray:
 
 
 def _expect(runs: _Runs, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(T x runs x k state probabilities, runs x k x k transition counts, log-likelihoods), all restarts in one pass."""
+    """(T x runs x k state probabilities, runs x k x k transition counts, log-likelihoods), all restarts in one pass.
+
+    The recursions go through blocks of about sqrt(T) days, all blocks at once: products of a block's transitions say how
+    a vector leaves it, a pass over blocks gives the vector at each one's edge, and then every block is walked from there.
+    """
     top = b.max(2, keepdims=True)
     e = np.exp(b - top)
-    n = len(e)
-    alpha, scale = np.empty_like(e), np.empty(e.shape[:2])
-    p = runs.start * e[0]
-    for t in range(n):
-        if t:
-            p = (alpha[t - 1][:, None] @ runs.trans)[:, 0] * e[t]
-        scale[t] = np.maximum(p.sum(1), 1e-300)
-        alpha[t] = p / scale[t][:, None]
-    beta = np.ones_like(e)
-    back = runs.trans.swapaxes(1, 2)
-    for t in range(n - 2, -1, -1):
-        ahead = e[t + 1] * beta[t + 1] / scale[t + 1][:, None]
-        beta[t] = (ahead[:, None] @ back)[:, 0]
+    n, _, k = e.shape
+    width = int(np.ceil(np.sqrt(n)))
+    blocks = -(-n // width)
+    cut = lambda x, pad: np.concatenate((x, np.full((blocks * width - n, *x.shape[1:]), pad))).reshape(blocks, width, *x.shape[1:])
+    whole = lambda x: x.reshape(blocks * width, *x.shape[2:])[:n]
+    identity = np.eye(k)
+
+    def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = x @ y
+        return out / np.maximum(out.sum((-2, -1), keepdims=True), 1e-300)
+
+    # Forward: alpha_t is alpha_(t-1) times the transitions, weighed by e_t; the first day has no transition before it.
+    ahead = cut(e, 1.0)
+
+    def forth(i: int) -> np.ndarray:
+        move = np.broadcast_to(runs.trans, (blocks, *runs.trans.shape))
+        if not i:
+            move = move.copy()
+            move[0] = identity
+        return move * ahead[:, i, :, None, :]
+
+    steps = [forth(i) for i in range(width)]
+    leaves = steps[0]
+    for step in steps[1:]:
+        leaves = product(leaves, step)
+    edge = np.empty((blocks, *runs.start.shape))
+    edge[0] = runs.start
+    for j in range(1, blocks):
+        v = (edge[j - 1][:, None] @ leaves[j - 1])[:, 0]
+        edge[j] = v / np.maximum(v.sum(1, keepdims=True), 1e-300)
+    alpha, scale, v = np.empty_like(ahead), np.empty(ahead.shape[:3]), edge
+    for i, step in enumerate(steps):
+        v = (v[:, :, None] @ step)[:, :, 0]
+        scale[:, i] = np.maximum(v.sum(2), 1e-300)
+        v = alpha[:, i] = v / scale[:, i, :, None]
+    alpha, scale = whole(alpha), whole(scale)
+    # Backward: beta_t is the transitions times what the next day weighs; after the last day nothing is left to weigh.
+    weighed = e[1:] / scale[1:, :, None]
+    move = cut(np.concatenate((runs.trans[None] * weighed[:, :, None, :], np.broadcast_to(identity, (1, *runs.trans.shape)))), 0.0)
+    move.reshape(blocks * width, *runs.trans.shape)[n:] = identity
+    leaves = move[:, -1]
+    for i in range(width - 2, -1, -1):
+        leaves = move[:, i] @ leaves
+    edge = np.ones((blocks, *runs.start.shape))
+    for j in range(blocks - 2, -1, -1):
+        edge[j] = (leaves[j + 1] @ edge[j + 1][..., None])[..., 0]
+    beta, v = np.empty_like(ahead), edge
+    for i in range(width - 1, -1, -1):
+        v = beta[:, i] = (move[:, i] @ v[..., None])[..., 0]
+    beta = whole(beta)
     gamma = alpha * beta
     gamma /= np.maximum(gamma.sum(2, keepdims=True), 1e-300)
-    ahead = e[1:] * beta[1:] / scale[1:, :, None]
-    counts = np.einsum("trj,trk->rjk", alpha[:-1], ahead) * runs.trans
+    counts = np.einsum("trj,trk->rjk", alpha[:-1], weighed * beta[1:]) * runs.trans
     return gamma, counts, top[..., 0].sum(0) + np.log(scale).sum(0)
 
 
@@ -200,16 +261,20 @@ def _em(x: np.ndarray, k: int, seeds: list[int], rounds: int, prior: float, ridg
 
 def fit(x: np.ndarray, k: int, n_init: int = 10, rounds: int = 1000, seed: int = 42, prior: float = 1e-2, ridge: float = 1e-3, kind: str = "full", tol: float = 1e-4) -> Hmm:
     """The best of ``n_init`` restarts (seeds seed, seed + 1, ...; the first wins ties); an error if all fail."""
+    good = [m for m in restarts(x, k, [seed + i for i in range(n_init)], rounds, prior, ridge, kind, tol) if np.isfinite(m.loglik)]
+    if not good:
+        raise RuntimeError(f"all {n_init} restarts failed for {k} states")
+    return max(good, key=lambda m: m.loglik)
+
+
+def restarts(x: np.ndarray, k: int, seeds: list[int], rounds: int, prior: float, ridge: float, kind: str = "full", tol: float = 1e-4) -> list[Hmm]:
+    """A model for each seed; one that failed has a log-likelihood that is not finite."""
     if kind not in KINDS:
         raise ValueError(f"unknown covariance type {kind}")
     if len(x) < k:
         raise RuntimeError(f"{len(x)} rows cannot have {k} states")
     with np.errstate(all="ignore"):
-        found = _em(x, k, [seed + i for i in range(n_init)], rounds, prior, ridge, tol, kind)
-    good = [m for m in found if np.isfinite(m.loglik)]
-    if not good:
-        raise RuntimeError(f"all {n_init} restarts failed for {k} states")
-    return max(good, key=lambda m: m.loglik)
+        return _em(x, k, seeds, rounds, prior, ridge, tol, kind)
 
 
 def n_params(k: int, d: int, kind: str = "full") -> int:

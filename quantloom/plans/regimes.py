@@ -16,6 +16,7 @@ from ..kernels.series import eigen_share, fit_msgarch
 from ..operators import features as feats
 from ..operators import regime
 from ..operators.cleaning import ordinals
+from ..sources.sinks import materialise
 
 
 def eigen_features(panel: DataFrame, window: int, most: int, seed: int, calendar: DataFrame | None = None) -> DataFrame:
@@ -75,13 +76,74 @@ def regime_features(series: DataFrame, panel: DataFrame | None, source: str, cfg
     return feats.complete_features(rows, names).select("market", "date", "ret", *names), names
 
 
+_MODEL = "start array<double>, trans array<double>, means array<double>, covars array<double>"
+
+
+def _flat(m: hmm.Hmm) -> list[list[float]]:
+    return [v.ravel().tolist() for v in (m.start, m.trans, m.means, m.covars)]
+
+
+def model_of(row) -> hmm.Hmm:
+    """The model of a row with the columns of ``_MODEL``."""
+    k = len(row["start"])
+    means = np.array(row["means"]).reshape(k, -1)
+    d = means.shape[1]
+    return hmm.Hmm(np.array(row["start"]), np.array(row["trans"]).reshape(k, k), means, np.array(row["covars"]).reshape(k, d, d))
+
+
+#: Restarts that a task runs side by side; more of them cost little more than one.
+SIDE = 5
+
+
+def fits(rows: DataFrame, names: list[str], cfg: Regimes) -> DataFrame:
+    """(market, k, loglik, converged, n, start, trans, means, covars): the best restart of each number of states.
+
+    SIDE restarts of a (market, k) go side by side in a task; the best of all is the one of the largest likelihood, then
+    the earliest. A number of states of which all restarts failed has no row.
+    """
+    grid = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("restart")) for k in cfg.n_states_grid for i in range(0, cfg.n_init, SIDE)))
+    spread = rows.select("market", "date", *names, F.explode(grid).alias("g")).select("market", "date", *names, "g.k", "g.restart")
+    columns = ["market", "k", "restart", "loglik", "converged", "n", "start", "trans", "means", "covars"]
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("date")[names].to_numpy(float)
+        own = range(int(key[2]), min(int(key[2]) + SIDE, cfg.n_init))
+        found = hmm.restarts(x, int(key[1]), [cfg.random_state + i for i in own], cfg.n_iter, cfg.covars_prior, cfg.min_covar, cfg.covariance_type)
+        return pd.DataFrame([[*key[:2], i, m.loglik, m.converged, len(x), *_flat(m)] for i, m in zip(own, found, strict=True) if np.isfinite(m.loglik)], columns=columns)
+
+    each = spread.groupBy("market", "k", "restart").applyInPandas(run, f"market string, k int, restart int, loglik double, converged boolean, n long, {_MODEL}")
+    best = F.max_by(F.struct(*columns[3:]), F.struct("loglik", -F.col("restart"))).alias("m")
+    return each.groupBy("market", "k").agg(best).select("market", "k", "m.*")
+
+
+def model_table(rows: DataFrame, names: list[str], cfg: Regimes) -> DataFrame:
+    """(market, k, loglik, n_params, aic, bic, converged)."""
+    return _scored(fits(rows, names, cfg), len(names), cfg).select("market", "k", "loglik", "n_params", "aic", "bic", "converged")
+
+
+def _scored(models: DataFrame, d: int, cfg: Regimes) -> DataFrame:
+    free = F.create_map(*(F.lit(v) for k in cfg.n_states_grid for v in (k, hmm.n_params(k, d, cfg.covariance_type))))
+    models = models.withColumn("n_params", free[F.col("k")])
+    return models.withColumn("aic", 2 * F.col("n_params") - 2 * F.col("loglik")).withColumn("bic", F.col("n_params") * F.log("n") - 2 * F.col("loglik"))
+
+
 def detect(rows: DataFrame, names: list[str], cfg: Regimes) -> DataFrame:
-    """(market, date, ret, state, p, smooth, k): a model per market, states from calm to turbulent."""
+    """(market, date, ret, state, p, smooth, k): a model per market, states from calm to turbulent.
+
+    The grid of ``fits`` is reduced to the model of least AIC or BIC (fewest states on ties), then each market is decoded
+    once. A market for which some number of states could not be fitted is an error.
+    """
+    rows = materialise(rows.select("market", "date", "ret", *names))
+    score = F.struct(cfg.model_selection.lower(), "k")
+    chosen = _scored(fits(rows, names, cfg), len(names), cfg).groupBy("market").agg(F.count("*").alias("fitted"), F.min_by(F.struct("start", "trans", "means", "covars"), score).alias("m"))
+    spread = rows.join(chosen.select("market", "fitted", "m.*"), "market", "left")
+    asked = len(set(cfg.n_states_grid))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        x = pdf[names].to_numpy(float)
-        model, _ = hmm.select(x, cfg.n_states_grid, cfg.model_selection, n_init=cfg.n_init, rounds=cfg.n_iter, seed=cfg.random_state, prior=cfg.covars_prior, ridge=cfg.min_covar, kind=cfg.covariance_type)
+        if not pdf["fitted"].iloc[0] == asked:
+            raise RuntimeError(f"all {cfg.n_init} restarts failed for some number of states in {pdf['market'].iloc[0]}")
+        x, model = pdf[names].to_numpy(float), model_of(pdf.iloc[0])
         k = len(model.means)
         raw = hmm.decode(model, x)
         order = hmm.volatility_order(raw, pdf["ret"].to_numpy(), k)
@@ -89,24 +151,11 @@ def detect(rows: DataFrame, names: list[str], cfg: Regimes) -> DataFrame:
         return pd.DataFrame({"market": pdf["market"], "date": pdf["date"], "ret": pdf["ret"], "state": np.argsort(order)[raw].astype("int32"), "p": list(p), "smooth": list(smooth), "k": np.int32(k)})
 
     kind = rows.schema["date"].dataType.simpleString()
-    return rows.groupBy("market").applyInPandas(run, f"market string, date {kind}, ret double, state int, p array<double>, smooth array<double>, k int")
-
-
-def model_table(rows: DataFrame, names: list[str], cfg: Regimes) -> DataFrame:
-    """(market, k, loglik, n_params, aic, bic, converged): one task a market and number of states."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("date")[names].to_numpy(float)
-        _, table = hmm.select(x, (int(key[1]),), n_init=cfg.n_init, rounds=cfg.n_iter, seed=cfg.random_state, prior=cfg.covars_prior, ridge=cfg.min_covar, kind=cfg.covariance_type)
-        return pd.DataFrame(table).assign(market=key[0])[["market", "k", "loglik", "n_params", "aic", "bic", "converged"]]
-
-    spread = rows.withColumn("k", F.explode(F.array(*(F.lit(k) for k in cfg.n_states_grid))))
-    return spread.groupBy("market", "k").applyInPandas(run, "market string, k int, loglik double, n_params int, aic double, bic double, converged boolean")
+    return spread.groupBy("market").applyInPandas(run, f"market string, date {kind}, ret double, state int, p array<double>, smooth array<double>, k int")
 
 
 #: Rows of features that a fit needs.
 LEAST_ROWS = 60
-_MODEL = "start array<double>, trans array<double>, means array<double>, covars array<double>, calm_first array<int>"
 
 
 def refits(rows: DataFrame, names: list[str], rebals: DataFrame, cfg: Regimes, n_init: int, refit: str) -> DataFrame:
@@ -135,25 +184,18 @@ def refits(rows: DataFrame, names: list[str], rebals: DataFrame, cfg: Regimes, n
             if tries:
                 m = min(tries, key=lambda t: t[:2])[2]
                 order = hmm.volatility_order(hmm.decode(m, x[:n]), ret[:n], len(m.means))
-                return pd.DataFrame([[pdf["market"].iloc[0], at.date(), *(v.ravel().tolist() for v in (m.start, m.trans, m.means, m.covars)), order.tolist()]], columns=["market", "fitted", "start", "trans", "means", "covars", "calm_first"])
+                return pd.DataFrame([[pdf["market"].iloc[0], at.date(), *_flat(m), order.tolist()]], columns=["market", "fitted", "start", "trans", "means", "covars", "calm_first"])
         return pd.DataFrame(columns=["market", "fitted", "start", "trans", "means", "covars", "calm_first"])
 
-    return spread.groupBy("market", "fit").applyInPandas(run, f"market string, fitted date, {_MODEL}")
-
-
-def model_of(row) -> hmm.Hmm:
-    """The model of a row of ``refits``."""
-    k = len(row["start"])
-    means = np.array(row["means"]).reshape(k, -1)
-    d = means.shape[1]
-    return hmm.Hmm(np.array(row["start"]), np.array(row["trans"]).reshape(k, k), means, np.array(row["covars"]).reshape(k, d, d))
+    return spread.groupBy("market", "fit").applyInPandas(run, f"market string, fitted date, {_MODEL}, calm_first array<int>")
 
 
 def walk_forward(rows: DataFrame, names: list[str], rebals: DataFrame, cfg: Regimes, n_init: int, refit: str, keep_days: int) -> DataFrame:
     """(market, rebal, date, state, p, pi): filtered posteriors of the last ``keep_days`` days up to each rebalance.
 
     A rebalance uses the last model fitted on or before it, its own year's or, until that one can be fitted, an
-    earlier one; before the first model it has no rows. A task is the rebalances of one model.
+    earlier one; before the first model it has no rows. A task is the rebalances of one model: it goes through the
+    history once, and each rebalance takes its slice of the filter and its own path from the survivors up to its day.
     """
     models = refits(rows, names, rebals, cfg, n_init, refit)
     past = Window.partitionBy("market").orderBy("date", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -166,12 +208,11 @@ def walk_forward(rows: DataFrame, names: list[str], rebals: DataFrame, cfg: Regi
         pdf = pdf.sort_values("date")
         dates, x, out = pd.to_datetime(pdf["date"]).to_numpy(), pdf[names].to_numpy(float), []
         model, order = model_of(pdf.iloc[0]), np.array(pdf["calm_first"].iloc[0])
+        p, seen, place = hmm.filtered(model, x)[:, order], hmm.survivors(model, x), np.argsort(order)
         for at in map(pd.Timestamp, pdf["rebals"].iloc[0]):
             upto = int((dates <= at.to_datetime64()).sum())
-            p = hmm.filtered(model, x[:upto])[:, order]
-            state = np.argsort(order)[hmm.decode(model, x[:upto])]
-            for i in range(max(0, upto - keep_days), upto):
-                out.append((pdf["market"].iloc[0], at, dates[i], int(state[i]), p[i].tolist(), p[-1].tolist()))
+            state, pi = place[seen.path(upto, keep_days)], p[upto - 1].tolist()
+            out += [(pdf["market"].iloc[0], at, dates[i], int(s), p[i].tolist(), pi) for i, s in enumerate(state, upto - len(state))]
         return pd.DataFrame(out, columns=["market", "rebal", "date", "state", "p", "pi"]).astype({"rebal": "datetime64[ns]", "date": "datetime64[ns]"})
 
     return spread.groupBy("market", "fitted").applyInPandas(run, "market string, rebal date, date date, state int, p array<double>, pi array<double>")

@@ -253,3 +253,42 @@ def test_hrp_follows_the_dendrogram(seed):
     got, want = optim.linkage(d), clusters_by_definition(d)
     assert [(a, b, n) for a, b, _, n in got] == [(a, b, n) for a, b, _, n in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
     assert optim.hrp(s) == pytest.approx(hrp_by_definition(s), rel=1e-9)
+
+
+def test_survivors_give_the_path_of_every_prefix():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 2)) * np.where(np.arange(200) // 30 % 2, 2.0, 0.5)[:, None]
+    model = hmm.fit(x, 3, n_init=2, rounds=30)
+    seen, p = hmm.survivors(model, x), hmm.filtered(model, x)
+    for upto in (1, 2, 57, 199, 200):
+        alone = hmm.decode(model, x[:upto])
+        assert (seen.path(upto) == alone).all() and (seen.path(upto, 20) == alone[-20:]).all()
+        assert np.allclose(p[:upto], hmm.filtered(model, x[:upto]), atol=1e-12)
+    # By definition: no path of a short prefix is likelier.
+    import itertools
+
+    b = hmm.log_density(model, x[:6])
+    score = lambda s: np.log(model.start[s[0]]) + sum(b[t, k] for t, k in enumerate(s)) + sum(np.log(model.trans[i, j]) for i, j in itertools.pairwise(s))
+    with np.errstate(divide="ignore"):
+        assert score(tuple(seen.path(6))) >= max(map(score, itertools.product(range(3), repeat=6))) - 1e-9
+
+
+def test_restarts_alone_are_those_side_by_side():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 2)) * np.where(np.arange(300) // 50 % 2, 2.0, 0.5)[:, None]
+    both = hmm.restarts(x, 2, [42, 43, 44], 40, 1e-2, 1e-3)
+    for seed, m in zip((42, 43, 44), both, strict=True):
+        (alone,) = hmm.restarts(x, 2, [seed], 40, 1e-2, 1e-3)
+        assert alone.loglik == pytest.approx(m.loglik, rel=1e-9) and np.allclose(alone.means, m.means, atol=1e-7)
+
+
+@pytest.mark.parametrize("n", [2, 3, 17, 100, 101])
+def test_blocked_expectations_are_those_of_the_recursion(n):
+    rng = np.random.default_rng(n)
+    k, x = 3, rng.normal(size=(n, 2))
+    runs = hmm._Runs(rng.dirichlet(np.ones(k), 2), rng.dirichlet(np.ones(k), (2, k)), rng.normal(size=(2, k, 2)), np.repeat(np.eye(2)[None, None], 2, 0).repeat(k, 1), np.zeros(2))
+    gamma, counts, total = hmm._expect(runs, hmm._densities(runs, x))
+    for i in range(2):
+        one = hmm.Hmm(runs.start[i], runs.trans[i], runs.means[i], runs.covars[i])
+        g, c, ll = hmm.smoothed(one, x)
+        assert np.allclose(gamma[:, i], g, atol=1e-10) and np.allclose(counts[i], c, atol=1e-8) and total[i] == pytest.approx(ll, abs=1e-8)

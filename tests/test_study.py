@@ -58,6 +58,14 @@ def test_models_wait_for_sixty_rows_and_serve_until_the_next(spark):
             best = min(tries, key=lambda k: cost * hmm.n_params(k, 2) - 2 * tries[k].loglik)
             assert len(models[key]["start"]) == best
     got = regimes.walk_forward(rows, ["a", "b"], rebals, cfg, 2, "annual", 5).collect()
+    # What each rebalance sees is what a pass over its own history alone gives.
+    for n, key in ((81, 80), (121, 80), (381, 380), (421, 380)):
+        m, order = regimes.model_of(models[day(key)]), np.array(models[day(key)]["calm_first"])
+        features = np.column_stack((x, np.abs(x)))[:n]
+        p, state = hmm.filtered(m, features)[:, order], np.argsort(order)[hmm.decode(m, features)]
+        own = sorted((r for r in got if r["rebal"] == day(n - 1)), key=lambda r: r["date"])
+        assert [r["date"] for r in own] == [day(k) for k in range(n - 5, n)] and [r["state"] for r in own] == state[-5:].tolist()
+        assert np.allclose([r["p"] for r in own], p[-5:]) and all(np.allclose(r["pi"], p[-1]) for r in own)
     assert {r["rebal"] for r in got} == {day(k) for k in at[2:]}
     assert all(sum(r["p"]) == pytest.approx(1) and r["date"] <= r["rebal"] for r in got) and len(got) == 20
 
@@ -187,3 +195,23 @@ def test_sweeps_come_in_order(spark):
     cfg = override(Config(), portfolio={"default_lookback": 20}, backtest={"train_end": "2020-03-01"}, sensitivity={"lookback_grid": (40, 20)})
     swept = sensitivity.in_order(sensitivity.sweep_lookback(panel, series, cfg, ["min_variance", "equal_weight"])).collect()
     assert [(r["value"], r["strategy"]) for r in swept] == [("40", "equal_weight"), ("40", "min_variance"), ("20", "equal_weight"), ("20", "min_variance")]
+
+
+def test_grid_of_models_is_the_one_of_a_single_task(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for market, level in (("m", 1.0), ("n", 3.0)):
+        x = rng.normal(size=260) * np.where(np.arange(260) // 60 % 2, 2.0, 0.5) * level
+        rows += [(market, day(k), float(v), float(v), float(abs(v))) for k, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "market string, date date, ret double, a double, b double")
+    cfg = override(Config(), regimes={"n_init": 3, "n_iter": 60, "n_states_grid": (2, 3)}).regimes
+    table = {(r["market"], r["k"]): r for r in regimes.model_table(frame, ["a", "b"], cfg).collect()}
+    found = regimes.detect(frame, ["a", "b"], cfg).orderBy("market", "date").collect()
+    for market in ("m", "n"):
+        x = np.array([r[3:] for r in rows if r[0] == market])
+        model, want = hmm.select(x, (2, 3), "bic", n_init=3, rounds=60, seed=cfg.random_state, prior=cfg.covars_prior, ridge=cfg.min_covar)
+        for w in want:
+            r = table[market, w["k"]]
+            assert [r[f] for f in ("loglik", "aic", "bic")] == pytest.approx([w[f] for f in ("loglik", "aic", "bic")], abs=1e-5) and r["n_params"] == w["n_params"]
+        order = hmm.volatility_order(hmm.decode(model, x), x[:, 0], len(model.means))
+        assert [r["state"] for r in found if r["market"] == market] == np.argsort(order)[hmm.decode(model, x)].tolist()
