@@ -209,17 +209,69 @@ def dcc_path(z: np.ndarray, a: float, b: float) -> tuple[np.ndarray, float]:
     return out, total
 
 
-def fit_dcc(x: np.ndarray) -> dict:
-    """Two-step DCC of T x N returns; a in [1e-6, 0.3], b in [1e-6, 0.999], and a + b below 0.999."""
-    z = np.column_stack([fit_garch(c)["z"] for c in x.T])
+def dcc_likelihoods(z: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The likelihood part of ``dcc_path`` at each (a, b) of ``points``, in one pass over the days."""
+    bar = np.atleast_2d(np.cov(z.T))
+    a, b = (points[:, k, None, None] for k in (0, 1))
+    q, total, good = np.repeat(bar[None], len(points), 0), np.zeros(len(points)), np.ones(len(points), bool)
+    for t in range(len(z)):
+        if t:
+            q = (1 - a - b) * bar + a * np.outer(z[t - 1], z[t - 1]) + b * q
+        s = 1 / np.sqrt(np.diagonal(q, axis1=1, axis2=2))
+        r = q * s[:, :, None] * s[:, None, :]
+        sign, det = np.linalg.slogdet(r)
+        good &= sign > 0
+        r[~good] = np.eye(len(bar))
+        total -= 0.5 * (det + np.linalg.solve(r, np.broadcast_to(z[t], s.shape)[..., None])[..., 0] @ z[t] - z[t] @ z[t])
+    return np.where(good, total, -math.inf)
+
+
+def dcc_inside(points: np.ndarray) -> np.ndarray:
+    """Whether a is in [1e-6, 0.3], b in [1e-6, 0.999], and a + b below 0.999."""
+    return (points >= 1e-6).all(1) & (points[:, 0] <= 0.3) & (points[:, 1] <= 0.999) & (points.sum(1) < 0.999)
+
+
+def dcc_polish(z: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float, bool]:
+    """(a, b), its likelihood, and whether no neighbour at 1e-3 is likelier, from a start inside the bounds."""
 
     def loss(p):
-        inside = 1e-6 <= p[0] <= 0.3 and 1e-6 <= p[1] <= 0.999 and p.sum() < 0.999
-        return min(-dcc_path(z, *p)[1], 1e10) if inside else 1e10
+        return min(-dcc_likelihoods(z, p[None])[0], 1e10) if dcc_inside(p[None])[0] else 1e10
+
+    best = nelder_mead(loss, start, np.array([0.01 if start[0] < 0.29 else -0.01, -0.02 if start[1] > 0.02 else 0.02]), rounds=80, tol=1e-7)
+    around = best + 1e-3 * np.array([[1, 0], [-1, 0], [0, 1], [0, -1], [1, -1], [-1, 1]])
+    around = around[dcc_inside(around)]
+    top = -loss(best)
+    return best, top, not len(around) or bool((dcc_likelihoods(z, around) <= top).all())
 
-    a, b = nelder_mead(loss, np.array([0.02, 0.95]), np.array([0.02, -0.1]), rounds=80, tol=1e-7)
-    path, total = dcc_path(z, a, b)
-    return {"a": float(a), "b": float(b), "loglik": total, "path": path, "mean": path.mean(0)}
+
+#: Values of a and b whose pairs are tried before the best ones are polished.
+DCC_A, DCC_B = (1e-6, 0.005, 0.01, 0.02, 0.04, 0.08, 0.15, 0.28), (1e-6, 0.2, 0.5, 0.7, 0.8, 0.88, 0.93, 0.96, 0.985)
+
+
+def dcc_grid() -> np.ndarray:
+    points = np.array([(a, b) for a in DCC_A for b in DCC_B])
+    return points[dcc_inside(points)]
+
+
+def dcc_pair(x: np.ndarray, y: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The correlation path of two of the residual series; it does not depend on the others."""
+    bar = np.cov(x, y)
+    q, out = bar.copy(), np.empty(len(x))
+    for t in range(len(x)):
+        if t:
+            v = np.array((x[t - 1], y[t - 1]))
+            q = (1 - a - b) * bar + a * np.outer(v, v) + b * q
+        out[t] = q[0, 1] / math.sqrt(q[0, 0] * q[1, 1])
+    return out
+
+
+def fit_dcc(x: np.ndarray) -> dict:
+    """Two-step DCC of T x N returns in one place: GARCH residuals, the grid, and the polished best point."""
+    z = np.column_stack([fit_garch(c)["z"] for c in x.T])
+    points = dcc_grid()
+    (a, b), total, converged = dcc_polish(z, points[dcc_likelihoods(z, points).argmax()])
+    path, _ = dcc_path(z, a, b)
+    return {"a": float(a), "b": float(b), "persistence": float(a + b), "converged": converged, "loglik": total, "path": path, "mean": path.mean(0)}
 
 
 def fit_msgarch(x: np.ndarray, k: int = 2, rounds: int = 600) -> dict:

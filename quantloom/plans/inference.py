@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..config import Inference
 from ..functions import null_if_nan
 from ..kernels import series as k
-from ..operators.metrics import benjamini_hochberg
+from ..operators.cleaning import complete_rows, sample_ids, with_history
+from ..operators.dependence import pairs
+from ..operators.metrics import benjamini_hochberg, moments
+from ..sources.sinks import materialise
 
 FIGURES = ["sharpe", "sharpe_benchmark", "sharpe_diff", "hac_se", "t_stat", "p_value", "ci_low", "ci_high", "dsr"]
 
@@ -54,21 +57,98 @@ def test_failures(facts: DataFrame, alpha: float = 0.05) -> DataFrame:
     )
 
 
-def dcc(series: DataFrame) -> DataFrame:
-    """(a, b, date, corr, dcc_a, dcc_b) of all markets on shared dates. One recursion over one matrix: a single group."""
-    from ..operators.cleaning import complete_rows
+def constituent_summary(panel: DataFrame, least: int, most: int, seed: int, lb_lags: int = 10, arch_lags: int = 10) -> DataFrame:
+    """Per market: names with ``least`` observations, medians of their moments, and test failures of at most ``most``.
+
+    (market, n_constituents, median_vol_ann, median_skew, median_excess_kurt, iqr_excess_kurt, n_tested,
+    frac_nonstationary, frac_arch_effects, frac_nonnormal). Tested names are sampled by hash; each is a task.
+    """
+    rows = with_history(panel, least)
+    each = moments(rows, ["market", "id"])
+    at = lambda x, q: F.percentile(x, F.lit(q))
+    told = each.groupBy("market").agg(
+        *(F.count("*").alias("n_constituents"), at("vol_ann", 0.5).alias("median_vol_ann"), at("skew", 0.5).alias("median_skew")),
+        *(at("kurt", 0.5).alias("median_excess_kurt"), (at("kurt", 0.75) - at("kurt", 0.25)).alias("iqr_excess_kurt")),
+    )
+    tested = rows.join(sample_ids(rows, most, seed), ["market", "id"], "left_semi")
+    failed = test_failures(stylised_facts(tested, ["market", "id"], lb_lags, arch_lags))
+    return told.join(failed, "market", "left").fillna(0, ["n_tested"]).fillna(0.0, ["frac_nonstationary", "frac_arch_effects", "frac_nonnormal"])
+
 
+def residuals(series: DataFrame) -> DataFrame:
+    """(market, date, z): standardised GARCH residuals on the dates that all markets share, a task a market."""
     kind = series.schema["date"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="date", columns="market", values="ret").sort_index()
-        found, names, out = k.fit_dcc(wide.to_numpy(float)), list(wide.columns), []
-        for i, a in enumerate(names):
-            for j in range(i + 1, len(names)):
-                out.append(pd.DataFrame({"a": a, "b": names[j], "date": wide.index, "corr": found["path"][:, i, j], "dcc_a": found["a"], "dcc_b": found["b"]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "date", "corr", "dcc_a", "dcc_b"])
-
-    return complete_rows(series).groupBy().applyInPandas(run, f"a string, b string, date {kind}, corr double, dcc_a double, dcc_b double")
+        pdf = pdf.sort_values("date")
+        return pdf[["market", "date"]].assign(z=k.fit_garch(pdf["ret"].to_numpy(float))["z"])
+
+    return complete_rows(series).groupBy("market").applyInPandas(run, f"market string, date {kind}, z double")
+
+
+#: Tasks that share the grid of DCC parameters, and how many of its best points are polished.
+DCC_TASKS, DCC_STARTS = 8, 3
+
+
+def dcc_parameters(z: DataFrame) -> DataFrame:
+    """(a, b, persistence, loglik, converged): the DCC parameters of largest joint likelihood; no row below two markets.
+
+    The likelihood couples all markets of a day, so each task has all residuals, and a share of the points.
+    """
+    schema = "dcc_a double, dcc_b double, loglik double, converged boolean"
+
+    def wide(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf.pivot(index="date", columns="market", values="z").sort_index().to_numpy(float)
+
+    def shares(points: np.ndarray, tasks: int, polish: bool) -> DataFrame:
+        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            x, own = wide(pdf), points[key[0] :: tasks]
+            if x.shape[1] < 2 or len(x) < 3:
+                return pd.DataFrame([], columns=["dcc_a", "dcc_b", "loglik", "converged"])
+            if not polish:
+                return pd.DataFrame({"dcc_a": own[:, 0], "dcc_b": own[:, 1], "loglik": k.dcc_likelihoods(x, own), "converged": False})
+            found = [k.dcc_polish(x, p) for p in own]
+            return pd.DataFrame([(*p, total, ok) for p, total, ok in found], columns=["dcc_a", "dcc_b", "loglik", "converged"])
+
+        spread = z.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+        return spread.groupBy("task").applyInPandas(run, schema)
+
+    tried = shares(k.dcc_grid(), DCC_TASKS, False).where("loglik > double('-Infinity')")
+    starts = tried.orderBy(F.desc("loglik"), "dcc_a", "dcc_b").limit(DCC_STARTS).collect()
+    found = shares(np.array([(r["dcc_a"], r["dcc_b"]) for r in starts]), len(starts), True) if starts else z.sparkSession.createDataFrame([], schema)
+    best = found.agg(F.max_by(F.struct("dcc_a", "dcc_b", "loglik", "converged"), F.struct("loglik", -F.col("dcc_a"))).alias("m")).where("m is not null")
+    return best.select(F.col("m.dcc_a").alias("a"), F.col("m.dcc_b").alias("b"), (F.col("m.dcc_a") + F.col("m.dcc_b")).alias("persistence"), "m.loglik", "m.converged")
+
+
+def dcc_paths(z: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(a, b, date, corr, dcc_a, dcc_b) for market names a < b: a pair's path needs its own residuals only, a task a pair."""
+    kind = z.schema["date"].dataType.simpleString()
+    rows = pairs(z.withColumnRenamed("z", "ret")).crossJoin(F.broadcast(parameters.select(F.col("a").alias("dcc_a"), F.col("b").alias("dcc_b"))))  # one row
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        a, b = pdf["dcc_a"].iloc[0], pdf["dcc_b"].iloc[0]
+        return pdf[["a", "b", "date", "dcc_a", "dcc_b"]].assign(corr=k.dcc_pair(pdf["x"].to_numpy(), pdf["y"].to_numpy(), a, b))[["a", "b", "date", "corr", "dcc_a", "dcc_b"]]
+
+    return rows.groupBy("a", "b").applyInPandas(run, f"a string, b string, date {kind}, corr double, dcc_a double, dcc_b double")
+
+
+def dcc(series: DataFrame) -> DataFrame:
+    """(a, b, date, corr, dcc_a, dcc_b) of all pairs of markets, on shared dates."""
+    z = materialise(residuals(series))
+    return dcc_paths(z, materialise(dcc_parameters(z)))
+
+
+def dcc_average(paths: DataFrame) -> DataFrame:
+    """(date, avg_corr): the mean over pairs."""
+    return paths.groupBy("date").agg(F.round(F.avg("corr"), 8).alias("avg_corr"))
+
+
+def dcc_mean_matrix(paths: DataFrame) -> DataFrame:
+    """(a, b, corr): the mean over days for every two markets in either order, and 1 for a market with itself."""
+    mean = paths.groupBy("a", "b").agg(F.round(F.avg("corr"), 8).alias("corr"))
+    names = mean.select("a").union(mean.select("b")).distinct()
+    return mean.unionByName(mean.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).unionByName(names.select("a", F.col("a").alias("b"), F.lit(1.0).alias("corr")))
 
 
 def garch(series: DataFrame) -> DataFrame:

@@ -50,6 +50,9 @@ def stages(spark: SparkSession, raw_series: DataFrame, raw_panel: DataFrame, cfg
     periods = spark.createDataFrame(list(cfg.eda.crisis_periods), "period string, start string, end string").select("period", F.to_date("start").alias("start"), F.to_date("end").alias("end"))
     names = [p[0] for p in cfg.eda.crisis_periods]
     cleaned = preprocess(raw_series, raw_panel, cfg)
+    p, e = cfg.preprocessing, cfg.eda
+    # Dependence is that of the raw index returns on days that every market traded.
+    common = cleaning.complete_rows(cleaning.between_dates(raw_series, p.start_date, p.end_date))
     study = {}
 
     def source(done, name):
@@ -95,7 +98,18 @@ def stages(spark: SparkSession, raw_series: DataFrame, raw_panel: DataFrame, cfg
         "data_summary": lambda done: cleaning.dataset_summary(done["panel"], cfg.portfolio.default_lookback),
         "survivorship": lambda done: cleaning.survivorship(done["panel"]),
         "eda": lambda done: inference.stylised_facts(done["index"], ["market"], cfg.eda.ljung_box_lags, cfg.eda.arch_lm_lags),
-        "dependence": lambda _: dependence.crisis_vs_calm(raw_series, periods),
+        "constituent_summary": lambda done: inference.constituent_summary(done["panel"], p.min_constituent_history, e.max_constituents_for_tests, cfg.seed, e.ljung_box_lags, e.arch_lm_lags),
+        "common_returns": lambda _: common,
+        "dependence": lambda done: dependence.crisis_vs_calm(done["common_returns"], periods),
+        "pearson": lambda done: dependence.pearson(done["common_returns"]),
+        "spearman": lambda done: dependence.spearman(done["common_returns"]),
+        "epps": lambda done: dependence.epps(done["common_returns"], dependence.bucket_returns(done["common_returns"], "week_fri")),
+        "rolling_average": lambda done: dependence.average_rolling(done["common_returns"], e.rolling_corr_window),
+        "residuals": lambda done: inference.residuals(done["common_returns"]),
+        "dcc_parameters": lambda done: inference.dcc_parameters(done["residuals"]),
+        "dcc": lambda done: inference.dcc_paths(done["residuals"], done["dcc_parameters"]),
+        "dcc_average": lambda done: inference.dcc_average(done["dcc"]),
+        "dcc_mean_matrix": lambda done: inference.dcc_mean_matrix(done["dcc"]),
         "features": lambda done: features.cross_section(done["panel"]),
         "regimes_index": lambda done: paths(done, "index"),
         "regimes_constituent": lambda done: paths(done, "constituent"),
@@ -124,7 +138,7 @@ def stages(spark: SparkSession, raw_series: DataFrame, raw_panel: DataFrame, cfg
         "figure_drawdown": lambda done: reports.drawdown_figure(done["backtest"]),
         "figure_regimes": lambda done: reports.regime_figure(done[f"regimes_{cfg.regimes.feature_source}"]),
         "figure_effect": lambda done: reports.effect_figure(done["effect"]),
-        "figure_correlation": lambda _: reports.correlation_figure(raw_series, cfg.eda.rolling_corr_window),
+        "figure_correlation": lambda done: reports.correlation_figure(done["common_returns"], e.rolling_corr_window, done["dcc"]),
         "validate": lambda done: checks.report(
             checks.dataset(done["data_summary"])
             + checks.survivorship(done["survivorship"])
@@ -143,21 +157,22 @@ def run_all(spark: SparkSession, series: DataFrame, panel: DataFrame, cfg: Confi
     if the checks found a broken invariant. ``only`` limits the run to some stages, whose inputs must then be among them.
     """
     done, manifest, why = {}, [], []
-    for name, stage in stages(spark, series, panel, cfg).items():
-        if only and name not in only:
-            continue
-        began = time.time()
-        try:
-            made = stage(done)
-            write_stage(made, f"{folder}/{name}")
-            done[name] = spark.read.schema(made.schema).parquet(f"{folder}/{name}")  # an empty table has no files to tell it
-            if name == "validate":
-                checks.assert_valid(done[name])
-            status = "ok"
-        except Exception as error:
-            status = f"failed: {type(error).__name__}: {str(error)[:200]}"
-            why.append(f"{name} {status}")
-        manifest.append((name, status, time.time() - began))
+    with scratch(spark):  # what stages materialise goes when all are written
+        for name, stage in stages(spark, series, panel, cfg).items():
+            if only and name not in only:
+                continue
+            began = time.time()
+            try:
+                made = stage(done)
+                write_stage(made, f"{folder}/{name}")
+                done[name] = spark.read.schema(made.schema).parquet(f"{folder}/{name}")  # an empty table has no files to tell it
+                if name == "validate":
+                    checks.assert_valid(done[name])
+                status = "ok"
+            except Exception as error:
+                status = f"failed: {type(error).__name__}: {str(error)[:200]}"
+                why.append(f"{name} {status}")
+            manifest.append((name, status, time.time() - began))
     spark.createDataFrame(manifest, "stage string, status string, seconds double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
     if why:
         raise StudyFailed(manifest, "; ".join(why))

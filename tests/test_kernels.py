@@ -292,3 +292,27 @@ def test_blocked_expectations_are_those_of_the_recursion(n):
         one = hmm.Hmm(runs.start[i], runs.trans[i], runs.means[i], runs.covars[i])
         g, c, ll = hmm.smoothed(one, x)
         assert np.allclose(gamma[:, i], g, atol=1e-10) and np.allclose(counts[i], c, atol=1e-8) and total[i] == pytest.approx(ll, abs=1e-8)
+
+
+def test_dcc_likelihoods_and_pairs_are_those_of_the_whole_path():
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(150, 3)) @ np.linalg.cholesky(np.array([[1, 0.5, 0.2], [0.5, 1, 0.4], [0.2, 0.4, 1]])).T
+    points = np.array([(0.0, 0.0), (0.05, 0.9), (0.2, 0.3), (0.02, 0.97)])
+    assert series.dcc_likelihoods(z, points) == pytest.approx([series.dcc_path(z, *p)[1] for p in points])
+    path, _ = series.dcc_path(z, 0.05, 0.9)
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        assert np.allclose(series.dcc_pair(z[:, i], z[:, j], 0.05, 0.9), path[:, i, j])
+    assert series.dcc_inside(series.dcc_grid()).all() and not series.dcc_inside(np.array([[0.3, 0.7], [0.31, 0.1], [0.0, 0.5]])).any()
+
+
+def test_dcc_polish_beats_the_grid_and_its_neighbours():
+    rng = np.random.default_rng(6)
+    q, bar, z = np.eye(2), np.array([[1, 0.4], [0.4, 1]]), []
+    for _ in range(1500):
+        q = 0.08 * bar + 0.07 * (np.outer(z[-1], z[-1]) if z else bar) + 0.85 * q
+        s = 1 / np.sqrt(np.diag(q))
+        z.append(np.linalg.cholesky(q * np.outer(s, s)) @ rng.normal(size=2))
+    z = np.array(z)
+    (a, b), top, converged = series.dcc_polish(z, np.array([0.04, 0.88]))
+    assert converged and abs(a - 0.07) < 0.05 and abs(b - 0.85) < 0.15
+    assert top >= series.dcc_likelihoods(z, series.dcc_grid()).max() and top >= series.dcc_likelihoods(z, np.array([[a, b]]) + rng.normal(0, 0.003, (50, 2))).max() - 1e-6

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quantloom.config import Config, load_config, override
 from quantloom.kernels import hmm, optim
 from quantloom.operators import cleaning, metrics, rebalance
-from quantloom.plans import backtest, regimes, sensitivity, study, tables
+from quantloom.plans import backtest, inference, regimes, sensitivity, study, tables
 from quantloom.sources import sinks
 
 START = dt.date(2020, 1, 1)
@@ -172,6 +172,15 @@ def test_study_runs_every_stage(spark, finished):
     read = lambda x: spark.read.parquet(f"{folder}/{x}")
     assert {r["strategy"] for r in read("metrics").collect()} == set(optim.strategies())
     assert {r["parameter"] for r in read("sensitivity").collect()} == {"bl_view_confidence", "default_lookback", "transaction_cost_bps", "rebalance_frequency"}
+    assert {r["a"] for r in read("pearson").collect()} == {r["a"] for r in read("spearman").collect()} == {r["a"] for r in read("epps").collect()} == {"m"}
+    assert [(r["a"], r["b"]) for r in read("dcc_mean_matrix").orderBy("a", "b").collect()] == [("m", "m"), ("m", "n"), ("n", "m"), ("n", "n")]
+    found = read("dcc_parameters").first()
+    assert found["persistence"] == pytest.approx(found["a"] + found["b"]) and found["persistence"] < 1
+    assert read("dcc_average").count() == read("common_returns").select("date").distinct().count()
+    figure = read("figure_correlation")
+    assert figure.where("dcc is null").count() == 0 and figure.where("rolling is not null").count() == read("rolling_average").count() > 0
+    names = {r["market"]: r for r in read("constituent_summary").collect()}
+    assert {(r["n_constituents"], r["n_tested"]) for r in names.values()} == {(12, 12)} and all(0 <= r["frac_arch_effects"] <= 1 for r in names.values())
     assert read("table_full_grid").count() == 2 * len(optim.strategies()) and read("regime_sources").count() == 4
 
 
@@ -215,3 +224,37 @@ def test_grid_of_models_is_the_one_of_a_single_task(spark):
             assert [r[f] for f in ("loglik", "aic", "bic")] == pytest.approx([w[f] for f in ("loglik", "aic", "bic")], abs=1e-5) and r["n_params"] == w["n_params"]
         order = hmm.volatility_order(hmm.decode(model, x), x[:, 0], len(model.means))
         assert [r["state"] for r in found if r["market"] == market] == np.argsort(order)[hmm.decode(model, x)].tolist()
+
+
+def test_dcc_centres_on_a_constant_correlation(spark):
+    rng = np.random.default_rng(0)
+    x = 0.01 * rng.normal(size=(900, 3)) @ np.linalg.cholesky(np.full((3, 3), 0.5) + 0.5 * np.eye(3)).T
+    rows = [(m, day(t), float(x[t, k])) for k, m in enumerate("ABC") for t in range(900) if (m, t) != ("B", 17)]
+    rows = spark.createDataFrame(rows, "market string, date date, ret double")
+    z = inference.residuals(rows).persist()
+    assert z.count() == 3 * 899
+    found = inference.dcc_parameters(z)
+    first = found.first()
+    assert first["a"] >= 0 and first["b"] >= 0 and first["persistence"] < 1
+    paths = inference.dcc_paths(z, found)
+    means = {(r["a"], r["b"]): r["corr"] for r in inference.dcc_mean_matrix(paths).collect()}
+    assert len(means) == 9 and all(abs(v - (1 if a == b else 0.5)) < 0.12 for (a, b), v in means.items())
+    average = inference.dcc_average(paths)
+    assert average.count() == 899 and average.agg(F.avg("avg_corr")).first()[0] == pytest.approx(np.mean([means["A", "B"], means["A", "C"], means["B", "C"]]), abs=1e-6)
+    # One market has no pairs.
+    assert inference.dcc_parameters(z.where("market = 'A'")).count() == 0
+
+
+def test_constituent_summary_by_hand(spark):
+    rng = np.random.default_rng(1)
+    x = {f"i{k}": rng.normal(0, 0.01 * (k + 1), 120) for k in range(5)}
+    rows = [("m", i, day(t), float(v)) for i, xs in x.items() for t, v in enumerate(xs)] + [("m", "short", day(t), 0.1 * t) for t in range(30)]
+    got = inference.constituent_summary(spark.createDataFrame(rows, PANEL), 100, 3, 42).first()
+    vols = sorted(v.std(ddof=1) * 252**0.5 for v in x.values())
+    assert (got["n_constituents"], got["n_tested"]) == (5, 3) and got["median_vol_ann"] == pytest.approx(vols[2], abs=1e-7)
+    kurt = []
+    for v in x.values():
+        n, d = len(v), v - v.mean()
+        g = n * (d**4).sum() / (d**2).sum() ** 2 - 3
+        kurt.append(((n + 1) * g + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    assert got["iqr_excess_kurt"] == pytest.approx(np.percentile(kurt, 75) - np.percentile(kurt, 25), abs=1e-5) and got["frac_nonstationary"] == 0
