@@ -351,34 +351,64 @@ def sharpe_gap_errors(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.where((s1 > 0) & (s2 > 0) & (var > 0), np.sqrt(np.maximum(var, 0) / t), np.nan)
 
 
-def bootstrap_sharpe_test(x: np.ndarray, y: np.ndarray, block: int = 21, n_boot: int = 2000, seed: int = 42) -> dict[str, float]:
-    """Studentised circular block bootstrap of equal Sharpe ratios, two-sided; draws follow ``default_rng(seed)``."""
+def _sharpe_gap(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Values present in both, the difference of their Sharpe ratios, and its HAC error (nan below 50 values)."""
     ok = np.isfinite(x) & np.isfinite(y)
     x, y = x[ok], y[ok]
+    return x, y, *((sharpe(x) - sharpe(y), float(sharpe_gap_errors(x, y)[0])) if len(x) >= 50 else (math.nan, math.nan))
+
+
+#: Values that are resampled at a time.
+RESAMPLED = 4_000_000
+
+
+def bootstrap_draws(x: np.ndarray, y: np.ndarray, block: int, seed: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(differences, studentised differences) of resamples ``first`` to ``last`` of a circular block bootstrap.
+
+    Block starts follow ``default_rng(seed)``; those of earlier resamples are drawn and passed over, since a bounded draw
+    may take more than one number of the stream. So slices give what one run over all gives, to the last bit. Nothing is
+    drawn where the difference has no error.
+    """
+    x, y, gap, error = _sharpe_gap(x, y)
     t = len(x)
-    if t < 50:
-        return {"n_obs": t}
-    year = math.sqrt(252)
-    gap, error = sharpe(x) - sharpe(y), float(sharpe_gap_errors(x, y)[0])
-    out = {"n_obs": t, "sharpe": sharpe(x) * year, "sharpe_benchmark": sharpe(y) * year, "sharpe_diff": gap * year}
-    if not error > 0:  # nothing varies, so there is nothing to resample
-        return out | {"hac_se": 0.0, "ci_low": gap * year, "ci_high": gap * year, "p_value": 1.0 if abs(gap) < 1e-12 else math.nan}
+    if not error > 0 or last <= first:
+        return np.zeros(0), np.zeros(0)
     rng, blocks = np.random.default_rng(seed), -(-t // block)
-    d, s = np.empty(n_boot), np.empty(n_boot)
-    for at in range(0, n_boot, 250):
-        k = min(250, n_boot - at)
-        first = np.stack([rng.integers(0, t, blocks) for _ in range(k)])
-        rows = ((first[:, :, None] + np.arange(block)).reshape(k, -1) % t)[:, :t]
+    width = max(1, RESAMPLED // t)
+    for at in range(0, first, width):
+        rng.integers(0, t, (min(width, first - at), blocks))
+    d, s = np.empty(last - first), np.empty(last - first)
+    for at in range(0, last - first, width):
+        k = min(width, last - first - at)
+        starts = rng.integers(0, t, (k, blocks))
+        rows = ((starts[:, :, None] + np.arange(block)).reshape(k, -1) % t)[:, :t]
         bx, by = x[rows], y[rows]
         with np.errstate(all="ignore"):
             d[at : at + k] = bx.mean(1) / bx.std(1, ddof=1) - by.mean(1) / by.std(1, ddof=1)
             s[at : at + k] = (d[at : at + k] - gap) / sharpe_gap_errors(bx, by)
+    return d, s
+
+
+def sharpe_test(x: np.ndarray, y: np.ndarray, d: np.ndarray, s: np.ndarray) -> dict[str, float]:
+    """The two-sided test of equal Sharpe ratios from all draws of ``bootstrap_draws``."""
+    x, y, gap, error = _sharpe_gap(x, y)
+    if len(x) < 50:
+        return {"n_obs": len(x)}
+    year = math.sqrt(252)
+    out = {"n_obs": len(x), "sharpe": sharpe(x) * year, "sharpe_benchmark": sharpe(y) * year, "sharpe_diff": gap * year}
+    if not error > 0:  # nothing varies, so there is nothing to resample
+        return out | {"hac_se": 0.0, "ci_low": gap * year, "ci_high": gap * year, "p_value": 1.0 if abs(gap) < 1e-12 else math.nan}
     valid = np.isfinite(s)
     low, high = np.nanpercentile(d, [2.5, 97.5])
     p = {"p_value": float((np.abs(s[valid]) >= abs(gap / error)).mean())} if valid.any() else {}
     return out | {"hac_se": error * year, "t_stat": gap / error, "ci_low": low * year, "ci_high": high * year} | p
 
 
+def bootstrap_sharpe_test(x: np.ndarray, y: np.ndarray, block: int = 21, n_boot: int = 2000, seed: int = 42) -> dict[str, float]:
+    """Studentised circular block bootstrap of equal Sharpe ratios, in one place."""
+    return sharpe_test(x, y, *bootstrap_draws(x, y, block, seed, 0, n_boot))
+
+
 def expected_max_sharpe(n_trials: int, variance: float) -> float:
     if n_trials < 2:
         return 0.0

@@ -18,19 +18,38 @@ from ..sources.sinks import materialise
 FIGURES = ["sharpe", "sharpe_benchmark", "sharpe_diff", "hac_se", "t_stat", "p_value", "ci_low", "ci_high", "dsr"]
 
 
+#: Resamples of a task.
+SLICE = 250
+
+
 def inference_table(returns: DataFrame, cfg: Inference, n_trials: int, seed: int = 42) -> DataFrame:
-    """(market, strategy, n_obs, figures, n_tests, q_value, bh_reject); q-values over the full grid."""
+    """(market, strategy, n_obs, figures, n_tests, q_value, bh_reject); q-values over the full grid.
+
+    A task resamples SLICE times; the two numbers that each resample gives then meet, ``n_bootstrap`` of them a test, and
+    the result is the same to the last bit as if one task had drawn them all.
+    """
     base = returns.where(F.col("strategy") == cfg.benchmark).select("market", "date", F.col("ret").alias("base"))
-    rows = returns.where(F.col("strategy") != cfg.benchmark).select("market", "strategy", "date", "ret").join(base, ["market", "date"])
+    rows = materialise(returns.where(F.col("strategy") != cfg.benchmark).select("market", "strategy", "date", "ret").join(base, ["market", "date"]))
+    starts = F.sequence(F.lit(0), F.lit(max(cfg.n_bootstrap - 1, 0)), F.lit(SLICE))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        x, y = pdf["ret"].to_numpy(), pdf["base"].to_numpy()
-        found = k.bootstrap_sharpe_test(x, y, cfg.block_size, cfg.n_bootstrap, seed) | {"dsr": k.deflated_sharpe(x, n_trials)}
+        first = int(key[2])
+        d, s = k.bootstrap_draws(pdf["ret"].to_numpy(), pdf["base"].to_numpy(), cfg.block_size, seed, first, min(first + SLICE, cfg.n_bootstrap))
+        return pd.DataFrame({"market": key[0], "strategy": key[1], "first": first, "d": [d.tolist()], "s": [s.tolist()]})
+
+    draws = rows.withColumn("first", F.explode(starts)).groupBy("market", "strategy", "first").applyInPandas(draw, "market string, strategy string, first long, d array<double>, s array<double>")
+    draws = draws.groupBy("market", "strategy").agg(F.sort_array(F.collect_list(F.struct("first", "d", "s"))).alias("slices"))
+    draws = draws.select("market", "strategy", F.flatten("slices.d").alias("d"), F.flatten("slices.s").alias("s"))
+
+    def test(key, own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("date")
+        x, y = own["ret"].to_numpy(), own["base"].to_numpy()
+        found = k.sharpe_test(x, y, *(np.array(drawn[c].iloc[0], float) for c in ("d", "s"))) | {"dsr": k.deflated_sharpe(x, n_trials)}
         return pd.DataFrame([[*key, found["n_obs"], *(found.get(f, np.nan) for f in FIGURES)]], columns=["market", "strategy", "n_obs", *FIGURES])
 
     schema = "market string, strategy string, n_obs long, " + ", ".join(f"{f} double" for f in FIGURES)
-    tests = rows.groupBy("market", "strategy").applyInPandas(run, schema)
+    tests = rows.groupBy("market", "strategy").cogroup(draws.groupBy("market", "strategy")).applyInPandas(test, schema)
     return benjamini_hochberg(tests.select("market", "strategy", "n_obs", *(null_if_nan(f).alias(f) for f in FIGURES)), [], cfg.fdr_alpha)
 
 

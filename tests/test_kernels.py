@@ -316,3 +316,20 @@ def test_dcc_polish_beats_the_grid_and_its_neighbours():
     (a, b), top, converged = series.dcc_polish(z, np.array([0.04, 0.88]))
     assert converged and abs(a - 0.07) < 0.05 and abs(b - 0.85) < 0.15
     assert top >= series.dcc_likelihoods(z, series.dcc_grid()).max() and top >= series.dcc_likelihoods(z, np.array([[a, b]]) + rng.normal(0, 0.003, (50, 2))).max() - 1e-6
+
+
+@pytest.mark.parametrize("t", [60, 333])
+def test_slices_of_a_bootstrap_are_the_whole_one(t, monkeypatch):
+    rng = np.random.default_rng(t)
+    x, y = rng.normal(0.001, 0.01, t), rng.normal(0, 0.01, t)
+    # As it is defined: one resample after the other from one generator.
+    one, gap, want = np.random.default_rng(7), series.sharpe(x) - series.sharpe(y), []
+    for _ in range(130):
+        rows = np.concatenate([np.arange(s, s + 21) % t for s in one.integers(0, t, size=-(-t // 21))])[:t]
+        want.append(series.sharpe(x[rows]) - series.sharpe(y[rows]))
+    d, s = series.bootstrap_draws(x, y, 21, 7, 0, 130)
+    assert d == pytest.approx(want, rel=1e-12)
+    monkeypatch.setattr(series, "RESAMPLED", 10 * t)
+    parts = [series.bootstrap_draws(x, y, 21, 7, a, min(a + 37, 130)) for a in range(0, 130, 37)]
+    assert np.array_equal(np.concatenate([p[0] for p in parts]), d) and np.array_equal(np.concatenate([p[1] for p in parts]), s)
+    assert series.sharpe_test(x, y, d, s)["t_stat"] == pytest.approx(gap / series.sharpe_gap_errors(x, y)[0])

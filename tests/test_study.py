@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.config import Config, load_config, override
 from quantloom.kernels import hmm, optim
+from quantloom.kernels import series as series_kernels
 from quantloom.operators import cleaning, metrics, rebalance
 from quantloom.plans import backtest, inference, regimes, sensitivity, study, tables
 from quantloom.sources import sinks
@@ -258,3 +259,18 @@ def test_constituent_summary_by_hand(spark):
         g = n * (d**4).sum() / (d**2).sum() ** 2 - 3
         kurt.append(((n + 1) * g + 6) * (n - 1) / ((n - 2) * (n - 3)))
     assert got["iqr_excess_kurt"] == pytest.approx(np.percentile(kurt, 75) - np.percentile(kurt, 25), abs=1e-5) and got["frac_nonstationary"] == 0
+
+
+def test_inference_in_slices_equals_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = {"base": rng.normal(0, 0.01, 200), "good": rng.normal(0.002, 0.01, 200), "same": None, "short": rng.normal(0, 0.01, 30)}
+    x["same"] = x["base"]
+    rows = [("m", s, day(t), float(v)) for s, xs in x.items() for t, v in enumerate(xs)]
+    frame = spark.createDataFrame(rows, "market string, strategy string, date date, ret double")
+    cfg = override(Config(), inference={"benchmark": "base", "n_bootstrap": 70, "block_size": 5}).inference
+    monkeypatch.setattr(inference, "SLICE", 16)
+    got = {r["strategy"]: r for r in inference.inference_table(frame, cfg, 4, 9).collect()}
+    assert set(got) == {"good", "same", "short"} and got["short"]["n_obs"] == 30 and got["short"]["p_value"] is None
+    for s in ("good", "same"):
+        want = series_kernels.bootstrap_sharpe_test(x[s], x["base"], 5, 70, 9)
+        assert all(got[s][f] == want[f] for f in ("sharpe", "sharpe_benchmark", "sharpe_diff", "hac_se", "p_value", "ci_low", "ci_high"))
