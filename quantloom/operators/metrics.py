@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,15 +66,34 @@ def sortino(r: Column, rf: float = 0.0, days: int = DAYS) -> Column:
     return F.when(F.count(r) >= 2, F.try_divide(F.avg(x), F.sqrt(F.avg(F.when(x < 0, x * x)))) * days**0.5)
 
 
-def wealth_path(series: DataFrame, keys: list[str]) -> DataFrame:
+def wealth_path(series: DataFrame, keys: list[str], span: int | None = None) -> DataFrame:
     """Adds wealth and drawdown. Wealth starts after the first return, so a first loss is no drawdown.
 
     A return of -1 ends in wealth 0 and drawdown -1 for good; a series that begins with it never had wealth, and no
-    drawdown either (null).
+    drawdown either (null). With a ``span`` in days a series is cut into blocks of so much time, and no window holds more
+    than a block: growth and peak of each block are carried over a table of one row a block.
     """
-    run = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    grown = series.withColumn("wealth", F.product(1 + F.col("ret")).over(run))
-    return grown.withColumn("drawdown", F.try_divide(F.col("wealth"), F.max("wealth").over(run)) - 1)
+    if span is None:
+        run = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        grown = series.withColumn("wealth", F.product(1 + F.col("ret")).over(run))
+        return grown.withColumn("drawdown", F.try_divide(F.col("wealth"), F.max("wealth").over(run)) - 1)
+    by = [*keys, "_block"]
+    run = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    own = series.withColumn("_block", time_block("date", span)).withColumn("_own", F.product(1 + F.col("ret")).over(run))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = own.groupBy(*by).agg(F.product(1 + F.col("ret")).alias("_growth"), F.max("_own").alias("_top"))
+    blocks = blocks.withColumn("_carry", F.coalesce(F.product("_growth").over(before), F.lit(1.0)))
+    blocks = blocks.withColumn("_peak", F.max(F.col("_carry") * F.col("_top")).over(before)).drop("_growth", "_top")
+    blocks = blocks.select(*(F.col(x).alias(f"_of_{x}") for x in by), "_carry", "_peak")
+    both = own.join(blocks, reduce(and_, (F.col(x).eqNullSafe(F.col(f"_of_{x}")) for x in by)))
+    both = both.withColumn("wealth", F.col("_carry") * F.col("_own"))
+    peak = F.greatest("_peak", F.max("wealth").over(run))
+    return both.withColumn("drawdown", F.try_divide(F.col("wealth"), peak) - 1).select(*series.columns, "wealth", "drawdown")
+
+
+def time_block(date: str, days: int) -> Column:
+    """The number of a date's or timestamp's block of so many days."""
+    return F.floor(F.unix_timestamp(F.col(date).cast("timestamp")) / (86_400 * days))
 
 
 def present(series: DataFrame) -> DataFrame:

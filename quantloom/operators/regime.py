@@ -9,14 +9,25 @@ from pyspark.sql import functions as F
 
 from ..functions import small
 from ..kernels.optim import covariance
+from .metrics import time_block
 
 
-def runs(path: DataFrame) -> DataFrame:
-    """(market, state, run, first, length) of maximal runs of one state (gaps and islands)."""
-    by = Window.partitionBy("market").orderBy("date")
-    own = Window.partitionBy("market", "state").orderBy("date")
-    marked = path.withColumn("island", F.row_number().over(by) - F.row_number().over(own))
-    return marked.groupBy("market", "state", "island").agg(F.min("date").alias("first"), F.count("*").alias("length")).drop("island")
+def runs(path: DataFrame, span: int | None = None) -> DataFrame:
+    """(market, state, first, length) of maximal runs of one state (gaps and islands).
+
+    With a ``span`` in days, runs are first found inside blocks of so much time, and those that meet at an edge are then
+    joined, over the runs alone.
+    """
+    keys = ["market"] if span is None else ["market", "_block"]
+    path = path if span is None else path.withColumn("_block", time_block("date", span))
+    island = F.row_number().over(Window.partitionBy(*keys).orderBy("date")) - F.row_number().over(Window.partitionBy(*keys, "state").orderBy("date"))
+    found = path.withColumn("island", island).groupBy(*keys, "state", "island").agg(F.min("date").alias("first"), F.count("*").alias("length")).drop("island")
+    if span is None:
+        return found
+    by = Window.partitionBy("market").orderBy("first")
+    opens = F.when(F.col("state").eqNullSafe(F.lag("state").over(by)) & F.lag("first").over(by).isNotNull(), 0).otherwise(1)
+    found = found.withColumn("opens", opens).withColumn("run", F.sum("opens").over(by))
+    return found.groupBy("market", "state", "run").agg(F.min("first").alias("first"), F.sum("length").alias("length")).drop("run")
 
 
 def regime_statistics(path: DataFrame, days: int = 252) -> DataFrame:

@@ -96,6 +96,13 @@ def _(spark, d):
     return reports.wealth_figure(ev(spark, d), ["market"]).select("market", "date", F.round("wealth", 8).alias("wealth"), F.round("drawdown", 8).alias("drawdown"))
 
 
+@query("w9_wealth_in_blocks", ORACLE["w9_wealth"])
+def _(spark, d):
+    """As w9_wealth, with no window over more than two days."""
+    path = metrics.wealth_path(ev(spark, d), ["market"], 2)
+    return path.select("market", "date", F.round("wealth", 8).alias("wealth"), F.round("drawdown", 8).alias("drawdown"))
+
+
 @query("w3_realised_vol", f"""WITH {EVENTS_SQL} SELECT market, date, round(ret, 8) AS ret, round(abs(ret), 8) AS abs_return,
     CASE WHEN count(*) OVER w = 21 THEN round(stddev_samp(ret) OVER w, 8) END AS realised_vol FROM ev WINDOW w AS (PARTITION BY market ORDER BY date ROWS 20 PRECEDING)""")
 def _(spark, d):
@@ -483,6 +490,12 @@ def _(spark, d):
     return regime.runs(_threshold_path(spark, d))
 
 
+@query("w6_runs_in_blocks", ORACLE["w6_run_lengths"])
+def _(spark, d):
+    """As w6_run_lengths, with no window over the rows of more than two days."""
+    return regime.runs(_threshold_path(spark, d), 2)
+
+
 @query("a17_regime_stats", f"""{_STATE}{_RUNS}, l AS (SELECT market, state, avg(length) AS a FROM ru GROUP BY 1, 2), s AS (SELECT market, state, count(*) AS n_days, avg(ret) * 252 AS m, stddev_samp(ret) * sqrt(252) AS v FROM st GROUP BY 1, 2)
     SELECT market, state, n_days, round(n_days / sum(n_days) OVER (PARTITION BY market), 8) AS frequency, round(m, 8) AS mean_ann, round(v, 8) AS vol_ann, round(a, 8) AS avg_duration FROM s JOIN l USING (market, state)""")
 def _(spark, d):

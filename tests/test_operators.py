@@ -135,3 +135,35 @@ def test_lines_of_days_are_read_like_a_whole_file(spark, tmp_path):
     lines = index_json.read_lines(spark, str(tmp_path / "X.jsonl"), "X")
     whole = index_json.parse_index_file(spark, str(tmp_path / "X.json"), "X")
     assert sorted(index_json.index_of_days(lines).collect()) == sorted(whole[0].collect()) and sorted(index_json.panel_of_days(lines).collect()) == sorted(whole[1].collect())
+
+
+def test_blocks_of_time_give_the_paths_and_runs_of_whole_series(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quantloom.operators import regime
+
+    rng = random.Random(5)
+    rows = []
+    for market in ("m", "n", None):
+        for t in sorted(rng.sample(range(900), 300)):
+            rows.append((market, dt.datetime(2020, 1, 1) + dt.timedelta(hours=7 * t), rng.choice([rng.gauss(0, 0.02), 0.0, -1.0 if market == "n" and t > 700 else 0.01]), rng.choice([0, 0, 0, 1, None])))
+    frame = spark.createDataFrame(rows, "market string, date timestamp_ntz, ret double, state int").withColumn("_own", F.lit("x").alias("x")).drop("_own")
+    whole = {(r["market"], r["date"]): (r["wealth"], r["drawdown"]) for r in metrics.wealth_path(frame, ["market"]).collect()}
+    found = {tuple(r) for r in regime.runs(frame).select("market", "state", "first", "length").collect()}
+    assert len(found) > 100
+    for span in (1, 13, 10_000):
+        got = metrics.wealth_path(frame, ["market"], span)
+        assert got.columns == [*frame.columns, "wealth", "drawdown"]
+        got = {(r["market"], r["date"]): (r["wealth"], r["drawdown"]) for r in got.collect()}
+        assert got.keys() == whole.keys()
+        for k, (w, d) in whole.items():
+            assert got[k][0] == pytest.approx(w, rel=1e-12) and (got[k][1] == d if d is None else got[k][1] == pytest.approx(d, abs=1e-12))
+        assert {tuple(r) for r in regime.runs(frame, span).select("market", "state", "first", "length").collect()} == found
+
+
+def test_sortino_needs_two_values(spark):
+    rows = [("m", D[0], -0.1), ("n", D[0], -0.1), ("n", D[1], -0.2)]
+    got = {r["market"]: r["sortino"] for r in metrics.summarise(spark.createDataFrame(rows, "market string, date date, ret double"), ["market"]).collect()}
+    assert got["m"] is None and got["n"] == pytest.approx(-0.15 / (0.025**0.5) * 252**0.5)
