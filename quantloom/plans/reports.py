@@ -25,7 +25,7 @@ STRATEGY_LABELS = {
 }
 METHOD_LABELS = {"mean_variance": "Mean-variance", "min_variance": "Minimum-variance", "hrp": "HRP", "cvar": "CVaR", "equilibrium": "Equilibrium"}
 METHODS = list(METHOD_LABELS)
-ORDER = ["equal_weight", "index_benchmark", "mean_variance", "mean_variance_rc", "min_variance", "min_variance_rc", "hrp", "hrp_rc", "cvar", "cvar_rc", "equilibrium", "equilibrium_rc"]
+ORDER = list(STRATEGY_LABELS)
 
 
 def display_order(strategy: str = "strategy"):

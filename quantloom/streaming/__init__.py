@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType, TimestampType
 
 from ..kernels.hmm import Hmm, log_density
 
@@ -54,6 +57,72 @@ def filtered_states(features: DataFrame, names: list[str], model: Hmm, late: str
     return marked.groupBy("market").applyInPandasWithState(run, f"market string, ts {kind}, p array<double>", f"alpha array<double>, last {kind}", "append", GroupStateTimeout.NoTimeout)
 
 
+class OrderedFilter(StatefulProcessor):
+    """The filter of ``ordered_states``: rows wait until the watermark has passed them and are then taken by time."""
+
+    def __init__(self, names: list[str], model: Hmm, idle: timedelta):
+        self.names, self.model, self.idle = names, model, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.reached = handle.getValueState("reached", StructType([StructField("ts", TimestampType()), StructField("p", ArrayType(DoubleType()))]))
+        self.waiting = handle.getListState("waiting", StructType([StructField("ts", TimestampType()), StructField("x", ArrayType(DoubleType()))]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        after = self.reached.get()[0] if self.reached.exists() else None
+        for frame in rows:
+            for ts, x in zip(frame["ts"], frame[self.names].to_numpy(float), strict=True):
+                at = ts.to_pydatetime()
+                if after is None or at > after:  # the recursion cannot go back
+                    self.waiting.appendValue((at, x.tolist()))
+        yield from self._taken(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._taken(key, timerValues)
+
+    def _taken(self, key, timers) -> Iterator[pd.DataFrame]:
+        mark = datetime.fromtimestamp(timers.getCurrentWatermarkInMs() / 1000)
+        held = dict(self.waiting.get()) if self.waiting.exists() else {}  # of rows of one time the last stays
+        due = sorted(t for t in held if t <= mark)
+        after, alpha = self.reached.get() if self.reached.exists() else (None, None)
+        out = []
+        if due:
+            for t, b in zip(due, log_density(self.model, np.array([held.pop(t) for t in due])), strict=True):
+                if after is not None and t - after > self.idle:
+                    alpha = None
+                after, p = t, (self.model.start if alpha is None else np.array(alpha) @ self.model.trans) * np.exp(b - b.max())
+                alpha = (p / max(p.sum(), 1e-300)).tolist()
+                out.append((key[0], t, alpha))
+            self.reached.update((after, alpha))
+            if held:
+                self.waiting.put([(t, list(x)) for t, x in held.items()])
+            else:
+                self.waiting.clear()
+        # One timer a market: at the next row that waits, or else when a silent market is forgotten.
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if held:
+            self.handle.registerTimer(int(min(held).timestamp() * 1000))
+        elif after is not None and mark - after > self.idle:
+            self.reached.clear()
+        elif after is not None:
+            self.handle.registerTimer(int((after + self.idle).timestamp() * 1000) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["market", "ts", "p"])
+
+
+def ordered_states(features: DataFrame, names: list[str], model: Hmm, late: str = "1 hour", idle: timedelta = timedelta(days=30)) -> DataFrame:
+    """``filtered_states`` that puts rows inside the watermark in order instead of dropping them, and forgets markets.
+
+    A row is given out once the watermark has passed it, so one that comes up to ``late`` after its turn still takes it.
+    A market that is silent for longer than ``idle`` loses its state and starts anew. ``ts`` is a timestamp; the session
+    needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``) and the time zone of its machines.
+    """
+    schema = StructType([StructField("market", StringType()), StructField("ts", TimestampType()), StructField("p", ArrayType(DoubleType()))])
+    rows = features.select("market", "ts", *names).withWatermark("ts", late)
+    return rows.groupBy("market").transformWithStateInPandas(OrderedFilter(names, model, idle), schema, "append", "EventTime")
+
+
 def conditional_correlation(residuals: DataFrame, bar: np.ndarray, a: float, b: float) -> DataFrame:
     """(study, ts, avg_corr): mean correlation of the DCC recursion over a stream of (study, ts, z array<double>).
 
