@@ -424,11 +424,11 @@ def _(spark, d):
     return metrics.reprice(net.select("strategy", "date", "ret"), moved, ["strategy"], 10, 25).withColumn("ret", F.round("ret", 8))
 
 
-@query("j2_benchmark", f"""{_BT}, ix AS (SELECT date, avg(ret) AS ret FROM ln WHERE month(date) <> 7 GROUP BY date)
+@query("j2_benchmark", f"""{_BT}, ix AS (SELECT date, avg(ret) AS ret FROM ln GROUP BY date)
     SELECT hd.date, round(coalesce(ret, 0), 8) AS ret FROM hd LEFT JOIN ix USING (date) WHERE strategy = 'equal_weight'""")
 def _(spark, d):
     panel, calendar, intervals, _ = _lines(spark, d)
-    index = panels.index_of(panel).where("month(date) <> 7")
+    index = panels.index_of(panel)
     return rebalance.benchmark_returns(index, rebalance.days_of_intervals(calendar, intervals)).select("date", F.round("ret", 8).alias("ret"))
 
 
@@ -520,12 +520,12 @@ def _(spark, d):
 
 
 def _posteriors(panel: DataFrame) -> DataFrame:
-    """A synthetic posterior by calendar month; none in June."""
+    """A synthetic posterior by calendar month."""
     p = (F.month("date") - 0.5) / 12
-    return panel.select("market", "date").distinct().where("month(date) <> 6").withColumn("p", F.array(p, 1 - p))
+    return panel.select("market", "date").distinct().withColumn("p", F.array(p, 1 - p))
 
 
-_POST = "po AS (SELECT DISTINCT date, (month(date) - 0.5) / 12 AS p FROM ln WHERE month(date) <> 6)"
+_POST = "po AS (SELECT DISTINCT date, (month(date) - 0.5) / 12 AS p FROM ln)"
 _CUR = ", cu AS (SELECT rebal, coalesce((SELECT arg_max(p, date) FROM po WHERE date <= rebal), 0.5) AS p FROM (SELECT DISTINCT rebal FROM un))"
 _OBS = f"""{_BT}, {_POST}{_CUR}, wd AS (SELECT DISTINCT rebal, date FROM un JOIN wr USING (rebal, id)),
     ow AS (SELECT wd.rebal, wd.date, coalesce(po.p * cu.p + (1 - po.p) * (1 - cu.p), (cu.p * cu.p + (1 - cu.p) * (1 - cu.p)) / 2) AS w FROM wd JOIN cu USING (rebal) LEFT JOIN po ON po.date = wd.date),
@@ -594,12 +594,22 @@ def _(spark, d):
     return cleaning.keep_first(o, ["custkey"], "at").select("custkey", "orderkey")
 
 
-@query("f16_strategies", "SELECT s AS strategy, regexp_replace(s, '_rc$', '') AS method, s LIKE '%\\_rc' ESCAPE '\\' AS conditional FROM (VALUES " + ", ".join(f"('{s}')" for s in optim.strategies()) + ") v(s)")
+def _named_clients(spark, d, names: list[str]) -> DataFrame:
+    """(client_id, strategy): the strategies dealt to the clients in turn."""
+    turn = F.pmod("client_id", F.lit(len(names))).cast("int") + 1
+    return spark.read.parquet(f"{d}/clients.parquet").select("client_id", F.element_at(F.array(*map(F.lit, names)), turn).alias("strategy"))
+
+
+def _named_clients_sql(names: list[str]) -> str:
+    listed = ", ".join(f"'{x}'" for x in names)
+    return f"cs AS (SELECT client_id, ([{listed}])[CAST(client_id % {len(names)} AS INTEGER) + 1] AS strategy FROM clients)"
+
+
+@query("f16_strategies", f"WITH {_named_clients_sql(optim.strategies())} SELECT client_id, strategy, regexp_replace(strategy, '_rc$', '') AS method, strategy LIKE '%\\_rc' ESCAPE '\\' AS conditional FROM cs")
 def _(spark, d):
     from .functions import base_method, is_conditional
 
-    s = spark.createDataFrame([(x,) for x in optim.strategies()], "strategy string")
-    return s.select("strategy", base_method(F.col("strategy")).alias("method"), is_conditional(F.col("strategy")).alias("conditional"))
+    return _named_clients(spark, d, optim.strategies()).select("client_id", "strategy", base_method(F.col("strategy")).alias("method"), is_conditional(F.col("strategy")).alias("conditional"))
 
 
 @query("t8_argmax", f"WITH {LINES_SQL}, {_POST} SELECT date, CAST(CASE WHEN p >= 0.5 THEN 0 ELSE 1 END AS INTEGER) AS state FROM po")
@@ -654,12 +664,12 @@ def _(spark, d):
     return rows.select("market", "date", *(F.round(x, 8).alias(x) for x in ("ret", "r", "realised_vol")))
 
 
-@query("j8_states_of_window", f"""{_BT}, wd AS (SELECT DISTINCT rebal, date FROM un JOIN wr USING (rebal, id)), s AS (SELECT rebal, date, CASE WHEN month(date) <> 6 THEN (month(date) > 9)::INT END AS state FROM wd)
+@query("j8_states_of_window", f"""{_BT}, wd AS (SELECT DISTINCT rebal, date FROM un JOIN wr USING (rebal, id)), s AS (SELECT rebal, date, (month(date) > 9)::INT AS state FROM wd)
     SELECT rebal, date, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY rebal ORDER BY date),
            first_value(state IGNORE NULLS) OVER (PARTITION BY rebal ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS state FROM s""")
 def _(spark, d):
     panel, _, _, window = _lines(spark, d)
-    path = panel.select("market", "date").distinct().where("month(date) <> 6").withColumn("state", (F.month("date") > 9).cast("int"))
+    path = panel.select("market", "date").distinct().withColumn("state", (F.month("date") > 9).cast("int"))
     return regime.states_of_window(window, path).select("rebal", "date", "state")
 
 
@@ -680,20 +690,19 @@ def _(spark, d):
 
 
 _SHOWN = [*reports.ORDER, "unheard_of"]
+_PLACES = " ".join(f"WHEN '{x}' THEN {k + 1}" for k, x in enumerate(reports.ORDER))
 
 
-@query("t6_display_order", "SELECT s AS strategy, CAST(k AS BIGINT) AS place FROM (VALUES " + ", ".join(f"('{x}', {k + 1 if x in reports.ORDER else 99})" for k, x in enumerate(_SHOWN)) + ") v(s, k)")
+@query("t6_display_order", f"WITH {_named_clients_sql(_SHOWN)} SELECT client_id, strategy, CAST(CASE strategy {_PLACES} ELSE 99 END AS BIGINT) AS place FROM cs")
 def _(spark, d):
-    rows = spark.createDataFrame([(x,) for x in _SHOWN], "strategy string")
-    return rows.select("strategy", reports.display_order().cast("long").alias("place"))
+    return _named_clients(spark, d, _SHOWN).select("client_id", "strategy", reports.display_order().cast("long").alias("place"))
 
 
-@query("x4_labels", "SELECT s AS strategy, CASE s WHEN 'hrp' THEN 'Hierarchical risk parity' ELSE s END AS shown FROM (VALUES " + ", ".join(f"('{s}')" for s in optim.strategies()) + ") v(s)")
+@query("x4_labels", f"WITH {_named_clients_sql(optim.strategies())} SELECT client_id, strategy, CASE strategy WHEN 'hrp' THEN 'Hierarchical risk parity' ELSE strategy END AS shown FROM cs")
 def _(spark, d):
     from .functions import label
 
-    rows = spark.createDataFrame([(x,) for x in optim.strategies()], "strategy string")
-    return rows.select("strategy", label(F.col("strategy"), {"hrp": "Hierarchical risk parity"}).alias("shown"))
+    return _named_clients(spark, d, optim.strategies()).select("client_id", "strategy", label(F.col("strategy"), {"hrp": "Hierarchical risk parity"}).alias("shown"))
 
 
 _TESTS = "t AS (SELECT CAST(p_partkey AS VARCHAR) AS strategy, CASE WHEN p_size % 13 <> 0 THEN (p_size * p_size) / 2600.0::DOUBLE END AS p_value FROM part)"

@@ -167,3 +167,22 @@ def test_sortino_needs_two_values(spark):
     rows = [("m", D[0], -0.1), ("n", D[0], -0.1), ("n", D[1], -0.2)]
     got = {r["market"]: r["sortino"] for r in metrics.summarise(spark.createDataFrame(rows, "market string, date date, ret double"), ["market"]).collect()}
     assert got["m"] is None and got["n"] == pytest.approx(-0.15 / (0.025**0.5) * 252**0.5)
+
+
+def test_gaps_of_a_second_input_are_filled(spark):
+    from quantloom.operators import regime
+
+    held = spark.createDataFrame([("m", D[t], D[0]) for t in (1, 2, 3)], "market string, date date, rebal date")
+    index = spark.createDataFrame([("m", D[1], 0.1), ("m", D[3], 0.3), ("n", D[2], 9.0)], "market string, date date, ret double")
+    assert [(r["date"], r["ret"]) for r in rebalance.benchmark_returns(index, held).orderBy("date").collect()] == [(D[1], 0.1), (D[2], 0.0), (D[3], 0.3)]
+
+    post = spark.createDataFrame([("m", D[2], [0.9, 0.1]), ("m", D[4], [0.2, 0.8])], "market string, date date, p array<double>")
+    at = spark.createDataFrame([("m", D[k]) for k in (1, 2, 3, 5)], "market string, rebal date")
+    got = {r["rebal"]: r["p"] for r in regime.posterior_asof(post, at).collect()}
+    assert got == {D[1]: [0.5, 0.5], D[2]: [0.9, 0.1], D[3]: [0.9, 0.1], D[5]: [0.2, 0.8]}
+
+    days = spark.createDataFrame([("m", D[5], D[k], "A") for k in (2, 3, 4)], "market string, rebal date, date date, id string")
+    current = spark.createDataFrame([("m", D[5], [0.2, 0.8])], "market string, rebal date, p array<double>")
+    raw = [0.9 * 0.2 + 0.1 * 0.8, (0.2**2 + 0.8**2) / 2, 0.2 * 0.2 + 0.8 * 0.8]  # day 3 has no posterior
+    weights = [r["w"] for r in regime.observation_weights(days, post, current).orderBy("date").collect()]
+    assert weights == pytest.approx([3 * x / sum(raw) for x in raw])
