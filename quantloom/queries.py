@@ -6,12 +6,14 @@ Lookbacks are scaled to the panels: hours for events, days for orders, months fo
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Config, override
-from .kernels import optim
+from .kernels import hmm, optim
+from .kernels import series as series_kernels
 from .operators import cleaning, dependence, features, metrics, rebalance, regime
 from .plans import backtest, checks, inference, panels, regimes, reports, sensitivity, tables
 from .plans.panels import EVENTS_SQL, LINES_SQL, ORDERS_SQL
@@ -959,14 +961,110 @@ _TRIPLES = f"""WITH {LINES_SQL}, nm AS (SELECT id, row_number() OVER (ORDER BY l
     FROM wg JOIN nm ON nm.k BETWEEN t AND t + 2""")
 def _(spark, d):
     """Risk parity of every three names that follow each other: the tree has one merge, and the single name leads."""
+    weights = backtest.solve_windows(_in_a_row(spark, d, 3), ["hrp"], SAMPLED)
+    return weights.select(F.col("market").alias("triple"), "id", F.round("w", 8).alias("w"))
+
+
+SAMPLED = override(STUDY, portfolio={"covariance_estimator": "sample"}).portfolio
+
+
+def _in_a_row(spark, d, width: int) -> DataFrame:
+    """(market, rebal, id, date, ret): all days of every ``width`` names that follow each other, each such set a market."""
     panel = materialise(ln(spark, d))
     names = panel.select("id").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.length("id"), "id")))  # a nation a row
     grid = panel.select("date").distinct().crossJoin(F.broadcast(names)).join(panel, ["id", "date"], "left").select("id", "k", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    whole = F.broadcast(names.agg((F.max("k") - 2).alias("last")))
-    spread = grid.withColumn("triple", F.explode(F.sequence(F.col("k") - 2, F.col("k")))).join(whole, F.col("triple").between(1, F.col("last")))
-    window = spread.select(F.col("triple").cast("string").alias("market"), F.lit("2000-01-01").cast("date").alias("rebal"), "id", "date", "ret")
-    weights = backtest.solve_windows(window, ["hrp"], override(STUDY, portfolio={"covariance_estimator": "sample"}).portfolio)
-    return weights.select(F.col("market").alias("triple"), "id", F.round("w", 8).alias("w"))
+    whole = F.broadcast(names.agg((F.max("k") - (width - 1)).alias("last")))
+    spread = grid.withColumn("set", F.explode(F.sequence(F.col("k") - (width - 1), F.col("k")))).join(whole, F.col("set").between(1, F.col("last")))
+    return spread.select(F.col("set").cast("string").alias("market"), F.lit("2000-01-01").cast("date").alias("rebal"), "id", "k", "date", "ret")
+
+
+_PAIRS = f"""WITH {LINES_SQL}, nm AS (SELECT id, row_number() OVER (ORDER BY length(id), id) AS k FROM (SELECT DISTINCT id FROM ln)),
+    wd AS (SELECT k, date, coalesce(ret, 0) AS ret FROM (SELECT DISTINCT date FROM ln) CROSS JOIN nm LEFT JOIN ln USING (id, date)),
+    pr AS (SELECT a.k AS t, var_samp(a.ret) AS s11, var_samp(b.ret) AS s22, covar_samp(a.ret, b.ret) AS s12, avg(a.ret) AS m1, avg(b.ret) AS m2 FROM wd a JOIN wd b ON a.date = b.date AND b.k = a.k + 1 GROUP BY 1)"""
+_LEAN = "(s22 - s12) / (s11 + s22 - 2 * s12)"
+
+
+@query("u13_two_names", f"""{_PAIRS}, y AS (SELECT *, s22 * m1 - s12 * m2 AS y1, s11 * m2 - s12 * m1 AS y2, least(greatest({_LEAN}, 0), 1) AS mv FROM pr),
+    w AS (SELECT t, 'min_variance' AS strategy, mv AS w FROM y
+          UNION ALL SELECT t, 'max_utility', least(greatest({_LEAN} + (m1 - m2) / {STUDY.portfolio.risk_aversion} / (s11 + s22 - 2 * s12), 0), 1) FROM y
+          UNION ALL SELECT t, 'max_sharpe', CASE WHEN m1 <= 0 AND m2 <= 0 THEN mv WHEN y1 >= 0 AND y2 >= 0 THEN y1 / (y1 + y2) WHEN m1 > 0 AND (m2 <= 0 OR m1 * m1 / s11 > m2 * m2 / s22) THEN 1 ELSE 0 END FROM y)
+    SELECT CAST(t AS VARCHAR) AS pair, strategy, nm.id, round(CASE WHEN nm.k = t THEN w ELSE 1 - w END, 6) AS w FROM w JOIN nm ON nm.k IN (t, t + 1)""")
+def _(spark, d):
+    """The optimisers on two names, where each has a closed form."""
+    window = materialise(_in_a_row(spark, d, 2))
+    each = {"min_variance": ("min_variance", SAMPLED), "max_sharpe": ("mean_variance", override(STUDY, portfolio={"covariance_estimator": "sample", "mean_variance_objective": "max_sharpe"}).portfolio), "max_utility": ("mean_variance", override(STUDY, portfolio={"covariance_estimator": "sample", "mean_variance_objective": "max_utility"}).portfolio)}
+    parts = [backtest.solve_windows(window.drop("k"), [name], cfg).select(F.col("market").alias("pair"), F.lit(shown).alias("strategy"), "id", F.round("w", 6).alias("w")) for shown, (name, cfg) in each.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("u11_shrinkage_of_two", f"""{_PAIRS}, ce AS (SELECT a.k AS t, a.ret - avg(a.ret) OVER (PARTITION BY a.k) AS x, b.ret - avg(b.ret) OVER (PARTITION BY a.k) AS y FROM wd a JOIN wd b ON a.date = b.date AND b.k = a.k + 1),
+    sm AS (SELECT t, count(*) AS n, avg(x * x) AS s11, avg(y * y) AS s22, avg(x * y) AS s12, avg(x * x + y * y) / 2 AS mu, sum(pow(x * x + y * y, 2)) AS q FROM ce GROUP BY 1),
+    d AS (SELECT *, (pow(s11 - mu, 2) + 2 * s12 * s12 + pow(s22 - mu, 2)) / 2 AS d2, q / n / n / 2 - (s11 * s11 + 2 * s12 * s12 + s22 * s22) / n / 2 AS b2 FROM sm),
+    sh AS (SELECT *, least(d2, b2) / d2 AS share FROM d)
+    SELECT CAST(t AS VARCHAR) AS pair, round((1 - share) * s11 + share * mu, 10) AS s11, round((1 - share) * s12, 10) + 0.0::DOUBLE AS s12, round((1 - share) * s22 + share * mu, 10) AS s22 FROM sh""")
+def _(spark, d):
+    def run(key, pdf):
+        import pandas as pd
+
+        s = optim.covariance(pdf.pivot(index="date", columns="k", values="ret").to_numpy())
+        return pd.DataFrame([[key[0], s[0, 0], s[0, 1], s[1, 1]]], columns=["pair", "s11", "s12", "s22"])
+
+    found = _in_a_row(spark, d, 2).groupBy("market").applyInPandas(run, "pair string, s11 double, s12 double, s22 double")
+    return found.select("pair", *((F.round(x, 10) + 0.0).alias(x) for x in ("s11", "s12", "s22")))
+
+
+_STEPS = EVENTS_SQL + ", nr AS (SELECT market, date, ret, row_number() OVER (PARTITION BY market ORDER BY date) AS t, count(*) OVER (PARTITION BY market) AS n FROM ev)"
+
+
+@query("u22_garch_likelihood", f"""WITH RECURSIVE {_STEPS}, er AS (SELECT *, 100 * (ret - avg(ret) OVER (PARTITION BY market)) AS e FROM nr), v AS (SELECT market, var_pop(e) AS v FROM er GROUP BY 1),
+    g AS (SELECT market, t, e, v AS h, v FROM er JOIN v USING (market) WHERE t = 1 UNION ALL SELECT er.market, er.t, er.e, 0.05 * v + 0.1 * g.e * g.e + 0.85 * g.h, v FROM g JOIN er ON er.market = g.market AND er.t = g.t + 1)
+    SELECT market, round(-0.5 * sum(ln(h) + e * e / h) - 0.5 * count(*) * ln(2 * pi()), 6) AS loglik FROM g GROUP BY 1""")
+def _(spark, d):
+    """The likelihood of GARCH residuals at given parameters."""
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        e = 100 * pdf.sort_values("date")["ret"].to_numpy()
+        e = e - e.mean()
+        h = series_kernels.garch_variance(e, 0.05 * e.var(), 0.1, 0.85)
+        return pd.DataFrame([[key[0], -0.5 * (np.log(h) + e * e / h).sum() - 0.5 * len(e) * np.log(2 * np.pi)]], columns=["market", "loglik"])
+
+    return ev(spark, d).groupBy("market").applyInPandas(run, "market string, loglik double").select("market", F.round("loglik", 6).alias("loglik"))
+
+
+@query("u4_filter", f"""WITH RECURSIVE {_STEPS}, de AS (SELECT market, date, t, exp(least(pow(1000 * ret, 2) / 9 - ln(3), 700)) AS r FROM nr),
+    fi AS (SELECT market, date, t, 0.6 / (0.6 + 0.4 * r) AS p FROM de WHERE t = 1
+           UNION ALL SELECT de.market, de.date, de.t, (0.1 + 0.85 * p) / (0.1 + 0.85 * p + (0.9 - 0.85 * p) * r) FROM fi JOIN de ON de.market = fi.market AND de.t = fi.t + 1)
+    SELECT market, date, round(p, 6) AS calm FROM fi""")
+def _(spark, d):
+    """Filtered probabilities of a given model of two states."""
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        model = hmm.Hmm(np.array([0.6, 0.4]), np.array([[0.95, 0.05], [0.1, 0.9]]), np.zeros((2, 1)), np.array([[[4.0]], [[36.0]]]))
+        pdf = pdf.sort_values("date")
+        return pd.DataFrame({"market": key[0], "date": pdf["date"], "calm": hmm.filtered(model, 1000 * pdf[["ret"]].to_numpy())[:, 0]})
+
+    return ev(spark, d).groupBy("market").applyInPandas(run, "market string, date timestamp_ntz, calm double").select("market", "date", F.round("calm", 6).alias("calm"))
+
+
+@query("u23_pair_paths", f"""WITH RECURSIVE {EVENTS_SQL}, sd AS (SELECT date FROM ev GROUP BY date HAVING count(*) = (SELECT count(DISTINCT market) FROM ev)),
+    z AS (SELECT market, date, (ret - avg(ret) OVER (PARTITION BY market)) / stddev_samp(ret) OVER (PARTITION BY market) AS z, row_number() OVER (PARTITION BY market ORDER BY date) AS t FROM ev JOIN sd USING (date)),
+    zz AS (SELECT x.market AS a, y.market AS b, x.date, x.t, x.z AS x, y.z AS y FROM z x JOIN z y ON x.t = y.t AND x.market < y.market),
+    br AS (SELECT a, b, covar_samp(x, y) AS c FROM zz GROUP BY 1, 2),
+    q AS (SELECT a, b, date, t, x, y, 1.0::DOUBLE AS q11, 1.0::DOUBLE AS q22, c AS q12, c FROM zz JOIN br USING (a, b) WHERE t = 1
+          UNION ALL SELECT zz.a, zz.b, zz.date, zz.t, zz.x, zz.y, 0.05 + 0.05 * q.x * q.x + 0.9 * q11, 0.05 + 0.05 * q.y * q.y + 0.9 * q22, 0.05 * c + 0.05 * q.x * q.y + 0.9 * q12, c FROM q JOIN zz ON zz.a = q.a AND zz.b = q.b AND zz.t = q.t + 1)
+    SELECT a, b, date, round(q12 / sqrt(q11 * q22), 6) AS corr FROM q""")
+def _(spark, d):
+    """Conditional correlations at given parameters, from standardised returns."""
+    whole = Window.partitionBy("market")
+    z = cleaning.complete_rows(ev(spark, d)).select("market", "date", ((F.col("ret") - F.avg("ret").over(whole)) / F.stddev_samp("ret").over(whole)).alias("z"))
+    paths = inference.dcc_paths(z, spark.createDataFrame([(0.05, 0.9)], "a double, b double"))
+    return paths.select("a", "b", "date", F.round("corr", 6).alias("corr"))
 
 
 @query("u13_stationary", f"{_BT} SELECT rebal, count(*) AS n_names, true AS stationary FROM un GROUP BY rebal")

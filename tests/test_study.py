@@ -274,3 +274,15 @@ def test_inference_in_slices_equals_one_task(spark, monkeypatch):
     for s in ("good", "same"):
         want = series_kernels.bootstrap_sharpe_test(x[s], x["base"], 5, 70, 9)
         assert all(got[s][f] == want[f] for f in ("sharpe", "sharpe_benchmark", "sharpe_diff", "hac_se", "p_value", "ci_low", "ci_high"))
+
+
+def test_eigen_share_by_its_definition(spark):
+    panel = frame(spark, [f"i{k}" for k in range(11)], range(30), seed=5)
+    gone = panel.where("not (id = 'i3' and date = '2020-01-16')")
+    wide = panel.toPandas().pivot(index="date", columns="id", values="ret").sort_index()
+    got = {r["date"]: r["eig1_share"] for r in regimes.eigen_features(gone, 10, 200, 1).collect()}
+    assert len(got) == 21
+    for t in range(9, 30):
+        block = wide.iloc[t - 9 : t + 1]
+        block = block.drop(columns="i3") if 15 in range(t - 9, t + 1) else block
+        assert got[day(t)] == pytest.approx(np.linalg.eigvalsh(np.corrcoef(block.to_numpy(), rowvar=False))[-1] / block.shape[1], abs=1e-9)
