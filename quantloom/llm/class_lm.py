@@ -124,6 +124,8 @@ class Lexicon:
     def __init__(self, words: np.ndarray, counts: np.ndarray, ids: np.ndarray, missing: int):
         order = np.argsort(words)
         self.words, self.counts, self.ids, self.missing = words[order], counts[order].astype(np.int64), ids[order].astype(np.int32), missing
+        #: Words in 1 / HOT of all tokens or more.
+        self.hot = self.words[self.counts * HOT >= max(self.counts.sum(), 1)]
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(present, id, count) of each word."""
@@ -337,10 +339,11 @@ def _gathered(neighbours: DataFrame, classes: DataFrame, asks: DataFrame, shared
     """
 
     def parted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, words = shared.value.counts, shared.value.words
-        hot = np.isin(batch.column(0).to_numpy().view(np.uint64), words[counts * HOT >= max(counts.sum(), 1)])
-        part = np.where(hot, 1 + TaskContext.get().partitionId() % PARTS, 0)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["word", "seen", "part"])
+        words, hot = batch.column(0).to_numpy().view(np.uint64), shared.value.hot
+        part = np.zeros(len(words), np.int32)
+        if len(hot):
+            part[hot[np.minimum(np.searchsorted(hot, words), len(hot) - 1)] == words] = 1 + TaskContext.get().partitionId() % PARTS
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], ["word", "seen", "part"])
 
     def beside(batches):
         lexicon = shared.value
