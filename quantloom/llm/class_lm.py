@@ -5,13 +5,14 @@ P(word | previous) = P(class | previous class) * P(word | class). Everything is
 
 1. unigram counts of all words, by hash, aggregated map side and then by key;
 2. the neighbours of every word are written once, by word: those that executors hold as numbers with a side and a
-   count, the others as rows that ask for a class. All rounds read these, and no text;
+   count, and of two neighbours that are both not held each as the other's hash. All rounds read these, and no text;
 3. bigram counts among the ``CORE`` most frequent words; exchange clustering on the driver moves one word at a time to
    the class that raises the mutual information of adjacent classes most (the counts have at most CORE**2 cells). These
    are only the classes to start from;
 4. at most ``PASSES`` rounds of exchange over every training word: the classes beside each word are gathered by word,
    and each word goes where the objective gains most against the class bigram table of the round. All words of a round
-   move at once; a round that does not raise the objective is undone and ends the search;
+   move at once; a round that does not raise the objective is undone and ends the search. A word that executors do not
+   hold carries its neighbours and tells them its class, so that a round has one shuffle and no join;
 5. class transitions over the whole training corpus, smoothed towards the class unigram; emissions by adding one, with
    one more slot in each class for unseen words. An unseen word is summed over the classes it could have.
 
@@ -54,8 +55,12 @@ ITSELF = 2 * LEXICON + 2
 #: Bits of a cell's count; more than that is repeated.
 TIMES = 32 - (ITSELF + 2).bit_length()
 SPREAD = 1 << 20
+#: Of a word that executors do not hold, a neighbour that they do not hold either, and 2 * how often + the side it has it on.
+TELL = np.dtype([("word", "<u8"), ("mark", "<u4")])
 #: Words seen at most so often have their gains looked up.
 RARE = 64
+#: Rows among which those of equal sides are moved once.
+ALIKE = 1 << 16
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +229,26 @@ def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray,
     return words, np.repeat(index, np.concatenate(sizes)) * 256 + (data & 255), data >> 8
 
 
+def _blobs(rows: np.ndarray, n: int, data: np.ndarray) -> pa.Array:
+    """A binary value for each of ``n`` rows from items in the order of their ``rows``."""
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _items(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(items, how many each value has) of a binary column."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    size = np.dtype(kind).itemsize
+    many = (offsets[-1] - offsets[0]) // size
+    return np.frombuffer(column.buffers()[2], kind, many, offsets[0]) if many else np.zeros(0, kind), np.diff(offsets) // size
+
+
 def _neighbours(train: DataFrame, shared, path: str | None = None) -> DataFrame:
-    """(word, beside): of every word its held neighbours, and how often it follows itself, over the whole corpus.
+    """(word, away, n, beside, apart): of every word how often it is seen, its held neighbours and how often it follows itself.
 
-    A table written to ``path``, by default one of its own in the shared folder.
+    ``away`` tells that executors do not hold it; such a word has one row, and in ``apart`` its neighbours that are away
+    as well. A table over the whole corpus, written to ``path``, by default one of its own in the shared folder.
 
     A word seen more than SPREAD times has several rows, so that no task holds all of a frequent word's neighbours.
     """
@@ -247,137 +268,157 @@ def _neighbours(train: DataFrame, shared, path: str | None = None) -> DataFrame:
                 rest = times - (parts - 1) * most
                 cells, times = np.repeat(cells, parts), np.full(parts.sum(), most)
                 times[last] = rest
-            who = cells >> 32
-            starts = np.flatnonzero(np.diff(who, prepend=-1))
             packed = ((cells & 0xFFFFFFFF) << TIMES) + times - 1
-            beside = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.append(starts, len(cells)) * 4).astype(np.int32)), pa.py_buffer(packed.astype(np.uint32))])
-            salt = turn % np.maximum(n[who[starts]] // SPREAD, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(words[who[starts]].view(np.int64)), pa.array(salt.astype(np.int32)), beside], ["word", "salt", "beside"])
+            both = ~(same | here[before] | here[at])
+            pair, often = np.unique(before[both] * len(words) + at[both], return_counts=True)
+            left, right = pair // len(words), pair % len(words)
+            who, told, mark = np.concatenate((left, right)), np.concatenate((right, left)), np.concatenate((often * 2, often * 2 + 1))
+            order = np.argsort(who, kind="stable")
+            tell = np.empty(len(order), TELL)
+            tell["word"], tell["mark"] = words[told[order]], mark[order]
+            salt = turn % np.maximum(n // SPREAD, 1)
+            seen = np.bincount(at, minlength=len(words))
+            columns = [pa.array(words.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(~here), pa.array(seen)]
+            yield pa.RecordBatch.from_arrays([*columns, _blobs(cells >> 32, len(words), packed.astype(np.uint32)), _blobs(who[order], len(words), tell)], ["word", "salt", *names])
 
     def joined(batches):
         # Rows of a word follow each other, and so do their bytes.
         for table in c.sorted_runs(batches, "word"):
             table = table.combine_chunks()
-            word, beside = table.column("word").chunk(0), table.column("beside").chunk(0).cast(pa.large_binary())
-            starts = np.flatnonzero(np.diff(word.to_numpy(), prepend=0) != 0) if len(word) else np.zeros(0, int)
-            starts = np.unique(np.concatenate(([0], starts)))
-            offsets = np.frombuffer(beside.buffers()[1], np.int64, len(beside) + 1, beside.offset * 8)
-            ends = np.append(offsets[starts], offsets[-1])
-            data = pa.py_buffer(np.frombuffer(beside.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0]) if ends[-1] > ends[0] else b"")
+            word = table.column("word").chunk(0)
+            starts = np.unique(np.concatenate(([0], np.flatnonzero(np.diff(word.to_numpy())) + 1)))
+            n = np.add.reduceat(table.column("n").to_numpy(), starts)
+            blobs = []
+            for x in ("beside", "apart"):
+                x = table.column(x).chunk(0).cast(pa.large_binary())
+                offsets = np.frombuffer(x.buffers()[1], np.int64, len(x) + 1, x.offset * 8)
+                ends = np.append(offsets[starts], offsets[-1])
+                blobs.append((ends, pa.py_buffer(np.frombuffer(x.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0]) if ends[-1] > ends[0] else b"")))
             for a in range(0, len(starts), 1 << 14):
-                part = ends[a : min(a + (1 << 14), len(starts)) + 1]
-                own = data.slice(int(part[0] - ends[0]), int(part[-1] - part[0]))
-                yield pa.RecordBatch.from_arrays([word.take(pa.array(starts[a : a + (1 << 14)])), pa.Array.from_buffers(pa.large_binary(), len(part) - 1, [None, pa.py_buffer(part - part[0]), own]).cast(pa.binary())], ["word", "beside"])
-
-    rows = train.mapInArrow(run, "word long, salt int, beside binary")
+                at = pa.array(starts[a : a + (1 << 14)])
+                out = [word.take(at), table.column("away").chunk(0).take(at), pa.array(n[a : a + (1 << 14)])]
+                for ends, data in blobs:
+                    part = ends[a : a + len(at) + 1]
+                    own = data.slice(int(part[0] - ends[0]), int(part[-1] - part[0]))
+                    out.append(pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(part - part[0]), own]).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, ["word", *names])
+
+    names, kinds = ["away", "n", "beside", "apart"], "away boolean, n long, beside binary, apart binary"
+    rows = train.mapInArrow(run, f"word long, salt int, {kinds}")
     path = path or f"{c.place_of(train.sparkSession)}/neighbours-{uuid.uuid4().hex}"
-    rows = rows.repartition("word", "salt").sortWithinPartitions("word").select("word", "beside")
-    rows.mapInArrow(joined, "word long, beside binary").write.option("compression", "zstd").parquet(path)
-    return train.sparkSession.read.schema("word long, beside binary").parquet(path)
+    rows = rows.repartition("word", "salt").sortWithinPartitions("word").drop("salt")
+    rows.mapInArrow(joined, f"word long, {kinds}").write.option("compression", "zstd").parquet(path)
+    return train.sparkSession.read.schema(f"word long, {kinds}").parquet(path)
 
 
 def _cells_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, row, cell, times) of neighbour rows."""
-    beside = c.column_of(batch, "beside").cast(pa.large_binary())
-    offsets = np.frombuffer(beside.buffers()[1], np.int64, len(beside) + 1, beside.offset * 8)
-    data = np.frombuffer(beside.buffers()[2], np.uint32, (offsets[-1] - offsets[0]) // 4, offsets[0]).astype(np.int64) if offsets[-1] > offsets[0] else np.zeros(0, np.int64)
-    return c.column_of(batch, "word").to_numpy().view(np.uint64), np.repeat(np.arange(len(beside)), np.diff(offsets) // 4), data >> TIMES, (data & ((1 << TIMES) - 1)) + 1
+    data, many = _items(c.column_of(batch, "beside"), np.uint32)
+    data = data.astype(np.int64)
+    return c.column_of(batch, "word").to_numpy().view(np.uint64), np.repeat(np.arange(len(many)), many), data >> TIMES, (data & ((1 << TIMES) - 1)) + 1
 
 
 def _core_pairs(neighbours: DataFrame, core: np.ndarray, shared) -> np.ndarray:
     """Counts of (previous, word) among the core words, from the neighbours that are before them."""
     rank = np.full(len(shared.value.words) + 2, -1)
     rank[np.searchsorted(shared.value.words, core)] = np.arange(len(core))
-    wanted = np.sort(core)
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = c.column_of(batch, "word").to_numpy().view(np.uint64)
-            at = np.minimum(np.searchsorted(wanted, words), len(wanted) - 1)
-            few = batch.filter(pa.array(wanted[at] == words))
-            if few.num_rows:
-                words, row, cell, times = _cells_of(few)
+            if batch.num_rows:
+                words, row, cell, times = _cells_of(batch)
                 own = rank[np.searchsorted(shared.value.words, words)][row]
                 before = np.where(cell == ITSELF, own, np.where(cell & 1 == 0, rank[np.minimum(cell >> 1, len(rank) - 1)], -1))
                 use = before >= 0
                 pair, index = np.unique(before[use] * len(core) + own[use], return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.bincount(index, times[use], len(pair)).astype(np.int64))], ["pair", "n"])
 
-    rows = neighbours.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most CORE**2 rows
+    few = neighbours.select("word", "beside").where(F.col("word").isin(core.view(np.int64).tolist()))
+    rows = few.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most CORE**2 rows
     out = np.zeros(len(core) ** 2)
     out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
     return out.reshape(len(core), len(core))
 
 
-def _asks(train: DataFrame, shared) -> DataFrame:
-    """(key, word, mark): how often, * 2 + side, a word that executors do not hold is beside another word. Learnt once."""
+def _gathered(neighbours: DataFrame, away: DataFrame, shared) -> DataFrame:
+    """(word, seen, beside, apart) of every training word: its class and count, and the classes beside it over the whole corpus.
 
-    def run(batches):
-        for words, before, at in _streams(batches):
-            away = ~shared.value.find(words)[0]
-            use = (away[before] | away[at]) & (before != at)
-            pair, n = np.unique(before[use] * len(words) + at[use], return_counts=True)
-            left, right = pair // len(words), pair % len(words)
-            for key, word, side in ((left, right, 0), (right, left, 1)):
-                use = away[key]
-                yield pa.RecordBatch.from_arrays([pa.array(words[key[use]].view(np.int64)), pa.array(words[word[use]].view(np.int64)), pa.array(n[use] * 2 + side)], ["key", "word", "mark"])
-
-    return c.checkpointed(train.mapInArrow(run, "key long, word long, mark long"))
-
-
-def _gathered(neighbours: DataFrame, classes: DataFrame, asks: DataFrame, shared, held) -> DataFrame:
-    """(word, seen) of every training word: its class and count, and the classes beside it over the whole corpus."""
+    ``neighbours`` are read for the words that executors hold; ``away`` has the others, with class and neighbours, which
+    they keep. Such a word's row tells its class to its neighbours.
+    """
 
-    def beside(batches):
-        lexicon = shared.value
+    def kinds_of(lexicon):
         kinds = np.append(np.repeat(lexicon.ids.astype(np.int64), 2), np.zeros(max(ITSELF + 1 - 2 * len(lexicon.ids), 0), np.int64))
         slots = np.where(kinds < 0, -1, kinds + np.arange(len(kinds)) % 2 * SIDES)
         slots[ITSELF] = SELF
+        return slots
+
+    def own(slots, words, k, n, row, cell, times):
+        slot = slots[cell]
+        use = slot >= 0
+        at = np.concatenate((row[use] * 256 + slot[use], np.arange(len(words)) * 256 + OWN + k))
+        times = np.concatenate((times[use], n))
+        if len(at) < 8 * len(words):
+            return _packed(words, at, times)
+        sums = np.bincount(at, times, len(words) * 256)
+        at = np.flatnonzero(sums)
+        return _packed(words, at, sums[at].astype(np.int64), True)
+
+    def row_of(packed, beside=None, apart=None):
+        empty = pa.nulls(packed.num_rows, pa.binary())
+        return pa.RecordBatch.from_arrays([*packed.columns, empty if beside is None else beside, empty if apart is None else apart], ["word", "seen", "beside", "apart"])
+
+    def known(batches):
+        lexicon = shared.value
+        slots = kinds_of(lexicon)
         for batch in batches:
             for a in range(0, batch.num_rows, 1 << 12):
-                words, row, cell, times = _cells_of(batch.slice(a, 1 << 12))
-                slot = slots[cell]
-                use = slot >= 0
-                at = row[use] * 256 + slot[use]
-                if len(at) < 8 * len(words):
-                    yield _packed(words, at, times[use])
-                else:
-                    sums = np.bincount(at, times[use], len(words) * 256)
-                    at = np.flatnonzero(sums)
-                    yield _packed(words, at, sums[at].astype(np.int64), True)
+                part = batch.slice(a, 1 << 12)
+                words, row, cell, times = _cells_of(part)
+                k = lexicon.ids[np.searchsorted(lexicon.words, words)].astype(np.int64)
+                yield row_of(own(slots, words, k, c.column_of(part, "n").to_numpy(), row, cell, times))
 
     def told(batches):
+        lexicon = shared.value
+        slots = kinds_of(lexicon)
         parts, size = [], 0
 
         def flush():
-            table = pa.Table.from_batches(parts)
-            words, index = np.unique(table.column("word").to_numpy().view(np.uint64), return_inverse=True)
-            mark = table.column("mark").to_numpy()
-            return _packed(words, index * 256 + (mark & 1) * SIDES + table.column("k").to_numpy(), mark >> 1)
+            at, times, word, mark, k = map(np.concatenate, zip(*parts))
+            yield row_of(_packed(lexicon.words, at, times))
+            words, index = np.unique(word, return_inverse=True)
+            yield row_of(_packed(words, index * 256 + (mark & 1) * SIDES + k, mark >> 1))
 
         for batch in batches:
-            parts.append(batch)
-            size += batch.num_rows
-            if size >= HELD:
-                yield flush()
+            if not batch.num_rows:
+                continue
+            words, row, cell, times = _cells_of(batch)
+            k = c.column_of(batch, "k").to_numpy().astype(np.int64)
+            beside, apart = c.column_of(batch, "beside"), c.column_of(batch, "apart")
+            yield row_of(own(slots, words, k, c.column_of(batch, "n").to_numpy(), row, cell, times), beside, apart)
+            tell, many = _items(apart, TELL)
+            whose = np.repeat(k, many)
+            use, say = (k[row] >= 0) & (cell != ITSELF), whose >= 0
+            # A neighbour before the word has it after itself.
+            parts.append(((cell[use] >> 1) * 256 + (1 - (cell[use] & 1)) * SIDES + k[row[use]], times[use], tell["word"][say], tell["mark"][say].astype(np.int64), whose[say]))
+            size += len(row) + len(tell)
+            if size >= 2 * HELD:
+                yield from flush()
                 parts, size = [], 0
-        if size:
-            yield flush()
-
-    def own(batches):
-        for batch in batches:
-            words = c.column_of(batch, "word").to_numpy().view(np.uint64)
-            yield _packed(words, np.arange(len(words)) * 256 + OWN + c.column_of(batch, "k").to_numpy(), c.column_of(batch, "n").to_numpy(), True)
+        if parts:
+            yield from flush()
 
     def whole(batches):
         for table in c.sorted_runs(batches, "word"):
-            yield _packed(*_unpacked(table))
-
-    kind = "word long, seen binary"
-    away = classes.where(~held & (F.col("k") >= 0)).select(F.col("word").alias("key"), "k")
-    rows = neighbours.mapInArrow(beside, kind).union(asks.join(away, "key").select("word", "mark", "k").mapInArrow(told, kind)).union(classes.mapInArrow(own, kind))
+            words, cells, times = _unpacked(table)
+            kept = table.select(["word", "beside", "apart"]).filter(table.column("beside").is_valid())
+            at = np.full(len(words), -1)
+            at[np.searchsorted(words, kept.column("word").to_numpy().view(np.uint64))] = np.arange(kept.num_rows)
+            at = pa.array(at, mask=at < 0)
+            yield row_of(_packed(words, cells, times), *(kept.column(x).combine_chunks().take(at) for x in ("beside", "apart")))
+
+    kind = "word long, seen binary, beside binary, apart binary"
+    rows = neighbours.where("not away").select("word", "n", "beside").mapInArrow(known, kind).union(away.mapInArrow(told, kind))
     return c.checkpointed(rows.repartition("word").sortWithinPartitions("word").mapInArrow(whole, kind))
 
 
@@ -496,7 +537,7 @@ def rare_gains(joint: np.ndarray, own: np.ndarray, left, right, table: tuple[np.
 
 
 def _moved(gathered: DataFrame, joint: np.ndarray) -> DataFrame:
-    """(word, n, k): each word in the class where the objective gains most against ``joint``."""
+    """(word, n, k, beside, apart): each word in the class where the objective gains most against ``joint``."""
     # An empty class suits each word best alone, so all would crowd into it at once.
     empty = joint[:CLASSES].sum(1) + joint[:, :CLASSES].sum(0) == 0
 
@@ -506,24 +547,51 @@ def _moved(gathered: DataFrame, joint: np.ndarray) -> DataFrame:
         use = take[side[0]]
         return at[side[0][use]], side[1][use], side[2][use]
 
+    def best_of(batch, table):
+        """(n, class, whether the class is the word's own matter) of rows."""
+        words, own, n, left, right, twice = _sides(batch)
+        rare = (n <= RARE) & (twice == 0)
+        gain = np.empty((len(words), len(joint)))
+        gain[rare] = rare_gains(joint, own[rare], of(left, rare), of(right, rare), table)
+        gain[~rare] = gains(joint, own[~rare], of(left, ~rare), of(right, ~rare), twice[~rare])
+        gain = np.where(empty, -np.inf, gain[:, :CLASSES])
+        best = gain.argmax(1)
+        rows = np.arange(len(words))
+        stays = ((own >= 0) & (gain[rows, best] <= gain[rows, np.clip(own, 0, CLASSES - 1)] + 1e-9)) | (own == CLASSES)
+        bare = (own < 0) & (empty.all() | (np.bincount(left[0], minlength=len(words)) + np.bincount(right[0], minlength=len(words)) == 0))
+        return n, np.where(stays, own, best), bare & ~stays
+
     def run(batches):
         table = steps(joint)
+        held, size = [], 0
+
+        def flush():
+            rows = pa.Table.from_batches(held)
+            words = rows.column("word").to_numpy().view(np.uint64)
+            # Words with equal classes beside them, counts and class move alike.
+            seen = rows.column("seen").combine_chunks().dictionary_encode()
+            alike = seen.dictionary
+            parts = []
+            for a in range(0, len(alike), 4096):
+                part = alike.slice(a, 4096)
+                parts.append(best_of(pa.RecordBatch.from_arrays([pa.array(np.arange(len(part))), part], ["word", "seen"]), table))
+            at = seen.indices.to_numpy()
+            n, k, bare = (np.concatenate(x)[at] for x in zip(*parts))
+            k = np.where(bare, (words % np.uint64(CLASSES)).astype(np.int64), k)
+            out = pa.table([rows.column("word"), pa.array(n), pa.array(k.astype(np.int32)), rows.column("beside"), rows.column("apart")], names=["word", "n", "k", "beside", "apart"])
+            yield from out.to_batches()
+
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                words, own, n, left, right, twice = _sides(batch.slice(a, 4096))
-                rare = (n <= RARE) & (twice == 0)
-                gain = np.empty((len(words), len(joint)))
-                gain[rare] = rare_gains(joint, own[rare], of(left, rare), of(right, rare), table)
-                gain[~rare] = gains(joint, own[~rare], of(left, ~rare), of(right, ~rare), twice[~rare])
-                gain = np.where(empty, -np.inf, gain[:, :CLASSES])
-                best = gain.argmax(1)
-                rows = np.arange(len(words))
-                stays = (own >= 0) & (gain[rows, best] <= gain[rows, np.clip(own, 0, CLASSES - 1)] + 1e-9)
-                bare = (own < 0) & (empty.all() | (np.bincount(left[0], minlength=len(words)) + np.bincount(right[0], minlength=len(words)) == 0))
-                k = np.where(stays | (own == CLASSES), own, np.where(bare, (words % np.uint64(CLASSES)).astype(np.int64), best))
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(k.astype(np.int32))], ["word", "n", "k"])
-
-    return c.checkpointed(gathered.mapInArrow(run, "word long, n long, k int"))
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= ALIKE:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    return c.checkpointed(gathered.mapInArrow(run, "word long, n long, k int, beside binary, apart binary"))
 
 
 def _lexicon(classes: DataFrame, held) -> Lexicon:
@@ -556,37 +624,31 @@ def fit(train: DataFrame) -> dict:
     by_number = spark.sparkContext.broadcast(numbered)
     beside = f"{c.place_of(spark)}/neighbours-{uuid.uuid4().hex}"
     neighbours = _neighbours(train, by_number, beside)
-    asks = _asks(train, by_number)
+    c.release(counts)
     pairs = _core_pairs(neighbours, core, by_number)
     first = Lexicon(np.append(core, END), np.zeros(len(core) + 1), np.append(exchange(pairs, CLASSES, ROUNDS), CLASSES), -1)
-
-    def start(batches):
-        for batch in batches:
-            words = c.column_of(batch, "word").to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first.find(words)[1].astype(np.int32))], ["word", "n", "k"])
-
-    classes = c.checkpointed(counts.mapInArrow(start, "word long, n long, k int"))
-    c.release(counts)
-    lexicon = _lexicon(classes, held)
+    lexicon = Lexicon(head.words, head.counts, first.find(head.words)[1], -2)
+    away, classes = neighbours.where("away").select("word", "n", F.lit(-1).alias("k"), "beside", "apart"), None
     kept = None
     # The tables of a round go once the next one's are there; what stays are the classes of the best round.
     for k in range(PASSES + 1):
-        gathered = _gathered(neighbours, classes, asks, spark.sparkContext.broadcast(lexicon), held)
+        gathered = _gathered(neighbours, away, spark.sparkContext.broadcast(lexicon))
         joint = joint_of(gathered)
         if kept and information(joint) <= information(kept[2]):
             c.release(gathered, classes)
             break
-        if kept or not k:
-            c.release(kept[0] if kept else classes)
+        if kept:
+            c.release(kept[0])
         if k:  # before, not all words had a class
             kept = classes, lexicon, joint
         if k < PASSES:
             classes = _moved(gathered, joint)
             lexicon = _lexicon(classes, held)
+            away = classes.where(~held)
         c.release(gathered)
-    c.release(asks)
     c.remove(spark, beside)
     classes, lexicon, trans = kept
+    classes = classes.select("word", "n", "k")
     mass, kinds = np.zeros(SIDES), np.zeros(SIDES)
     for row in classes.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         mass[row["k"]], kinds[row["k"]] = row["n"], row["v"]
