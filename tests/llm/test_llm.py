@@ -707,3 +707,46 @@ def test_chat_takes_long_texts_empty_tables_and_other_columns(spark):
     assert len(got[2]["turns"]) == 2000 and got[2]["learnt"] == [f"t{k}" for k in range(1, 2000, 2)]
     empty = chat_format.read_back(chat_format.chat_format(turns.limit(0)))
     assert empty.count() == 0 and empty.columns == ["conv_id", "formatted", "loss_mask", "turns", "learnt"]
+
+
+def test_rounds_of_exchange_have_no_join_and_gather_by_brute_force(spark, monkeypatch):
+    from collections import Counter
+
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e", f"once{k}"]) for _ in range(rng.choice([0, 1, 60]))) for k in range(40)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    plans, real = [], common.checkpointed
+    monkeypatch.setattr(common, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    with monkeypatch.context() as few:
+        few.setattr(class_lm, "LEXICON", 3)
+        assert class_lm.fit(train)["V"] == len({w for t in texts for w in t.split()}) + 1
+    assert not [p for p in plans if "Join" in p] and max(p.count("Exchange") for p in plans[1:]) == 1  # the first counts words
+
+    name = lambda w: class_lm.END if w == "end" else common.hashed_words(pa.array([w]))[0][0]
+    held = class_lm.Lexicon(np.array([name(w) for w in ("a", "b", "end")], np.uint64), np.array([5 << 20, 9, 9]), np.array([0, -1, class_lm.CLASSES]), -2)
+    numbered = class_lm.Lexicon(held.words, held.counts, np.arange(3), -1)
+    kinds = {"a": 0, "b": -1, "c": 2, "d": 3, "e": 2, "end": class_lm.CLASSES}
+    share = spark.sparkContext.broadcast
+    neighbours = class_lm._neighbours(train, share(numbered))
+    classes = spark.createDataFrame([(int(name(w).view(np.int64)), kinds[w]) for w in "cde"], "word long, k int")
+    away = neighbours.where("away").join(classes, "word", "left").selectExpr("word", "n", "coalesce(k, -1) as k", "beside", "apart")
+    got, own = Counter(), {}
+    for batch in class_lm._gathered(neighbours, away, share(held)).toArrow().to_batches():
+        words, k, n, left, right, twice = class_lm._sides(batch)
+        own |= dict(zip(words.tolist(), zip(k.tolist(), n.tolist())))
+        for side, (who, of, times) in enumerate((left, right)):
+            for w, j, t in zip(words[who].tolist(), of.tolist(), times.tolist()):
+                got[w, side, j] += t
+        got.update({(w, "self", 0): int(t) for w, t in zip(words.tolist(), twice) if t})
+    want, seen = Counter(), Counter()
+    for t in texts:
+        tokens = ["end", *t.split(), "end"]
+        seen.update(tokens[1:])
+        for x, y in zip(tokens, tokens[1:]):
+            if x == y:
+                want[int(name(x)), "self", 0] += 1
+            else:
+                for w, side, other in ((y, 0, x), (x, 1, y)):
+                    if kinds.get(other, -1) >= 0:
+                        want[int(name(w)), side, kinds[other]] += 1
+    assert got == want and own == {int(name(w)): (kinds.get(w, -1), n) for w, n in seen.items()}
